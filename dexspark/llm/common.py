@@ -14,6 +14,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from dexspark.sources.shared import shared_path
+
+pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back to the system
+
+#: Rows of an Arrow batch.
+BATCH = 512
 #: Odd multiplier of the rolling word-sequence hash.
 ROLL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -22,21 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='dexspark-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+def small_batches(df: DataFrame) -> None:
+    """Texts can be long: let Arrow batches, on both sides of the worker's pipe, hold few of them."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/dexspark-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, "rows")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def blocks_for(rows: int, per_block: int, least: int = 1) -> int:

@@ -8,11 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dexspark.llm import byte_bpe, jaccard_join, language_id, mixing, substring_dedup
+from dexspark.llm import byte_bpe, html_extract, jaccard_join, language_id, mixing, substring_dedup, token_counts, url_filters, vector_search
 from dexspark.llm.common import ship_code, table
 
 #: Vocabulary of the BPE query and of the last stage of the pipeline.
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: Piece list of the token counts.
+PIECES = "piece_bpe_32k.model"
+#: Rules of the url query.
+RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
 #: Mixing: values of the tree's levels and their weights, part of all tokens, epochs, seed.
 DOMAINS, LANGUAGES = {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, {"en": 4, "de": 2, "fr": 2, "es": 1}
 SHARE, EPOCHS, SEED = 0.6, 3, 17
@@ -34,6 +38,20 @@ def mixing_weights(spark: SparkSession) -> dict[str, DataFrame]:
     }
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(RULES.items()), "rule string, verdict string")
+    return url_filters.judge(table(spark, sf_dir, "pages"), rules)
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing_rows(table(spark, sf_dir, "documents"))
     return mixing.mix(rows, LEVELS, mixing_weights(spark), SHARE, EPOCHS, SEED)
@@ -59,6 +77,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k_products(table(spark, sf_dir, "embeddings"))
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -120,6 +146,20 @@ from rows_ where whole > 0 or before < rest
 """
 
 
+OPERATORS = [
+    op1_html_extract,
+    op2_token_counts,
+    op3_url_filters,
+    op4_source_mixing,
+    op5_byte_bpe,
+    op6_language_id,
+    op7_exact_top_k,
+    op8_jaccard_join,
+    op9_nearest_neighbours,
+    op10_substring_dedup,
+]
+
+
 def _shipped(query):
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,10 +169,39 @@ def _shipped(query):
     return run
 
 
+#: The longest rule whose host is the url's or a domain above it and whose path starts the url's.
+URL_SQL = f"""
+with rules(rule, verdict) as (values {", ".join(f"('{r}', '{v}')" for r, v in RULES.items())}),
+parts as (select rule, verdict, split_part(rule, '/', 1) as rhost, substring(rule, length(split_part(rule, '/', 1)) + 1) as rpath from rules),
+rest as (select page_id, case when contains(url, '://') then substring(url, position('://' in url) + 3) else '' end as r from pages),
+urls as (
+  select page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path from rest),
+fits as (
+  select u.page_id, p.rule, p.verdict, row_number() over (partition by u.page_id order by length(p.rule) desc, p.rule desc) as n
+  from urls u join parts p on (u.host = p.rhost or ends_with(u.host, '.' || p.rhost)) and starts_with(u.path, p.rpath))
+select u.page_id, coalesce(u.host, '') as host, coalesce(u.path, '') as path, f.rule, coalesce(f.verdict, 'allow') as verdict
+from urls u left join fits f on u.page_id = f.page_id and f.n = 1
+"""
+
+#: Integer products of every query with every other vector.
+PRODUCT_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as c
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (
+  select q.vec_id as query_id, d.vec_id, cast(list_sum(list_transform(range(1, len(q.c) + 1), lambda i: q.c[i] * d.c[i])) as bigint) as score
+  from v q join v d on q.vec_id <> d.vec_id where q.vec_id % 100 = 0),
+ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from pairs)
+select query_id, rank, vec_id, score from ranked where rank <= 10
+"""
+
+
 def queries() -> dict:
-    own = {f.__name__: f for f in (op4_source_mixing, op5_byte_bpe, op6_language_id, op8_jaccard_join, op10_substring_dedup)}
+    own = {f.__name__: f for f in OPERATORS}
     return {name: _shipped(f) for name, f in (own | {"pipeline": pipeline}).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mixing": MIXING_SQL}
+    return {"op3_url_filters": URL_SQL, "op4_source_mixing": MIXING_SQL, "op7_exact_top_k": PRODUCT_SQL}
