@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dexspark.llm.common import slices
+from dexspark.llm.common import slices, small_batches
 
 #: Stored states and stored words before a store starts anew, longest stored word, bytes between emissions.
 STATES, WORDS, STORED, EMIT = 300_000, 250_000, 48, 4096
@@ -268,6 +268,7 @@ def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> D
     decoded adds the text that the ids decode to. A null text encodes as an empty one. Special
     tokens are ordinary text. Other columns of docs are ignored.
     """
+    small_batches(docs)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(_rows(path, pattern, decoded), "doc_id long, ids binary" + ", decoded string" * decoded)
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dexspark.llm.common import as_bytes, gram_hashes, materialise, slices, word_hashes
+from dexspark.llm.common import as_bytes, gram_hashes, materialise, slices, small_batches, word_hashes
 from dexspark.llm.graph import connected_components
 
 #: Words of a gram, similarity, MinHash values, values of a band, values compared at a time, tolerance.
@@ -250,6 +250,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, gram: int = G
     words than a gram is one gram; null and blank texts have no links and are their own class.
     Rows that share a doc_id fall into one class. Other columns are ignored.
     """
+    small_batches(docs)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialise(own.mapInArrow(_signature_rows(gram), "doc_id long, copy_key binary, sig binary"))
     reps = materialise(

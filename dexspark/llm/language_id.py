@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dexspark.llm.common import as_bytes, slices
+from dexspark.llm.common import as_bytes, slices, small_batches
 
-#: Longest context in bytes, documents per language that are counted.
-ORDER, SAMPLE = 3, 1000
+#: Longest context in bytes, documents per language that are counted, bytes scored at a time.
+ORDER, SAMPLE, CHUNK = 3, 1000, 1 << 17
 #: Label of texts that are null or have no letter.
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -83,27 +83,43 @@ class Model:
     escapes: list[Table]
 
     def code_lengths(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Bits of every text in every language; text t is data[bounds[t]:bounds[t+1]]."""
-        cost = np.zeros((len(data), len(self.languages)), dtype=np.float32)
-        place = np.arange(len(data)) - np.repeat(bounds[:-1], np.diff(bounds))
-        wide = data.astype(np.int64)
-        left = np.arange(len(data))
+        """Bits of every text in every language; text t is data[bounds[t]:bounds[t+1]].
+
+        Bytes are scored CHUNK at a time, so one long text needs no more memory than many short ones.
+        """
+        out = np.zeros((len(bounds) - 1, len(self.languages)))
+        first, high = 0, len(self.grams) - 1
+        for at in range(0, len(data), CHUNK):
+            end = min(len(data), at + CHUNK)
+            first = int(np.searchsorted(bounds, at, side="right")) - 1
+            text = np.searchsorted(bounds, np.arange(at, end), side="right") - 1 - first
+            low = max(0, at - high)
+            cost = self._costs(data[low:end].astype(np.int64), np.arange(at, end) - bounds[first + text], at - low)
+            for k in range(len(self.languages)):
+                sums = np.bincount(text, cost[:, k])
+                out[first : first + len(sums), k] += sums
+        return out
+
+    def _costs(self, wide: np.ndarray, place: np.ndarray, skip: int) -> np.ndarray:
+        """Bits of each byte behind the first ``skip``; place is a byte's distance from its text's start."""
+        cost = np.zeros((len(place), len(self.languages)), dtype=np.float32)
+        left = np.arange(len(place))
         for order in range(len(self.grams) - 1, -1, -1):
-            use = left[place[left] >= order]
+            enough = place[left] >= order
+            use = left[enough]
             code = np.ones(len(use), dtype=np.int64)
             for k in range(order, 0, -1):
-                code = (code << 8) | wide[use - k]
-            slot = self.grams[order].find((code << 8) | wide[use])
+                code = (code << 8) | wide[skip + use - k]
+            slot = self.grams[order].find((code << 8) | wide[skip + use])
             seen = slot >= 0
             cost[use[seen]] += self.grams[order].costs[slot[seen]]
-            use, code = use[~seen], code[~seen]
+            missed, code = use[~seen], code[~seen]
             slot = self.escapes[order].find(code)
             known = slot >= 0
-            cost[use[known]] += self.escapes[order].costs[slot[known]]
-            left = np.concatenate([left[place[left] < order], use])
+            cost[missed[known]] += self.escapes[order].costs[slot[known]]
+            left = np.concatenate([left[~enough], missed])
         cost[left] += 8
-        sums = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(cost, axis=0, dtype=np.float64)])
-        return sums[bounds[1:]] - sums[bounds[:-1]]
+        return cost
 
 
 def _gram_rows(order: int):
@@ -135,6 +151,7 @@ def sampled(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def train(labelled: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> Model:
     """Fit the trees; the counts that reach the driver are bounded by the sample's texts."""
+    small_batches(labelled)
     few = sampled(labelled.select("doc_id", "text", "lang"), sample).select("lang", "text")
     counts = few.mapInArrow(_gram_rows(order), "lang string, order int, code long, times long").groupBy("lang", "order", "code").agg(F.sum("times").alias("times"))
     got = counts.toArrow()
@@ -201,6 +218,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     Ties go to the first language in alphabetical order. Whole texts are scored. Kept columns
     named lang_pred or score are replaced.
     """
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in keep or ["doc_id"] if c not in ("lang_pred", "score")]
     own = docs.select(*kept, F.col("text").cast("string").alias("_text"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dexspark.llm import common
-from dexspark.llm.common import as_bytes, gram_hashes, materialise, signed, slices, word_hashes
+from dexspark.llm.common import as_bytes, gram_hashes, materialise, signed, slices, small_batches, word_hashes
 
 #: Words of a window, of the hashed grams in it, and documents of a block.
 WINDOW, GRAM, BLOCK = 13, 5, 256
@@ -128,6 +128,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     docs has doc_id long and text string. Rows with a null doc_id or text have no words.
     Documents without such a range have no row.
     """
+    small_batches(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     blocks = common.blocks_for(docs.count(), BLOCK)
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")
