@@ -1,11 +1,728 @@
-"""All queries of the exchange analytics and the SQL they are held against."""
+"""All queries of the exchange analytics, with the SQL that each is held against."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dexspark.functions.columns import price_from_sqrt
+from dexspark.functions.wide import limbs, to_text
+from dexspark.operators import alerts, candles, chain, decode, discovery, fifo, pages, quality, retention, revert, trades, wallets
+from dexspark.plans import sql, views
+from dexspark.sources import logs
+from dexspark.sources.shared import shared_path
+from dexspark.sources.tables import Snapshots, append_new, merge_add, upsert
+from dexspark.streaming import ingest
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+# Parameters of the queries.
+EVENT_FORK, FLOOR, AS_OF = 600, "2024-01-10 00:00:00", "2024-01-25 00:00:00"
+FORK, FINAL, HEAD = 1200, 1100, 1200
+WASH = {"self_least": 10, "churn_least": 24, "ratio": 0.02}
+POOL, WALLET, USER_POOL = "Brand#11", "7", "purchase"
+DAY = 86_400
+
+
+def query(statement: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if statement:
+            SQL[f.__name__] = sql.build(statement) if "with " != statement[:5] else statement
+        return f
+
+    return add
+
+
+def moment(text: str) -> F.Column:
+    return F.lit(text).cast("timestamp")
+
+
+def flat(rows: DataFrame) -> DataFrame:
+    """Candles with plain types."""
+    return rows.select("pool", F.unix_timestamp("bucket").alias("bucket"), "open", "high", "low", "close", F.col("volume0").cast("long").alias("volume0"), F.col("volume1").cast("long").alias("volume1"), "trade_count")
+
+
+def position_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.position_trades(views.swaps(spark, sf_dir))
+
+
+# Candles
+
+
+@query(f"select {sql.CANDLE} from c1")
+def candles_1m(spark, sf_dir):
+    return flat(candles.candles(views.events(spark, sf_dir)))
+
+
+@query(sql.candle(f"select * from ev where block_time < timestamp '{AS_OF}'", "hour"))
+def candles_1h(spark, sf_dir):
+    return flat(candles.rollup(candles.candles(views.events(spark, sf_dir)), "1h", moment(AS_OF)))
+
+
+@query(sql.candle(f"select * from ev where block_time < timestamp '{AS_OF}'", "day"))
+def candles_1d(spark, sf_dir):
+    hours = candles.rollup(candles.candles(views.events(spark, sf_dir)), "1h", moment(AS_OF))
+    return flat(candles.rollup(hours, "1d", moment(AS_OF)))
+
+
+@query(f"select {sql.CANDLE} from c1")
+def candles_merge_two_batches(spark, sf_dir):
+    rows = views.events(spark, sf_dir)
+    late, early = rows.filter(F.col("block_number") > EVENT_FORK), rows.filter(F.col("block_number") <= EVENT_FORK)
+    return flat(candles.merge_candles(candles.candles(late), candles.candles(early)))
+
+
+@query(f"select {sql.CANDLE} from c1")
+def candles_below_window(spark, sf_dir):
+    kept, older = candles.split_window(views.events(spark, sf_dir), moment(FLOOR))
+    return flat(candles.candles(kept.unionByName(older)))
+
+
+@query(f"select count(*) filter (where block_time >= timestamp '{FLOOR}') as kept, count(*) filter (where block_time < timestamp '{FLOOR}') as discarded from ev")
+def window_split_counts(spark, sf_dir):
+    return candles.window_counts(views.events(spark, sf_dir), moment(FLOOR))
+
+
+@query(sql.candle(f"select * from ev where block_number <= {EVENT_FORK}", "minute"))
+def candles_after_revert(spark, sf_dir):
+    rows = views.events(spark, sf_dir)
+    return flat(candles.revert_candles(candles.candles(rows), rows, EVENT_FORK))
+
+
+@query(sql.candle(f"select * from ev where block_number <= {EVENT_FORK}", "hour"))
+def candles_1h_after_revert(spark, sf_dir):
+    rows = views.events(spark, sf_dir)
+    return flat(candles.revert_candles(candles.candles(rows, "1h"), rows, EVENT_FORK, "1h"))
+
+
+@query("select tx_hash, log_index, cast(1 + log_index % 5 as double) * (1 + log_index % 5) as price from sw")
+def price_from_sqrt_rows(spark, sf_dir):
+    sqrt = (1 + F.col("log_index") % 5) * F.lit(2.0**96)
+    rows = views.swaps(spark, sf_dir)
+    return rows.select("tx_hash", "log_index", price_from_sqrt(sqrt).alias("price"))
+
+
+# Trades
+
+
+@query(
+    """select tx_hash, block_number, log_index, pool, sold_token, bought_token, coalesce(value, -1) as value,
+  case when sp and bp then 'money_for_money' when sp then 'buy' when bp then 'sell' else 'unpriceable' end as class from val"""
+)
+def trades_classified(spark, sf_dir):
+    pools = views.pools(spark, sf_dir)
+    directed = trades.with_direction(trades.with_pool_meta(views.swaps(spark, sf_dir), pools))
+    valued = trades.classify(trades.value_trades(directed, views.numeraire(pools)))
+    return valued.select("tx_hash", "block_number", "log_index", "pool", "sold_token", "bought_token", F.coalesce(F.col("value"), F.lit(-1)).cast("long").alias("value"), "class")
+
+
+@query(
+    """select ev.tx_hash, ev.pool, p.close as usd from ev asof left join
+  (select pool, bucket + interval 1 hour as available_at, close from ch) p on ev.pool = p.pool and ev.block_time >= p.available_at"""
+)
+def asof_priced_trades(spark, sf_dir):
+    rows = views.events(spark, sf_dir)
+    hours = candles.rollup(candles.candles(rows), "1h", moment(AS_OF))
+    prices = hours.select("pool", (F.col("bucket") + F.expr("interval 1 hour")).alias("available_at"), "close")
+    return trades.asof_price(rows, prices).select("tx_hash", "pool", "usd")
+
+
+@query("select pool, arg_max(close, bucket) as usd from c1 where pool = 'purchase' group by pool")
+def latest_close(spark, sf_dir):
+    return trades.latest_close(candles.candles(views.events(spark, sf_dir)), USER_POOL)
+
+
+# First in, first out
+
+
+@query("select wallet, token, block_number, log_index, side, qty, b, c, u from ax")
+def fifo_axis(spark, sf_dir):
+    return fifo.fifo_axis(position_trades(spark, sf_dir)).select("wallet", "token", "block_number", "log_index", "side", "qty", "b", "c", "u")
+
+
+def without_nulls(consumed: DataFrame) -> DataFrame:
+    """-1 for the missing lot of a tail row: results are compared as plain numbers."""
+    return consumed.withColumn("lot_log", F.coalesce("lot_log", F.lit(-1)))
+
+
+CONSUMED = "select * replace (coalesce(lot_log, -1) as lot_log) from cons"
+
+
+@query(CONSUMED)
+def fifo_consumptions(spark, sf_dir):
+    return without_nulls(fifo.fifo_consume(fifo.fifo_axis(position_trades(spark, sf_dir))))
+
+
+@query("select * from lots")
+def fifo_open_lots(spark, sf_dir):
+    return fifo.open_lots(fifo.fifo_axis(position_trades(spark, sf_dir))).withColumn("cost", fifo.lot_cost())
+
+
+@query("select wallet, token, cast(sum(remaining) as bigint) as qty_held, cast(sum(cost) as bigint) as cost_basis, count(*) as lots, min(lot_block) as oldest from lots group by 1, 2")
+def positions(spark, sf_dir):
+    held = fifo.positions(fifo.open_lots(fifo.fifo_axis(position_trades(spark, sf_dir))))
+    return held.select("wallet", "token", "qty_held", "cost_basis", F.size("lots").cast("long").alias("lots"), F.col("lots")[0]["lot_block"].alias("oldest"))
+
+
+@query("select * from tot")
+def sell_totals(spark, sf_dir):
+    return revert.replay(position_trades(spark, sf_dir))["totals"]
+
+
+@query("select * from stats")
+def wallet_stats(spark, sf_dir):
+    return revert.replay(position_trades(spark, sf_dir))["stats"]
+
+
+# Wash trades, leaderboard, scorecards
+
+
+@query("select * from own")
+def wash_self_trades(spark, sf_dir):
+    return wallets.self_traders(views.swaps(spark, sf_dir), WASH["self_least"])
+
+
+@query("select * from churn")
+def wash_churn(spark, sf_dir):
+    found = wallets.churners(views.swaps(spark, sf_dir), WASH["churn_least"], WASH["ratio"])
+    return found.withColumns({c: F.col(c).cast("long") for c in ("net", "gross")})
+
+
+def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.swaps(spark, sf_dir)
+    return wallets.flag_wash(revert.replay(views.position_trades(rows))["stats"], wallets.wash_wallets(rows, **WASH))
+
+
+@query("select wallet, excluded from flagged")
+def wash_flags(spark, sf_dir):
+    return flagged(spark, sf_dir).select("wallet", "excluded")
+
+
+@query("select rank, wallet, realized, trades, wins, volume from board")
+def leaderboard_top100(spark, sf_dir):
+    return wallets.leaderboard(flagged(spark, sf_dir)).select("rank", "wallet", "realized", "trades", "wins", "volume")
+
+
+@query("select wallet from board where rank <= 20")
+def watchlist(spark, sf_dir):
+    return wallets.watchlist(flagged(spark, sf_dir), 20)
+
+
+@query("select rank, wallet, realized from board")
+def maintain_watchlist(spark, sf_dir):
+    """The snapshot is written and read back, as the readers of the board do."""
+    rows = views.swaps(spark, sf_dir)
+    board = retention.maintain(revert.replay(views.position_trades(rows))["stats"], rows, 100, **WASH).select("rank", "wallet", "realized")
+    held = Snapshots(spark, shared_path(spark, "board"), "rank int, wallet string, realized long")
+    held.write(board, 1)
+    return held.read()
+
+
+@query(
+    """select s.wallet, s.realized, s.trades, s.wins, coalesce(o.n, 0) as open_positions, coalesce(o.cost, 0) as open_cost, coalesce(r.n, 0) as recent, coalesce(r.realized, 0) as recent_realized
+from stats s left join (select wallet, count(distinct token) as n, cast(sum(cost) as bigint) as cost from lots group by 1) o on s.wallet = o.wallet
+left join (select wallet, count(*) as n, cast(sum(realized) as bigint) as realized from (
+    select * from tot qualify row_number() over (partition by wallet order by sell_block desc, sell_log desc, token) <= 10) group by 1) r on s.wallet = r.wallet"""
+)
+def scorecards(spark, sf_dir):
+    run = revert.replay(position_trades(spark, sf_dir))
+    cards = wallets.scorecards_all(run["stats"], run["lots"], run["totals"])
+
+    def total(name: str, part: str) -> F.Column:
+        return F.coalesce(F.aggregate(name, F.lit(0).cast("long"), lambda a, x: a + x[part]), F.lit(0))
+
+    def count(name: str) -> F.Column:
+        return F.coalesce(F.when(F.col(name).isNotNull(), F.size(name)), F.lit(0)).cast("long")
+
+    return cards.select(
+        "wallet", "realized", "trades", "wins", count("open_positions").alias("open_positions"), total("open_positions", "cost").alias("open_cost"), count("recent").alias("recent"), total("recent", "realized").alias("recent_realized")
+    )
+
+
+@query("select wallet, token, cast(sum(remaining) as bigint) as qty, cast(sum(cost) as bigint) as cost from lots where wallet = '7' group by 1, 2")
+def scorecard_of_wallet(spark, sf_dir):
+    run = revert.replay(position_trades(spark, sf_dir))
+    card = wallets.scorecard(run["stats"], run["lots"], run["totals"], WALLET)
+    return card.select("wallet", F.explode("open_positions").alias("p")).select("wallet", "p.token", "p.qty", "p.cost")
+
+
+# Pages
+
+
+@query(
+    f"""select block_number, log_index, tx_hash, amount0, amount1, (select count(*) > 50 from sw where pool = '{POOL}' and (block_number, log_index) < (1200, 0)) as has_more
+from sw where pool = '{POOL}' and (block_number, log_index) < (1200, 0) order by block_number desc, log_index desc limit 50"""
+)
+def swaps_page(spark, sf_dir):
+    return pages.swaps_page(views.swaps(spark, sf_dir), POOL, (1200, 0)).select("block_number", "log_index", "tx_hash", "amount0", "amount1", "has_more")
+
+
+@query(
+    f"""select epoch(bucket)::bigint as bucket, close, trade_count, true as has_more
+from ch where pool = '{USER_POOL}' and bucket < timestamp '2024-01-20 00:00:00' order by 1 desc limit 24"""
+)
+def candles_page(spark, sf_dir):
+    hours = candles.rollup(candles.candles(views.events(spark, sf_dir)), "1h", moment(AS_OF))
+    got = pages.candles_page(hours, USER_POOL, "1h", (moment("2024-01-20 00:00:00"),), 24)
+    return got.select(F.unix_timestamp("bucket").alias("bucket"), "close", "trade_count", "has_more")
+
+
+@query(
+    f"""select sell_block, sell_log, consume_seq, token, qty, realized,
+  (select count(*) > 30 from cons where wallet = '{WALLET}' and (sell_block, sell_log, consume_seq) < (2000, 5, 1)) as has_more
+from cons where wallet = '{WALLET}' and (sell_block, sell_log, consume_seq) < (2000, 5, 1) order by sell_block desc, sell_log desc, consume_seq desc limit 30"""
+)
+def trades_page(spark, sf_dir):
+    consumed = revert.replay(position_trades(spark, sf_dir))["consumed"]
+    return pages.trades_page(consumed, WALLET, (2000, 5, 1), 30).select("sell_block", "sell_log", "consume_seq", "token", "qty", "realized", "has_more")
+
+
+@query("select address, epoch(discovered_at)::bigint as discovered_at, created_block, risk_flags, (select count(*) > 10 from np) as has_more from np order by np.discovered_at desc, address desc limit 10")
+def new_pools_page(spark, sf_dir):
+    got = pages.new_pools_page(views.new_pools(views.swaps(spark, sf_dir)), None, 10)
+    return got.select("address", F.unix_timestamp("discovered_at").alias("discovered_at"), "created_block", F.array_join("risk_flags", ",").alias("risk_flags"), "has_more")
+
+
+@query("select address, created_block from np where is_indexed")
+def indexed_pools(spark, sf_dir):
+    return pages.indexed_pools(views.new_pools(views.swaps(spark, sf_dir))).select("address", "created_block")
+
+
+@query(f"select address, created_block, is_indexed from np where address = '{POOL}'")
+def pool_by_address(spark, sf_dir):
+    return pages.pool_by_address(views.new_pools(views.swaps(spark, sf_dir)), POOL).select("address", "created_block", "is_indexed")
+
+
+# Chain
+
+
+@query(
+    """select h.number, case when p.number is null then 'extends' when p.block_hash = h.parent_hash then 'ok' else 'mismatch' end as status
+from can h left join hd p on p.number = h.number - 1"""
+)
+def chain_continuity(spark, sf_dir):
+    """Canonical headers against the recorded ones: those above the fork do not fit."""
+    rows = views.swaps(spark, sf_dir)
+    recorded = views.headers(rows).select((F.col("number") + 1).alias("number"), F.col("block_hash").alias("_hash"))
+    status = F.when(F.col("_hash").isNull(), "extends").when(F.col("_hash") == F.col("parent_hash"), "ok").otherwise("mismatch")
+    return views.headers(rows, FORK).join(recorded, "number", "left").select("number", status.alias("status"))
+
+
+@query("select number, case when exists (select 1 from hd p where p.number = h.number - 1) then 'ok' else 'extends' end as status from hd h")
+def chain_links(spark, sf_dir):
+    return chain.continuity(views.headers(views.swaps(spark, sf_dir)))
+
+
+@query("select max(h.number) as fork, cast(null as varchar) as error from hd h join can c on h.number = c.number and h.block_hash = c.block_hash where h.number < 1500 and h.number >= 1100")
+def fork_point(spark, sf_dir):
+    rows = views.swaps(spark, sf_dir)
+    return chain.fork_point(views.headers(rows), views.headers(rows, FORK), 1500, FINAL)
+
+
+@query(f"select pool, count(*) filter (where block_number <= {FINAL}) as final, count(*) filter (where block_number > {FINAL}) as pending from sw group by pool")
+def finality_split(spark, sf_dir):
+    rows = views.swaps(spark, sf_dir)
+    done = chain.final(rows, FINAL).groupBy("pool").agg(F.count("*").alias("final"))
+    open_ = chain.pending(rows, FINAL).groupBy("pool").agg(F.count("*").alias("pending"))
+    return done.join(open_, "pool", "full").select("pool", F.coalesce("final", F.lit(0)).alias("final"), F.coalesce("pending", F.lit(0)).alias("pending"))
+
+
+def state_of(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.max("block_number").alias("head_height"), F.max(F.when(F.col("block_number") <= HEAD, F.col("block_number"))).alias("live_cursor")).withColumn("finalized_height", F.lit(FINAL).cast("long"))
+
+
+@query(f"select max(block_number) as head_height, max(block_number) filter (where block_number <= {HEAD}) as live_cursor, greatest(max(block_number) - max(block_number) filter (where block_number <= {HEAD}), 0) as lag from sw")
+def ingest_status(spark, sf_dir):
+    return pages.ingest_status(state_of(views.swaps(spark, sf_dir))).select("head_height", "live_cursor", "lag")
+
+
+@query(f"select least(greatest({FINAL}, least(1150, max(block_number))), max(block_number)) as finalized_height, max(block_number) as head_height from sw")
+def advance_finality(spark, sf_dir):
+    return chain.advance_finality(state_of(views.swaps(spark, sf_dir)), 1300, 1150).select("finalized_height", "head_height")
+
+
+@query("select cast(1499 as bigint) as cursor from hd having count(*) > 0")
+def backfill_prefix(spark, sf_dir):
+    """Ranges of 100 blocks without the sixteenth."""
+    part = F.expr("number div 100")
+    ranges = views.headers(views.swaps(spark, sf_dir)).filter(part != 15).groupBy(part.alias("part")).agg(F.count("*").alias("_n"))
+    return chain.backfill_cursor(ranges.select((F.col("part") * 100).alias("lo"), (F.col("part") * 100 + 99).alias("hi")), 0)
+
+
+# Reverts: each equals a clean run up to the fork
+
+
+@query(f"select pool, count(*) as rows, cast(sum(amount0) as bigint) as net from sw where block_number <= {FORK} group by pool")
+def revert_raw(spark, sf_dir):
+    return revert.revert_raw(views.swaps(spark, sf_dir), FORK).groupBy("pool").agg(F.count("*").alias("rows"), F.sum("amount0").alias("net"))
+
+
+@query("with " + sql.rebuilt(CONSUMED, FORK)[5:])
+def revert_ledger(spark, sf_dir):
+    return without_nulls(revert.revert_ledger(revert.replay(position_trades(spark, sf_dir))["consumed"], FORK)[0])
+
+
+@query("with " + sql.rebuilt("select wallet, token, lot_block, lot_log, remaining from lots", FORK)[5:])
+def revert_lots(spark, sf_dir):
+    run = revert.replay(position_trades(spark, sf_dir))
+    return revert.restore_lots(run["lots"], revert.revert_ledger(run["consumed"], FORK)[1], FORK)
+
+
+@query("with " + sql.rebuilt("select * from stats", FORK)[5:])
+def revert_stats(spark, sf_dir):
+    rows = position_trades(spark, sf_dir)
+    run = revert.replay(rows)
+    return revert.revert_stats(run["stats"], rows, run["consumed"], FORK)
+
+
+@query(f"select sell_tx, sell_log, wallet, token, cast(sum(qty) as bigint) as qty from cons where sell_block > {FINAL} group by 1, 2, 3, 4")
+def replay_from_final(spark, sf_dir):
+    """Pending sells on a snapshot of the lots at the final block draw the same quantities."""
+    rows = position_trades(spark, sf_dir)
+    lots = revert.replay(rows.filter(F.col("block_number") <= FINAL))["lots"]
+    consumed = revert.replay_from(lots, chain.above(rows, FINAL))
+    return consumed.groupBy("sell_tx", "sell_log", "wallet", "token").agg(F.sum("qty").alias("qty"))
+
+
+@query(
+    f"""select count(distinct (wallet, token)) as positions from (
+  select wallet, token from lots where lot_block > {FORK} union select wallet, token from cons where sell_block > {FORK} and lot_log is not null)"""
+)
+def touched_positions(spark, sf_dir):
+    run = revert.replay(position_trades(spark, sf_dir))
+    return revert.touched_positions(run["lots"], revert.revert_ledger(run["consumed"], FORK)[1], FORK).agg(F.count("*").alias("positions"))
+
+
+@query(f"select distinct wallet, token from lots where lot_block > {FORK}")
+def positions_above_fork(spark, sf_dir):
+    held = fifo.positions(fifo.open_lots(fifo.fifo_axis(position_trades(spark, sf_dir))))
+    return revert.holding_above(held, FORK).select("wallet", "token")
+
+
+# Retention
+
+
+@query(f"select cast(day as varchar) as day, max_block, rows from days where day < date '1998-01-31' - 30 and max_block <= {FINAL}")
+def retention_plan(spark, sf_dir):
+    found = retention.droppable_days(views.swaps(spark, sf_dir), F.lit("1998-01-31").cast("date"), 30, FINAL)
+    return found.select(F.col("day").cast("string").alias("day"), "max_block", "rows")
+
+
+@query(f"select pool, count(*) as rows from sw where not (block_time < timestamp '1998-01-01' and block_number <= {FINAL}) group by pool")
+def retention_kept(spark, sf_dir):
+    rows = views.swaps(spark, sf_dir)
+    minutes = candles.candles(views.events(spark, sf_dir))
+    kept = retention.retain(rows, minutes, F.lit("1998-01-31").cast("timestamp"), 30, FINAL)["raw"]
+    return kept.groupBy("pool").agg(F.count("*").alias("rows"))
+
+
+@query("select tx_hash, log_index, pool, amount0, amount1 from sw where cast(block_time as date) = date '1996-06-01'")
+def cold_export(spark, sf_dir):
+    path = shared_path(spark, "cold")
+    retention.export_day(views.swaps(spark, sf_dir), "1996-06-01", path)
+    kinds = "block_number long, log_index long, tx_hash string, block_time string, pool string, sender string, recipient string, side string, amount0 long, amount1 long"
+    return spark.read.schema(kinds).option("header", True).csv(path).select("tx_hash", "log_index", "pool", "amount0", "amount1")
+
+
+# Decoding
+
+
+@query(
+    """select block_number, tx_hash, cast(log_index as integer) as log_index, '0x' || lower(lpad(hex(cast(sender as bigint)), 40, '0')) as sender,
+  '0x' || lower(lpad(hex(cast(recipient as bigint)), 40, '0')) as recipient, cast(amount0 as varchar) as amount0, cast(amount1 as varchar) as amount1,
+  cast((1 + log_index % 5) * 79228162514264337593543950336::hugeint as varchar) as sqrt_price_x96, cast(1000 + log_index as varchar) as liquidity,
+  cast(amount0 * 10 as integer) as tick from sw where log_index % 7 <> 6"""
+)
+def decode_swaps(spark, sf_dir):
+    found = decode.decode_swaps(views.raw_logs(views.swaps(spark, sf_dir)))
+    return found.select("block_number", "tx_hash", "log_index", "sender", "recipient", F.col("amount0_text").alias("amount0"), F.col("amount1_text").alias("amount1"), "sqrt_price_x96", "liquidity", "tick")
+
+
+@query(
+    """select tx_hash, cast(log_index + shift as integer) as log_index, kind, '0x' || lower(lpad(hex(cast(sender as bigint)), 40, '0')) as owner, cast(-(log_index + 1) as integer) as tick_lower, cast(log_index + 1 as integer) as tick_upper,
+  case kind when 'collect' then 0 else log_index end as amount, abs(amount0) as amount0, abs(amount1) as amount1
+from (select *, 'mint' as kind, 100000 as shift from sw where cast(sender as bigint) < brand % 3 union all select *, 'burn', 200000 from sw where sender = '50' union all select *, 'collect', 300000 from sw where sender = '51')"""
+)
+def decode_liq(spark, sf_dir):
+    found = decode.liq_events(views.raw_logs(views.swaps(spark, sf_dir)))
+    whole = {c: F.col(c).cast("long") for c in ("amount", "amount0", "amount1")}
+    return found.withColumns(whole).select("tx_hash", "log_index", "kind", "owner", "tick_lower", "tick_upper", "amount", "amount0", "amount1")
+
+
+@query(
+    """select address, outcome, count(*) as logs from (
+  select '0x' || lower(lpad(hex(brand), 40, '0')) as address, case when log_index % 7 = 6 then 'unknown' else 'swap' end as outcome from sw
+  union all select '0x' || lower(lpad(hex(brand), 40, '0')), 'liq' from sw where cast(sender as bigint) < brand % 3 or sender in ('50', '51')
+  union all select '0x' || repeat('f', 40), 'ignored' from (select distinct brand from sw)) group by 1, 2"""
+)
+def classify_logs(spark, sf_dir):
+    return decode.classify_logs(views.raw_logs(views.swaps(spark, sf_dir)))
+
+
+@query("select number_, cast(number_ as varchar) as plain, cast(-number_ as varchar) as negative from (select distinct amount1 as number_ from sw)")
+def wide_numbers(spark, sf_dir):
+    """Words in two's complement, both signs, read back as exact text."""
+    rows = views.swaps(spark, sf_dir).select(F.col("amount1").alias("number_")).distinct()
+    rows = rows.withColumns({"_p": views.word(F.col("number_")), "_n": views.word(-F.col("number_"))})
+    rows = rows.withColumns({"_p": limbs("_p", True), "_n": limbs("_n", True)})
+    return rows.select("number_", to_text(F.col("_p")).alias("plain"), to_text(F.col("_n")).alias("negative"))
+
+
+@query(
+    """select '0x' || lower(lpad(hex(brand), 40, '0')) as address, block as created_block, providers, case providers when 0 then 'fresh,no_liquidity' when 1 then 'fresh,single_lp' else 'fresh' end as risk_flags
+from (select brand, min(block_number) as block, count(distinct sender) filter (where block_number > 0 and block_number <= 250 and cast(sender as bigint) < brand % 3) as providers from sw group by brand) where block between 1 and 250"""
+)
+def discover_pools(spark, sf_dir):
+    found = discovery.discover_pools(views.raw_logs(views.swaps(spark, sf_dir)), 250)
+    return found.select("address", "created_block", "providers", F.array_join("risk_flags", ",").alias("risk_flags"))
+
+
+@query("select address, false as is_indexed from np where not is_indexed")
+def capture_pools(spark, sf_dir):
+    pools = views.new_pools(views.swaps(spark, sf_dir))
+    return discovery.capture_pools(pools.filter("is_indexed"), pools.drop("is_indexed")).select("address", "is_indexed")
+
+
+@query("select h.number, cast(count(s.block_number) as bigint) as logs, coalesce(min(s.log_index), -1) as first_log from hd h left join (select * from sw where brand = 11) s on h.number = s.block_number group by h.number")
+def blocks_with_logs(spark, sf_dir):
+    rows = views.swaps(spark, sf_dir)
+    own = views.raw_logs(rows.filter(F.col("pool") == POOL)).filter("log_index < 100000")
+    blocks = logs.blocks_with_logs(views.headers(rows), own)
+    return blocks.select("number", F.size("logs").cast("long").alias("logs"), F.coalesce(F.get("logs", F.lit(0))["log_index"].cast("long"), F.lit(-1)).alias("first_log"))
+
+
+@query("select distinct block_number from sw where brand = 11 and block_number between 100 and 900")
+def active_blocks(spark, sf_dir):
+    address = "0x" + f"{11:x}".zfill(40)
+    return logs.active_blocks(views.raw_logs(views.swaps(spark, sf_dir)), 100, 900, [address])
+
+
+# Alerts
+
+
+def watched(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("recipient").cast("long") <= 30).select(F.col("recipient").alias("wallet")).distinct()
+
+
+@query(
+    """select 'move:' || tx_hash || ':' || log_index as alert_key, recipient as wallet, pool, side, abs(amount1) as value
+from sw where block_number > 900 and block_number <= 1200 and recipient in (select wallet from watched) and abs(amount1) >= 5000000"""
+)
+def watchlist_moves(spark, sf_dir):
+    rows = views.swaps(spark, sf_dir)
+    found = alerts.watchlist_moves(rows.withColumn("value", F.abs("amount1")), watched(rows), 5_000_000, HEAD, 300)
+    return found.select("alert_key", "wallet", "pool", "side", "value")
+
+
+@query(
+    f"""select 'cluster:' || token || ':' || (first_time // {15 * DAY}) as alert_key, token, wallets, first_time, last_time from (
+  select pool as token, count(distinct recipient) as wallets, epoch(min(block_time))::bigint as first_time, epoch(max(block_time))::bigint as last_time
+  from sw where block_number > 1180 and block_number <= 1200 and side = 'buy' and recipient in (select wallet from watched) group by 1)
+where wallets >= 3 and last_time - first_time <= {15 * DAY}"""
+)
+def cluster_buys(spark, sf_dir):
+    rows = views.swaps(spark, sf_dir)
+    buys = rows.filter("side = 'buy'").withColumn("token", F.col("pool"))
+    return alerts.cluster_buys(buys, watched(rows), HEAD, 20, 3, 15 * DAY).select("alert_key", "token", "wallets", "first_time", "last_time")
+
+
+@query("select 'newpool:' || address as alert_key, address, 'new pool ' || address || ' ' || risk_flags as text from np where not is_indexed order by discovered_at desc, address limit 200")
+def new_pool_alerts(spark, sf_dir):
+    return alerts.new_pool_alerts(views.new_pools(views.swaps(spark, sf_dir)))
+
+
+@query("select 'newpool:' || address as alert_key from np where not is_indexed and created_block > 1 or not is_indexed and address < 'Brand#2'")
+def unsent_alerts(spark, sf_dir):
+    """Claims half of the keys first, then all: the second pass delivers the rest only."""
+    found = alerts.new_pool_alerts(views.new_pools(views.swaps(spark, sf_dir)))
+    new = views.new_pools(views.swaps(spark, sf_dir)).filter("not is_indexed and created_block <= 1 and address >= 'Brand#2'")
+    path = shared_path(spark, "sent")
+    none = spark.createDataFrame([], "alert_key string, sent_at timestamp")
+    alerts.claim_new(alerts.new_pool_alerts(new), path, none, moment(AS_OF))
+    return alerts.unsent(found, spark.read.schema("alert_key string, sent_at timestamp").parquet(path)).select("alert_key")
+
+
+# Keyed tables
+
+
+@query("select tx_hash, log_index, pool from ev where block_number > 600")
+def append_rows(spark, sf_dir):
+    rows = views.events(spark, sf_dir)
+    batch = rows.filter("block_number > 500").unionByName(rows.filter("block_number > 700"))
+    return append_new(rows.filter("block_number <= 600"), batch, ["tx_hash", "log_index"]).select("tx_hash", "log_index", "pool")
+
+
+@query("select recipient, pool, max(block_number * 1048576 + log_index) as version, arg_max(price, block_number * 1048576 + log_index) as price from ev group by 1, 2")
+def upsert_latest(spark, sf_dir):
+    rows = views.events(spark, sf_dir).select("recipient", "pool", (F.col("block_number") * F.lit(1 << 20) + F.col("log_index")).alias("version"), "price", "block_number")
+    old, new = rows.filter("block_number <= 600").drop("block_number"), rows.filter("block_number > 400").drop("block_number")
+    return upsert(old, new, ["recipient", "pool"], "version")
+
+
+@query("select recipient, count(*) as trades, cast(sum(abs(amount0)) as bigint) as volume, max(block_number) as last_block from ev group by 1")
+def merge_counters(spark, sf_dir):
+    rows = views.events(spark, sf_dir)
+
+    def counted(part: DataFrame) -> DataFrame:
+        return part.groupBy("recipient").agg(F.count("*").alias("trades"), F.sum(F.abs("amount0")).alias("volume"), F.max("block_number").alias("last_block"))
+
+    return merge_add(counted(rows.filter("block_number <= 600")), counted(rows.filter("block_number > 600")), ["recipient"], ["trades", "volume"], ["last_block"])
+
+
+@query(
+    f"""select cast(cast(block_time as date) as varchar) as day, pool, block_time >= timestamp '{FLOOR}' as kept, count(*) as rows, cast(sum(amount0) as bigint) as net from ev group by 1, 2, 3"""
+)
+def bulk_load(spark, sf_dir):
+    """Text staging, cast and split, written by day and read back."""
+    rows = views.events(spark, sf_dir)
+    text = rows.select(*[(F.unix_timestamp(c) if c == "block_time" else F.col(c)).cast("string").alias(c) for c in rows.columns])
+    kept, older = logs.load_backfill(text, dict(rows.dtypes), moment(FLOOR))
+    path = shared_path(spark, "raw")
+    logs.write_raw(kept, path)
+    parts = spark.read.parquet(path).select("block_time", "pool", "amount0", F.lit(True).alias("kept"))
+    both = parts.unionByName(older.select("block_time", "pool", "amount0", F.lit(False).alias("kept")))
+    return both.groupBy(F.to_date("block_time").cast("string").alias("day"), "pool", "kept").agg(F.count("*").alias("rows"), F.sum("amount0").alias("net"))
+
+
+# Streams
+
+
+def write_files(rows: DataFrame, path: str, parts: list[F.Column]) -> None:
+    """One file per condition, in this order."""
+    for part in parts:
+        rows.filter(part).coalesce(1).write.mode("append").parquet(path)
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.events(spark, sf_dir)
+    return rows.select((F.col("block_number") * 10 + F.col("log_index")).alias("seq"), F.lit("data").alias("kind"), F.lit(None).cast("long").alias("from_block"), *[F.col(c.split()[0]).cast(c.split()[1]) for c in ingest.TRADE.split(", ")])
+
+
+def fifths(rows: DataFrame) -> list[F.Column]:
+    """Five conditions by block range."""
+    top = rows.agg(F.max("block_number")).first()[0] or 0
+    step = top // 5 + 1
+    return [F.expr(f"block_number div {step} = {k}") for k in range(5)]
+
+
+@query(f"select {sql.CANDLE} from c1")
+def stream_candles(spark, sf_dir):
+    """Five files and the third once more."""
+    rows, path = records(spark, sf_dir), shared_path(spark, "stream")
+    parts = fifths(rows)
+    write_files(rows, f"{path}/in", [*parts, parts[2]])
+    state = ingest.Ingest(spark, path)
+    ingest.run_available(ingest.read_block_stream(spark, f"{path}/in"), state.apply, f"{path}/check")
+    return flat(state.candles.read())
+
+
+@query("select tx_hash, log_index, pool from ev")
+def stream_dedupe(spark, sf_dir):
+    rows, path = records(spark, sf_dir), shared_path(spark, "stream")
+    parts = fifths(rows)
+    write_files(rows, f"{path}/in", [parts[0], parts[1], parts[1], *parts[2:], parts[4]])
+    stream = ingest.deduplicated(ingest.read_block_stream(spark, f"{path}/in", files=2), "30 days")
+    ingest.write_rows_stream(stream.drop("seq", "kind", "from_block"), f"{path}/out", f"{path}/check")
+    return spark.read.schema(ingest.TRADE).parquet(f"{path}/out").select("tx_hash", "log_index", "pool")
+
+
+@query(sql.candle(f"select block_number, log_index, pool, block_time, amount0, amount1, case when block_number > {EVENT_FORK} then price + 1 else price end as price from ev", "minute"))
+def stream_revert(spark, sf_dir):
+    """All blocks, a revert, and the blocks above it again with other prices."""
+    rows, path = records(spark, sf_dir), shared_path(spark, "stream")
+    above = F.col("block_number") > EVENT_FORK
+    write_files(rows, f"{path}/in", [~above, above])
+    top = F.lit(1 << 40)
+    mark = rows.limit(1).select(top.alias("seq"), F.lit("revert").alias("kind"), F.lit(EVENT_FORK).cast("long").alias("from_block"), *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in ingest.TRADE.split(", ")])
+    again = rows.filter(above).withColumns({"seq": top + 1 + F.col("seq"), "price": F.col("price") + 1, "tx_hash": F.concat("tx_hash", F.lit("b"))})
+    mark.unionByName(again).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    state = ingest.Ingest(spark, path)
+    ingest.run_available(ingest.read_block_stream(spark, f"{path}/in"), state.apply, f"{path}/check")
+    return flat(state.candles.read())
+
+
+@query("select wallet, token, lot_block, lot_log, remaining from lots")
+def stream_fifo(spark, sf_dir):
+    """Positions from three files; each batch recomputes what it touches."""
+    rows, path = position_trades(spark, sf_dir), shared_path(spark, "stream")
+    write_files(rows, f"{path}/in", [F.col("block_number") < 800, F.col("block_number").between(800, 1599), F.col("block_number") >= 1600])
+    state = ingest.FifoIngest(spark, path)
+    ingest.run_available(ingest.read_block_stream(spark, f"{path}/in", ingest.POSITION_TRADE), state.apply, f"{path}/check")
+    return state.lots.read().select("wallet", "token", "lot_block", "lot_log", "remaining")
+
+
+@query(f"select {sql.CANDLE} from c1")
+def stream_tumbling(spark, sf_dir):
+    """Windowed streaming aggregate in update mode into a keyed sink."""
+    rows, path = records(spark, sf_dir), shared_path(spark, "stream")
+    write_files(rows, f"{path}/in", fifths(rows))
+    kinds = "pool string, bucket timestamp, open double, high double, low double, close double, volume0 long, volume1 long, trade_count long"
+    held = Snapshots(spark, f"{path}/out", kinds)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        old = held.read()
+        held.write(batch.select(*old.columns).unionByName(old.join(batch.select("pool", "bucket"), ["pool", "bucket"], "left_anti")), number)
+
+    stream = ingest.tumbling_candles(ingest.read_block_stream(spark, f"{path}/in").filter("kind = 'data'"))
+    stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start().awaitTermination()
+    return flat(held.read())
+
+
+# Quality
+
+
+@query("select min(number) as first, max(number) as last, count(*) as count, max(number) - min(number) + 1 = count(*) as gap_free from hd")
+def quality_gap(spark, sf_dir):
+    return quality.check_gap_free(views.headers(views.swaps(spark, sf_dir)))
+
+
+@query(f"select max(number) filter (where number <= {HEAD}) as live_cursor, max(number) as top, true as ok from hd")
+def quality_cursor(spark, sf_dir):
+    rows = views.swaps(spark, sf_dir)
+    return quality.check_cursor(state_of(rows), views.headers(rows))
+
+
+@query(f"select count(*) as orphans from sw where block_number > {FORK}")
+def quality_parity(spark, sf_dir):
+    rows = views.swaps(spark, sf_dir)
+    return quality.check_event_parity(views.headers(rows).filter(F.col("number") <= FORK), rows)
+
+
+@query("select cast((select sum(realized) from stats) as bigint) as stats_realized, cast((select sum(realized) from cons) as bigint) as ledger_realized, true as equal")
+def quality_ledger(spark, sf_dir):
+    run = revert.replay(position_trades(spark, sf_dir))
+    return quality.check_ledger(run["stats"], run["consumed"])
+
+
+@query("select count(*) as positions, cast(0 as bigint) as faults from (select distinct wallet, token from lots)")
+def quality_lots(spark, sf_dir):
+    return quality.check_lots(fifo.positions(fifo.open_lots(fifo.fifo_axis(position_trades(spark, sf_dir)))))
+
+
+@query("select count(*) as rows, cast(0 as bigint) as bad_kind, cast(0 as bigint) as bad_address, cast(0 as bigint) as bad_block from sw where cast(sender as bigint) < brand % 3 or sender in ('50', '51')")
+def quality_kinds(spark, sf_dir):
+    return quality.check_kinds(decode.liq_events(views.raw_logs(views.swaps(spark, sf_dir))))
+
+
+@query(f"select wallet, token, block_number, log_index, 'left' as side_ from tr where block_number > {FORK}")
+def state_diff(spark, sf_dir):
+    rows = position_trades(spark, sf_dir).select("wallet", "token", "block_number", "log_index")
+    return quality.diff_state(rows, revert.revert_raw(rows, FORK)).withColumnRenamed("side", "side_")
+
+
+@query("select count(*) filter (where excluded) as excluded, count(*) as wallets from flagged")
+def excluded_wallets(spark, sf_dir):
+    return flagged(spark, sf_dir).agg(F.count_if("excluded").alias("excluded"), F.count("*").alias("wallets"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
