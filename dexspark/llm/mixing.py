@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dexspark.llm.common import materialise
+
 #: Rows that a bucket of the seeded order holds about, and most buckets of a leaf.
 PER_BUCKET, MOST_BUCKETS = 2048, 1 << 20
 
@@ -52,7 +54,8 @@ def budgets(leaves: DataFrame, levels: list[str], weights: dict[str, DataFrame],
         full = F.col("_cap") <= F.col("_w") * F.col("_level")
         nodes = nodes.withColumn("_open", F.max(F.when(~full & (F.col("_w") > 0), F.col("_level"))).over(sibling))
         share = F.when(F.col("_w") <= 0, F.lit(0)).when(full | F.col("_open").isNull(), F.col("_cap")).otherwise(F.floor(F.col("_w") * F.col("_open")))
-        down = nodes.select(*path, F.greatest(F.least(share, F.col("_cap")), F.lit(0)).cast("long").alias("_budget"))
+        # written, as every level is planned on the one above it
+        down = materialise(nodes.select(*path, F.greatest(F.least(share, F.col("_cap")), F.lit(0)).cast("long").alias("_budget")))
     return _join(leaves, down, levels).select(*levels, "tokens", F.col("_budget").alias("budget"))
 
 
@@ -68,18 +71,18 @@ def mix(docs: DataFrame, levels: list[str], weights: dict[str, DataFrame], share
     count = F.greatest(F.coalesce(F.col("tokens").cast("long"), F.lit(0)), F.lit(0))
     keys = [f"_k{n}" for n in range(len(levels))]
     docs = docs.select("doc_id", *[F.col(c).alias(k) for c, k in zip(levels, keys, strict=True)], count.alias("_t")).filter("_t > 0")
-    leaves = docs.groupBy(*keys).agg(F.sum("_t").alias("tokens"), F.count("*").alias("_rows"))
+    leaves = materialise(docs.groupBy(*keys).agg(F.sum("_t").alias("tokens"), F.count("*").alias("_rows")))
     named = {k: weights[c].withColumnRenamed(c, k) for c, k in zip(levels, keys, strict=True) if c in weights}
-    plan = _join(budgets(leaves, keys, named, F.sum("tokens") * F.lit(share), epochs), leaves.select(*keys, "_rows"), keys).select(
+    plan = materialise(_join(budgets(leaves, keys, named, F.sum("tokens") * F.lit(share), epochs), leaves.select(*keys, "_rows"), keys).select(
         *keys,
         F.expr("cast(budget div tokens as int)").alias("whole_epochs"),
         (F.col("budget") % F.col("tokens")).alias("_rest"),
         F.least(F.greatest(F.ceil(F.col("_rows") / PER_BUCKET), F.lit(1)), F.lit(MOST_BUCKETS)).cast("long").alias("_buckets"),
-    )
+    ))
     rows = _join(docs, plan, keys).filter("whole_epochs > 0 or _rest > 0")
     # 48 bits of a hash that other engines have too give the order of the partial epoch
     spread = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole_epochs"), F.col("doc_id"))), 1, 12), 16, 10).cast("long")
-    rows = rows.withColumn("_at", spread).withColumn("_bucket", F.shiftright(F.shiftright("_at", 16) * F.col("_buckets"), 32))
+    rows = materialise(rows.withColumn("_at", spread).withColumn("_bucket", F.shiftright(F.shiftright("_at", 16) * F.col("_buckets"), 32)))
     run = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(*keys, "_bucket").agg(F.sum("_t").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(run), F.lit(0)))
     rows = _join(rows, sums, [*keys, "_bucket"])
