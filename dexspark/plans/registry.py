@@ -308,9 +308,7 @@ from can h left join hd p on p.number = h.number - 1"""
 def chain_continuity(spark, sf_dir):
     """Canonical headers against the recorded ones: those above the fork do not fit."""
     rows = views.swaps(spark, sf_dir)
-    recorded = views.headers(rows).select((F.col("number") + 1).alias("number"), F.col("block_hash").alias("_hash"))
-    status = F.when(F.col("_hash").isNull(), "extends").when(F.col("_hash") == F.col("parent_hash"), "ok").otherwise("mismatch")
-    return views.headers(rows, FORK).join(recorded, "number", "left").select("number", status.alias("status"))
+    return chain.continuity(views.headers(rows, FORK), views.headers(rows))
 
 
 @query("select number, case when exists (select 1 from hd p where p.number = h.number - 1) then 'ok' else 'extends' end as status from hd h")
