@@ -316,7 +316,11 @@ def chain_links(spark, sf_dir):
     return chain.continuity(views.headers(views.swaps(spark, sf_dir)))
 
 
-@query("select max(h.number) as fork, cast(null as varchar) as error from hd h join can c on h.number = c.number and h.block_hash = c.block_hash where h.number < 1500 and h.number >= 1100")
+@query(
+    """select case when blocks = 1499 - top then top end as fork, case when blocks < 1499 - top then 'hole' end as error from (
+  select top, (select count(*) from hd where number > top and number < 1500) as blocks from (
+    select max(h.number) as top from hd h join can c on h.number = c.number and h.block_hash = c.block_hash where h.number < 1500 and h.number >= 1100))"""
+)
 def fork_point(spark, sf_dir):
     rows = views.swaps(spark, sf_dir)
     return chain.fork_point(views.headers(rows), views.headers(rows, FORK), 1500, FINAL)
