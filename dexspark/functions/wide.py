@@ -42,7 +42,17 @@ def limbs(word: str, signed: bool) -> Column:
             'mid', cast((s.m % {LIMB}) * {sign} as decimal(38,0)),
             'high', cast((s.h + cast(s.m div {LIMB} as decimal(20,0))) * {sign} as decimal(38,0)))""",
     )
-    return F.expr(f"if({word} rlike '^[0-9a-f]{{64}}$', transform({carried[0]}, s -> {carried[1]})[0], null)")
+    # most words hold a long
+    last = f"substring({word}, 49, 16)"
+    short = [f"when {word} rlike '^0{{48}}[0-7][0-9a-f]{{15}}$' then {_of_long(f'conv({last}, 16, 10)')}"]
+    if signed:
+        short.append(f"when {word} rlike '^f{{48}}[89a-f][0-9a-f]{{15}}$' then {_of_long(f'conv({last}, 16, -10)')}")
+    return F.expr(f"case {' '.join(short)} when {word} rlike '^[0-9a-f]{{64}}$' then transform({carried[0]}, s -> {carried[1]})[0] end")
+
+
+def _of_long(text: str) -> str:
+    zero = "cast(0 as decimal(38,0))"
+    return f"named_struct('low', cast({text} as decimal(38,0)), 'mid', {zero}, 'high', {zero})"
 
 
 def narrow(number: Column) -> Column:

@@ -57,7 +57,7 @@ def test_misses_count_as_unknown(spark):
 
 def test_words_are_exact(spark):
     rng = random.Random(4)
-    values = [0, 1, -1, 2**255 - 1, -(2**255), 10**26, -(10**26), 10**52 - 1, -(10**52), 10**38 - 1, 10**38] + [rng.randint(-(2**255), 2**255 - 1) >> rng.randrange(250) for _ in range(300)]
+    values = [0, 1, -1, 2**63 - 1, 2**63, -(2**63), -(2**63) - 1, 2**64, 2**255 - 1, -(2**255), 10**26, -(10**26), 10**52 - 1, -(10**52), 10**38 - 1, 10**38] + [rng.randint(-(2**255), 2**255 - 1) >> rng.randrange(250) for _ in range(300)]
     rows = spark.createDataFrame([(str(v), word(v)) for v in values], "v string, w string")
     assert rows.filter(to_text(limbs("w", True)) != rows.v).count() == 0
     unsigned = spark.createDataFrame([(str(v % 2**256), word(v)) for v in values], "v string, w string")
