@@ -44,6 +44,8 @@ FRAME_WORD = re.compile(
 FRAME_MAIN = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|comments?|promo\w*|related|replies|reply|sponsor\w*)(?:$|[^a-z])")
 #: Elements that stand for the main text, with the weight of their votes.
 MAIN = {"article": 5, "main": 4}
+#: Tasks that the pages of one host are dealt to at most.
+PARTS = 64
 #: A tag whose quotes do not match.
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
 
@@ -254,7 +256,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     """
     small_batches(pages)
     own = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    paths = winning_paths(own)
-    return own.withColumn("_host", host_of("url")).join(paths, F.col("_host") == F.col("host"), "left").select("page_id", "url", "html", "path").mapInArrow(
+    # one path per host: repeated for every part, so that the pages of one host go to many tasks
+    paths = winning_paths(own).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<long>")))
+    dealt = own.withColumns({"_host": host_of("url"), "_part": F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS).cast("long"))})
+    return dealt.join(paths, (F.col("_host") == F.col("host")) & (F.col("_part") == F.col("part")), "left").select("page_id", "url", "html", "path").mapInArrow(
         _text_rows, own.select("page_id", "url").schema.add("text", "string").add("path", "string")
     )
