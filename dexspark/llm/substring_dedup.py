@@ -17,6 +17,7 @@ from __future__ import annotations
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +28,7 @@ from dexspark.llm.common import as_bytes, gram_hashes, materialise, signed, slic
 #: Words of a window, of the hashed grams in it, and documents of a block.
 WINDOW, GRAM, BLOCK = 13, 5, 256
 
-RUNS = "doc_id long, start int, words binary, windows array<long>"
+RUNS = "doc_id long, start int, words binary"
 SPANS = "doc_id long, spans array<struct<lo:int,hi:int>>"
 
 
@@ -62,30 +63,45 @@ def _runs_of(window: int, gram: int):
     def cut(key, docs: pa.Table, hits: pa.Table) -> pa.Table:
         order = np.argsort(at := hits["doc_id"].to_numpy(), kind="stable")
         at, anchors = at[order], hits["h"].to_numpy()[order]
-        out = {"doc_id": [], "start": [], "words": [], "windows": []}
+        out = {"doc_id": [], "start": [], "words": []}
         if len(at):
-            for doc, text in zip(docs["doc_id"].to_pylist(), as_bytes(docs["text"]), strict=True):
+            for doc, text in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist(), strict=True):
                 lo, hi = np.searchsorted(at, [doc, doc + 1])
-                if lo == hi or text is None:
+                if lo == hi:
                     continue
-                words = text.split()
+                words = zstandard.decompress(text).split()
                 hashes = word_hashes(words)
                 held = np.isin(signed(window_minima(hashes, window, gram)), anchors[lo:hi])
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], held.view(np.int8), [0]))))
-                windows = signed(gram_hashes(hashes, window))
                 for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
                     out["doc_id"].append(doc)
                     out["start"].append(a)
                     out["words"].append(b" ".join(words[a : b + window - 1]))
-                    out["windows"].append(windows[a:b])
         return pa.table(
-            [pa.array(out["doc_id"], pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["words"], pa.binary()), pa.array(out["windows"], pa.list_(pa.int64()))],
-            ["doc_id", "start", "words", "windows"],
+            [pa.array(out["doc_id"], pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["words"], pa.binary())],
+            ["doc_id", "start", "words"],
         )
 
     return cut
 
 
+def _packed(batches):
+    """Texts go through the shuffle compressed."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in slices(batches):
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(pack, as_bytes(batch.column(1))), pa.binary())], ["doc_id", "text"])
+
+
+def _window_rows(window: int):
+    def rows(batches):
+        for batch in slices(batches):
+            found = [signed(gram_hashes(word_hashes(words.split()), window)) for words in as_bytes(batch.column(1))]
+            ids = np.repeat(batch.column(0).to_numpy(), [len(w) for w in found])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(found))], ["doc_id", "w"])
+
+    return rows
+
+
 def _spans_of(window: int):
     """Stream the runs of a block through the automaton of its phrases."""
 
@@ -133,14 +149,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     blocks = common.blocks_for(docs.count(), BLOCK)
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")
     anchors = docs.mapInArrow(_anchor_rows(window, gram), "h long, doc_id long")
-    recurring = anchors.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h")
+    recurring = anchors.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1").select("h")  # once per document
     hits = anchors.join(recurring, "h").select("doc_id", "h", block)
     runs = materialise(
-        docs.select("doc_id", "text", block).groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(_runs_of(window, gram), RUNS)
+        docs.select("doc_id", "text").mapInArrow(_packed, "doc_id long, text binary").select("doc_id", "text", block).groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(_runs_of(window, gram), RUNS)
     )
-    held = runs.select("doc_id", F.explode("windows").alias("w"))
-    first = held.groupBy("w").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).filter("source < last").select("w", "source")
-    needed = held.select("doc_id", "w", block).join(first, "w").filter("doc_id > source").select("block", "source").distinct()
+    held = runs.select("doc_id", "words").mapInArrow(_window_rows(window), "doc_id long, w long")
+    first = held.groupBy("w").agg(F.min("doc_id").alias("source"), F.count("*").alias("times")).filter("times > 1").select("w", "source")
+    needed = held.join(first, "w").filter("doc_id > source").select(block, "source").distinct()
     phrases = needed.join(runs.select(F.col("doc_id").alias("source"), "words"), "source").select("block", "source", "words")
     return runs.select("doc_id", "start", "words", block).groupBy("block").cogroup(phrases.groupBy("block")).applyInArrow(_spans_of(window), SPANS)
 
