@@ -1,11 +1,14 @@
 """Main text of web pages by consensus paths of their hosts.
 
-Method: every page's containers are scored by the text of their own blocks, less links, with
-known frames of a page (menus, notices, forms) left out. A container votes with its score for
+Method: every page's containers are scored by all text below them, less links and a cost for
+every known frame of a page (menus, notices, forms) below them; frames' text is left out. So
+text dealt to sibling containers is won by the container around them. Those around the text
+lose a share: all above the lowest that holds the first h1 and half of the page's text, and
+body where no h1 tells. A container votes with its score for
 its generalised path, the tag-class names from the root with digits taken out. Spark sums the
 votes per host in two steps, so that a host with a third of all pages is summed by many tasks
 first, and keeps the path with most votes. Every page is then read again: the containers of
-its host's winning path give the text, and a page without one falls back on its own best.
+its host's winning path give the text, and a page without one falls back on its own best path.
 """
 
 from __future__ import annotations
@@ -44,6 +47,8 @@ FRAME_WORD = re.compile(
 FRAME_MAIN = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|comments?|promo\w*|related|replies|reply|sponsor\w*)(?:$|[^a-z])")
 #: Elements that stand for the main text, with the weight of their votes.
 MAIN = {"article": 5, "main": 4}
+#: Characters that a frame below a container costs it; share of its score left to one that is around the text.
+FRAME_COST, AROUND = 25, 0.6
 #: Tasks that the pages of one host are dealt to at most.
 PARTS = 64
 #: A tag whose quotes do not match.
@@ -60,7 +65,9 @@ class Node:
     holder: Node | None
     blocks: list[str] = field(default_factory=list)
     links: int = 0
-    own: int = 0
+    size: int = 0
+    frames: int = 0
+    around: bool = False
 
 
 def named(tag: str, attributes: str) -> tuple[str, bool]:
@@ -79,22 +86,23 @@ def containers(html: str) -> Iterator[tuple[Node, bool]]:
     root = Node("#page", "", False, None)
     stack, held, text, linked = [root], [root], [], 0
     in_link, owner = 0, root
+    title: Node | None = None
 
     def add(piece: str) -> None:
         nonlocal owner, linked
         if not text:
             owner = stack[-1] if stack[-1].name in CONTAINER or stack[-1] is root else stack[-1].holder
         text.append(piece)
-        linked += len(piece) if in_link else 0
+        linked += len(piece) if in_link and not any(n.name == "h1" for n in stack) else 0  # a title may link to its own page
 
     def flush() -> None:
         nonlocal linked
         block = SPACE.sub(" ", "".join(text)).strip()
         if block:
-            owner.own += len(block)
-            owner.links += linked
             at = owner
             while at is not None:
+                at.size += len(block)
+                at.links += linked
                 at.blocks.append(block)
                 at = at.holder
         text.clear()
@@ -166,38 +174,63 @@ def containers(html: str) -> Iterator[tuple[Node, bool]]:
         path = f"{above.path}/{name}" if tag in BLOCK else above.path
         if tag in ("html", "body") or tag == "header" and any(n.name in MAIN for n in stack):
             frame = False  # the head of an article belongs to it
+        if frame and not above.frame and tag in BLOCK:
+            at = holder
+            while at is not None:
+                at.frames += 1
+                at = at.holder
         frame = above.frame or frame
         node = Node(tag, path, frame, holder)
+        if tag == "h1" and not frame and title is None:
+            title = node
         if tag in CONTAINER and not frame:
             held.append(node)
         stack.append(node)
     flush()
+    at = title.holder if title is not None else None
+    while at is not None and 2 * at.size < root.size:
+        at = at.holder
+    for n in held:
+        n.around = at is None and n.name in ("#page", "html", "body")
+    while at is not None and (at := at.holder) is not None:
+        at.around = True
     yield from ((n, not n.frame) for n in held)
 
 
 def score(node: Node) -> float:
-    """Characters of the container's own blocks, less twice those in links."""
-    worth = max(0, node.own - 2 * node.links)
-    return float(worth)
+    """Characters of all blocks below the container, less twice those in links and the cost of its frames; a share of it around the text."""
+    worth = max(0, node.size - 2 * node.links - FRAME_COST * node.frames)
+    return worth * AROUND if node.around else float(worth)
 
 
 def whole(node: Node) -> float:
-    """Like score; elements that stand for the main text count all blocks in them, with their weight."""
-    return float(MAIN[node.name] * sum(map(len, node.blocks))) if node.name in MAIN else score(node)
+    """Like score; elements that stand for the main text count links and frames too, with their weight."""
+    return float(MAIN[node.name] * node.size) if node.name in MAIN else score(node)
 
 
 def votes(html: str | None) -> dict[str, float]:
+    return _votes([n for n, _ in containers(html or "")])
+
+
+def _votes(nodes: list[Node]) -> dict[str, float]:
     out: dict[str, float] = {}
-    for node, _ in containers(html or ""):
+    for node in nodes:
         if (worth := whole(node)) > 0:
             out[node.path] = out.get(node.path, 0.0) + worth
     return out
 
 
 def extract(html: str | None, path: str | None) -> str:
-    """Text of the outermost containers on the path; of the best container where there is none."""
+    """Text of the outermost containers on the path; where there is none, on the page's own best path.
+
+    Where no container has any worth, all text outside frames is taken.
+    """
     nodes = [n for n, _ in containers(html or "")]
     chosen = [n for n in nodes if n.path == path and n.blocks] if path is not None else []
+    if not chosen:
+        own = _votes(nodes)
+        best = min(own, key=lambda p: (-own[p], -len(p), p), default="")
+        chosen = [n for n in nodes if n.path == best and n.blocks]
     inside = set()
     for n in chosen:
         up = n.holder
@@ -206,9 +239,6 @@ def extract(html: str | None, path: str | None) -> str:
                 inside.add(id(n))
             up = up.holder
     chosen = [n for n in chosen if id(n) not in inside]
-    if not chosen:
-        best = max(nodes, key=whole, default=None)
-        chosen = [best] if best is not None and best.blocks else []
     return "\n".join(b for n in chosen for b in n.blocks)
 
 

@@ -209,6 +209,18 @@ def test_path_of_the_host_wins(spark):
     assert html_extract.main_text(pages.limit(0)).count() == 0
 
 
+def test_text_in_several_containers(spark):
+    frames = "<nav><a href=/>Home</a></nav>{}<footer>About this site</footer>"
+    split = frames.format("<div class=post><h1><a href=/x>Title {0}</a></h1><div class=lead>The lead of this story number {0}.</div><div class=text><p>" + "Long text here. " * 20 + "</p></div></div>")
+    twice = frames.format("<section><div class=part>" + "First part. " * 20 + "</div><p><a href=/>more</a></p><div class=part>" + "Second part. " * 15 + "</div></section>")
+    rows = [(k, "http://a.com/x", split.format(k)) for k in range(4)] + [(9, "http://a.com/y", twice)]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(4):
+        assert got[k] == f"Title {k}\nThe lead of this story number {k}.\n" + ("Long text here. " * 20).strip()
+    assert "First part." in got[9] and "Second part." in got[9]
+    assert "About" not in "".join(got.values()) and "Home" not in "".join(got.values())
+
+
 def test_broken_pages_do_not_fail():
     rng = random.Random(3)
     bits = ["<p", "<p>", "</p>", "<div class='", '"', ">", "text", "&amp", "&#x41;", "<!--", "-->", "<b>", "</div>", "<td>", "</table>", "<script>", "</script>", "<a href=x>", "<![CDATA[", "]]>", "<", " "]
