@@ -1,8 +1,8 @@
 """Main text of web pages by consensus paths of their hosts.
 
 Method: every page's containers are scored by all text below them, less links and a cost for
-every known frame of a page (menus, notices, forms) below them; frames' text is left out. So
-text dealt to sibling containers is won by the container around them. Those around the text
+every known frame of a page (menus, notices, forms) below them; frames' text is left out.
+An element that looks like a frame but holds most of the page's text is none. So text dealt to sibling containers is won by the container around them. Those around the text
 lose a share: all above the lowest that holds the first h1 and half of the page's text, and
 body where no h1 tells. A container votes with its score for
 its generalised path, the tag-class names from the root with digits taken out. Spark sums the
@@ -36,8 +36,16 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINER = frozenset("article body center details div main section table td".split())
-FRAME = frozenset("aside button dialog footer form head header menu nav select script style textarea title noscript iframe template svg math xmp noembed noframes".split())
+#: Frames by their name; those of the first list never hold the text.
+HARD = frozenset("button footer head menu nav select script style textarea title noscript iframe template svg math xmp noembed noframes".split())
+FRAME = HARD | frozenset("aside dialog form header".split())
 CLOSES_P = BLOCK - {"li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "body", "html", "legend", "summary"}
+#: Elements that only a whole class, id or role marks as a frame; headings are none.
+SMALL = frozenset("a abbr b cite code em font i label mark p small span strong sub sup time u".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Names that tell of a frame elsewhere, or of the head of a text.
+ELSEWHERE = re.compile(r"(?:^|[-_])(?:has|no|not|with|without)[-_]|[-_](?:open|closed|enabled|disabled)$")
+TEXT_HEAD = re.compile(r"(?:article|blog|content|entry|news|page|post|single|story)[-_]+header")
 #: Words of a class, id or role that mark a frame of a page.
 FRAME_WORD = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|header|masthead|menu|modal|nav\w*|newsletter|notices?|pagination|"
@@ -45,6 +53,11 @@ FRAME_WORD = re.compile(
 )
 #: The same for an article or main element, which a site may well name after its parts.
 FRAME_MAIN = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|comments?|promo\w*|related|replies|reply|sponsor\w*)(?:$|[^a-z])")
+#: Remarks of readers, which may be longer than the text.
+REMARK = re.compile(r"(?:^|[^a-z])(?:comments?|disqus|replies|reply)(?:$|[^a-z])")
+#: What kind of frame an element is; a frame of a soft kind is none with these shares of the page's text, in article or main and at all.
+NONE, SOFT, REMARKS, NEVER = range(4)
+MAIN_SHARE, TEXT_SHARE = 0.5, 0.8
 #: Elements that stand for the main text, with the weight of their votes.
 MAIN = {"article": 5, "main": 4}
 #: Characters that a frame below a container costs it; share of its score left to one that is around the text.
@@ -57,56 +70,93 @@ LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
 
 @dataclass
 class Node:
-    """An open element: its name, generalised path, whether it is a frame, and the blocks in it if it is a container."""
+    """An open element: its name, generalised path, the innermost frame it is or lies in, and the blocks in it if it is a container."""
 
     name: str
     path: str
-    frame: bool
+    frame: Node | None
     holder: Node | None
+    main: Node | None = None
+    depth: int = 0
+    kind: int = NONE
+    above: Node | None = None
+    never: bool = False
+    titled: bool = False
+    text: int = 0
+    main_text: int = 0
+    hides: bool = False
     blocks: list[str] = field(default_factory=list)
     links: int = 0
     size: int = 0
     frames: int = 0
     around: bool = False
 
-
-def named(tag: str, attributes: str) -> tuple[str, bool]:
-    """The generalised tag-class name of an element, and whether it is a frame of the page."""
-    words = " ".join(a or b or c for _, a, b, c in CLASS.findall(attributes)).lower() if attributes else ""
-    classes = next((a or b or c for kind, a, b, c in CLASS.findall(attributes) if kind.lower() == "class"), "") if attributes else ""
+    def hidden(self) -> bool:
+        return self.frame is not None and self.frame.hides
+
+
+def framed(tag: str, words: list[str]) -> int:
+    """The kind of frame that an element is by its name and by the names in its class, id and role."""
+    if tag in HARD:
+        return NEVER
+    told = [w for w in words if not ELSEWHERE.search(w)]
+    if tag in MAIN:
+        return REMARKS if any(FRAME_MAIN.search(w) for w in told) else NONE
+    if tag in HEADING or tag in ("html", "body"):
+        return NONE
+    if any(TEXT_HEAD.fullmatch(w) for w in told):
+        return NONE
+    fits = FRAME_WORD.fullmatch if tag in SMALL else FRAME_WORD.search
+    told = [w for w in told if fits(w)]
+    if any(REMARK.search(w) for w in told):
+        return REMARKS
+    return SOFT if told or tag in FRAME else NONE
+
+
+def named(tag: str, attributes: str) -> tuple[str, int]:
+    """The generalised tag-class name of an element, and what kind of frame of the page it is."""
+    found = CLASS.findall(attributes) if attributes else []
+    words = " ".join(a or b or c for _, a, b, c in found).lower().split()
+    classes = next((a or b or c for kind, a, b, c in found if kind.lower() == "class"), "")
     general = ".".join(sorted(set(re.sub(r"\d+", "#", classes.lower()).split())))
-    return (f"{tag}.{general}" if general else tag), tag in FRAME or bool((FRAME_MAIN if tag in MAIN else FRAME_WORD).search(words))
+    return (f"{tag}.{general}" if general else tag), framed(tag, words)
 
 
 def containers(html: str) -> Iterator[tuple[Node, bool]]:
-    """Containers of a page in page order, with their text blocks; True for those outside frames.
+    """Containers of a page outside frames in page order, with their text blocks, each with True.
 
     A block belongs to the nearest container and to all containers around it.
     """
-    root = Node("#page", "", False, None)
-    stack, held, text, linked = [root], [root], [], 0
-    in_link, owner = 0, root
-    title: Node | None = None
+    root = Node("#page", "", None, None)
+    stack, held, frames, titles = [root], [root], [], []
+    # a run is a piece of a block in one frame: the frame, the owner, its texts, characters in links
+    runs: list[list] = []
+    blocks: list[list[list]] = []
+    in_link, total = 0, 0
 
     def add(piece: str) -> None:
-        nonlocal owner, linked
-        if not text:
-            owner = stack[-1] if stack[-1].name in CONTAINER or stack[-1] is root else stack[-1].holder
-        text.append(piece)
-        linked += len(piece) if in_link and not any(n.name == "h1" for n in stack) else 0  # a title may link to its own page
+        nonlocal total
+        top = stack[-1]
+        if top.never:
+            return
+        if not runs or runs[-1][0] is not top.frame:
+            runs.append([top.frame, top if top.name in CONTAINER or top is root else top.holder, [], 0])
+        runs[-1][2].append(piece)
+        if in_link:
+            runs[-1][3] += len(piece) if not any(n.name == "h1" for n in stack) else 0  # a title may link to its own page
+            return
+        size = len(piece.strip())
+        total += size
+        at = top.frame
+        while at is not None:
+            at.text += size
+            at.main_text += size if top.main is not None and top.main.depth > at.depth else 0
+            at = at.above
 
     def flush() -> None:
-        nonlocal linked
-        block = SPACE.sub(" ", "".join(text)).strip()
-        if block:
-            at = owner
-            while at is not None:
-                at.size += len(block)
-                at.links += linked
-                at.blocks.append(block)
-                at = at.holder
-        text.clear()
-        linked = 0
+        if runs:
+            blocks.append(runs.copy())
+            runs.clear()
 
     end = 0
     while found := TOKEN.match(html, end):
@@ -117,9 +167,9 @@ def containers(html: str) -> Iterator[tuple[Node, bool]]:
         if tag is None:
             piece = found.group(0)
             if piece[0] != "<" or piece == "<":
-                if not stack[-1].frame:
+                if not stack[-1].never:
                     add(unescape(piece))
-            elif piece.startswith("<![CDATA[") and not stack[-1].frame:
+            elif piece.startswith("<![CDATA["):
                 add(piece[9:].removesuffix("]]>"))
             continue
         tag = tag.lower()
@@ -139,8 +189,8 @@ def containers(html: str) -> Iterator[tuple[Node, bool]]:
             continue
         if tag in VOID:
             if tag == "br":
-                if text:
-                    text.append(" ")
+                if runs:
+                    runs[-1][2].append(" ")
             elif tag == "hr":
                 flush()
             continue
@@ -168,33 +218,56 @@ def containers(html: str) -> Iterator[tuple[Node, bool]]:
                         break
         if tag == "a":
             in_link += 1
-        name, frame = named(tag, found.group(3))
+        name, kind = named(tag, found.group(3))
         above = stack[-1]
         holder = above if above.name in CONTAINER or above is root else above.holder
         path = f"{above.path}/{name}" if tag in BLOCK else above.path
-        if tag in ("html", "body") or tag == "header" and any(n.name in MAIN for n in stack):
-            frame = False  # the head of an article belongs to it
-        if frame and not above.frame and tag in BLOCK:
-            at = holder
+        if tag == "header" and any(n.name in MAIN for n in stack):
+            kind = NONE  # the head of an article belongs to it
+        node = Node(tag, path, above.frame, holder, above.main, len(stack), kind, above.frame, above.never or kind == NEVER)
+        if tag in MAIN and kind == NONE:
+            node.main = node
+        if kind != NONE:
+            node.frame = node
+            frames.append(node)
+        if tag == "h1":
+            titles.append(node)
+            at = node.frame
             while at is not None:
-                at.frames += 1
-                at = at.holder
-        frame = above.frame or frame
-        node = Node(tag, path, frame, holder)
-        if tag == "h1" and not frame and title is None:
-            title = node
-        if tag in CONTAINER and not frame:
+                at.titled = True
+                at = at.above
+        if tag in CONTAINER:
             held.append(node)
         stack.append(node)
     flush()
-    at = title.holder if title is not None else None
+    for f in frames:
+        much = f.text > 0 and f.text >= TEXT_SHARE * total
+        none = f.kind == SOFT and (much or 0 < MAIN_SHARE * total <= f.main_text) or f.kind == REMARKS and much and f.titled
+        f.hides = not none or f.above is not None and f.above.hides
+        if f.hides and f.name in BLOCK and not (f.above is not None and f.above.hides):
+            at = f.holder
+            while at is not None:
+                at.frames += 1
+                at = at.holder
+    for parts in blocks:
+        parts = [run for run in parts if run[0] is None or not run[0].hides]
+        block = SPACE.sub(" ", "".join("".join(run[2]) for run in parts)).strip()
+        if block:
+            linked = sum(run[3] for run in parts)
+            at = parts[0][1]
+            while at is not None:
+                at.size += len(block)
+                at.links += linked
+                at.blocks.append(block)
+                at = at.holder
+    at = next((n.holder for n in titles if not n.hidden()), None)
     while at is not None and 2 * at.size < root.size:
         at = at.holder
     for n in held:
         n.around = at is None and n.name in ("#page", "html", "body")
     while at is not None and (at := at.holder) is not None:
         at.around = True
-    yield from ((n, not n.frame) for n in held)
+    yield from ((n, True) for n in held if not n.hidden())
 
 
 def score(node: Node) -> float:

@@ -221,6 +221,22 @@ def test_text_in_several_containers(spark):
     assert "About" not in "".join(got.values()) and "Home" not in "".join(got.values())
 
 
+def test_frames_that_hold_the_text():
+    text = "Long text here. " * 20
+    body = f"<h1>Title</h1><p>{text}</p>"
+    want = f"Title\n{text.strip()}"
+    around = "<nav><a href=/>Home</a></nav>{}<footer>About this site</footer>"
+    for one in ("<div class='layout has-sidebar'>{}</div>", "<div class='no-comments'>{}</div>", "<div class='with-header'>{}</div>", "<form action=/>{}</form>", "<div id='search'>{}</div>",
+                "<div class='sidebar-left'><article>{}</article></div>", "<aside><main>{}</main></aside>", "<article class='post has-comments'>{}</article>"):
+        assert html_extract.extract(around.format(one.format(body)), None) == want, one
+    for title in ("<div class=article-header><h1>Title</h1></div>", "<h1 class=page-header>Title</h1>", "<header class=entry-header><h1>Title</h1></header>"):
+        assert html_extract.extract(around.format(f"<div class=post>{title}<p>{text}</p></div>"), None) == want, title
+    assert html_extract.extract(f"<div class=post><p>{text}<span class=menu-price>5 coins</span></p></div>", None) == text + "5 coins"
+    for frame in ("<div class=sidebar>side</div>", "<div class='site-header'>side</div>", f"<div class=comments><p>{text * 9}</p></div>", "<aside><article>side</article></aside>", "<span class=share>side</span>",
+                  f"<div class=related-posts><article>{text[:99]}</article></div>", "<form>side</form>"):
+        assert html_extract.extract(around.format(f"<div class=post>{body}{frame}</div>"), None) == want, frame
+
+
 def test_broken_pages_do_not_fail():
     rng = random.Random(3)
     bits = ["<p", "<p>", "</p>", "<div class='", '"', ">", "text", "&amp", "&#x41;", "<!--", "-->", "<b>", "</div>", "<td>", "</table>", "<script>", "</script>", "<a href=x>", "<![CDATA[", "]]>", "<", " "]
