@@ -498,6 +498,19 @@ def blocks_with_logs(spark, sf_dir):
     return blocks.select("number", F.size("logs").cast("long").alias("logs"), F.coalesce(F.get("logs", F.lit(0))["log_index"].cast("long"), F.lit(-1)).alias("first_log"))
 
 
+@query(
+    """select h.number, cast(count(l.block_number) as bigint) as logs, coalesce(min(l.log_index), -1) as first_log from hd h left join (
+  select block_number, log_index from sw union all select block_number, 100000 + log_index from sw where cast(sender as bigint) < brand % 3
+  union all select block_number, 200000 + log_index from sw where sender = '50' union all select block_number, 300000 + log_index from sw where sender = '51'
+  union all select min(block_number), 400000 + brand from sw group by brand) l on h.number = l.block_number group by h.number"""
+)
+def blocks_with_all_logs(spark, sf_dir):
+    """Like blocks_with_logs, of all contracts and kinds of logs."""
+    rows = views.swaps(spark, sf_dir)
+    blocks = logs.blocks_with_logs(views.headers(rows), views.raw_logs(rows))
+    return blocks.select("number", F.size("logs").cast("long").alias("logs"), F.coalesce(F.get("logs", F.lit(0))["log_index"].cast("long"), F.lit(-1)).alias("first_log"))
+
+
 @query("select distinct block_number from sw where brand = 11 and block_number between 100 and 900")
 def active_blocks(spark, sf_dir):
     address = "0x" + f"{11:x}".zfill(40)

@@ -150,6 +150,14 @@ def test_blocks_keep_their_empty_ones(spark):
     assert [r.block_number for r in logs.active_blocks(rows, 1, 9).collect()] == [7]
 
 
+def test_every_log_is_in_a_block(spark):
+    from dexspark.plans import registry, views
+    from tests.conftest import SMALL
+
+    got = registry.queries()["blocks_with_all_logs"](spark, SMALL).agg(F.sum("logs")).first()[0]
+    assert got == views.raw_logs(views.swaps(spark, SMALL)).count()
+
+
 def test_bad_text_is_an_error(spark):
     text = spark.createDataFrame([("1", "nope")], "block_time string, amount0 string")
     with pytest.raises(Exception):
