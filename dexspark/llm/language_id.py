@@ -22,10 +22,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dexspark.llm.common import as_bytes, slices, small_batches
+from dexspark.llm.common import as_bytes, materialise, slices, small_batches
 
 #: Longest context in bytes, documents per language that are counted, bytes scored at a time.
 ORDER, SAMPLE, CHUNK = 3, 1000, 1 << 17
+#: Spreads (99 % quantile less median) above the median that a text may cost a byte; what one byte alone may cost more,
+#: divided by the root of the length for longer texts; the bound of a language of fewer than LEAST calibration texts, and the
+#: most: bytes written plainly.
+SPREADS, SHORT, LEAST, PLAIN = 3, 8, 8, 8.0
 #: Label of texts that are null or have no letter.
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -190,40 +194,80 @@ def _flatten(languages: list[str], levels: list[tuple[np.ndarray, np.ndarray, np
     return Model(languages, grams, escapes)
 
 
-def _predict(shared, kept: list[str]):
+def train_bounded(labelled: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> tuple[Model, dict[str, float]]:
+    """The model, and the bits a byte of each language up to which a long text counts as one of it.
+
+    A model of one half of the sample scores the other half, so that no text has been learned.
+    """
+    few = materialise(sampled(labelled.select("doc_id", "text", "lang"), sample))
+    half = F.xxhash64(F.col("doc_id").cast("string"), F.lit("half")) % 2 == 0
+    other = few.filter(F.coalesce(~half, F.lit(True))).select("text")
+    small_batches(other)
+    shared = other.sparkSession.sparkContext.broadcast(train(few.filter(half), order, sample))
+
+    def costs(batches):
+        for batch in slices(batches, 64):
+            best, per_byte, _ = _best(shared.value, as_bytes(batch.column(0)))
+            yield pa.RecordBatch.from_arrays([pa.array(best, pa.string()), pa.array(per_byte, pa.float64())], ["lang", "cost"])
+
+    got = other.filter("text <> ''").mapInArrow(costs, "lang string, cost double").toArrow()
+    lang, cost = np.array(got["lang"].to_pylist(), dtype=object), got["cost"].to_numpy()
+    bounds = {}
+    for one in sorted(set(lang.tolist()) - {UNKNOWN}):
+        own = cost[lang == one]
+        if len(own) >= LEAST:
+            middle = float(np.median(own))
+            bounds[one] = min(PLAIN, middle + SPREADS * (float(np.quantile(own, 0.99)) - middle))
+    return train(few, order, sample), bounds
+
+
+def _best(model: Model, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The best language of each text, its bits a byte, and its posterior."""
+    size = np.array([len(t or b"") for t in texts], dtype=np.int64)
+    if not model.languages:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    bits = model.code_lengths(np.frombuffer(b"".join(t or b"" for t in texts), dtype=np.uint8), bounds)
+    sure = 1 / np.exp2(np.minimum(0, bits.min(axis=1, keepdims=True) - bits)).sum(axis=1)
+    return [model.languages[k] for k in bits.argmin(axis=1)], bits.min(axis=1) / np.maximum(size, 1), sure
+
+
+def _predict(shared, kept: list[str], limits: dict[str, float] | None):
     def rows(batches):
         model: Model = shared.value
         for batch in slices(batches, 64):
             texts = as_bytes(batch.column("_text"))
-            size = np.array([len(t or b"") for t in texts], dtype=np.int64)
-            bounds = np.concatenate([[0], np.cumsum(size)])
-            lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            lang, score, fits = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
             if model.languages:
-                bits = model.code_lengths(np.frombuffer(b"".join(t or b"" for t in texts), dtype=np.uint8), bounds)
-                best = bits.argmin(axis=1)
-                sure = 1 / np.exp2(np.minimum(0, bits.min(axis=1, keepdims=True) - bits)).sum(axis=1)
+                best, per_byte, sure = _best(model, texts)
                 for at, text in enumerate(texts):
                     if text and LETTER.search(text.decode()):
-                        lang[at], score[at] = model.languages[best[at]], float(sure[at])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(lang), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])
+                        lang[at], score[at] = best[at], float(sure[at])
+                        fits[at] = limits is not None and bool(per_byte[at] <= limits.get(best[at], PLAIN) + SHORT / np.sqrt(len(text)))
+            found = {"lang_pred": pa.array(lang), "score": pa.array(score, pa.float64())} | ({} if limits is None else {"fits": pa.array(fits)})
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *found.values()], [*kept, *found])
 
     return rows
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, limits: dict[str, float] | None = None) -> DataFrame:
     """The columns ``keep`` (doc_id if not given), lang_pred and score for every row of docs.
 
     score is the posterior probability of the language under equal priors. A text that is null
     or holds no letter, and every text under a model without languages, is ``und`` with score 0.
     Ties go to the first language in alphabetical order. Whole texts are scored. Kept columns
-    named lang_pred or score are replaced.
+    named lang_pred or score are replaced. With the bounds of train_bounded as ``limits`` the column
+    fits tells whether the text costs no more than its language's bound, which widens for short
+    texts: score alone is near 1 for any text, as it compares only the learned languages.
     """
     small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in keep or ["doc_id"] if c not in ("lang_pred", "score")]
+    kept = [c for c in keep or ["doc_id"] if c not in ("lang_pred", "score", *(["fits"] if limits is not None else []))]
     own = docs.select(*kept, F.col("text").cast("string").alias("_text"))
     schema = T.StructType([*own.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return own.mapInArrow(_predict(shared, kept), schema)
+    if limits is not None:
+        schema = schema.add("fits", T.BooleanType())
+    return own.mapInArrow(_predict(shared, kept, limits), schema)
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

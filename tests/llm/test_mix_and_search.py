@@ -148,6 +148,26 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SMALL).count() == kept.count()
 
 
+def test_language_stage_rejects_unlearned_texts(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    bad = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心",
+        "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08",
+        "bm90IGEgbGFuZ3VhZ2UgYXQgYWxsLCBqdXN0IGVuY29kZWQgdGV4dA",
+        "xqzj kkvw pqrz",
+        "12 34",
+    ]
+    good = ["A.", "De.", "The", "Die", "By be in the and of."]
+    planted = spark.createDataFrame([(10**9 + k, t) for k, t in enumerate(bad + good)], "doc_id long, text string")
+    some = docs.unionByName(planted, allowMissingColumns=True)
+    kept = {r.doc_id for r in corpus_pipeline.keep_known_language(spark, some, SMALL).select("doc_id").collect()}
+    assert {k for k in kept if k >= 10**9} == {10**9 + k for k in range(len(bad), len(bad + good))}
+    every = {r.doc_id for r in docs.filter("text rlike '[A-Za-z]'").select("doc_id").collect()}
+    assert len(every - kept) <= 0.02 * len(every)
+
+
 def test_stages_of_hard_documents(spark):
     schema = spark.read.parquet(f"{SMALL}/documents.parquet").schema
     rows = [(1, None, None, None, None), (2, "", "en", "s1", 0), (3, "hello the world", "en", None, 15), (3, "hello the world", "en", None, 15), (None, "hello the world", None, "srcx", None)]
