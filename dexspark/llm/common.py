@@ -13,24 +13,31 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dexspark.sources.shared import shared_path
 
 pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back to the system
 
-#: Rows of an Arrow batch.
-BATCH = 512
+#: Rows and bytes of an Arrow batch.
+BATCH, BATCH_BYTES = 16384, 2 << 20
 #: Odd multiplier of the rolling word-sequence hash.
 ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 
+def own_names(docs: DataFrame, kept: list[str]) -> list[F.Column]:
+    """The kept columns as k0, k1 and so on, so that no name of theirs clashes with an operator's."""
+    return [F.col("`" + name.replace("`", "``") + "`").alias(f"k{n}") for n, name in enumerate(kept)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def small_batches(df: DataFrame) -> None:
-    """Texts can be long: let Arrow batches, on both sides of the worker's pipe, hold few of them."""
+    """Texts can be long: bound Arrow batches by their bytes. Spark reads these settings when the plan runs."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -74,6 +81,12 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in a row, and the place of the text that each word is from."""
+    split = [(t or b"").split() for t in texts]
+    return word_hashes([w for words in split for w in words]), np.repeat(np.arange(len(split)), list(map(len, split)))
+
+
 def signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 

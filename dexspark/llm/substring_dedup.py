@@ -1,19 +1,23 @@
 """Removal of word runs that an earlier document already holds.
 
 Method: repeated-phrase automata. (1) Each document gives the minimum 5-word hash of each
-13-word window (equal windows give equal minima, so a shared window is never missed) and
-Spark keeps the minima seen in two documents. (2) Only runs of windows with such a minimum
-are cut out of the texts; Spark confirms which of their windows recur and in which document
-first. (3) Every block of documents gets the runs of the documents that hold its windows
-first, compiles one Aho-Corasick automaton from them and streams the block's runs through
-it. A match in a document with a larger id marks its words.
-
-A block's automaton holds only phrases that occur in that block, so the work grows with the
-text and not with blocks times phrases.
+13-word window; equal windows give equal minima, so a shared window is never missed. Minima
+of two documents mark candidate windows, which are cut out of the texts as pieces. (2) Spark
+confirms by their hash which windows of the pieces recur, and the first document of each.
+(3) Every block of documents gets just the confirmed windows of its own pieces, as they stand
+in those first documents, compiles Aho-Corasick automata from them and streams its pieces
+through. A match in a document with a larger id marks its words.
+
+Exact copies of an earlier document are told by their text's hash and lose all their words
+without a search. Rows with an equal key (a minimum, a window) are joined inside each task
+before they are dealt, so that a key of a third of all rows is a few rows per task; of those
+joined, whatever is decided already goes on spread over all tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -23,13 +27,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dexspark.llm import common
-from dexspark.llm.common import as_bytes, gram_hashes, materialise, signed, slices, small_batches, word_hashes
+from dexspark.llm.common import as_bytes, gram_hashes, hashed_words, materialise, own_names, signed, slices, small_batches, word_hashes
 
 #: Words of a window, of the hashed grams in it, and documents of a block.
 WINDOW, GRAM, BLOCK = 13, 5, 256
+#: Windows of a piece: one bit of a long for each.
+PIECE = 64
+#: Rows that a task joins before it deals them, windows of one automaton.
+UNIT, SHARD = 1 << 20, 50_000
+#: Symbols of a word and their base: automata are slow at nodes with many children.
+DIGITS, BASE = 3, 128
+#: State of a row between tasks: one document so far, several, or decided and only passed on.
+OPEN, SHARED, PASSED = range(3)
 
-RUNS = "doc_id long, start int, words binary"
-SPANS = "doc_id long, spans array<struct<lo:int,hi:int>>"
+PIECES = "block int, doc_id long, key long, start int, piece long, words binary"
+SPANS = "doc_id long, key long, spans array<struct<lo:int,hi:int>>"
 
 
 def window_minima(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -44,130 +56,286 @@ def window_minima(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
     return out
 
 
+def starts_of(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it in any column."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def units(parts: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """Columns of many small parts joined to UNIT rows or more."""
+    held, count = [], 0
+    for part in parts:
+        held.append(part)
+        count += len(part[0])
+        if count >= UNIT:
+            yield [np.concatenate(c) for c in zip(*held)]
+            held, count = [], 0
+    if count:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
 def _anchor_rows(window: int, gram: int):
-    def rows(batches):
+    """(dest, h, doc_id, state): the minima of documents; of an equal one in a unit only the first is left to compare."""
+
+    def parts(batches):
         for batch in slices(batches):
-            ids, keys = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                found = np.unique(window_minima(word_hashes((text or b"").split()), window, gram))
-                ids.append(np.full(len(found), doc, dtype=np.int64))
-                keys.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(ids))], ["h", "doc_id"])
+            hashes, owner = hashed_words(as_bytes(batch.column(1)))
+            least = window_minima(hashes, window, gram)
+            inside = owner[: len(least)] == owner[len(hashes) - len(least) :]
+            least, owner = signed(least[inside]), owner[: len(least)][inside]
+            new = starts_of(least, owner)
+            yield [least[new], batch.column(0).to_numpy()[owner[new]]]
+
+    def rows(batches):
+        for h, doc in units(parts(batches)):
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            new = starts_of(h, doc)
+            h, doc = h[new], doc[new]
+            first = starts_of(h)
+            many = np.diff(np.append(np.flatnonzero(first), len(h)))
+            state = np.where(first, np.where(np.repeat(many, many) > 1, SHARED, OPEN), PASSED)
+            dest = np.where(first, h, doc)
+            yield pa.RecordBatch.from_arrays([pa.array(dest), pa.array(h), pa.array(doc), pa.array(state.astype(np.int8))], ["dest", "h", "doc_id", "state"])
 
     return rows
 
 
-def _runs_of(window: int, gram: int):
-    """Cut the runs of candidate windows out of the documents of a block."""
+def _recurring(batches):
+    """(doc_id, h) of minima that two documents hold, from rows sorted by h."""
+
+    def told(h, doc, state):
+        first = np.flatnonzero(starts_of(h))
+        low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
+        held = (low < high) | (np.maximum.reduceat(state, first) == SHARED)
+        chosen = np.repeat(held, np.diff(np.append(first, len(h))))
+        return doc[chosen], h[chosen]
+
+    rest = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int8)]
+    for batch in batches:
+        h, doc, state = (batch.column(c).to_numpy() for c in ("h", "doc_id", "state"))
+        passed = state == PASSED
+        out = [doc[passed]], [h[passed]]
+        h, doc, state = rest = [np.concatenate(c) for c in zip(rest, (h[~passed], doc[~passed], state[~passed]))]
+        if len(h):
+            end = int(np.searchsorted(h, h[-1]))  # the last group may go on
+            if end:
+                for held, found in zip(out, told(h[:end], doc[:end], state[:end])):
+                    held.append(found)
+            rest = [c[end:] for c in rest]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["doc_id", "h"])
+    if len(rest[0]):
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in told(*rest)], ["doc_id", "h"])
+
+
+def _packed(batches):
+    """Texts go through the shuffle compressed."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in slices(batches):
+        names = batch.schema.names
+        columns = [batch.column(c) if c != "text" else pa.array([None if t is None else pack(t) for t in as_bytes(batch.column(c))], pa.binary()) for c in names]
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def _pieces_of(window: int, gram: int):
+    """Cut the runs of candidate windows out of the documents of a block; a hit without h names a copy."""
 
     def cut(key, docs: pa.Table, hits: pa.Table) -> pa.Table:
+        named = hits.filter(hits["h"].is_null())
+        copies = set(zip(named["doc_id"].to_pylist(), named["key"].to_pylist()))
+        hits = hits.filter(hits["h"].is_valid())
         order = np.argsort(at := hits["doc_id"].to_numpy(), kind="stable")
         at, anchors = at[order], hits["h"].to_numpy()[order]
-        out = {"doc_id": [], "start": [], "words": []}
-        if len(at):
-            for doc, text in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist(), strict=True):
-                lo, hi = np.searchsorted(at, [doc, doc + 1])
-                if lo == hi:
-                    continue
-                words = zstandard.decompress(text).split()
-                hashes = word_hashes(words)
-                held = np.isin(signed(window_minima(hashes, window, gram)), anchors[lo:hi])
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], held.view(np.int8), [0]))))
-                for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                    out["doc_id"].append(doc)
-                    out["start"].append(a)
-                    out["words"].append(b" ".join(words[a : b + window - 1]))
-        return pa.table(
-            [pa.array(out["doc_id"], pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["words"], pa.binary())],
-            ["doc_id", "start", "words"],
-        )
+        block, number = key[0].as_py(), dict[int, int]()
+        out = {name: [] for name in ("doc_id", "key", "start", "piece", "words")}
+        for doc, name, text in zip(*(docs[c].to_pylist() for c in ("doc_id", "key", "text")), strict=True) if len(at) else ():
+            lo, hi = np.searchsorted(at, [doc, doc + 1])
+            if lo == hi or (doc, name) in copies:
+                continue
+            words = zstandard.decompress(text).split()
+            held = np.isin(signed(window_minima(word_hashes(words), window, gram)), anchors[lo:hi])
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], held.view(np.int8), [0]))))
+            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                for start in range(a, b, PIECE):
+                    place = number[doc] = number.get(doc, -1) + 1  # rows that share an id share the numbers
+                    for column, value in zip(out.values(), (doc, name, start, (block << 32) + place * PIECE, b" ".join(words[start : min(b, start + PIECE) + window - 1]))):
+                        column.append(value)
+        kinds = {"start": pa.int32(), "words": pa.binary()}
+        columns = [pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()]
+        return pa.table([pa.array([block] * len(columns[0]), pa.int32()), *columns], ["block", *out])
 
     return cut
 
 
-def _packed(batches):
-    """Texts go through the shuffle compressed."""
-    pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in slices(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(pack, as_bytes(batch.column(1))), pa.binary())], ["doc_id", "text"])
+def _window_rows(window: int):
+    """(dest, w, doc_id, at, source, source_at): windows of pieces by their place; w is left to compare once per unit.
 
+    The block of a place is its upper half. A window that a smaller document of the unit holds
+    needs no further comparison: it is passed on with that document as its source.
+    """
+
+    def parts(batches):
+        for batch in batches:
+            hashes, owner = hashed_words(as_bytes(batch.column(2)))
+            w = signed(gram_hashes(hashes, window))
+            inside = owner[: len(w)] == owner[len(hashes) - len(w) :]
+            owner, at = owner[: len(w)][inside], np.flatnonzero(inside)
+            first = np.flatnonzero(starts_of(owner)) if len(owner) else np.empty(0, dtype=np.int64)
+            offset = at - np.repeat(at[first], np.diff(np.append(first, len(at))))
+            yield [w[inside], batch.column(0).to_numpy()[owner], batch.column(1).to_numpy()[owner] + offset]
 
-def _window_rows(window: int):
     def rows(batches):
-        for batch in slices(batches):
-            found = [signed(gram_hashes(word_hashes(words.split()), window)) for words in as_bytes(batch.column(1))]
-            ids = np.repeat(batch.column(0).to_numpy(), [len(w) for w in found])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(found))], ["doc_id", "w"])
+        for w, doc, at in units(parts(batches)):
+            order = np.lexsort((at, doc, w))
+            w, doc, at = w[order], doc[order], at[order]
+            first = np.flatnonzero(starts_of(w))
+            times = np.diff(np.append(first, len(w)))
+            source, source_at = np.repeat(doc[first], times), np.repeat(at[first], times)
+            later = np.flatnonzero(doc > source)
+            later = later[np.lexsort((at[later] >> 32, w[later]))]
+            later = later[starts_of(w[later], at[later] >> 32)]
+            none = np.full(len(first), -1)
+            dest = np.concatenate([w[first], at[later]])
+            columns = [np.concatenate([c[first], c[later]]) for c in (w, doc, at)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in (dest, *columns, np.concatenate([doc[first], source[later]]), np.concatenate([none, source_at[later]]))], ["dest", "w", "doc_id", "at", "source", "source_at"]
+            )
 
     return rows
 
 
+def _requests(batches):
+    """(block, source, source_at): where the windows that a block needs stand first, from rows sorted by w and doc_id."""
+    held = (None, 0, 0)  # the last window met, its first document and place
+    for batch in batches:
+        w, doc, at, source, place = (batch.column(c).to_numpy() for c in ("w", "doc_id", "at", "source", "source_at"))
+        compared = place < 0
+        passed = ~compared
+        out = [at[passed] >> 32], [source[passed]], [place[passed]]
+        w, doc, at = w[compared], doc[compared], at[compared]
+        if len(w):
+            new = starts_of(w)
+            new[0] = held[0] is None or w[0] != held[0]
+            group = np.cumsum(new)
+            first = np.flatnonzero(new)
+            least, where = (np.concatenate(([h], c[first])) for h, c in zip(held[1:], (doc, at)))
+            later = doc > least[group]
+            for column, found in zip(out, (at[later] >> 32, least[group[later]], where[group[later]])):
+                column.append(found)
+            held = w[-1], least[-1], where[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["block", "source", "source_at"])
+
+
+class Codes(dict):
+    """A string of DIGITS symbols for every word; a word that no phrase has gets a symbol of no phrase."""
+
+    def add(self, word: bytes) -> str:
+        code = self.get(word)
+        if code is None:
+            n = len(self)
+            high, middle, low = n // BASE**2, n // BASE % BASE, n % BASE
+            code = self[word] = chr(2 + BASE + low) + chr(2 + middle) + chr(2 + 2 * BASE + high)  # the first symbol is never one of the others
+        return code
+
+    def __missing__(self, word: bytes) -> str:
+        return "\x01" * DIGITS
+
+
+def automata(phrases: Iterator[tuple[int, bytes, int]], window: int) -> Iterator[tuple[Codes, ahocorasick.Automaton]]:
+    """Automata of at most SHARD windows each, from (source, words, mask of its windows)."""
+    codes, first = Codes(), dict[str, int]()
+    for source, words, mask in phrases:
+        text = "".join(map(codes.add, words.split()))
+        mask &= (1 << PIECE) - 1
+        while mask:
+            low = mask & -mask
+            mask ^= low
+            at = DIGITS * (low.bit_length() - 1)
+            phrase = text[at : at + DIGITS * window]
+            if source < first.get(phrase, source + 1):
+                first[phrase] = source
+        if len(first) >= SHARD:
+            yield codes, compiled(first)
+            codes, first = Codes(), {}
+    if first:
+        yield codes, compiled(first)
+
+
+def compiled(first: dict[str, int]) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+    for phrase, source in first.items():
+        out.add_word(phrase, source)
+    out.make_automaton()
+    return out
+
+
 def _spans_of(window: int):
-    """Stream the runs of a block through the automaton of its phrases."""
-
-    def locate(key, runs: pa.Table, phrases: pa.Table) -> pa.Table:
-        number: dict[bytes, int] = {}
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        first: dict[tuple, int] = {}
-        for source, words in zip(phrases["source"].to_pylist(), as_bytes(phrases["words"]), strict=True):
-            ids = tuple(number.setdefault(w, len(number)) for w in words.split())
-            for at in range(len(ids) - window + 1):
-                phrase = ids[at : at + window]
-                if source < first.get(phrase, source + 1):
-                    first[phrase] = source
-        for phrase, source in first.items():
-            automaton.add_word(phrase, source)
-        del first
-        marks: dict[int, list[tuple[int, int]]] = {}
-        if len(automaton):
-            automaton.make_automaton()
-            unknown = len(number)
-            for doc, start, words in zip(runs["doc_id"].to_pylist(), runs["start"].to_pylist(), as_bytes(runs["words"]), strict=True):
-                ids = tuple(number.get(w, unknown) for w in words.split())
-                for end, source in automaton.iter(ids):
-                    if source < doc:
-                        hi = start + end + 1
-                        held = marks.setdefault(doc, [])
-                        if held and held[-1][0] <= hi - window <= held[-1][1]:
-                            held[-1] = (held[-1][0], max(held[-1][1], hi))
-                        else:
-                            held.append((hi - window, hi))
-        spans = [[{"lo": a, "hi": b} for a, b in v] for v in marks.values()]
-        return pa.table([pa.array(list(marks), pa.int64()), pa.array(spans, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))], ["doc_id", "spans"])
+    """Stream the pieces of a block through the automata of its phrases."""
+
+    def locate(key, pieces: pa.Table, phrases: pa.Table) -> pa.Table:
+        marks: dict[tuple[int, int], list[int]] = {}
+        for codes, automaton in automata(zip(phrases["source"].to_pylist(), as_bytes(phrases["words"]), phrases["mask"].to_pylist(), strict=True), window):
+            for doc, name, start, words in zip(*(pieces[c].to_pylist() for c in ("doc_id", "key", "start", "words")), strict=True):
+                text = "".join(map(codes.__getitem__, words.split()))
+                found = [start + (end + 1) // DIGITS - window for end, source in automaton.iter(text) if source < doc]
+                if found:
+                    marks.setdefault((doc, name), []).extend(found)
+        spans = []
+        for found in marks.values():
+            at = np.unique(found)
+            new = np.flatnonzero(np.diff(at, prepend=at[0] - window - 1) > window)
+            spans.append([{"lo": a, "hi": b + window} for a, b in zip(at[new].tolist(), at[np.append(new[1:] - 1, len(at) - 1)].tolist())])
+        docs, names = ([k[n] for k in marks] for n in (0, 1))
+        return pa.table([pa.array(docs, pa.int64()), pa.array(names, pa.int64()), pa.array(spans, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))], ["doc_id", "key", "spans"])
 
     return locate
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, spans): word ranges [lo, hi) covered by windows that start in an earlier document.
+def later_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, key) of the rows of docs (doc_id, key, text) whose text a document with a smaller id has too."""
+    ids = docs.select("doc_id", "key", F.xxhash64(F.lit(1), "text").alias("other"))
+    groups = ids.groupBy("key", "other").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    held = materialise(groups.filter("most > least").select("key", "other", "least"))
+    return ids.join(held, ["key", "other"]).filter("doc_id > least").select("doc_id", "key").distinct()
+
 
-    docs has doc_id long and text string. Rows with a null doc_id or text have no words.
+def repeated_spans(docs: DataFrame, copies: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(doc_id, key, spans): word ranges [lo, hi) covered by windows that start in an earlier document.
+
+    docs has doc_id, key and text without nulls; copies, which are left out, are rows of later_copies.
     Documents without such a range have no row.
     """
-    small_batches(docs)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     blocks = common.blocks_for(docs.count(), BLOCK)
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")
-    anchors = docs.mapInArrow(_anchor_rows(window, gram), "h long, doc_id long")
-    recurring = anchors.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1").select("h")  # once per document
-    hits = anchors.join(recurring, "h").select("doc_id", "h", block)
-    runs = materialise(
-        docs.select("doc_id", "text").mapInArrow(_packed, "doc_id long, text binary").select("doc_id", "text", block).groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(_runs_of(window, gram), RUNS)
-    )
-    held = runs.select("doc_id", "words").mapInArrow(_window_rows(window), "doc_id long, w long")
-    first = held.groupBy("w").agg(F.min("doc_id").alias("source"), F.count("*").alias("times")).filter("times > 1").select("w", "source")
-    needed = held.join(first, "w").filter("doc_id > source").select(block, "source").distinct()
-    phrases = needed.join(runs.select(F.col("doc_id").alias("source"), "words"), "source").select("block", "source", "words")
-    return runs.select("doc_id", "start", "words", block).groupBy("block").cogroup(phrases.groupBy("block")).applyInArrow(_spans_of(window), SPANS)
-
-
-def _kept(columns: list[str]):
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
+    anchors = docs.select("doc_id", "text").mapInArrow(_anchor_rows(window, gram), "dest long, h long, doc_id long, state byte")
+    hits = anchors.repartition("dest").sortWithinPartitions("h").mapInArrow(_recurring, "doc_id long, h long")
+    hits = hits.select("doc_id", "h", F.lit(None).cast("long").alias("key")).union(copies.select("doc_id", F.lit(None).cast("long"), "key")).withColumn("block", block)
+    packed = docs.mapInArrow(_packed, "doc_id long, key long, text binary").withColumn("block", block)
+    pieces = materialise(packed.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(_pieces_of(window, gram), PIECES))
+    windows = pieces.select("doc_id", "piece", "words").mapInArrow(_window_rows(window), "dest long, w long, doc_id long, at long, source long, source_at long")
+    asked = windows.repartition("dest").sortWithinPartitions("w", "doc_id").mapInArrow(_requests, "block long, source long, source_at long")
+    bit = F.col("source_at").bitwiseAND(F.lit(PIECE - 1))
+    masks = asked.groupBy("block", "source", (F.col("source_at") - bit).alias("piece")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(source_at & {PIECE - 1} as int))")).alias("mask"))
+    phrases = masks.withColumnRenamed("block", "_block").join(pieces.select(F.col("doc_id").alias("source"), "piece", "words"), ["source", "piece"]).select(F.col("_block").cast("int").alias("block"), "source", "mask", "words")
+    return pieces.select("block", "doc_id", "key", "start", "words").groupBy("block").cogroup(phrases.groupBy("block")).applyInArrow(_spans_of(window), SPANS)
+
+
+#: Columns that remove_repeats adds.
+NEW = ["n_words", "n_removed", "kept_text"]
+
+
+def _kept(columns: list[str], window: int):
     def rows(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in slices(batches):
             n_words, n_removed, kept = [], [], []
-            for text, spans in zip(as_bytes(batch.column("_text")), batch.column("_spans").to_pylist(), strict=True):
-                words = (text or b"").split()
+            for packed, spans, copy in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), batch.column("copy").to_pylist(), strict=True):
+                words = unpack(packed).split() if packed else []
                 keep = np.ones(len(words), dtype=bool)
+                if copy and len(words) >= window:
+                    keep[:] = False
                 for span in spans or ():
                     keep[span["lo"] : span["hi"]] = False
                 n_words.append(len(words))
@@ -181,22 +349,28 @@ def _kept(columns: list[str]):
     return rows
 
 
-#: Columns that remove_repeats adds.
-NEW = ["n_words", "n_removed", "kept_text"]
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (doc_id if not given), n_words, n_removed and kept_text for every row.
 
     A word is removed if a window of ``window`` words that covers it also starts in a document
     with a smaller doc_id, judged on the input. kept_text joins the words left by one space.
-    Null and empty texts have no words and an empty kept_text; rows with a null doc_id keep all
-    words. doc_id identifies a document: rows that share one must share their text, and each gets
-    its words removed. Kept columns named like the new ones are replaced.
+    Null and empty texts and those shorter than a window lose nothing; an empty kept_text stands
+    for no words. Rows with a null doc_id keep all words. Every row is judged by its own text: of
+    rows that share a doc_id none is earlier than the other, be their texts equal or not, and each
+    gets its own words removed. Windows are told apart by 64-bit hashes before the automata
+    confirm them word by word. Kept columns named like the new ones are replaced; other names
+    and columns do not matter.
     """
+    small_batches(docs)
     kept = [c for c in keep or ["doc_id"] if c not in NEW]
-    spans = repeated_spans(docs, window, gram).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    own = docs.select(*kept, F.col("text").cast("string").alias("_text"), F.col("doc_id").cast("long").alias("_doc"))
-    joined = own.join(spans, F.col("_doc") == F.col("_id"), "left").select(*kept, "_text", "_spans")
+    names = [f"k{n}" for n in range(len(kept))]
+    text = F.col("text").cast("string")
+    own = docs.select(*own_names(docs, kept), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    judged = own.select("doc_id", "key", "text").filter("doc_id is not null and text is not null")
+    copies = materialise(later_copies(judged))
+    spans = repeated_spans(judged, copies, window, gram).select("doc_id", "key", "spans", F.lit(False).alias("copy"))
+    marks = spans.union(copies.select("doc_id", "key", F.lit(None).cast(spans.schema["spans"].dataType), F.lit(True))).withColumnsRenamed({"doc_id": "_id", "key": "_key"})
+    packed = own.mapInArrow(_packed, T.StructType([*own.schema.fields[:-1], T.StructField("text", T.BinaryType())]))
+    joined = packed.join(marks, (F.col("doc_id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left").select(*names, "text", "spans", "copy")
     schema = T.StructType([*joined.schema.fields[: len(kept)], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return joined.mapInArrow(_kept(kept), schema)
+    return joined.mapInArrow(_kept(names, window), schema).toDF(*kept, *NEW)

@@ -152,3 +152,30 @@ def test_components(spark):
     got = dict(map(tuple, connected_components(spark.createDataFrame(chain, "a long, b long")).collect()))
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, b), (3, a), (4, " ".join(["x"] * 14)), (4, f"{b} z")]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in s.remove_repeats(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == [(1, 30, 0), (2, 30, 0), (2, 30, 0), (2, 30, 30), (3, 30, 30), (3, 30, 30), (4, 14, 0), (4, 31, 30)]
+
+
+def test_joining_rows_before_they_are_dealt_changes_nothing(spark, monkeypatch):
+    """The steps by hand, with units and automata of a few rows and pieces over many batches."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(s, "UNIT", 40)
+    monkeypatch.setattr(s, "SHARD", 5)
+    rows = [r for r in texts(6) if r[1]]
+    batches = [pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows[k : k + 5]], pa.int64()), pa.array([t for _, t in rows[k : k + 5]])], ["doc_id", "text"]) for k in range(0, len(rows), 5)]
+    dealt = pa.Table.from_batches(s._anchor_rows(13, 5)(batches)).sort_by("h")
+    found = pa.Table.from_batches(s._recurring(dealt.to_batches(max_chunksize=7)))
+    held = {}
+    for doc, text in rows:
+        for h in set(s.signed(s.window_minima(s.word_hashes(text.encode().split()), 13, 5)).tolist()):
+            held.setdefault(h, set()).add(doc)
+    assert set(zip(found["doc_id"].to_pylist(), found["h"].to_pylist())) == {(d, h) for h, docs in held.items() if len(docs) > 1 for d in docs}
+    phrases = [(1, b"a b c d", 0b11), (2, b"b c d e", 0b11), (0, b"c d e", 0b1)]
+    automata = list(s.automata(iter(phrases), 3))
+    assert sorted(source for codes, machine in automata for _, source in machine.iter("".join(map(codes.__getitem__, b"x a b c d e".split())))) == [0, 1, 1]
