@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dexspark.llm.common import slices, small_batches
+from dexspark.llm.common import no_cycles, slices, small_batches
 
 #: Stored states and stored words before a store starts anew, longest stored word, bytes between emissions.
 STATES, WORDS, STORED, EMIT = 300_000, 250_000, 48, 4096
@@ -252,7 +252,8 @@ def _rows(path: str, pattern: str, decoded: bool):
     def rows(batches):
         machine = _transducer(path, pattern)
         for batch in slices(batches, 128):
-            ids = [machine.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
+            with no_cycles():
+                ids = [machine.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
             columns = [batch.column(0), pa.array(ids, pa.binary())]
             if decoded:
                 columns.append(pa.array(["".join(machine.decode(x[at : at + 4 * CHUNK] for at in range(0, len(x), 4 * CHUNK))) for x in ids], pa.string()))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -81,6 +83,18 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+@contextmanager
+def no_cycles() -> Iterator[None]:
+    """While a task fills a store of many small dictionaries without cycles, searching it for cycles is half of the work."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in a row, and the place of the text that each word is from."""
     split = [(t or b"").split() for t in texts]
