@@ -6,7 +6,8 @@ trie node, and the node where a pre-token ends stores its count of tokens. Docum
 up the counts of their pre-tokens.
 
 Each Python worker keeps one trie over all its tasks and starts it anew at NODES nodes, so
-its memory is bounded and nothing is shuffled. The vocabulary is a public piece list in order
+its memory is bounded and nothing is shuffled. Pre-tokens of more than 64 characters take the
+same steps beside the trie, which they would only fill. The vocabulary is a public piece list in order
 of frequency; the log probability of the piece of rank r follows Zipf's law, -ln(r + 1) less
 the log of the harmonic sum. Characters without a piece are spelled in byte pieces.
 """
@@ -20,7 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dexspark.llm.common import slices, small_batches
+from dexspark.llm.common import no_cycles, slices, small_batches
 
 #: Mark of a pre-token's start, nodes and words that a worker stores.
 START, NODES, WORDS = "▁", 500_000, 300_000
@@ -38,69 +39,78 @@ def load_scores(path: str) -> tuple[dict[str, float], float]:
 class Trie:
     """Trie of pre-tokens with the forward scores of the unigram model.
 
-    A node is the dictionary of its children by character; under BEST it has the best log
-    score of its prefix and the tokens that score takes.
+    A node is the dictionary of its children by character; under BEST it has the best log score
+    of its prefix with the tokens it takes, counted down from 0, so that the greater pair is the
+    better one. ``ends`` holds the pieces from their last character back, so that a new node
+    meets only pieces that end at it.
     """
 
     BEST = 0
 
     def __init__(self, scores: dict[str, float], byte: float):
-        self.scores, self.byte = scores, byte
-        self.longest = max(map(len, scores), default=1)
+        self.byte, self.longest = byte, max(map(len, scores), default=1)
+        self.ends: dict = {}
+        for piece, score in scores.items():
+            node = self.ends
+            for letter in reversed(piece):
+                node = node.setdefault(letter, {})
+            node[self.BEST] = score
+        #: Tokens of pre-tokens met lately, and of those met before them: two generations keep the frequent ones.
+        self.counts: dict[str, int] = {}
+        self.older: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
         self.root: dict = {self.BEST: (0.0, 0)}
         self.nodes = 0
-        self.counts: dict[str, int] = {}
 
-    def forward(self, word: str, path: list[dict]) -> dict:
-        """Add the node of the next character of word below path."""
-        end = len(path)
-        size = len(word[end - 1].encode())
-        below, tokens = path[-1][self.BEST]
-        best = below + size * self.byte, tokens + size
-        get = self.scores.get
-        for start in range(max(0, end - self.longest), end):
-            score = get(word[start:end])
-            if score is not None:
-                below, tokens = path[start][self.BEST]
-                here = below + score, tokens + 1
-                if here[0] > best[0] or here[0] == best[0] and here[1] < best[1]:
-                    best = here
-        node = path[-1][word[end - 1]] = {self.BEST: best}
-        self.nodes += 1
-        return node
+    def best(self, text: str, end: int, below: list[tuple[float, int]]) -> tuple[float, int]:
+        """Score of the first ``end`` characters from those of all shorter prefixes, the nearest last."""
+        letter, (score, tokens) = text[end - 1], below[-1]
+        size = 1 if letter < "\x80" else len(letter.encode())
+        out, node = (score + size * self.byte, tokens - size), self.ends
+        for back in range(1, len(below) + 1):
+            node = node.get(text[end - back])
+            if node is None:
+                break
+            if self.BEST in node:
+                score, tokens = below[-back]
+                if (here := (score + node[self.BEST], tokens - 1)) > out:
+                    out = here
+        return out
 
     def count(self, word: str) -> int:
         """Tokens of a pre-token, from its terminal node."""
-        if self.nodes > NODES or len(self.counts) > WORDS:
+        found = self.older.get(word)
+        if found is None:
+            found = self.long_count(word) if len(word) > 64 else self.walk(word)
+        if len(word) <= 64:
+            if len(self.counts) > WORDS:
+                self.counts, self.older = {}, self.counts
+            self.counts[word] = found
+        return found
+
+    def walk(self, word: str) -> int:
+        if self.nodes > NODES:
             self.clear()
-        if len(word) > 64:
-            return self.long_count(word)
-        text, path = START + word, [self.root]
-        for letter in text:
-            path.append(path[-1].get(letter) or self.forward(text, path))
-        self.counts[word] = out = path[-1][self.BEST][1]
-        return out
+        text, node, held = START + word, self.root, [self.root[self.BEST]]
+        for end, letter in enumerate(text, 1):
+            below = node.get(letter)
+            if below is None:
+                below = node[letter] = {self.BEST: self.best(text, end, held)}
+                self.nodes += 1
+            node = below
+            held.append(node[self.BEST])
+        return -held[-1][1]
 
     def long_count(self, word: str) -> int:
         """The same steps for a pre-token too long to store, over a window of scores."""
-        text, window = START + word, [(0.0, 0)]
+        text, held = START + word, [(0.0, 0)]
         for end in range(1, len(text) + 1):
-            size = len(text[end - 1].encode())
-            best = window[-1][0] + size * self.byte, window[-1][1] + size
-            low = end - len(window)
-            for start in range(low, end):
-                score = self.scores.get(text[start:end])
-                if score is not None:
-                    below, tokens = window[start - low]
-                    if below + score > best[0] or below + score == best[0] and tokens + 1 < best[1]:
-                        best = below + score, tokens + 1
-            window.append(best)
-            if len(window) > self.longest:
-                del window[0]
-        return window[-1][1]
+            held.append(self.best(text, end, held))
+            if len(held) > self.longest:
+                del held[0]
+        return -held[-1][1]
 
     def total(self, text: str) -> int:
         words = text.split()
@@ -121,7 +131,8 @@ def _rows(path: str):
             _LOADED[path] = Trie(*load_scores(path))
         trie = _LOADED[path]
         for batch in slices(batches):
-            counts = [trie.total(t) if t else 0 for t in batch.column(1).to_pylist()]
+            with no_cycles():
+                counts = [trie.total(t) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
 
     return rows
@@ -131,8 +142,9 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens) for every row of docs (doc_id, text).
 
     Pre-tokens are separated by Unicode white space. Of equal scores the one with fewer tokens
-    counts. Null and blank texts have 0 tokens. path names a piece model that every executor
-    can read. Other columns are ignored.
+    counts. Null and blank texts have 0 tokens; an empty table gives an empty one. Repeated rows
+    are counted each. A text is read whole however long it is. path names a piece model that
+    every executor can read. Other columns are ignored.
     """
     small_batches(docs)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -283,3 +283,9 @@ def test_urls_without_rules_or_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.com/"), (1, "http://a.com/")], "page_id long, url string")
     assert [tuple(r) for r in url_filters.judge(pages, none).collect()] == [(1, "a.com", "/", None, "allow")] * 2
     assert url_filters.judge(pages.limit(0), spark.createDataFrame([("com/", "block")], none.schema)).count() == 0
+
+
+def test_token_counts_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, n_tokens string")
+    got = token_counts.count_tokens(empty, public_tokenizers.path(registry.PIECES))
+    assert got.columns == ["doc_id", "n_tokens"] and got.count() == 0
