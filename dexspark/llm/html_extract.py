@@ -1,28 +1,31 @@
 """Main text of web pages by consensus paths of their hosts.
 
 Method: every page's containers are scored by all text below them, less links and a cost for
-every known frame of a page (menus, notices, forms) below them; frames' text is left out.
-An element that looks like a frame but holds most of the page's text is none. So text dealt to sibling containers is won by the container around them. Those around the text
-lose a share: all above the lowest that holds the first h1 and half of the page's text, and
-body where no h1 tells. A container votes with its score for
-its generalised path, the tag-class names from the root with digits taken out. Spark sums the
-votes per host in two steps, so that a host with a third of all pages is summed by many tasks
-first, and keeps the path with most votes. Every page is then read again: the containers of
-its host's winning path give the text, and a page without one falls back on its own best path.
+every known frame of a page (menus, notices, forms) below them; frames' text is left out. An
+element that looks like a frame but holds most of the page's text is none. So text dealt to
+sibling containers is won by the container around them. Those around the text lose a share:
+all above the lowest that holds the first h1 and half of the page's text, and body where no h1
+tells. A container votes with its score for its generalised path, the tag-class names from the
+root with digits taken out. Spark sums the votes per host in two steps, so that a host with a
+third of all pages is summed by many tasks first, and keeps the path with most votes. Every
+page is then read again: the containers of its host's winning path give the text, and a page
+without one falls back on its own best path.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dexspark.llm.common import slices, small_batches
+from dexspark.llm.common import materialise, slices, small_batches
+from dexspark.llm.url_filters import host_and_path
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 CLASS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -30,14 +33,14 @@ SPACE = re.compile(r"\s+")
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math xmp noembed noframes".split())
+RAW = frozenset("script style textarea title noscript iframe template svg annotation annotation-xml xmp noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINER = frozenset("article body center details div main section table td".split())
 #: Frames by their name; those of the first list never hold the text.
-HARD = frozenset("button footer head menu nav select script style textarea title noscript iframe template svg math xmp noembed noframes".split())
+HARD = frozenset("button footer head menu nav select script style textarea title noscript iframe template svg annotation annotation-xml xmp noembed noframes".split())
 FRAME = HARD | frozenset("aside dialog form header".split())
 CLOSES_P = BLOCK - {"li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "body", "html", "legend", "summary"}
 #: Elements that only a whole class, id or role marks as a frame; headings are none.
@@ -46,15 +49,25 @@ HEADING = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Names that tell of a frame elsewhere, or of the head of a text.
 ELSEWHERE = re.compile(r"(?:^|[-_])(?:has|no|not|with|without)[-_]|[-_](?:open|closed|enabled|disabled)$")
 TEXT_HEAD = re.compile(r"(?:article|blog|content|entry|news|page|post|single|story)[-_]+header")
-#: Words of a class, id or role that mark a frame of a page.
-FRAME_WORD = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|header|masthead|menu|modal|nav\w*|newsletter|notices?|pagination|"
-    r"popup|promo\w*|related|replies|reply|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget\w*|navigation|complementary|contentinfo|search)(?:$|[^a-z])"
+#: Words of a class, id or role that mark a frame of a page, alone or with words of layout (``site-header``, not ``share-price``).
+FRAME_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar "
+    "navigation newsletter notice notices pagination popup promo promos promotion promoted related replies reply share sharing sidebar social sponsor sponsored sponsors subscribe "
+    "toolbar widget widgets complementary contentinfo search".split()
 )
-#: The same for an article or main element, which a site may well name after its parts.
-FRAME_MAIN = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|comments?|promo\w*|related|replies|reply|sponsor\w*)(?:$|[^a-z])")
+LAYOUT_WORDS = frozenset(
+    "action actions alert and area article articles aside bar block blocks body bottom box btn button buttons cell col column columns container content desktop dialog extra first fixed float "
+    "form global group holder icon icons inline inner item items label last layer left lightbox link links list lower main media mobile module note outer overlay page pane panel post posts "
+    "primary rail region right root row secondary section sections side signup site slot small sticky stories story strip sub tab tabs text the title top unit upper user view wrap wrapper "
+    "wrapping zone".split()
+)
+#: Those of FRAME_WORDS that mark a frame of an article or main element itself, which a site may well name after its parts.
+MAIN_WORDS = frozenset("ad ads advert adverts advertisement comment comments promo promos related replies reply sponsor sponsored sponsors".split())
+#: Those that are parts of a text where they stand inside an article or main element.
+TEXT_WORDS = frozenset("menu modal search toolbar widget widgets".split())
 #: Remarks of readers, which may be longer than the text.
-REMARK = re.compile(r"(?:^|[^a-z])(?:comments?|disqus|replies|reply)(?:$|[^a-z])")
+REMARK_WORDS = frozenset("comment comments disqus replies reply".split())
+PARTS_OF_NAME = re.compile(r"[a-z]+")
 #: What kind of frame an element is; a frame of a soft kind is none with these shares of the page's text, in article or main and at all.
 NONE, SOFT, REMARKS, NEVER = range(4)
 MAIN_SHARE, TEXT_SHARE = 0.5, 0.8
@@ -62,32 +75,48 @@ MAIN_SHARE, TEXT_SHARE = 0.5, 0.8
 MAIN = {"article": 5, "main": 4}
 #: Characters that a frame below a container costs it; share of its score left to one that is around the text.
 FRAME_COST, AROUND = 25, 0.6
-#: Tasks that the pages of one host are dealt to at most.
-PARTS = 64
+#: Bytes of all winning paths up to which they are sent to every task; beyond, pages are dealt to PARTS parts of their host.
+BROADCAST, PARTS = 32 << 20, 64
+#: Characters of a path from which on the elements above are named by a hash.
+PATH = 256
 #: A tag whose quotes do not match.
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
+#: Elements that bound the search for a paragraph to close, and for an item.
+KEEPS_P, LISTS = CONTAINER | {"li", "blockquote"}, ("ul", "ol", "dl", "menu", "table", "select")
+SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
-    """An open element: its name, generalised path, the innermost frame it is or lies in, and the blocks in it if it is a container."""
+    """An element: its generalised path, the innermost frame and main element that it is or lies in, and what it spans.
+
+    blocks, links and frames of an element are intervals of what the page has counted, so that
+    nothing is stored once per ancestor.
+    """
 
     name: str
     path: str
-    frame: Node | None
-    holder: Node | None
+    above: Node | None
+    frame: Node | None = None
+    holder: Node | None = None
     main: Node | None = None
-    depth: int = 0
     kind: int = NONE
-    above: Node | None = None
     never: bool = False
-    titled: bool = False
+    #: Places in the stack of open elements: its own, of the next block, of the next element that keeps paragraphs.
+    place: int = 0
+    block: int = 0
+    keeps: int = 0
+    #: Blocks, elements, text and h1 met before it opened and when it closed.
+    first: int = 0
+    end: int = 0
+    order: int = 0
+    last: int = 0
     text: int = 0
+    titles: int = 0
     main_text: int = 0
     hides: bool = False
-    blocks: list[str] = field(default_factory=list)
-    links: int = 0
     size: int = 0
+    links: int = 0
     frames: int = 0
     around: bool = False
 
@@ -95,179 +124,220 @@ class Node:
         return self.frame is not None and self.frame.hides
 
 
-def framed(tag: str, words: list[str]) -> int:
+def frame_word(name: str) -> str | None:
+    """The word that makes a name one of a frame: all its other parts are words of layout."""
+    parts = PARTS_OF_NAME.findall(name)
+    told = next((p for p in parts if p in FRAME_WORDS), None)
+    return told if told and all(p in FRAME_WORDS or p in LAYOUT_WORDS for p in parts) else None
+
+
+def framed(tag: str, words: list[str], inside: bool = False) -> int:
     """The kind of frame that an element is by its name and by the names in its class, id and role."""
     if tag in HARD:
         return NEVER
-    told = [w for w in words if not ELSEWHERE.search(w)]
+    if not words:
+        return SOFT if tag in FRAME else NONE
+    names = [w for w in words if not ELSEWHERE.search(w)]
+    told = [w for w in map(frame_word, names) if w]
     if tag in MAIN:
-        return REMARKS if any(FRAME_MAIN.search(w) for w in told) else NONE
-    if tag in HEADING or tag in ("html", "body"):
+        return REMARKS if any(w in MAIN_WORDS for w in told) else NONE
+    if tag in HEADING or tag in ("html", "body") or any(TEXT_HEAD.fullmatch(w) for w in names):
         return NONE
-    if any(TEXT_HEAD.fullmatch(w) for w in told):
-        return NONE
-    fits = FRAME_WORD.fullmatch if tag in SMALL else FRAME_WORD.search
-    told = [w for w in told if fits(w)]
-    if any(REMARK.search(w) for w in told):
+    if tag in SMALL:
+        told = [w for w in names if w in FRAME_WORDS]
+    if any(w in REMARK_WORDS for w in told):
         return REMARKS
+    told = [w for w in told if not (inside and w in TEXT_WORDS)]
     return SOFT if told or tag in FRAME else NONE
 
 
-def named(tag: str, attributes: str) -> tuple[str, int]:
+def named(tag: str, attributes: str, inside: bool = False) -> tuple[str, int]:
     """The generalised tag-class name of an element, and what kind of frame of the page it is."""
     found = CLASS.findall(attributes) if attributes else []
+    if not found:
+        return tag, framed(tag, [])
     words = " ".join(a or b or c for _, a, b, c in found).lower().split()
     classes = next((a or b or c for kind, a, b, c in found if kind.lower() == "class"), "")
-    general = ".".join(sorted(set(re.sub(r"\d+", "#", classes.lower()).split())))
-    return (f"{tag}.{general}" if general else tag), framed(tag, words)
-
-
-def containers(html: str) -> Iterator[tuple[Node, bool]]:
-    """Containers of a page outside frames in page order, with their text blocks, each with True.
-
-    A block belongs to the nearest container and to all containers around it.
-    """
-    root = Node("#page", "", None, None)
-    stack, held, frames, titles = [root], [root], [], []
-    # a run is a piece of a block in one frame: the frame, the owner, its texts, characters in links
-    runs: list[list] = []
-    blocks: list[list[list]] = []
-    in_link, total = 0, 0
-
-    def add(piece: str) -> None:
-        nonlocal total
-        top = stack[-1]
+    general = ".".join(sorted(set(re.sub(r"\d+", "#", classes.lower()).split())))[:PATH]
+    return (f"{tag}.{general}" if general else tag), framed(tag, words, inside)
+
+
+class Page:
+    """The elements of a page that can hold its text, and its text blocks, in page order."""
+
+    def __init__(self, html: str):
+        self.root = Node("#page", "", None)
+        self.held, self.frames, self.titles = [self.root], [], []
+        #: A block is its runs, pieces in one frame each: the frame, texts, characters in links.
+        self.raw: list[list[list]] = []
+        self.runs: list[list] = []
+        self.stack, self.open = [self.root], {}
+        self.count = self.total = self.headings = 0
+        self.parse(html)
+        self.close(1)
+        self.root.end, self.root.last = len(self.raw), self.count
+        self.judge()
+
+    def add(self, piece: str) -> None:
+        top = self.stack[-1]
         if top.never:
             return
-        if not runs or runs[-1][0] is not top.frame:
-            runs.append([top.frame, top if top.name in CONTAINER or top is root else top.holder, [], 0])
-        runs[-1][2].append(piece)
-        if in_link:
-            runs[-1][3] += len(piece) if not any(n.name == "h1" for n in stack) else 0  # a title may link to its own page
+        if not self.runs or self.runs[-1][0] is not top.frame:
+            self.runs.append([top.frame, [], 0])
+        self.runs[-1][1].append(piece)
+        if self.open.get("a"):
+            self.runs[-1][2] += 0 if self.open.get("h1") else len(piece)  # a title may link to its own page
+        else:
+            self.total += len(piece.strip())
+
+    def flush(self) -> None:
+        if self.runs:
+            self.raw.append(self.runs)
+            self.runs = []
+
+    def close(self, place: int) -> None:
+        """Take the elements from a place on off the stack."""
+        for node in reversed(self.stack[place:]):
+            self.open[node.name].pop()
+            node.end, node.last, node.text, node.titles = len(self.raw), self.count, self.total - node.text, self.headings - node.titles
+            outer = node.above.main
+            if node.main is node:
+                # an outermost main element below a frame
+                frame = node.frame
+                if frame is not None and (outer is None or frame.place > outer.place):
+                    frame.main_text += node.text
+            if node.frame is node and (up := node.above.frame) is not None and node.main is up.main:
+                up.main_text += node.main_text
+        del self.stack[place:]
+
+    def parse(self, html: str) -> None:
+        end = 0
+        while found := TOKEN.match(html, end):
+            if found.group(0) == "<":
+                found = LOOSE.match(html, end) or found
+            end = found.end()
+            tag = found.group(2) if found.re is LOOSE or found.group(0) != "<" else None
+            if tag is None:
+                piece = found.group(0)
+                if piece[0] != "<" or piece == "<":
+                    if not self.stack[-1].never:
+                        self.add(unescape(piece))
+                elif piece.startswith("<![CDATA["):
+                    self.add(piece[9:].removesuffix("]]>"))
+                continue
+            tag = tag.lower()
+            if found.group(1):
+                self.ended(tag)
+            elif tag in VOID:
+                if tag == "br" and self.runs:
+                    self.runs[-1][1].append(" ")
+                elif tag == "hr":
+                    self.flush()
+            elif tag in RAW:
+                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, end)
+                end = close.end() if close else len(html)
+            else:
+                self.begun(tag, found.group(3))
+        self.flush()
+
+    def ended(self, tag: str) -> None:
+        places = self.open.get(tag)
+        if not places:
+            if tag == "p":
+                self.flush()
             return
-        size = len(piece.strip())
-        total += size
-        at = top.frame
-        while at is not None:
-            at.text += size
-            at.main_text += size if top.main is not None and top.main.depth > at.depth else 0
-            at = at.above
-
-    def flush() -> None:
-        if runs:
-            blocks.append(runs.copy())
-            runs.clear()
-
-    end = 0
-    while found := TOKEN.match(html, end):
-        if found.group(0) == "<":
-            found = LOOSE.match(html, end) or found
-        end = found.end()
-        tag = found.group(2) if found.re is LOOSE or found.group(0) != "<" else None
-        if tag is None:
-            piece = found.group(0)
-            if piece[0] != "<" or piece == "<":
-                if not stack[-1].never:
-                    add(unescape(piece))
-            elif piece.startswith("<![CDATA["):
-                add(piece[9:].removesuffix("]]>"))
-            continue
-        tag = tag.lower()
-        if found.group(1):
-            if tag == "a":
-                in_link = max(0, in_link - 1)
-            if tag == "p" and not any(n.name == "p" for n in stack):
-                flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == tag:
-                    if tag in BLOCK or any(n.name in BLOCK for n in stack[k:]):
-                        flush()
-                    del stack[k:]
-                    break
-                if tag not in BLOCK and stack[k].name in BLOCK:
-                    break  # a stray end of an inline element does not close blocks
-            continue
-        if tag in VOID:
-            if tag == "br":
-                if runs:
-                    runs[-1][2].append(" ")
-            elif tag == "hr":
-                flush()
-            continue
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, end)
-            end = close.end() if close else len(html)
-            continue
+        if tag not in BLOCK and places[-1] < self.stack[-1].block:
+            return  # a stray end of an inline element does not close blocks
+        if self.stack[-1].block >= places[-1]:
+            self.flush()
+        self.close(places[-1])
+
+    def begun(self, tag: str, attributes: str) -> None:
         if tag in BLOCK:
-            flush()
+            self.flush()
             # what the standard closes by itself
+            at = -1
             if tag in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name == "p":
-                        del stack[k:]
-                        break
-                    if stack[k].name in CONTAINER or stack[k].name in ("li", "blockquote"):
-                        break
-            elif tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
-                same = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name in same:
-                        del stack[k:]
-                        break
-                    if stack[k].name in ("ul", "ol", "dl", "menu", "table", "select"):
-                        break
-        if tag == "a":
-            in_link += 1
-        name, kind = named(tag, found.group(3))
-        above = stack[-1]
-        holder = above if above.name in CONTAINER or above is root else above.holder
-        path = f"{above.path}/{name}" if tag in BLOCK else above.path
-        if tag == "header" and any(n.name in MAIN for n in stack):
+                at = self.open["p"][-1] if self.open.get("p") else -1
+                at = at if at > self.stack[-1].keeps else -1
+            elif tag in SAME:
+                at = max((self.open[n][-1] for n in SAME[tag] if self.open.get(n)), default=-1)
+                at = at if at > max((self.open[n][-1] for n in LISTS if self.open.get(n)), default=0) else -1
+            if at > 0:
+                self.close(at)
+        above = self.stack[-1]
+        name, kind = named(tag, attributes, above.main is not None)
+        if tag == "header" and (self.open.get("article") or self.open.get("main")):
             kind = NONE  # the head of an article belongs to it
-        node = Node(tag, path, above.frame, holder, above.main, len(stack), kind, above.frame, above.never or kind == NEVER)
+        path = above.path
+        if tag in BLOCK:
+            path = f"{path}/{name}" if len(path) < PATH else f"#{xxhash.xxh3_64_hexdigest(path.encode())}/{name}"
+        place = len(self.stack)
+        node = Node(tag, path, above, above.frame, above if above.name in CONTAINER or above is self.root else above.holder, above.main, kind, above.never or kind == NEVER, place)
+        node.block = place if tag in BLOCK else above.block
+        node.keeps = place if tag in KEEPS_P else above.keeps
+        self.count += 1
+        node.first, node.order, node.text, node.titles = len(self.raw), self.count, self.total, self.headings
         if tag in MAIN and kind == NONE:
             node.main = node
         if kind != NONE:
             node.frame = node
-            frames.append(node)
+            self.frames.append(node)
         if tag == "h1":
-            titles.append(node)
-            at = node.frame
-            while at is not None:
-                at.titled = True
-                at = at.above
+            self.headings += 1
+            self.titles.append(node)
         if tag in CONTAINER:
-            held.append(node)
-        stack.append(node)
-    flush()
-    for f in frames:
-        much = f.text > 0 and f.text >= TEXT_SHARE * total
-        none = f.kind == SOFT and (much or 0 < MAIN_SHARE * total <= f.main_text) or f.kind == REMARKS and much and f.titled
-        f.hides = not none or f.above is not None and f.above.hides
-        if f.hides and f.name in BLOCK and not (f.above is not None and f.above.hides):
-            at = f.holder
-            while at is not None:
-                at.frames += 1
-                at = at.holder
-    for parts in blocks:
-        parts = [run for run in parts if run[0] is None or not run[0].hides]
-        block = SPACE.sub(" ", "".join("".join(run[2]) for run in parts)).strip()
-        if block:
-            linked = sum(run[3] for run in parts)
-            at = parts[0][1]
-            while at is not None:
-                at.size += len(block)
-                at.links += linked
-                at.blocks.append(block)
-                at = at.holder
-    at = next((n.holder for n in titles if not n.hidden()), None)
-    while at is not None and 2 * at.size < root.size:
-        at = at.holder
-    for n in held:
-        n.around = at is None and n.name in ("#page", "html", "body")
-    while at is not None and (at := at.holder) is not None:
-        at.around = True
-    yield from ((n, True) for n in held if not n.hidden())
+            self.held.append(node)
+        self.stack.append(node)
+        self.open.setdefault(tag, []).append(place)
+
+    def judge(self) -> None:
+        """Tell frames, then what every container holds outside them."""
+        counted = np.zeros(self.count + 2, dtype=np.int64)
+        for f in self.frames:
+            up = f.above.frame
+            much = f.text > 0 and f.text >= TEXT_SHARE * self.total
+            none = f.kind == SOFT and (much or 0 < MAIN_SHARE * self.total <= f.main_text) or f.kind == REMARKS and much and f.titles > 0
+            f.hides = not none or up is not None and up.hides
+            counted[f.order] = f.hides and f.name in BLOCK and not (up is not None and up.hides)
+        self.blocks = []
+        links = []
+        for runs in self.raw:
+            runs = [run for run in runs if run[0] is None or not run[0].hides]
+            self.blocks.append(SPACE.sub(" ", "".join("".join(run[1]) for run in runs)).strip())
+            links.append(sum(run[2] for run in runs) if self.blocks[-1] else 0)
+        sizes, linked, counted = (np.cumsum(np.concatenate(([0], x))) for x in (np.fromiter(map(len, self.blocks), np.int64, len(self.blocks)), np.array(links, dtype=np.int64), counted))
+        for n in self.held:
+            n.size, n.links = int(sizes[n.end] - sizes[n.first]), int(linked[n.end] - linked[n.first])
+            n.frames = int(counted[n.last + 1] - counted[n.order + 1])
+        at = next((n.holder for n in self.titles if not n.hidden()), None)
+        while at is not None and 2 * at.size < self.root.size:
+            at = at.holder
+        for n in self.held:
+            n.around = at is None and n.name in ("#page", "html", "body")
+        while at is not None and (at := at.holder) is not None:
+            at.around = True
+        self.held = [n for n in self.held if not n.hidden()]
+
+    def votes(self) -> dict[str, float]:
+        out: dict[str, float] = {}
+        for node in self.held:
+            if (worth := whole(node)) > 0:
+                out[node.path] = out.get(node.path, 0.0) + worth
+        return out
+
+    def extract(self, path: str | None) -> str:
+        chosen = [n for n in self.held if n.path == path and n.size] if path is not None else []
+        if not chosen:
+            own = self.votes()
+            best = min(own, key=lambda p: (-own[p], -len(p), p), default="")
+            chosen = [n for n in self.held if n.path == best and n.size]
+        out, last = [], -1
+        for n in chosen:
+            if n.order > last:  # else it lies in one before it
+                out.extend(filter(None, self.blocks[n.first : n.end]))
+                last = n.last
+        return "\n".join(out)
 
 
 def score(node: Node) -> float:
@@ -282,15 +352,8 @@ def whole(node: Node) -> float:
 
 
 def votes(html: str | None) -> dict[str, float]:
-    return _votes([n for n, _ in containers(html or "")])
-
-
-def _votes(nodes: list[Node]) -> dict[str, float]:
-    out: dict[str, float] = {}
-    for node in nodes:
-        if (worth := whole(node)) > 0:
-            out[node.path] = out.get(node.path, 0.0) + worth
-    return out
+    """Score of every generalised path of a page."""
+    return Page(html or "").votes()
 
 
 def extract(html: str | None, path: str | None) -> str:
@@ -298,21 +361,7 @@ def extract(html: str | None, path: str | None) -> str:
 
     Where no container has any worth, all text outside frames is taken.
     """
-    nodes = [n for n, _ in containers(html or "")]
-    chosen = [n for n in nodes if n.path == path and n.blocks] if path is not None else []
-    if not chosen:
-        own = _votes(nodes)
-        best = min(own, key=lambda p: (-own[p], -len(p), p), default="")
-        chosen = [n for n in nodes if n.path == best and n.blocks]
-    inside = set()
-    for n in chosen:
-        up = n.holder
-        while up is not None:
-            if any(up is c for c in chosen):
-                inside.add(id(n))
-            up = up.holder
-    chosen = [n for n in chosen if id(n) not in inside]
-    return "\n".join(b for n in chosen for b in n.blocks)
+    return Page(html or "").extract(path)
 
 
 def _vote_rows(batches):
@@ -338,30 +387,35 @@ def _text_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), batch.column("path")], ["page_id", "url", "text", "path"])
 
 
-def host_of(url: str) -> F.Column:
-    return F.lower(F.coalesce(F.regexp_extract(url, r"^[^:]*://([^/?#]*)", 1), F.lit("")))
-
-
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the path with most votes of each host; ties go to the longer, then the first."""
-    votes_ = pages.select(host_of("url").alias("host"), "html").mapInArrow(_vote_rows, "host string, path string, worth double, pages long")
+    """(host, path): the path with most votes of each host; ties go to the longer, then the last."""
+    votes_ = pages.select(host_and_path(F.col("url"))[0].alias("host"), "html").mapInArrow(_vote_rows, "host string, path string, worth double, pages long")
     sums = votes_.groupBy("host", "path").agg(F.sum("worth").alias("worth"))
-    best = Window.partitionBy("host").orderBy(F.desc("worth"), F.desc(F.length("path")), "path")
-    return sums.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select("host", "path")
+    return sums.groupBy("host").agg(F.max(F.struct("worth", F.length("path").alias("size"), "path")).alias("best")).select("host", "best.path")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, path) for every row of pages (page_id, url, html).
 
     text joins the blocks of the main container by a line feed; null or empty html gives an
-    empty text, and a null url belongs to the host of the empty name. path is the winning path
-    of the host, null where no page of it has any text. Other columns are ignored.
+    empty text, and a null url belongs to the host of the empty name, as does one without
+    ``://``. path is the winning path of the host, null where no page of it has any text.
+    Repeated rows vote and are read each on their own. Pages are read whole, and work and memory
+    grow in proportion to a page's length, be its elements never closed. Other columns are
+    ignored.
+
+    Html is not shuffled while the winning paths of all hosts take at most BROADCAST bytes;
+    beyond, pages go to PARTS parts of their host.
     """
     small_batches(pages)
     own = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    # one path per host: repeated for every part, so that the pages of one host go to many tasks
-    paths = winning_paths(own).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<long>")))
-    dealt = own.withColumns({"_host": host_of("url"), "_part": F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS).cast("long"))})
-    return dealt.join(paths, (F.col("_host") == F.col("host")) & (F.col("_part") == F.col("part")), "left").select("page_id", "url", "html", "path").mapInArrow(
-        _text_rows, own.select("page_id", "url").schema.add("text", "string").add("path", "string")
-    )
+    dealt = own.withColumn("_host", host_and_path(F.col("url"))[0])
+    paths = materialise(winning_paths(own))
+    size = paths.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64)).first()[0] or 0
+    if size <= BROADCAST:
+        joined = dealt.join(F.broadcast(paths), F.col("_host") == F.col("host"), "left")
+    else:
+        parts = paths.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<long>")))
+        dealt = dealt.withColumn("_part", F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS).cast("long")))
+        joined = dealt.join(parts, (F.col("_host") == F.col("host")) & (F.col("_part") == F.col("part")), "left")
+    return joined.select("page_id", "url", "html", "path").mapInArrow(_text_rows, own.select("page_id", "url").schema.add("text", "string").add("path", "string"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -237,6 +238,75 @@ def test_frames_that_hold_the_text():
         assert html_extract.extract(around.format(f"<div class=post>{body}{frame}</div>"), None) == want, frame
 
 
+def test_names_that_only_sound_like_frames():
+    keep = "<article><h1>T</h1><div class='share-price'><p>The share price rose.</p></div><section class='widget'><p>A widget.</p></section><p>x <math><mi>y</mi></math></p></article>"
+    assert html_extract.extract(keep, None) == "T\nThe share price rose.\nA widget.\nx y"
+    drop = "<article><h1>T</h1><p>text</p><div class='share-buttons'>s</div><div id='ad-slot-3'>a</div><div class='post-comments-list'>c</div></article>"
+    assert html_extract.extract(drop, None) == "T\ntext"
+
+
+def simple_votes(html):
+    """By an own small tree of a page whose tags all match: a path's worth is its text, with the weight of articles."""
+    out, stack, sizes = Counter(), [("", [])], []
+    for tag, close, text in re.findall(r"<(/?)(\w+)>|([^<]+)", html):
+        if text:
+            sizes.append((len(text), [n for n, _ in stack]))
+        elif tag:
+            stack.pop()
+        else:
+            stack.append((f"{stack[-1][0]}/{close}", close))
+    for size, paths in sizes:
+        for path in paths[1:]:
+            out[path] += size * {"article": 5, "main": 4}.get(path.rsplit("/", 1)[1], 1)
+    top = stack[0][0]
+    return {p: float(v) for p, v in out.items() if p != top}
+
+
+def test_winner_of_a_host_equals_a_plain_count(spark):
+    rng = random.Random(8)
+    tags = ["div", "section", "article"]
+    rows, sums = [], {}
+    for k in range(60):
+        host = rng.choice(["a.com", "B.com", "c.d.com"])
+        parts = "".join(f"<{x}><p>{'w' * rng.randrange(5, 60)}</p></{x}>" for x in rng.choices(tags, k=rng.randrange(1, 4)))
+        html = f"<div>{parts}</div>"
+        rows.append((k, f"http://{host}/p?q#{k}", html))
+        for path, worth in html_extract.votes(html).items():
+            sums.setdefault(host.lower(), Counter())[path] += worth
+        plain = {p: v for p, v in simple_votes(html).items() if not p.endswith("/p")}
+        own = html_extract.votes(html)
+        assert {p: v for p, v in own.items() if p} == plain
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {h: max(s, key=lambda p: (s[p], len(p), p)) for h, s in sums.items()}
+    assert {r.host: r.path for r in html_extract.winning_paths(pages).collect()} == want
+    got = {r.page_id: r.text for r in html_extract.main_text(pages).collect()}
+    for k, url, html in rows:
+        assert got[k] == html_extract.extract(html, want[url.split("/")[2].lower()])
+
+
+def test_pages_are_dealt_where_paths_are_many(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://a.com/", PAGE), (1, "http://a.com/", PAGE), (2, None, PAGE), (3, "x", None)], "page_id long, url string, html string")
+    want = sorted(map(repr, html_extract.main_text(pages).collect()))
+    monkeypatch.setattr(html_extract, "BROADCAST", -1)
+    assert sorted(map(repr, html_extract.main_text(pages).collect())) == want and len(want) == 4
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x", "<table>" + "<tr><td>x</td></tr>" * 50_000 + "</table>", "<b><div>" + "<i>x" * 30_000 + "</b>" * 30_000, "<form><article>x" * 20_000])
+def test_long_and_deep_pages(page):
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    began = time.process_time()
+    read = html_extract.Page(page)
+    votes = read.votes()
+    text = read.extract(max(votes, key=votes.get, default=None))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert text.replace("\n", "").strip("x") == "" and "x" in text
+    assert peak < 150e6 and time.process_time() - began < 60
+
+
 def test_broken_pages_do_not_fail():
     rng = random.Random(3)
     bits = ["<p", "<p>", "</p>", "<div class='", '"', ">", "text", "&amp", "&#x41;", "<!--", "-->", "<b>", "</div>", "<td>", "</table>", "<script>", "</script>", "<a href=x>", "<![CDATA[", "]]>", "<", " "]
