@@ -32,6 +32,13 @@ def own_names(docs: DataFrame, kept: list[str]) -> list[F.Column]:
     return [F.col("`" + name.replace("`", "``") + "`").alias(f"k{n}") for n, name in enumerate(kept)]
 
 
+def beside_text(docs: DataFrame, kept: list[str]) -> tuple[DataFrame, list[str]]:
+    """docs as k0, k1 and so on for the kept columns but text, then text as a string; and the kept columns' names there."""
+    names = ["text" if name == "text" else f"k{n}" for n, name in enumerate(kept)]
+    own = [c for c, n in zip(own_names(docs, kept), names) if n != "text"]
+    return docs.select(*own, F.col("text").cast("string").alias("text")), names
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ below order 0 every byte costs 8 bits. Statistics are frozen after training, so
 length of a text is a sum over its bytes and the shortest code names the language.
 
 Training counts byte grams in Spark over a sample of SAMPLE documents per language (whole
-texts, chosen by a hash of the key). The trees are then flattened: every gram seen in any
+texts of at most LONGEST bytes, chosen by a hash of the key). The trees are then flattened: every gram seen in any
 language gets its cost in all languages, so a text is scored by table lookups.
 """
 
@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dexspark.llm.common import as_bytes, materialise, slices, small_batches
+from dexspark.llm.common import as_bytes, beside_text, materialise, slices, small_batches
 
 #: Longest context in bytes, documents per language that are counted, bytes scored at a time.
 ORDER, SAMPLE, CHUNK = 3, 1000, 1 << 17
+#: Longest text in bytes that is counted, languages at most (every gram has a cost in each), buckets in which ids are ranked first.
+LONGEST, LANGUAGES, BUCKETS = 1 << 18, 64, 64
 #: Spreads (99 % quantile less median) above the median that a text may cost a byte; what one byte alone may cost more,
 #: divided by the root of the length for longer texts; the bound of a language of fewer than LEAST calibration texts, and the
 #: most: bytes written plainly.
@@ -148,16 +150,35 @@ def _gram_rows(order: int):
 
 
 def sampled(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """At most ``sample`` rows of (doc_id, text, lang) per language, by a hash of doc_id."""
-    spread = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    return labelled.filter("lang is not null and text is not null").withColumn("_n", F.row_number().over(spread)).filter(F.col("_n") <= sample).drop("_n")
+    """(lang, doc_id, text) of at most ``sample`` documents per language, the least by a hash of doc_id.
+
+    Only ids are ranked, in buckets of a language first, so no task sees a whole language. The
+    last rank of each language then filters the texts where they are read. Rows without text,
+    language or doc_id and texts of more than LONGEST bytes are not learned from; of rows that share
+    doc_id and language the first text in byte order counts.
+    """
+    spread = F.xxhash64(F.col("doc_id").cast("string"))
+    fine = labelled.filter("lang is not null and doc_id is not null and text is not null").filter(F.octet_length("text") <= LONGEST).select("lang", "doc_id", "text", spread.alias("h"))
+    rank = F.struct("h", "doc_id")
+    ids = fine.select("lang", rank.alias("rank"), F.pmod("h", F.lit(BUCKETS)).alias("bucket"))
+    for keys in (["lang", "bucket"], ["lang"]):
+        best = Window.partitionBy(*keys).orderBy("rank")
+        ids = ids.withColumn("_n", F.dense_rank().over(best)).filter(F.col("_n") <= sample).groupBy("lang", "rank", *keys[1:]).agg(F.lit(0).alias("_n"))
+    last = materialise(ids.groupBy("lang").agg(F.max("rank").alias("last")))
+    if (languages := last.count()) > LANGUAGES:
+        raise ValueError(f"{languages} languages; at most {LANGUAGES} can be learned at once")
+    chosen = fine.join(F.broadcast(last), "lang").filter(rank <= F.col("last"))  # a row per language
+    return chosen.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
 
 
 def train(labelled: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> Model:
-    """Fit the trees; the counts that reach the driver are bounded by the sample's texts."""
+    """Fit the trees; the counts that reach the driver are bounded by the sample's documents and their bytes."""
     small_batches(labelled)
-    few = sampled(labelled.select("doc_id", "text", "lang"), sample).select("lang", "text")
-    counts = few.mapInArrow(_gram_rows(order), "lang string, order int, code long, times long").groupBy("lang", "order", "code").agg(F.sum("times").alias("times"))
+    return _fit(sampled(labelled.select("doc_id", "text", "lang"), sample), order)
+
+
+def _fit(few: DataFrame, order: int) -> Model:
+    counts = few.select("lang", "text").mapInArrow(_gram_rows(order), "lang string, order int, code long, times long").groupBy("lang", "order", "code").agg(F.sum("times").alias("times"))
     got = counts.toArrow()
     lang, level = np.array(got["lang"].to_pylist(), dtype=object), got["order"].to_numpy()
     code, times = got["code"].to_numpy(), got["times"].to_numpy()
@@ -199,11 +220,11 @@ def train_bounded(labelled: DataFrame, order: int = ORDER, sample: int = SAMPLE)
 
     A model of one half of the sample scores the other half, so that no text has been learned.
     """
+    small_batches(labelled)
     few = materialise(sampled(labelled.select("doc_id", "text", "lang"), sample))
     half = F.xxhash64(F.col("doc_id").cast("string"), F.lit("half")) % 2 == 0
     other = few.filter(F.coalesce(~half, F.lit(True))).select("text")
-    small_batches(other)
-    shared = other.sparkSession.sparkContext.broadcast(train(few.filter(half), order, sample))
+    shared = other.sparkSession.sparkContext.broadcast(_fit(few.filter(half), order))
 
     def costs(batches):
         for batch in slices(batches, 64):
@@ -218,7 +239,7 @@ def train_bounded(labelled: DataFrame, order: int = ORDER, sample: int = SAMPLE)
         if len(own) >= LEAST:
             middle = float(np.median(own))
             bounds[one] = min(PLAIN, middle + SPREADS * (float(np.quantile(own, 0.99)) - middle))
-    return train(few, order, sample), bounds
+    return _fit(few, order), bounds
 
 
 def _best(model: Model, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -236,7 +257,7 @@ def _predict(shared, kept: list[str], limits: dict[str, float] | None):
     def rows(batches):
         model: Model = shared.value
         for batch in slices(batches, 64):
-            texts = as_bytes(batch.column("_text"))
+            texts = as_bytes(batch.column("text"))
             lang, score, fits = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
             if model.languages:
                 best, per_byte, sure = _best(model, texts)
@@ -255,19 +276,19 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, limit
 
     score is the posterior probability of the language under equal priors. A text that is null
     or holds no letter, and every text under a model without languages, is ``und`` with score 0.
-    Ties go to the first language in alphabetical order. Whole texts are scored. Kept columns
-    named lang_pred or score are replaced. With the bounds of train_bounded as ``limits`` the column
+    Ties go to the first language in alphabetical order. Whole texts are scored, long ones in
+    chunks. Repeated rows are judged each. Kept columns named lang_pred or score are replaced;
+    other names do not matter. With the bounds of train_bounded as ``limits`` the column
     fits tells whether the text costs no more than its language's bound, which widens for short
     texts: score alone is near 1 for any text, as it compares only the learned languages.
     """
     small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in keep or ["doc_id"] if c not in ("lang_pred", "score", *(["fits"] if limits is not None else []))]
-    own = docs.select(*kept, F.col("text").cast("string").alias("_text"))
-    schema = T.StructType([*own.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    if limits is not None:
-        schema = schema.add("fits", T.BooleanType())
-    return own.mapInArrow(_predict(shared, kept, limits), schema)
+    new = ["lang_pred", "score", *(["fits"] if limits is not None else [])]
+    kept = [c for c in keep or ["doc_id"] if c not in new]
+    own, names = beside_text(docs, kept)
+    schema = T.StructType([own.schema[n] for n in names] + [T.StructField(n, kind) for n, kind in zip(new, (T.StringType(), T.DoubleType(), T.BooleanType()))])
+    return own.mapInArrow(_predict(shared, names, limits), schema).toDF(*kept, *new)
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

@@ -359,3 +359,17 @@ def test_token_counts_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, n_tokens string")
     got = token_counts.count_tokens(empty, public_tokenizers.path(registry.PIECES))
     assert got.columns == ["doc_id", "n_tokens"] and got.count() == 0
+
+
+def test_sample_of_languages_is_ranked_by_id(spark):
+    rows = [(k, "en" if k % 3 else "de", f"text {k}") for k in range(200)] + [(7, "en", "text 7"), (300, None, "x"), (301, "en", None), (None, "en", "x"), (302, "en", "x" * (language_id.LONGEST + 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
+    want = {}
+    for r in sorted((r for r in docs.collect() if r.doc_id is not None and r.doc_id < 300), key=lambda r: (r.h, r.doc_id)):
+        ids = want.setdefault(r.lang, [])
+        if r.doc_id not in ids and len(ids) < 20:
+            ids.append(r.doc_id)
+    got = {}
+    for r in language_id.sampled(docs.drop("h"), 20).collect():
+        got.setdefault(r.lang, []).append(r.doc_id)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
