@@ -9,13 +9,17 @@ from dexspark.llm.common import materialise
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step. edges has (a, b) with a > b."""
+    """One star step. edges has (a, b) with a > b.
+
+    The least neighbours are written first: then both sides of the join are plain exchanges, of
+    which adaptive execution splits the part of a node with very many neighbours.
+    """
     if large:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         out = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        low = edges.groupBy("a").agg(F.min("b").alias("m"))
+        low = materialise(edges.groupBy("a").agg(F.min("b").alias("m")))
         to_low = edges.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         out = to_low.union(low.select("a", F.col("m").alias("b")))
     return out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

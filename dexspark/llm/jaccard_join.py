@@ -3,7 +3,9 @@
 Method: Bayesian candidate pruning. Texts with the same gram set collapse to one class first.
 Bands of MinHash values propose pairs; their values are compared a few at a time and a pair
 is dropped as soon as the posterior probability that its similarity reaches the threshold
-falls below a tolerance. Components of the pairs left are verified exactly, set against set.
+falls below a tolerance. The pairs left give components. Inside a component the same test
+picks pairs, and only texts of pairs that pass are read into sets and verified exactly: so a
+pair is verified once however many bands it shares, and texts are not sent once per band.
 
 No row per pair is ever made: crowded buckets and components are cut into blocks of a fixed
 number of texts, every pair of blocks is one group, and a group returns sums per text and a
@@ -31,6 +33,8 @@ GRAM, THRESHOLD, VALUES, BAND, STEP, TOLERANCE = 5, 0.8, 128, 4, 16, 1e-6
 BLOCK = 256
 #: Odd multipliers of the MinHash functions.
 FACTORS = np.random.default_rng(20260101).integers(0, 2**31, VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: Stands for the set of a text that no pair needs.
+NO_GRAMS = np.empty(0, dtype=np.uint64)
 
 
 def gram_set(text: bytes | None, gram: int = GRAM) -> np.ndarray:
@@ -138,11 +142,11 @@ def _signature_rows(gram: int):
     def rows(batches):
         for batch in slices(batches):
             keys, sigs = [], []
-            for text in as_bytes(batch.column(1)):
+            for text in as_bytes(batch.column("text")):
                 grams = gram_set(text, gram)
                 keys.append(xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None)
                 sigs.append(min_hashes(grams).tobytes() if len(grams) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "copy_key", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "text_key", "copy_key", "sig"])
 
     return rows
 
@@ -201,14 +205,16 @@ def _verify(threshold: float, tolerance: float, gram: int):
 
     def check(batches):
         for t in groups(batches, ["key", "lo", "hi"]):
-            rep, copies = t["rep"].to_numpy(), t["copies"].to_numpy()
+            once = np.sort(np.unique(t["name"].to_numpy(), return_index=True)[1])  # rows can be repeated
+            t = t if len(once) == t.num_rows else t.take(once)
+            name, rep, copies = (t[c].to_numpy() for c in ("name", "rep", "copies"))
             i, j = pairs_of(t["own"].to_numpy(), t["lo"][0] != t["hi"][0])
             kept = survivors(signatures(t["sig"]), i, j, needed)
-            kept = kept[rep[i[kept]] != rep[j[kept]]]
             if not len(kept):
                 continue
-            sets = [gram_set(x, gram) for x in as_bytes(t["text"])]
             i, j = i[kept], j[kept]
+            needs = set(np.concatenate([i, j]).tolist())
+            sets = [gram_set(x, gram) if k in needs else NO_GRAMS for k, x in enumerate(as_bytes(t["text"]))]
             size = np.array([len(s) for s in sets], dtype=np.int64)
             both = overlaps(sets, i, j)
             linked = both >= threshold * (size[i] + size[j] - both) - 1e-9
@@ -218,11 +224,12 @@ def _verify(threshold: float, tolerance: float, gram: int):
             edges = forest(zip(rep[i].tolist(), rep[j].tolist(), strict=True))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(rep[own].tolist() + [a for a, _ in edges], pa.int64()),
+                    pa.array([*name[own].tolist(), *[None] * len(edges)], pa.int64()),
                     pa.array([*links[own].astype(np.int64).tolist(), *[0] * len(edges)], pa.int64()),
-                    pa.array([None] * len(own) + [b for _, b in edges], pa.int64()),
+                    pa.array([*[None] * len(own), *[a for a, _ in edges]], pa.int64()),
+                    pa.array([*[None] * len(own), *[b for _, b in edges]], pa.int64()),
                 ],
-                ["rep", "links", "other"],
+                ["name", "links", "a", "b"],
             )
 
     return check
@@ -248,35 +255,41 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, gram: int = G
     class_id is the least doc_id that such links reach, copy_id the least doc_id with the same
     gram set. Words are separated by ASCII white space and taken unchanged. A text of fewer
     words than a gram is one gram; null and blank texts have no links and are their own class.
-    Rows that share a doc_id fall into one class. Other columns are ignored.
+    Repeated rows count as copies of each other. Rows that share a doc_id but not the text have
+    the links of their own texts and fall into one class. Rows with a null doc_id share the
+    class of their copies and count as a link of none. Other columns are ignored.
     """
     small_batches(docs)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialise(own.mapInArrow(_signature_rows(gram), "doc_id long, copy_key binary, sig binary"))
-    reps = materialise(
-        rows.filter("copy_key is not null and doc_id is not null").groupBy("copy_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("sig").alias("sig"))
-    )
+    text = F.col("text").cast("string")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    rows = materialise(own.mapInArrow(_signature_rows(gram), "doc_id long, text_key long, copy_key binary, sig binary"))
+    first = F.min(F.struct("doc_id", "text_key")).alias("first")
+    held = rows.filter("copy_key is not null and doc_id is not null").groupBy("copy_key").agg(first, F.count("*").alias("copies"), F.max("sig").alias("sig"))
+    # name tells gram sets apart where an id stands for several
+    reps = materialise(held.select("copy_key", F.xxhash64("copy_key").alias("name"), F.col("first.doc_id").alias("rep"), F.col("first.text_key").alias("text_key"), "copies", "sig"))
 
     width = 2 * BAND
     band = F.transform(F.sequence(F.lit(0), F.lit(VALUES // BAND - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * width + 1, F.lit(width))))
-    bands = reps.select("rep", F.explode(band).alias("bucket"))
-    crowded = bands.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    members = bands.join(crowded, "bucket").join(reps.select("rep", "sig"), "rep")
-    edges = in_block_pairs(members, "bucket", "size", "rep").mapInArrow(_candidates(threshold, tolerance), "a long, b long")
+    bands = reps.select("name", F.explode(band).alias("bucket"))
+    crowded = materialise(bands.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"))
+    members = bands.join(crowded, "bucket").join(reps.select("name", "rep", "sig"), "name")
+    edges = in_block_pairs(members, "bucket", "size", "name").mapInArrow(_candidates(threshold, tolerance), "a long, b long")
     parts = materialise(classed(edges))
 
     sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
-    texts = own.join(parts.join(sizes, "component").join(reps.select("rep", "copies", "sig"), F.col("node") == F.col("rep")), F.col("doc_id") == F.col("node"))
-    held = texts.select("component", "size", "rep", "copies", "sig", "text")
-    found = materialise(in_block_pairs(held, "component", "size", "rep").mapInArrow(_verify(threshold, tolerance, gram), "rep long, links long, other long"))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = classed(found.filter("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    chosen = parts.join(sizes, "component").join(reps.select("name", "rep", "text_key", "copies", "sig"), F.col("node") == F.col("rep")).withColumnRenamed("text_key", "_key")
+    texts = own.join(chosen, (F.col("doc_id") == F.col("rep")) & (F.col("text_key") == F.col("_key")))
+    held = texts.select("component", "size", "name", "rep", "copies", "sig", "text")
+    found = materialise(in_block_pairs(held, "component", "size", "name").mapInArrow(_verify(threshold, tolerance, gram), "name long, links long, a long, b long"))
+    links = found.groupBy("name").agg(F.sum("links").alias("links"))
+    classes = classed(found.filter("b is not null").select("a", "b"))
     known = (
-        reps.select("copy_key", "rep", "copies")
-        .join(links, "rep", "left")
+        reps.select("copy_key", "name", "rep", "copies")
+        .join(links, "name", "left")
         .join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left")
         .select("copy_key", F.col("rep").alias("copy_id"), F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
+    known = materialise(known)  # a plain side of the join below, of which a gram set of very many copies can be split
     return rows.select("doc_id", "copy_key").join(known, "copy_key", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )

@@ -128,6 +128,16 @@ def test_near_duplicates_of_hard_inputs(spark):
     assert j.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_rows_that_share_an_id_have_the_links_of_their_texts(spark):
+    words = [f"w{k}" for k in range(60)]
+    a, near = " ".join(words), " ".join([*words[:59], "x"])
+    other, close = " ".join(words[::-1]), " ".join(["y", *words[:0:-1]][:60])
+    rows = [(5, a), (5, a), (7, near), (5, other), (9, close)]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in j.near_duplicates(spark.createDataFrame(rows, DOCS)).collect())
+    links = by_pairs(list(enumerate(t for _, t in rows)))
+    assert got == sorted((d, 5, links[k][1]) for k, (d, _) in enumerate(rows))
+
+
 def test_overlaps_by_matrix_and_by_pair():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 50, 30).astype(np.uint64)) for _ in range(12)]
