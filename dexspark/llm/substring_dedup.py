@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dexspark.llm import common
-from dexspark.llm.common import as_bytes, gram_hashes, hashed_words, materialise, own_names, signed, slices, small_batches, word_hashes
+from dexspark.llm.common import as_bytes, beside_text, gram_hashes, hashed_words, materialise, signed, slices, small_batches, word_hashes
 
 #: Words of a window, of the hashed grams in it, and documents of a block.
 WINDOW, GRAM, BLOCK = 13, 5, 256
@@ -331,8 +331,9 @@ def _kept(columns: list[str], window: int):
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in slices(batches):
             n_words, n_removed, kept = [], [], []
-            for packed, spans, copy in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), batch.column("copy").to_pylist(), strict=True):
-                words = unpack(packed).split() if packed else []
+            texts = [None if t is None else unpack(t) for t in batch.column("text").to_pylist()]
+            for text, spans, copy in zip(texts, batch.column("spans").to_pylist(), batch.column("copy").to_pylist(), strict=True):
+                words = (text or b"").split()
                 keep = np.ones(len(words), dtype=bool)
                 if copy and len(words) >= window:
                     keep[:] = False
@@ -342,7 +343,7 @@ def _kept(columns: list[str], window: int):
                 n_removed.append(int(len(words) - keep.sum()))
                 kept.append(b" ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k) if n_removed[-1] else b" ".join(words))
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in columns], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+                [*[pa.array(texts, pa.binary()).cast(pa.string()) if c == "text" else batch.column(c) for c in columns], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
                 [*columns, *NEW],
             )
 
@@ -363,14 +364,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
     """
     small_batches(docs)
     kept = [c for c in keep or ["doc_id"] if c not in NEW]
-    names = [f"k{n}" for n in range(len(kept))]
-    text = F.col("text").cast("string")
-    own = docs.select(*own_names(docs, kept), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    beside, names = beside_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), [*kept, "doc_id"])
+    own = beside.withColumnRenamed(names.pop(), "doc_id").withColumn("key", F.xxhash64("text"))
+    own = own.select(*[c for c in own.columns if c != "text"], "text")
     judged = own.select("doc_id", "key", "text").filter("doc_id is not null and text is not null")
     copies = materialise(later_copies(judged))
     spans = repeated_spans(judged, copies, window, gram).select("doc_id", "key", "spans", F.lit(False).alias("copy"))
     marks = spans.union(copies.select("doc_id", "key", F.lit(None).cast(spans.schema["spans"].dataType), F.lit(True))).withColumnsRenamed({"doc_id": "_id", "key": "_key"})
     packed = own.mapInArrow(_packed, T.StructType([*own.schema.fields[:-1], T.StructField("text", T.BinaryType())]))
-    joined = packed.join(marks, (F.col("doc_id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left").select(*names, "text", "spans", "copy")
-    schema = T.StructType([*joined.schema.fields[: len(kept)], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+    joined = packed.join(marks, (F.col("doc_id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left").select(*[n for n in names if n != "text"], "text", "spans", "copy")
+    schema = T.StructType([own.schema[n] for n in names] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     return joined.mapInArrow(_kept(names, window), schema).toDF(*kept, *NEW)
