@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import duckdb
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from dexspark.llm import mixing, registry, vector_search
+from dexspark.llm import byte_bpe, language_id, mixing, registry, vector_search
+from tests.llm.test_dedup import by_pairs, removed
 from tests.conftest import SMALL
 
 LEAVES = "p string, q string, tokens long"
@@ -133,19 +137,47 @@ def test_few_or_no_vectors(spark):
     assert vector_search.nearest(docs.limit(0)).count() == vector_search.top_k_products(docs.limit(0)).count() == 0
 
 
-def test_pipeline(spark):
+def test_pipeline_equals_plain_steps(spark):
+    """Every stage's documents against plain Python or SQL over the documents before it."""
+    import hashlib
+
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    at, kept = docs, None
+    at = {r.doc_id: r for r in docs.collect()}
+    got = {}
     for name, stage in corpus_pipeline.STAGES:
-        before = at.count()
-        at = stage(spark, at, SMALL)
+        docs = stage(spark, docs, SMALL).persist()
+        got[name] = {r.doc_id: r for r in docs.collect()}
+        assert docs.count() == len(got[name])
         if name != "byte_bpe":
-            assert at.dtypes == docs.dtypes
-            at = at.persist()
-            assert 0 < at.count() <= before
-        kept = at
-    assert kept.filter("n_tokens is null or ids_sha256 is null").count() == 0
-    assert corpus_pipeline.run(spark, SMALL).count() == kept.count()
+            assert docs.dtypes == spark.read.parquet(f"{SMALL}/documents.parquet").dtypes
+    learned = spark.read.parquet(f"{SMALL}/documents.parquet").filter(~language_id.held_out())
+    model, limits = language_id.train_bounded(learned)
+    kept = {}
+    for doc, row in at.items():
+        text = (row.text or "").encode()
+        bits = model.code_lengths(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]))[0]
+        bound = limits.get(model.languages[int(bits.argmin())], language_id.PLAIN) + language_id.SHORT / max(1, len(text)) ** 0.5
+        if any(c.isalpha() for c in row.text or "") and bits.min() / max(1, len(text)) <= bound:
+            kept[doc] = row
+    assert got["language_id"] == kept
+    classes = by_pairs([(d, r.text) for d, r in kept.items()])
+    kept = {d: r for d, r in kept.items() if classes[d][0] == d}
+    assert got["jaccard_join"] == kept
+    passages = removed([(d, r.text) for d, r in kept.items()])
+    kept = {d: (passages[d][2], len(passages[d][2])) if passages[d][1] else (r.text, r.n_chars) for d, r in kept.items() if not 0 < passages[d][0] == passages[d][1]}
+    assert {d: (r.text, r.n_chars) for d, r in got["substring_dedup"].items()} == kept
+    con = duckdb.connect()
+    con.register("documents", pa.Table.from_pylist([r.asDict() for r in got["substring_dedup"].values()]))
+    drawn = {r[0] for r in con.execute(registry.MIXING_SQL.replace(f"* {registry.EPOCHS} as", "* 1 as")).fetchall()}
+    assert set(got["source_mixing"]) == drawn and all(got["substring_dedup"][d] == r for d, r in got["source_mixing"].items())
+    ranks = byte_bpe.load_ranks(public_tokenizers.path(registry.RANKS))
+    library = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for doc, row in got["byte_bpe"].items():
+        text = got["source_mixing"][doc].text
+        ids = library.encode_ordinary(text)
+        assert (row.n_tokens, row.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest())
+        assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert corpus_pipeline.run(spark, SMALL).count() == len(drawn) > 0
 
 
 def test_language_stage_rejects_unlearned_texts(spark):
@@ -171,8 +203,15 @@ def test_language_stage_rejects_unlearned_texts(spark):
 def test_stages_of_hard_documents(spark):
     schema = spark.read.parquet(f"{SMALL}/documents.parquet").schema
     rows = [(1, None, None, None, None), (2, "", "en", "s1", 0), (3, "hello the world", "en", None, 15), (3, "hello the world", "en", None, 15), (None, "hello the world", None, "srcx", None)]
+    clash = ["_row", "_text", "k0", "x5", "text_key", "lang_pred", "fits", "n_words", "kept_text", "spans", "copy", "_copy", "_drawn", "name", "a.b"]
     for table in (rows, []):
         at = spark.createDataFrame(table, schema)
-        for _, stage in corpus_pipeline.STAGES:
-            at = stage(spark, at, SMALL)
+        for n, name in enumerate(clash):
+            at = at.withColumn(name, F.lit(n))
+        names = at.columns
+        for stage, function in corpus_pipeline.STAGES:
+            at = function(spark, at, SMALL)
+            assert stage == "byte_bpe" or at.columns == names
         assert at.count() <= len(table)
+    twice = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows[2:] + [(4, "hello the world", "en", "s", 15)], schema), SMALL)
+    assert sorted(map(repr, (r.doc_id for r in twice.collect()))) == ["3", "None"]
