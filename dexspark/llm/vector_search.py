@@ -1,19 +1,21 @@
 """Searches of a set of query vectors against all vectors, in blocks of both.
 
 ``top_k_products`` is exact: MaxScore over impact postings of the dimensions. A vector is a
-document and a dimension a term; a query's term gives a document q*v, which lies between the
-least and the greatest product that the shard's postings of that dimension allow. Less its
-least product every term's score is 0 or more, as MaxScore needs. Terms are taken by their
-greatest score, and the essential ones are those without which no document can reach the
-threshold. The threshold is the k-th best score among the heads of the strongest lists, whose
-postings are ordered by impact. Essential terms are added up for the documents, the others are
-probed only for documents whose score so far, with all that is left, can still compete. Shards
-are merged at the end.
-
-``nearest`` is approximate: randomly rotated one-bit codes. A vector less the centre, rotated,
-is kept as its sign bits, its length and the product of the code with its direction. These
-estimate the distance to a query with an error bound; vectors whose lower bound lies within
-the k-th smallest upper bound are measured on the original vectors.
+document and a dimension a term; a term gives a document q*v, less the least such product of
+the shard, so that every part is 0 or more. Terms are ordered by the most they can give. Those
+at the end that together cannot lift a document to the threshold are not essential. A document
+that reaches the threshold has in some essential term at least that term's share of what the
+others leave to reach it, so each essential posting is traversed from its greatest impact down
+to that share, and only documents met there are scored: essential terms first, then the others
+are probed one after another while a document can still compete. The threshold is the k-th
+best score met; it rises over stretches of the postings. Shards are merged at the end.
+
+``nearest`` is approximate: randomly rotated one-bit codes. Every vector is coded once: less
+the centre and rotated, it is kept as its sign bits, its length and the product of the code
+with its direction. Only codes are dealt to the query blocks. A query's components are cut to
+LEVELS bits, and the bits of a code under each of them are counted, which gives the inner
+product and so an estimate of the distance with an error bound. Vectors whose lower bound lies
+within the k-th smallest upper bound are fetched and measured.
 """
 
 from __future__ import annotations
@@ -23,104 +25,146 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dexspark.llm.common import blocks_for, small_batches
+from dexspark.llm.common import blocks_for, materialise, slices, small_batches
 
 #: Vectors of a shard, queries of a block.
 SHARD, QUERIES = 8192, 1024
-#: Vectors that the centre is the mean of, width of the error bound in standard deviations, seed of the rotation.
-SAMPLE, WIDTH, SEED = 4096, 3.0, 20260101
+#: Vectors that the centre is the mean of, width of the error bound in standard deviations, bits of a query's component, seed of the rotation.
+SAMPLE, WIDTH, LEVELS, SEED = 4096, 3.0, 8, 20260101
+#: Parts in which postings are traversed, between which the threshold rises.
+STRETCHES = 4
+#: Bound of a score, so that sums fit a long.
+MOST = 2.0**62
+
+KEYS = ["dims", "shard", "block"]
 
 
 def clean(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): vectors as doubles, without those that are null or hold null or non-finite components."""
+    """(vec_id, row, dims, v): vectors as doubles, without those that are null or hold null or non-finite components.
+
+    row is a hash of the vector, which tells rows that share an id apart.
+    """
     small_batches(vectors)
     v = F.col("embedding").cast("array<double>")
     fine = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and v is not null and size(v) > 0").filter(fine)
-
+    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and v is not null and size(v) > 0").filter(fine)
+    return own.select("vec_id", F.xxhash64("v").alias("row"), F.size("v").alias("dims"), "v")
 
-def commonest_size(vectors: DataFrame) -> DataFrame:
-    """Vectors of the commonest number of components, the smaller of two equally common ones."""
-    size = vectors.groupBy(F.size("v").alias("_size")).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_size").limit(1)
-    return vectors.join(F.broadcast(size.select("_size")), F.size("v") == F.col("_size"), "left_semi")
 
-
-def in_blocks(vectors: DataFrame, every: int, shard: int, queries: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of all vectors and of the queries, dealt to every pair of a shard and a query block."""
-    count = vectors.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
-    shards, blocks = blocks_for(count[0], shard), blocks_for(count[1], queries)
+def in_blocks(candidates: DataFrame, asked: DataFrame, shard: int, queries: int):
+    """Candidates and queries, dealt to every pair of a shard and a query block of equal dims."""
+    shards, blocks = blocks_for(candidates.count(), shard), blocks_for(asked.count(), queries)
     own = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
     block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")
-    rows = vectors.select("vec_id", "v", own.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = vectors.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("vec_id"), F.col("v").alias("v"), block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    return rows, asked
-
-
-def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Ids in ascending order and their vectors."""
-    ids = table["vec_id"].to_numpy()
-    flat = table["v"].combine_chunks()
-    values = np.asarray(flat.flatten() if isinstance(flat, pa.ListArray) else flat.values, dtype=np.float64)
-    order = np.argsort(ids, kind="stable")
-    return ids[order], values.reshape(len(ids), -1)[order] if len(ids) else values.reshape(0, 0)
-
-
-def postings(docs: np.ndarray) -> np.ndarray:
-    """Of every dimension the documents by falling component."""
-    return np.argsort(-docs, axis=0, kind="stable")
-
-
-def max_score(docs: np.ndarray, lists: np.ndarray, ids: np.ndarray, query: np.ndarray, skip: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and exact scores of the k best documents for one query.
-
-    docs are integers, one document a row, and lists their postings; documents of the id skip
-    take no part. Ties go to the smaller id.
-    """
-    dims = docs.shape[1]
-    high, low = docs[lists[0], np.arange(dims)], docs[lists[-1], np.arange(dims)]
-    least, bound = np.minimum(query * high, query * low), np.abs(query * (high - low))
-    terms = np.argsort(-bound, kind="stable")
-    rest = np.concatenate([np.cumsum(bound[terms][::-1])[::-1], [0]])  # what the terms from a place on can add
-    base = int(least.sum())
-    # a first threshold: the heads of the strongest lists, scored in full
-    heads = np.unique(np.concatenate([lists[: 4 * k, t] if query[t] > 0 else lists[-4 * k :, t] for t in terms[:8]]))
-    known = docs[heads[ids[heads] != skip]] @ query
-    threshold = int(np.partition(known, len(known) - k)[len(known) - k]) if len(known) >= k else None
-    # without a part in the essential terms no document reaches the threshold
-    essential = int(np.argmax(base + rest < threshold)) if threshold is not None and base < threshold else dims
-    alive = np.flatnonzero(ids != skip)
-    partial, at = np.full(len(alive), base, dtype=np.int64), 0
-    while at < dims:
-        # essential postings are read for all documents, the others probed for those still competitive
-        step = terms[at : min(at + 4, max(essential, at + 1)) if at < essential else at + 8]
-        partial = partial + docs[np.ix_(alive, step)] @ query[step] - int(least[step].sum())
-        at += len(step)
-        if threshold is not None:
-            keep = partial + rest[at] >= threshold
-            alive, partial = alive[keep], partial[keep]
-    best = np.lexsort((ids[alive], -partial))[:k]
-    return alive[best], partial[best]
+    rows = candidates.withColumns({"shard": own, "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    asked = asked.withColumns({"block": block, "shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))})
+    return rows.groupBy(*KEYS).cogroup(asked.groupBy(*KEYS))
+
+
+def once(table: pa.Table) -> pa.Table:
+    """Rows by vec_id, without repeated ones."""
+    ids, rows = table["vec_id"].to_numpy(), table["row"].to_numpy()
+    order = np.lexsort((rows, ids))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (np.diff(ids[order]) != 0) | (np.diff(rows[order]) != 0)
+    return table.take(order[new])
+
+
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return np.asarray(flat.flatten(), dtype=np.float64).reshape(len(flat), -1)
+
+
+class Postings:
+    """Documents of a shard by term, from the greatest component down."""
+
+    def __init__(self, docs: np.ndarray):
+        self.docs = docs
+        self.lists = np.argsort(-docs, axis=0, kind="stable")
+        self.impacts = np.take_along_axis(docs, self.lists, axis=0)
+
+    def reaching(self, term: int, weight: int, least: int) -> np.ndarray:
+        """Documents of a posting whose part weight * component is ``least`` or more."""
+        parts = weight * self.impacts[:, term]
+        if weight > 0:
+            return self.lists[: np.searchsorted(-parts, -least, side="right"), term]
+        return self.lists[np.searchsorted(parts, least) :, term]
+
+    def top(self, ids: np.ndarray, query: np.ndarray, skip: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and exact scores of the k best documents for one query; the one at skip takes no part, ties go to the smaller id."""
+        n, dims = self.docs.shape
+        ends = query * self.impacts[0], query * self.impacts[-1]
+        least, most = np.minimum(*ends), np.maximum(*ends)
+        terms = np.argsort(least - most, kind="stable")
+        bound = (most - least)[terms]
+        rest = np.concatenate([np.cumsum(bound[::-1])[::-1], [0]])  # what the terms from a place on can add
+        base = int(least.sum())
+        seen = np.zeros(n, dtype=bool)
+        if skip >= 0:
+            seen[skip] = True
+        best, scores = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+
+        def score(found: np.ndarray) -> None:
+            """Score documents: the first terms in full, the others while they can compete."""
+            nonlocal best, scores
+            found = np.unique(found[~seen[found]])
+            seen[found] = True
+            partial = self.docs[np.ix_(found, terms[:essential])] @ query[terms[:essential]] + int(least[terms[essential:]].sum())
+            for at in range(essential, dims, 8):
+                if len(scores) >= k:
+                    live = partial + rest[at] >= scores[k - 1]
+                    found, partial = found[live], partial[live]
+                step = terms[at : at + 8]
+                partial = partial + self.docs[np.ix_(found, step)] @ query[step] - int(least[step].sum())
+            best, scores = np.concatenate([best, found]), np.concatenate([scores, partial])
+            order = np.lexsort((ids[best], -scores))[:k]
+            best, scores = best[order], scores[order]
+
+        essential = dims
+        heads = [self.lists[:k, t] if query[t] > 0 else self.lists[-k:, t] for t in terms[:8]]
+        score(np.concatenate(heads))
+        for stretch in range(STRETCHES, -1, -1):
+            if len(scores) < k:
+                score(np.arange(n))  # fewer documents than are asked for
+                break
+            threshold = int(scores[k - 1])
+            # the terms from here on cannot lift a document above what it must have
+            essential = max(1, int(np.argmax(base + rest < threshold))) if base < threshold else dims
+            missing, total = threshold - base - int(rest[essential]), int(rest[0] - rest[essential])
+            if missing <= 0 or total <= 0:
+                score(np.arange(n))
+                break
+            # first only what is far above a term's share, to raise the threshold
+            share = missing / total * (1 + stretch / STRETCHES)
+            for t, room in zip(terms[:essential], bound[:essential]):
+                if share <= 1:
+                    score(self.reaching(t, int(query[t]), int(least[t]) + int(np.floor(share * room))))
+        return best, scores
 
 
 def _products(k: int):
     def search(key, rows: pa.Table, asked: pa.Table) -> pa.Table:
-        (ids, docs), (names, queries) = matrix(rows), matrix(asked)
-        docs, queries = np.floor(1024 * docs).astype(np.int64), np.floor(1024 * queries).astype(np.int64)
-        out = [], [], []
-        if len(ids) and len(names):
-            lists = postings(docs)
-            for name, query in zip(names.tolist(), queries, strict=True):
-                at, score = max_score(docs, lists, ids, query, name, k)
-                out[0].extend([name] * len(at))
-                out[1].extend(ids[at].tolist())
-                out[2].extend(score.tolist())
-        return pa.table([pa.array(x, pa.int64()) for x in out], ["query_id", "vec_id", "score"])
+        out = [], [], [], []
+        if rows.num_rows and asked.num_rows:
+            rows, asked = once(rows), once(asked)
+            docs, queries = np.floor(1024 * matrix(rows["v"])), np.floor(1024 * matrix(asked["v"]))
+            if docs.shape[1] * np.abs(docs).max() * np.abs(queries).max() >= MOST:
+                raise OverflowError("components are too large for scores that fit a long")
+            ids, names = rows["vec_id"].to_numpy(), rows["row"].to_numpy()
+            postings = Postings(docs.astype(np.int64))
+            for query, name, vector in zip(asked["vec_id"].to_pylist(), asked["row"].to_pylist(), queries.astype(np.int64), strict=True):
+                lo, hi = np.searchsorted(ids, [query, query + 1])
+                own = lo + np.flatnonzero(names[lo:hi] == name)
+                at, score = postings.top(ids, vector, int(own[0]) if len(own) else -1, k)
+                for column, values in zip(out, ([query] * len(at), [name] * len(at), ids[at].tolist(), score.tolist())):
+                    column.extend(values)
+        return pa.table([pa.array(x, pa.int64()) for x in out], ["query_id", "query_row", "vec_id", "score"])
 
     return search
 
 
 def ranked(found: DataFrame, k: int, best: F.Column) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(best, "vec_id")
+    order = Window.partitionBy("query_id", "query_row").orderBy(best, "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -129,12 +173,14 @@ def top_k_products(vectors: DataFrame, k: int = 10, every: int = 100, shard: int
 
     Components x become floor(1024 * x). Queries are the vectors whose id is divisible by
     ``every``; their own row takes no part. Ties go to the smaller vec_id. Vectors that are null,
-    empty, or hold null or non-finite components take no part, nor do those of another number of
-    components than most. Rows that share an id count as vectors of their own.
+    empty, or hold null or non-finite components take no part. A product needs equal numbers of
+    components: a query is compared with all vectors of its own number. Repeated rows are one
+    vector; rows that share an id but not the vector are vectors and queries of their own, each
+    with its own ranks. Components so large that a score could pass 2^62 raise an OverflowError.
     """
-    rows, asked = in_blocks(commonest_size(clean(vectors)), every, shard, queries)
-    pairs = rows.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block"))
-    return ranked(pairs.applyInArrow(_products(k), "query_id long, vec_id long, score long"), k, F.desc("score"))
+    fine = clean(vectors)
+    pairs = in_blocks(fine, fine.filter(F.col("vec_id") % every == 0), shard, queries)
+    return ranked(pairs.applyInArrow(_products(k), "query_id long, query_row long, vec_id long, score long"), k, F.desc("score"))
 
 
 def rotation(dims: int) -> np.ndarray:
@@ -147,56 +193,114 @@ def encode(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[n
     apart = vectors - centre
     length = np.linalg.norm(apart, axis=1)
     unit = (apart / np.where(length > 0, length, 1)[:, None]) @ turn
-    code = unit > 0
     product = np.abs(unit).sum(axis=1) / np.sqrt(unit.shape[1])
-    return np.packbits(code, axis=1), length, np.where(product > 0, product, 1)
+    return np.packbits(unit > 0, axis=1), length, np.where(product > 0, product, 1)
 
 
-def _neighbours(k: int, centre: np.ndarray, turn: np.ndarray, width: float):
+def _code_rows(centres: dict[int, np.ndarray]):
+    def rows(batches):
+        turns: dict[int, np.ndarray] = {}
+        for batch in slices(batches, 1024):
+            dims = batch.column("dims").to_numpy()
+            for size in np.unique(dims).tolist():
+                part = batch.filter(pa.array(dims == size))
+                turn = turns.setdefault(size, rotation(size))
+                bits, length, product = encode(matrix(pa.chunked_array([part.column("v")])), centres.get(size, np.zeros(size)), turn)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("vec_id", "row", "dims")), pa.array(map(bytes, bits), pa.binary()), pa.array(length), pa.array(product)], ["vec_id", "row", "dims", "bits", "length", "product"])
+
+    return rows
+
+
+def words(bits: np.ndarray) -> np.ndarray:
+    """Rows of bytes as 64-bit words."""
+    wide = np.zeros((len(bits), -(-bits.shape[1] // 8) * 8), dtype=np.uint8)
+    wide[:, : bits.shape[1]] = bits
+    return wide.view(np.uint64)
+
+
+def code_products(codes: np.ndarray, dims: int, unit: np.ndarray) -> tuple[np.ndarray, float]:
+    """Products of all codes, as unit vectors, with a query's direction, from counted bits; and the most they are off.
+
+    The query's components become whole numbers of LEVELS bits. The bits of a code under each
+    of these bits are counted: a set bit adds the component, an unset one takes it off.
+    """
+    low = float(unit.min())
+    step = max(float(unit.max()) - low, 1e-300) / (2**LEVELS - 1)
+    whole = np.rint((unit - low) / step).astype(np.int64)
+    off = float(np.linalg.norm(unit - (low + step * whole)))
+    planes = words(np.packbits((whole[None, :] >> np.arange(LEVELS)[:, None]) & 1, axis=1))
+    total = np.zeros(len(codes))
+    for j in range(LEVELS):
+        total += 2.0**j * np.bitwise_count(codes & planes[j]).sum(axis=1)
+    ones = np.bitwise_count(codes).sum(axis=1)
+    return (2 * (low * ones + step * total) - unit_sum(low, step, whole)) / np.sqrt(dims), off
+
+
+def unit_sum(low: float, step: float, whole: np.ndarray) -> float:
+    return low * len(whole) + step * float(whole.sum())
+
+
+def _neighbours(k: int, centres: dict[int, np.ndarray], width: float):
     def search(key, rows: pa.Table, asked: pa.Table) -> pa.Table:
-        (ids, docs), (names, queries) = matrix(rows), matrix(asked)
-        out = [], [], []
-        if len(ids) and len(names):
-            bits, length, product = encode(docs, centre, turn)
-            dims = docs.shape[1]
-            signs = (2.0 * np.unpackbits(bits, axis=1, count=dims) - 1).astype(np.float32) / np.float32(np.sqrt(dims))
-            wide = width * np.sqrt(np.maximum(0, 1 - product**2) / max(1, dims - 1)) / product
-            for at in range(0, len(names), 64):
-                part = queries[at : at + 64] - centre
-                far = np.linalg.norm(part, axis=1)
-                unit = (part / np.where(far > 0, far, 1)[:, None]) @ turn
-                cosine = (unit.astype(np.float32) @ signs.T) / product
-                scale = 2 * far[:, None] * length
-                middle = length**2 + (far**2)[:, None] - scale * cosine
-                low, high = middle - scale * wide, middle + scale * wide
-                for j, name in enumerate(names[at : at + 64].tolist()):
-                    own = ids != name
-                    up = high[j][own]
-                    limit = np.partition(up, k - 1)[k - 1] if len(up) > k else np.inf
-                    chosen = np.flatnonzero(own & (low[j] <= limit))
-                    exact = np.sqrt(((docs[chosen] - queries[at + j]) ** 2).sum(axis=1))
-                    best = np.lexsort((ids[chosen], exact))[:k]
-                    out[0].extend([name] * len(best))
-                    out[1].extend(ids[chosen[best]].tolist())
-                    out[2].extend(exact[best].tolist())
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
+        out = [], [], [], [], [], []
+        if rows.num_rows and asked.num_rows:
+            rows, asked = once(rows), once(asked)
+            dims = key[0].as_py()
+            centre, turn = centres.get(dims, np.zeros(dims)), rotation(dims)
+            ids, names = rows["vec_id"].to_numpy(), rows["row"].to_numpy()
+            length, product = rows["length"].to_numpy(), rows["product"].to_numpy()
+            codes = words(np.frombuffer(b"".join(rows["bits"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1))
+            wide = width * np.sqrt(np.maximum(0, 1 - product**2) / max(1, dims - 1))
+            for query, name, vector in zip(asked["vec_id"].to_pylist(), asked["row"].to_pylist(), matrix(asked["v"]), strict=True):
+                far = float(np.linalg.norm(vector - centre))
+                found, off = code_products(codes, dims, ((vector - centre) / (far or 1)) @ turn)
+                scale = 2 * far * length / product
+                middle, error = length**2 + far**2 - scale * found, scale * (wide + off)
+                low, high = middle - error, middle + error
+                fit = (ids != query) | (names != name)
+                up = high[fit]
+                limit = np.partition(up, k - 1)[k - 1] if len(up) > k else np.inf
+                at = np.flatnonzero(fit & (low <= limit))
+                for column, values in zip(out, ([query] * len(at), [name] * len(at), ids[at], names[at], low[at], high[at])):
+                    column.extend(values)
+        kinds = [pa.int64()] * 4 + [pa.float64()] * 2
+        return pa.table([pa.array(x, t) for x, t in zip(out, kinds)], ["query_id", "query_row", "vec_id", "row", "low", "high"])
 
     return search
 
 
+def centres_of(vectors: DataFrame) -> dict[int, np.ndarray]:
+    """Mean of a sample of SAMPLE vectors by their number of components."""
+    sample = vectors.select("dims", "v", F.xxhash64("vec_id", "row").alias("h")).orderBy("h").limit(SAMPLE)
+    means = sample.select("dims", F.posexplode("v")).groupBy("dims", "pos").agg(F.avg("col").alias("mean")).collect()  # from SAMPLE vectors
+    out: dict[int, np.ndarray] = {}
+    for r in means:
+        out.setdefault(r["dims"], np.zeros(r["dims"]))[r["pos"]] = r["mean"]
+    return out
+
+
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100, shard: int = SHARD, queries: int = QUERIES, width: float = WIDTH) -> DataFrame:
     """(query_id, rank, vec_id, score): about the k nearest vectors of each query, by Euclidean distance.
 
     Queries are the vectors whose id is divisible by ``every``; their own row takes no part. The
     score is the exact distance, ties go to the smaller vec_id. All vectors are indexed; only the
     centre comes from a sample of SAMPLE vectors. Null, empty and zero vectors and those with
-    null or non-finite components take no part, nor do those of another number of components
-    than most.
+    null or non-finite components take no part. A distance needs equal numbers of components: a
+    query is compared with all vectors of its own number. Repeated rows are one vector; rows
+    that share an id but not the vector are vectors and queries of their own, each with its own
+    ranks.
     """
-    fine = commonest_size(clean(vectors).filter(F.exists("v", lambda x: x != 0)))
-    sample = fine.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select(F.posexplode("v"))
-    means = sample.groupBy("pos").agg(F.avg("col").alias("mean")).orderBy("pos").collect()  # one row per component
-    centre = np.array([r["mean"] for r in means] or [0.0])
-    rows, asked = in_blocks(fine, every, shard, queries)
-    pairs = rows.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block"))
-    return ranked(pairs.applyInArrow(_neighbours(k, centre, rotation(len(centre)), width), "query_id long, vec_id long, score double"), k, F.asc("score"))
+    fine = clean(vectors).filter(F.exists("v", lambda x: x != 0))
+    centres = centres_of(fine)
+    codes = materialise(fine.mapInArrow(_code_rows(centres), "vec_id long, row long, dims int, bits binary, length double, product double"))
+    asked = fine.filter(F.col("vec_id") % every == 0)
+    pairs = in_blocks(codes, asked, shard, queries)
+    bounds = materialise(pairs.applyInArrow(_neighbours(k, centres, width), "query_id long, query_row long, vec_id long, row long, low double, high double"))
+    query = ["query_id", "query_row"]
+    order = Window.partitionBy(*query).orderBy("high")
+    limits = bounds.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).groupBy(*query).agg(F.max("high").alias("limit"))
+    chosen = bounds.join(limits, query).filter("low <= limit").select(*query, "vec_id", "row")
+    own = asked.select(F.col("vec_id").alias("query_id"), F.col("row").alias("query_row"), F.col("v").alias("q"))
+    near = chosen.join(fine.select("vec_id", "row", "v"), ["vec_id", "row"]).join(own, query)
+    square = F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    return ranked(near.select(*query, "vec_id", "row", F.sqrt(square).alias("score")).dropDuplicates([*query, "vec_id", "row"]), k, F.asc("score"))

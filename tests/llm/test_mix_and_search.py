@@ -130,6 +130,46 @@ def test_neighbours_are_nearly_all_found(spark, shard):
     assert hits >= 54
 
 
+def test_vectors_that_are_repeated_or_share_an_id(spark):
+    rows = [(100, [1.0, 0.5]), (100, [1.0, 0.5]), (100, [0.5, 0.5]), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (8, [0.25, 0.0]), (9, [1.0, 2.0, 3.0]), (200, [1.0, 2.0, 3.5])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    one = 1024 * 1024
+    got = sorted(map(tuple, vector_search.top_k_products(docs, k=2).collect()))
+    first, second = [(7, one * 3 // 2), (100, one * 3 // 4)], [(7, one), (100, one * 3 // 4)]
+    assert got == sorted([(100, n, *r) for own in (first, second) for n, r in enumerate(own, 1)] + [(200, 1, 9, int(15.5 * one))])
+    near = sorted(map(tuple, vector_search.nearest(docs, k=2).collect()))
+    assert [(q, n, v) for q, n, v, _ in near] == [(100, 1, 7), (100, 1, 100), (100, 2, 8), (100, 2, 100), (200, 1, 9)]
+    with pytest.raises(Exception, match="too large"):
+        vector_search.top_k_products(spark.createDataFrame([(100, [1e17]), (1, [1e17])], docs.schema)).collect()
+
+
+@pytest.mark.parametrize("dims", [1, 7, 64, 130])
+def test_bits_give_the_product_of_a_code(dims):
+    rng = np.random.default_rng(dims)
+    x, q = rng.standard_normal((50, dims)), rng.standard_normal(dims)
+    bits, _, _ = vector_search.encode(x, np.zeros(dims), np.eye(dims))
+    unit = q / np.linalg.norm(q)
+    got, off = vector_search.code_products(vector_search.words(bits), dims, unit)
+    want = np.where(x > 0, 1, -1) @ unit / np.sqrt(dims)
+    assert np.abs(got - want).max() <= off + 1e-9 and off < 0.05
+
+
+def test_max_score_equals_all_products_and_skips_some():
+    rng = np.random.default_rng(4)
+    docs = (1024 * rng.standard_normal((3000, 24)) * np.geomspace(1, 0.05, 24)).astype(np.int64)
+    postings, ids = vector_search.Postings(docs), np.arange(3000) * 2
+    for k in range(40):
+        query = docs[k] if k % 2 else -docs[k]
+        at, score = postings.top(ids, query, k, 10)
+        every = docs @ query
+        want = [d for d in np.lexsort((ids, -every)) if d != k][:10]
+        assert at.tolist() == want and score.tolist() == every[want].tolist()
+    met = postings.reaching(0, 3, 3 * int(docs[:, 0].max()) // 2)
+    assert sorted(met.tolist()) == np.flatnonzero(3 * docs[:, 0] >= 3 * int(docs[:, 0].max()) // 2).tolist()
+    met = postings.reaching(1, -2, 100)
+    assert sorted(met.tolist()) == np.flatnonzero(-2 * docs[:, 1] >= 100).tolist()
+
+
 def test_few_or_no_vectors(spark):
     docs, _ = vectors(spark, 3)
     three = docs.filter("vec_id < 3")
