@@ -26,8 +26,8 @@ from dexspark.llm.common import as_bytes, beside_text, materialise, slices, smal
 
 #: Longest context in bytes, documents per language that are counted, bytes scored at a time.
 ORDER, SAMPLE, CHUNK = 3, 1000, 1 << 17
-#: Longest text in bytes that is counted, languages at most (every gram has a cost in each), buckets in which ids are ranked first.
-LONGEST, LANGUAGES, BUCKETS = 1 << 18, 64, 64
+#: Longest text in bytes that is counted, languages at most (every gram has a cost in each), bits of a hash that make a range.
+LONGEST, LANGUAGES, PARTS = 1 << 18, 64, 16
 #: Spreads (99 % quantile less median) above the median that a text may cost a byte; what one byte alone may cost more,
 #: divided by the root of the length for longer texts; the bound of a language of fewer than LEAST calibration texts, and the
 #: most: bytes written plainly.
@@ -152,21 +152,24 @@ def _gram_rows(order: int):
 def sampled(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(lang, doc_id, text) of at most ``sample`` documents per language, the least by a hash of doc_id.
 
-    Only ids are ranked, in buckets of a language first, so no task sees a whole language. The
-    last rank of each language then filters the texts where they are read. Rows without text,
-    language or doc_id and texts of more than LONGEST bytes are not learned from; of rows that share
-    doc_id and language the first text in byte order counts.
+    Hashes are counted in ranges first, which tells in which range a language's last document
+    lies; only ids of that range are ranked, so no task sees a whole language. That last rank then
+    filters the texts where they are read. Rows without text, language or doc_id and texts of more
+    than LONGEST bytes are not learned from. Repeated rows count each in the ranking; of rows that
+    share doc_id and language the first text in byte order is learned.
     """
     spread = F.xxhash64(F.col("doc_id").cast("string"))
     fine = labelled.filter("lang is not null and doc_id is not null and text is not null").filter(F.octet_length("text") <= LONGEST).select("lang", "doc_id", "text", spread.alias("h"))
-    rank = F.struct("h", "doc_id")
-    ids = fine.select("lang", rank.alias("rank"), F.pmod("h", F.lit(BUCKETS)).alias("bucket"))
-    for keys in (["lang", "bucket"], ["lang"]):
-        best = Window.partitionBy(*keys).orderBy("rank")
-        ids = ids.withColumn("_n", F.dense_rank().over(best)).filter(F.col("_n") <= sample).groupBy("lang", "rank", *keys[1:]).agg(F.lit(0).alias("_n"))
-    last = materialise(ids.groupBy("lang").agg(F.max("rank").alias("last")))
-    if (languages := last.count()) > LANGUAGES:
+    part, rank = F.shiftright("h", 64 - PARTS), F.struct("h", "doc_id")
+    counts = fine.groupBy("lang", part.alias("part")).agg(F.count("*").alias("n"))
+    whole = Window.partitionBy("lang")
+    before = F.coalesce(F.sum("n").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = counts.withColumns({"before": before, "wanted": F.least(F.sum("n").over(whole), F.lit(sample))})
+    cut = materialise(cut.filter("before < wanted and before + n >= wanted").select("lang", "part", (F.col("wanted") - F.col("before")).alias("place")))
+    if (languages := cut.count()) > LANGUAGES:
         raise ValueError(f"{languages} languages; at most {LANGUAGES} can be learned at once")
+    near = fine.select("lang", part.alias("part"), rank.alias("last")).join(F.broadcast(cut), ["lang", "part"])  # a row per language
+    last = materialise(near.withColumn("_n", F.row_number().over(whole.orderBy("last"))).filter("_n = place").select("lang", "last"))
     chosen = fine.join(F.broadcast(last), "lang").filter(rank <= F.col("last"))  # a row per language
     return chosen.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
 

@@ -366,9 +366,8 @@ def test_sample_of_languages_is_ranked_by_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
     want = {}
     for r in sorted((r for r in docs.collect() if r.doc_id is not None and r.doc_id < 300), key=lambda r: (r.h, r.doc_id)):
-        ids = want.setdefault(r.lang, [])
-        if r.doc_id not in ids and len(ids) < 20:
-            ids.append(r.doc_id)
+        want.setdefault(r.lang, []).append(r.doc_id)
+    want = {k: list(dict.fromkeys(v[:20])) for k, v in want.items()}
     got = {}
     for r in language_id.sampled(docs.drop("h"), 20).collect():
         got.setdefault(r.lang, []).append(r.doc_id)
