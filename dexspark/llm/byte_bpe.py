@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import math
 import re
 from collections.abc import Iterable, Iterator
 from struct import pack
@@ -35,6 +36,17 @@ STATES, WORDS, STORED, EMIT = 300_000, 250_000, 48, 4096
 BLANKS, CUT = re.compile(r" (?:\s|\Z)"), re.compile(r" (?=\S)")
 #: Marks that are a match of their own after a letter and at the end of a word.
 ENDS = frozenset(",.;:!?")
+# Code points that the tiktoken library has as unassigned, where the regex module has letters or numbers.
+UNASSIGNED = (
+    "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 "
+    "10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 "
+    "16ebb-16ed3 16ff2-16ff3 16ff4-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 "
+    "1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 "
+    "1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
+)
+OTHER = re.compile("[" + "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in UNASSIGNED.split()) + "]")
+#: Stands for one of them where matches are sought: a code point that both have as unassigned.
+STAND_IN = "\u0378"
 #: Keys of a state besides its bytes.
 LAST, TEXT, LIVE = -1, -2, -3
 #: Ids that are decoded at a time.
@@ -57,6 +69,7 @@ class Transducer:
         self.starts = {token[:k] for token in ranks for k in range(1, len(token))}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.fits: dict[tuple[int, int], bool] = {}
+        self.edges: tuple[dict, dict] = {}, {}
         #: Ids of words met lately, and of those met before them: two generations keep the frequent ones.
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -74,6 +87,7 @@ class Transducer:
         TEXT the text since its first live start, under LIVE for every live start its distance
         from the end with the last token before it, -1 if there is none.
         """
+        self.fits.clear()
         self.start: dict = {LAST: -1, TEXT: b"", LIVE: ((0, -1),)}
         self.number: dict[tuple, dict] = {}
 
@@ -103,30 +117,26 @@ class Transducer:
             known = self.fits[a, b] = self._fit(a, b)
         return known
 
+    def edge(self, token: int, side: int) -> list[tuple[bytes, float]]:
+        """What stands at one end (0 left, 1 right) of a token while it is merged, each with the rank of the merge that takes it up."""
+        known = self.edges[side].get(token)
+        if known is None:
+            known, at = [(self.tokens[token], math.inf)], token
+            while (halves := self.parts(at)) is not None:
+                known.append((self.tokens[halves[side]], at))
+                at = halves[side]
+            self.edges[side][token] = known
+        return known
+
     def _fit(self, a: int, b: int) -> bool:
-        limit = 1 << 62
-        while True:
-            merged = self.ranks.get(self.tokens[a] + self.tokens[b])
-            if merged is not None and merged < limit:
-                return False
-            if a > b:
-                limit, part = a, self.parts(a)
-                if part is None:
-                    limit, part = b + 1, self.parts(b)
-                    if part is None:
-                        return True
-                    b = part[0]
-                else:
-                    a = part[1]
-            else:
-                limit, part = b + 1, self.parts(b)
-                if part is None:
-                    limit, part = a, self.parts(a)
-                    if part is None:
-                        return True
-                    a = part[1]
-                else:
-                    b = part[0]
+        """Merges go by rank, equal ones from the left: one across the border needs both its sides before they are taken up."""
+        get = self.ranks.get
+        for left, until in self.edge(a, 1):
+            for right, least in self.edge(b, 0):
+                rank = get(left + right)
+                if rank is not None and rank < until and rank <= least:
+                    return False
+        return True
 
     def step(self, state: dict, byte: int) -> dict:
         """Add the arc of a state for the next byte, and the state it leads to if that is new."""
@@ -197,6 +207,12 @@ class Transducer:
         ids.reverse()
         return pack(f"<{len(ids)}I", *ids)
 
+    def matches(self, text: str) -> list[str]:
+        """Matches of the pattern, with the library's classes of code points."""
+        if OTHER.search(text) is None:
+            return self.split.findall(text)
+        return [text[m.start() : m.end()] for m in self.split.finditer(OTHER.sub(STAND_IN, text))]
+
     def word(self, text: str, blank: str = " ") -> bytes:
         """Packed ids of a blank and a word, a stretch that no match of the pattern crosses."""
         out = self.older.get(text) if blank else None
@@ -207,7 +223,7 @@ class Transducer:
         elif blank and text[-1:] in ENDS and text[:-1].isalpha():
             out = (self.words.get(text[:-1]) or self.word(text[:-1])) + self.piece(text[-1])
         else:
-            out = b"".join(map(self.piece, self.split.findall(blank + text)))
+            out = b"".join(map(self.piece, self.matches(blank + text)))
         if blank and len(text) <= STORED:
             if len(self.words) > WORDS:
                 self.words, self.older = {}, self.words
@@ -267,7 +283,8 @@ def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> D
 
     path names a rank file that every executor can read (lines of base64 token and rank).
     decoded adds the text that the ids decode to. A null text encodes as an empty one. Special
-    tokens are ordinary text. Other columns of docs are ignored.
+    tokens are ordinary text. Repeated rows are encoded each, and texts whole however long.
+    Other columns of docs are ignored.
     """
     small_batches(docs)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

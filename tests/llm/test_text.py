@@ -138,6 +138,22 @@ def test_rows_of_tokens(spark):
     assert byte_bpe.encode(spark.createDataFrame([], DOCS), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_every_code_point_is_split_as_the_library_does():
+    path = public_tokenizers.path(registry.RANKS)
+    ranks = byte_bpe.load_ranks(path)
+    library = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    machine = byte_bpe.Transducer(ranks, public_tokenizers.PATTERN)
+    for at in range(0, 0x110000, 512):
+        if 0xD800 <= at < 0xE000:
+            continue
+        text = "".join(f"{c} {c}'s a{c}1{c}" for c in map(chr, range(at, at + 512)))
+        if np.frombuffer(machine.encode(text), dtype="<u4").tolist() != library.encode_ordinary(text):
+            for c in map(chr, range(at, at + 512)):
+                for one in (c, f"{c}'s", f" {c}'s", f"a{c}", f"1{c} a"):
+                    assert np.frombuffer(machine.encode(one), dtype="<u4").tolist() == library.encode_ordinary(one), (hex(ord(c)), one)
+            raise AssertionError(hex(at))
+
+
 # Token counts
 
 
