@@ -6,16 +6,50 @@ greatest S - B so far and C = S - U what earlier buys cover. On one axis buy i t
 every end gives pieces that belong to one buy and one sell each; what U grows by is the sell's
 zero-cost tail. Every window has the same partition and sort keys, so there is one shuffle.
 A position is the unit of work: one wallet's trades in one token are sorted in one task.
+
+Quantities are longs, or decimals without a fraction where raw units pass a long: sums of a
+position may have 38 digits and a single quantity 32. Values are longs.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dexspark.functions.columns import event_key
 
 POSITION = ["wallet", "token"]
+#: Digits of a value that are divided at a time where quantities are wide.
+STEP = 5
+
+
+def quantity(df: DataFrame, column: str = "qty") -> str:
+    """Type of the quantities: decimal(38,0) where they come as decimals, else long."""
+    return "decimal(38,0)" if dict(df.dtypes)[column].startswith("decimal") else "long"
+
+
+def share(value: F.Column, part: F.Column, whole: F.Column, kind: str) -> F.Column:
+    """value * part / whole in millionths, rounded half up.
+
+    A wide product passes 38 digits, so the value is then divided STEP digits at a time, from
+    the first on, with what remains carried to the next.
+    """
+    if kind == "long":
+        exact = value.cast("decimal(18,0)") * part.cast("decimal(18,0)") / whole.cast("decimal(18,0)")
+        return (exact.cast("decimal(32,6)") * 1_000_000).cast("long")
+    micros = value.cast("decimal(38,0)") * F.lit(1_000_000).cast("decimal(7,0)")
+    sizes = [F.lit(Decimal(10**at)).cast("decimal(38,0)") for at in range(0, 25, STEP)]
+    digits = F.array(*[(((micros - micros % at) / at).cast("decimal(38,0)") % F.lit(10**STEP)).cast("decimal(38,0)") for at in reversed(sizes)])
+    start = F.struct(F.lit(0).cast("long").alias("done"), F.lit(0).cast("decimal(38,0)").alias("left"))
+
+    def divide(at: F.Column, digit: F.Column) -> F.Column:
+        left = (at["left"] * F.lit(10**STEP) + digit * part).cast("decimal(38,0)")
+        more = F.floor((left - left % whole) / whole).cast("long")
+        return F.struct((at["done"] * F.lit(10**STEP) + more).alias("done"), (left % whole).cast("decimal(38,0)").alias("left"))
+
+    return F.aggregate(digits, start, divide, lambda at: at["done"] + (at["left"] >= whole - at["left"]).cast("long"))
 
 
 def fifo_axis(trades: DataFrame) -> DataFrame:
@@ -26,12 +60,13 @@ def fifo_axis(trades: DataFrame) -> DataFrame:
     order = Window.partitionBy(*POSITION).orderBy("key")
     run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     buy = F.col("side") == "buy"
-    zero = F.lit(0).cast("long")
-    axis = trades.withColumn("key", event_key())
-    axis = axis.withColumn("b", F.sum(F.when(buy, F.col("qty")).otherwise(zero)).over(run))
-    axis = axis.withColumn("_s", F.sum(F.when(buy, zero).otherwise(F.col("qty"))).over(run))
-    axis = axis.withColumn("u", F.greatest(F.max(F.col("_s") - F.col("b")).over(run), zero))
-    axis = axis.withColumn("c", F.col("_s") - F.col("u")).drop("_s")
+    kind = quantity(trades)
+    zero = F.lit(0).cast(kind)
+    axis = trades.withColumn("key", event_key()).withColumn("qty", F.col("qty").cast(kind))
+    axis = axis.withColumn("b", F.sum(F.when(buy, F.col("qty")).otherwise(zero)).over(run).cast(kind))
+    axis = axis.withColumn("_s", F.sum(F.when(buy, zero).otherwise(F.col("qty"))).over(run).cast(kind))
+    axis = axis.withColumn("u", F.greatest(F.max(F.col("_s") - F.col("b")).over(run).cast(kind), zero))
+    axis = axis.withColumn("c", (F.col("_s") - F.col("u")).cast(kind)).drop("_s")
     return axis.withColumns({f"{x}0": F.coalesce(F.lag(x).over(order), zero) for x in ("b", "c", "u")})
 
 
@@ -44,14 +79,13 @@ def fifo_consume(axis: DataFrame) -> DataFrame:
     """
     lot = F.struct("block_number", "log_index", "qty", "value").alias("lot")
     sell = F.struct("block_number", "log_index", "tx_hash", "qty", "value")
-    none_lot = F.lit(None).cast("struct<block_number:long,log_index:long,qty:long,value:long>")
-    none_sell = F.lit(None).cast("struct<block_number:long,log_index:long,tx_hash:string,qty:long,value:long>")
-    lot = lot.cast("struct<block_number:long,log_index:long,qty:long,value:long>")
-    sell = sell.cast("struct<block_number:long,log_index:long,tx_hash:string,qty:long,value:long>")
-    none = F.lit(None).cast("long")
+    kind = quantity(axis)
+    lot_kind, sell_kind = (f"struct<block_number:long,log_index:long,{name}qty:{kind},value:long>" for name in ("", "tx_hash:string,"))
+    none_lot, none_sell, none = (F.lit(None).cast(k) for k in (lot_kind, sell_kind, kind))
+    lot, sell = lot.cast(lot_kind), sell.cast(sell_kind)
 
     def end(at, lot_, sell_, tail, tail_of):
-        return F.struct(at.alias("at"), lot_.alias("lot"), sell_.alias("sell"), tail.alias("tail"), tail_of.alias("tail_of"))
+        return F.struct(at.cast(kind).alias("at"), lot_.alias("lot"), sell_.alias("sell"), tail.cast(kind).alias("tail"), tail_of.alias("tail_of"))
 
     buy = F.col("side") == "buy"
     bought = end(F.col("b"), lot, none_sell, none, none_sell)
@@ -67,12 +101,11 @@ def fifo_consume(axis: DataFrame) -> DataFrame:
     is_tail = F.col("tail").isNotNull()
     pieces = cut.filter(is_tail | (F.col("lot").isNotNull() & F.col("sell").isNotNull() & (F.col("at") > F.col("_low"))))
     sold = F.when(is_tail, F.col("tail_of")).otherwise(F.col("sell"))
-    pieces = pieces.select(*POSITION, sold.alias("s"), F.when(~is_tail, F.col("lot")).alias("l"), F.when(is_tail, F.col("tail")).otherwise(F.col("at") - F.col("_low")).alias("take"))
+    pieces = pieces.select(*POSITION, sold.alias("s"), F.when(~is_tail, F.col("lot")).alias("l"), F.when(is_tail, F.col("tail")).otherwise(F.col("at") - F.col("_low")).cast(kind).alias("take"))
     order = Window.partitionBy(*POSITION, "s.block_number", "s.log_index").orderBy(F.col("l").isNull(), "l.block_number", "l.log_index")
 
     def money(value, qty):
-        part = F.col(value).cast("decimal(18,0)") * F.col("take").cast("decimal(18,0)") / F.col(qty).cast("decimal(18,0)")
-        return (part.cast("decimal(32,6)") * 1_000_000).cast("long")
+        return share(F.col(value), F.col("take"), F.col(qty), kind)
 
     return (
         pieces.withColumn("consume_seq", F.row_number().over(order) - 1)
@@ -97,22 +130,21 @@ def open_lots(axis: DataFrame) -> DataFrame:
     """(wallet, token, lot_block, lot_log, lot_qty, lot_value, remaining) of buys not yet consumed."""
     whole = Window.partitionBy(*POSITION).orderBy("key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     done = axis.withColumn("_done", F.max("c").over(whole)).filter("side = 'buy'")
-    left = F.col("b") - F.greatest("_done", "b0")
+    left = (F.col("b") - F.greatest("_done", "b0")).cast(quantity(axis))
     return done.withColumn("remaining", left).filter("remaining > 0").select(
         *POSITION, F.col("block_number").alias("lot_block"), F.col("log_index").cast("long").alias("lot_log"), F.col("qty").alias("lot_qty"), F.col("value").alias("lot_value"), "remaining"
     )
 
 
-def lot_cost(qty: str = "remaining") -> F.Column:
+def lot_cost(qty: str = "remaining", kind: str = "long") -> F.Column:
     """Cost of what is left of a lot, in millionths, rounded half up."""
-    part = F.col("lot_value").cast("decimal(18,0)") * F.col(qty).cast("decimal(18,0)") / F.col("lot_qty").cast("decimal(18,0)")
-    return (part.cast("decimal(32,6)") * 1_000_000).cast("long")
+    return share(F.col("lot_value"), F.col(qty), F.col("lot_qty"), kind)
 
 
 def positions(lots: DataFrame) -> DataFrame:
     """(wallet, token, qty_held, cost_basis, lots) with lots oldest first."""
     lot = F.struct("lot_block", "lot_log", F.col("remaining").alias("qty"), "lot_qty", "lot_value")
-    return lots.groupBy(*POSITION).agg(F.sum("remaining").alias("qty_held"), F.sum(lot_cost()).alias("cost_basis"), F.array_sort(F.collect_list(lot)).alias("lots"))
+    return lots.groupBy(*POSITION).agg(F.sum("remaining").alias("qty_held"), F.sum(lot_cost(kind=quantity(lots, "remaining"))).alias("cost_basis"), F.array_sort(F.collect_list(lot)).alias("lots"))
 
 
 def sell_totals(consumed: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dexspark.functions.columns import human_units
+
 
 def with_pool(swaps: DataFrame, pools: DataFrame) -> DataFrame:
     """Swaps with their pool's tokens (pools: address, token0, token1, decimals0, decimals1)."""
@@ -17,12 +19,14 @@ def with_pool_meta(swaps: DataFrame, pools: DataFrame) -> DataFrame:
 
 
 def with_direction(swaps: DataFrame) -> DataFrame:
-    """Adds sold and bought token and raw quantity; amounts are the pool's, so positive means sold."""
+    """Adds sold and bought token, raw quantity and decimals; amounts are the pool's, so positive means sold."""
     first = F.col("amount0") > 0
     return swaps.withColumns(
         {
             "sold_token": F.when(first, F.col("token0")).otherwise(F.col("token1")),
-            "bought_token": F.when(first, F.col("token1")).otherwise(F.col("token0")),
+            "bought_token": bought_token(),
+            "sold_decimals": F.when(first, F.col("decimals0")).otherwise(F.col("decimals1")),
+            "bought_decimals": F.when(first, F.col("decimals1")).otherwise(F.col("decimals0")),
             "sold_qty": F.when(first, F.abs("amount0")).otherwise(F.abs("amount1")),
             "bought_qty": F.when(first, F.abs("amount1")).otherwise(F.abs("amount0")),
         }
@@ -30,24 +34,42 @@ def with_direction(swaps: DataFrame) -> DataFrame:
 
 
 def bought_token(amount0: str = "amount0") -> F.Column:
-    return F.when(F.col(amount0) < 0, F.col("token0")).otherwise(F.col("token1"))
+    """Token that leaves the pool."""
+    return F.when(F.col(amount0) > 0, F.col("token1")).otherwise(F.col("token0"))
 
 
-def value_trades(directed: DataFrame, numeraire: DataFrame) -> DataFrame:
-    """Adds value and priced flags from a table of prices (token, usd) with one row per token.
+def value_trades(directed: DataFrame, numeraire: DataFrame, reference: str | None = None) -> DataFrame:
+    """Adds value and priced flags from a table (token, usd) of prices of one whole token, a row per token.
 
-    The sold leg counts first, then the bought leg; a trade without either has a null value.
+    Quantities are scaled by their token's decimals. The token ``reference`` has the price in
+    the trade's own column usd, see asof_price. The sold leg counts first, then the bought leg; a
+    trade without either has a null value.
     """
-    sold = numeraire.select(F.col("token").alias("sold_token"), F.col("usd").alias("_sold"))
-    bought = numeraire.select(F.col("token").alias("bought_token"), F.col("usd").alias("_bought"))
-    both = directed.join(sold, "sold_token", "left").join(bought, "bought_token", "left")
-    return both.withColumns(
-        {
-            "value": F.coalesce(F.col("sold_qty") * F.col("_sold"), F.col("bought_qty") * F.col("_bought")),
-            "sold_priced": F.col("_sold").isNotNull(),
-            "bought_priced": F.col("_bought").isNotNull(),
-        }
-    ).drop("_sold", "_bought")
+    prices = {side: numeraire.select(F.col("token").alias(f"{side}_token"), F.col("usd").cast("double").alias(f"_{side}")) for side in ("sold", "bought")}
+    both = directed.join(prices["sold"], "sold_token", "left").join(prices["bought"], "bought_token", "left")
+    if reference is not None:
+        both = both.withColumns({f"_{s}": F.coalesce(f"_{s}", F.when(F.col(f"{s}_token") == reference, F.col("usd"))) for s in prices})
+    worth = {s: human_units(F.col(f"{s}_qty"), F.col(f"{s}_decimals")) * F.col(f"_{s}") for s in prices}
+    flags = {f"{s}_priced": F.col(f"_{s}").isNotNull() for s in prices}
+    return both.withColumns({"value": F.coalesce(worth["sold"], worth["bought"]), **flags}).drop("_sold", "_bought")
+
+
+def position_trades(classified: DataFrame) -> DataFrame:
+    """Buys and sells of classified swaps as trades of the recipient's position, with values as whole numbers, rounded half up.
+
+    A buy pays with a priced token and adds what it bought; a sell takes off what it sold.
+    """
+    buy = F.col("class") == "buy"
+    return classified.filter("class in ('buy', 'sell')").select(
+        F.col("recipient").alias("wallet"),
+        F.when(buy, F.col("bought_token")).otherwise(F.col("sold_token")).alias("token"),
+        F.col("class").alias("side"),
+        F.when(buy, F.col("bought_qty")).otherwise(F.col("sold_qty")).alias("qty"),
+        F.floor(F.col("value") + 0.5).cast("long").alias("value"),
+        "block_number",
+        "log_index",
+        "tx_hash",
+    )
 
 
 def classify(valued: DataFrame) -> DataFrame:
@@ -68,13 +90,26 @@ def latest_close(candles: DataFrame, pool: str) -> DataFrame:
     return candles.filter(F.col("pool") == pool).groupBy("pool").agg(F.max_by("close", "bucket").alias("usd"))
 
 
-def asof_price(trades: DataFrame, prices: DataFrame, time: str = "block_time") -> DataFrame:
-    """Adds usd: the newest close of the trade's pool in a bucket that ended at or before its time.
+def asof_price(trades: DataFrame, prices: DataFrame, time: str = "block_time", pool: str | None = None) -> DataFrame:
+    """Adds usd: the newest close of the trade's pool, or of the one given, in a bucket that ended at or before its time.
 
-    prices has pool, available_at and close. One sorted pass over both inputs, no range join.
+    prices has pool, available_at and close. Both inputs are sorted together by day, no range
+    join: a pool's days go to different tasks, and each begins with the last close before it.
     """
+    day = F.to_date("_at")
     marks = prices.select("pool", F.col("available_at").alias("_at"), F.col("close").alias("_close"), F.lit(0).alias("_kind"))
+    marks = marks if pool is None else marks.filter(F.col("pool") == pool)
     asked = trades.select("*", F.col(time).alias("_at"), F.lit(1).alias("_kind"))
-    both = marks.unionByName(asked, allowMissingColumns=True)
-    order = Window.partitionBy("pool").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("usd", F.last("_close", ignorenulls=True).over(order)).filter("_kind = 1").drop("_at", "_kind", "_close")
+    if pool is not None:
+        marks, asked = marks.withColumnRenamed("pool", "_pool"), asked.withColumn("_pool", F.lit(pool))
+    key = "pool" if pool is None else "_pool"
+    both = marks.unionByName(asked, allowMissingColumns=True).withColumn("_day", day)
+    # a row per pool and day
+    days = both.select(key, "_day").union(marks.select(key, day)).distinct()
+    last = marks.groupBy(key, day.alias("_day")).agg(F.max_by("_close", "_at").alias("_last"))
+    before = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.join(last, [key, "_day"], "left").withColumn("_carried", F.last("_last", ignorenulls=True).over(before)).drop("_last")
+    order = Window.partitionBy(key, "_day").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = both.withColumn("usd", F.last("_close", ignorenulls=True).over(order)).filter("_kind = 1")
+    priced = swept.join(carried, [key, "_day"], "left").withColumn("usd", F.coalesce("usd", "_carried"))
+    return priced.select(*trades.columns, "usd")

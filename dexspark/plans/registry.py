@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dexspark.functions.columns import price_from_sqrt
+from dexspark.functions.columns import event_key, price_from_sqrt
 from dexspark.functions.wide import limbs, to_text
 from dexspark.operators import alerts, candles, chain, decode, discovery, fifo, pages, quality, retention, revert, trades, wallets
 from dexspark.plans import sql, views
@@ -118,7 +118,7 @@ def trades_classified(spark, sf_dir):
     pools = views.pools(spark, sf_dir)
     directed = trades.with_direction(trades.with_pool_meta(views.swaps(spark, sf_dir), pools))
     valued = trades.classify(trades.value_trades(directed, views.numeraire(pools)))
-    return valued.select("tx_hash", "block_number", "log_index", "pool", "sold_token", "bought_token", F.coalesce(F.col("value"), F.lit(-1)).cast("long").alias("value"), "class")
+    return valued.select("tx_hash", "block_number", "log_index", "pool", "sold_token", "bought_token", F.coalesce(F.floor(F.col("value") + 0.5), F.lit(-1)).cast("long").alias("value"), "class")
 
 
 @query(
@@ -132,6 +132,29 @@ def asof_priced_trades(spark, sf_dir):
     return trades.asof_price(rows, prices).select("tx_hash", "pool", "usd")
 
 
+def valued_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classified swaps in raw units; OTHER has the price of the reference pool's last close of an earlier day."""
+    rows = views.swaps(spark, sf_dir)
+    price = F.abs("amount1") / F.abs("amount0")
+    day = F.date_trunc("day", "block_time")
+    closes = rows.filter(F.col("pool") == POOL).groupBy("pool", (day + F.expr("interval 1 day")).alias("available_at")).agg(F.max_by(price, event_key()).alias("close"))
+    pools = views.pools(spark, sf_dir)
+    directed = trades.with_direction(trades.with_pool_meta(views.fine_swaps(rows), views.fine_pools(pools)))
+    return trades.classify(trades.value_trades(trades.asof_price(directed, closes, pool=POOL), views.numeraire(pools), "OTHER"))
+
+
+@query("select tx_hash, block_number, log_index, pool, bought, value, class from vs")
+def value_scaled(spark, sf_dir):
+    value = F.coalesce(F.floor(F.col("value") + 0.5).cast("long"), F.lit(-1))
+    return valued_swaps(spark, sf_dir).select("tx_hash", "block_number", "log_index", "pool", F.col("bought_token").alias("bought"), value.alias("value"), "class")
+
+
+@query(sql.build("select * from stats", sql.POSITIONS))
+def pnl_end_to_end(spark, sf_dir):
+    """From swaps in raw units to each wallet's statistics."""
+    return revert.replay(trades.position_trades(valued_swaps(spark, sf_dir)))["stats"]
+
+
 @query("select pool, arg_max(close, bucket) as usd from c1 where pool = 'purchase' group by pool")
 def latest_close(spark, sf_dir):
     return trades.latest_close(candles.candles(views.events(spark, sf_dir)), USER_POOL)

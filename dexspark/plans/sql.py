@@ -83,6 +83,17 @@ select *, coalesce(sold_qty * case sold_token when 'USD' then 1 when 'USDX' then
 from (select sw.*, case when amount0 > 0 then token0 else token1 end as sold_token, case when amount0 > 0 then token1 else token0 end as bought_token,
     case when amount0 > 0 then abs(amount0) else abs(amount1) end as sold_qty, case when amount0 > 0 then abs(amount1) else abs(amount0) end as bought_qty
   from sw join pl on pool = address)""",
+    "rc": """
+select cast(block_time as date) + interval 1 day as available_at, arg_max(abs(amount1) / abs(amount0), log_index) as close from sw where pool = 'Brand#11' group by 1""",
+    "vs": """
+select *, case when sp is not null and bp is not null then 'money_for_money' when sp is not null then 'buy' when bp is not null then 'sell' else 'unpriceable' end as class,
+  cast(coalesce(floor(coalesce(sold_whole * sp, bought_whole * bp) + 0.5), -1) as bigint) as value
+from (
+  select *, case sold when 'USD' then 100.0 when 'USDX' then 100.0 when 'OTHER' then usd end as sp, case bought when 'USD' then 100.0 when 'USDX' then 100.0 when 'OTHER' then usd end as bp
+  from (
+    select sw.* exclude (side), rc.close as usd, case when amount0 > 0 then token0 else token1 end as sold, case when amount0 > 0 then token1 else token0 end as bought,
+      case when amount0 > 0 then abs(amount0) else abs(amount1) / 100 end as sold_whole, case when amount0 > 0 then abs(amount1) / 100 else abs(amount0) end as bought_whole
+    from sw join pl on pool = address asof left join rc on block_time >= available_at))""",
     "np": """
 select pool as address, min(block_time) as discovered_at, min(block_number) as created_block, any_value(brand) % 2 = 0 as is_indexed,
   case any_value(brand) % 3 when 0 then 'fresh,no_liquidity' when 1 then 'fresh,single_lp' else 'fresh' end as risk_flags from sw group by 1""",
@@ -99,17 +110,24 @@ def candle(rows: str, unit: str) -> str:
   cast(sum(abs(amount1)) as bigint) as volume1, count(*) as trade_count from ({rows}) group by 1, 2"""
 
 
-def build(statement: str) -> str:
+#: Trades of positions that priced swaps make, in the place of tr.
+POSITIONS = {
+    "tr": "select recipient as wallet, case class when 'buy' then bought else sold end as token, class as side, abs(amount0) as qty, value, block_number, log_index, tx_hash from vs where class in ('buy', 'sell')"
+}
+
+
+def build(statement: str, own: dict[str, str] | None = None) -> str:
     used: list[str] = []
+    views = VIEWS | (own or {})
 
     def add(text: str) -> None:
-        for name in VIEWS:
+        for name in views:
             if re.search(rf"\b(?:from|join)\s*\(?\s*{name}\b", text) and name not in used:
-                add(VIEWS[name])
+                add(views[name])
                 used.append(name)
 
     add(statement)
-    return f"with {', '.join(f'{n} as ({VIEWS[n].strip()})' for n in used)}\n{statement.strip()}" if used else statement
+    return f"with {', '.join(f'{n} as ({views[n].strip()})' for n in used)}\n{statement.strip()}" if used else statement
 
 
 def clean_run(fork: int) -> dict[str, str]:

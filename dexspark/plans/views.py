@@ -97,10 +97,21 @@ def pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fine_swaps(swaps_: DataFrame) -> DataFrame:
+    """The trades in raw units of tokens with 18 and 6 decimals."""
+    return swaps_.withColumns({"amount0": F.col("amount0").cast("decimal(20,0)") * F.lit(10**18).cast("decimal(38,0)").cast("decimal(19,0)"), "amount1": F.col("amount1") * 10**4}).withColumn(
+        "amount0", F.col("amount0").cast("decimal(38,0)")
+    )
+
+
+def fine_pools(pools_: DataFrame) -> DataFrame:
+    return pools_.withColumns({"decimals0": F.when(F.col("decimals0").isNotNull(), F.lit(18)), "decimals1": F.lit(6)})
+
+
 def numeraire(pools_: DataFrame) -> DataFrame:
-    """Price in cents of each money token."""
+    """Price in cents of a whole money token."""
     tokens = pools_.select(F.col("token0").alias("token")).union(pools_.select("token1")).distinct()
-    return tokens.select("token", F.when(F.col("token") == "USD", 1).when(F.col("token") == "USDX", 100).cast("long").alias("usd")).filter("usd is not null")
+    return tokens.select("token", F.when(F.col("token") == "USD", 100).when(F.col("token") == "USDX", 100).cast("long").alias("usd")).filter("usd is not null")
 
 
 def new_pools(swaps_: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+from decimal import Decimal
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from dexspark.operators.fifo import fifo_axis, fifo_consume, open_lots, positions, sell_totals
 from dexspark.operators.quality import check_lots, diff_state
@@ -109,3 +111,33 @@ def test_revert_equals_a_clean_run(spark, fork):
 def test_parts_add_up(spark):
     out = run(spark, [("buy", 3, 100, 1), ("buy", 4, 100, 2), ("sell", 7, 1000, 3)])
     assert abs(sell_totals(out["consumed"]).first().proceeds - 1000 * UNIT) <= 1
+
+
+def test_amounts_over_a_long(spark):
+    """Raw units of 18 decimals: the same money as in whole tokens."""
+    rows = [("w", "t", "buy", 90, 700, 1), ("w", "t", "buy", 60, 1000, 2), ("w", "t", "sell", 100, 3333, 3), ("w", "t", "sell", 77, 1001, 4)]
+    small = spark.createDataFrame([(*r, 0, str(r[-1])) for r in rows], SCHEMA_SMALL)
+    wide = small.withColumn("qty", (F.col("qty").cast("decimal(38,0)") * F.lit(10**12).cast("decimal(13,0)") * F.lit(10**12).cast("decimal(13,0)")).cast("decimal(38,0)"))
+    kept = ["sell_block", "consume_seq", "lot_block", "proceeds", "cost", "realized"]
+    want = sorted(map(tuple, fifo_consume(fifo_axis(small)).select(*kept).collect()), key=repr)
+    assert sorted(map(tuple, fifo_consume(fifo_axis(wide)).select(*kept).collect()), key=repr) == want and len(want) == 4
+    lots = open_lots(fifo_axis(wide.filter("block_number < 4")))
+    assert positions(lots).first().cost_basis == positions(open_lots(fifo_axis(small.filter("block_number < 4")))).first().cost_basis
+
+
+SCHEMA_SMALL = "wallet string, token string, side string, qty long, value long, block_number long, log_index long, tx_hash string"
+
+
+def test_shares_of_wide_amounts(spark):
+    import random
+
+    from dexspark.operators.fifo import share
+
+    rng = random.Random(2)
+    rows = []
+    for _ in range(300):
+        whole = rng.randrange(1, 10 ** rng.randrange(1, 32))
+        rows.append((rng.randrange(10 ** rng.randrange(1, 13)), rng.randrange(whole + 1), whole))
+    table = spark.createDataFrame([(v, Decimal(p), Decimal(w)) for v, p, w in rows], "value long, part decimal(38,0), whole decimal(38,0)")
+    got = [r[0] for r in table.select(share(F.col("value"), F.col("part"), F.col("whole"), "decimal(38,0)")).collect()]
+    assert got == [(2 * v * 10**6 * p + w) // (2 * w) for v, p, w in rows]
