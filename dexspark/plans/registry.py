@@ -13,7 +13,7 @@ from dexspark.operators import alerts, candles, chain, decode, discovery, fifo,
 from dexspark.plans import sql, views
 from dexspark.sources import logs
 from dexspark.sources.shared import shared_path
-from dexspark.sources.tables import Snapshots, append_new, merge_add, upsert
+from dexspark.sources.tables import Snapshots, Store, append_new, merge_add, upsert
 from dexspark.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -405,6 +405,48 @@ def revert_stats(spark, sf_dir):
     return revert.revert_stats(run["stats"], rows, run["consumed"], FORK)
 
 
+def state_tables() -> dict[str, tuple[str, F.Column]]:
+    """What a store of all derived tables holds, by day or by position or wallet."""
+    trade = f"{ingest.POSITION_TRADE}, pool string, block_time timestamp, price double, amount0 long, amount1 long"
+    consumed = "sell_tx string, sell_log long, consume_seq int, wallet string, token string, qty long, lot_block long, lot_log long, sell_block long, proceeds long, cost long, realized long"
+    stats = "wallet string, realized long, trades long, wins long, volume long, avg_size long, last_active_block long"
+    position, wallet = F.pmod(F.xxhash64("wallet", "token"), F.lit(4)), F.pmod(F.xxhash64("wallet"), F.lit(4))
+    return {
+        "trades": (trade, F.date_trunc("year", "block_time").cast("date")),
+        "candles": (ingest.CANDLE, F.date_trunc("year", "bucket").cast("date")),
+        "consumed": (consumed, position),
+        "lots": (ingest.LOT, position),
+        "stats": (stats, wallet),
+        "state": ("live_cursor long", F.lit(0)),
+    }
+
+
+@query(
+    "with " + sql.rebuilt(
+        f"""select 'trades' as name, count(*) as rows, cast(sum(qty) as bigint) as total from tr
+union all select 'candles', count(*), cast(sum(n) as bigint) from (select pool, block_number, count(*) as n from sw where block_number <= {FORK} group by 1, 2)
+union all select 'consumed', count(*), cast(sum(cost) as bigint) from cons
+union all select 'lots', count(*), cast(sum(remaining) as bigint) from lots
+union all select 'stats', count(*), cast(sum(realized) as bigint) from stats
+union all select 'state', 1, {FORK}""", FORK)[5:]
+)
+def rewind_all(spark, sf_dir):
+    """All derived tables taken back in one commit hold what a run up to the fork gives."""
+    rows = views.swaps(spark, sf_dir)
+    own = rows.select("*", F.col("recipient").alias("wallet"), F.col("pool").alias("token"), F.abs("amount0").alias("qty"), F.abs("amount1").alias("value"), (F.abs("amount1") / F.abs("amount0")).alias("price"))
+    run = revert.replay(views.position_trades(rows))
+    store = Store(spark, shared_path(spark, "state"), state_tables())
+    made = {"trades": own, "candles": candles.candles(own), "consumed": run["consumed"], "lots": run["lots"], "stats": run["stats"], "state": spark.range(1).select(F.lit(HEAD + 500).alias("live_cursor"))}
+    store.commit(1, {name: (table, store.parts(name, table)) for name, table in made.items()})
+    revert.rewind(store, 2, FORK)
+    totals = {"trades": "qty", "candles": "trade_count", "consumed": "cost", "lots": "remaining", "stats": "realized", "state": "live_cursor"}
+    sums = [store.read(name).agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.sum(c).cast("long").alias("total")) for name, c in totals.items()]
+    out = sums[0]
+    for one in sums[1:]:
+        out = out.unionByName(one)
+    return out
+
+
 @query(f"select sell_tx, sell_log, wallet, token, cast(sum(qty) as bigint) as qty from cons where sell_block > {FINAL} group by 1, 2, 3, 4")
 def replay_from_final(spark, sf_dir):
     """Pending sells on a snapshot of the lots at the final block draw the same quantities."""
@@ -631,7 +673,7 @@ def bulk_load(spark, sf_dir):
 
 
 def write_files(rows: DataFrame, path: str, parts: list[F.Column]) -> None:
-    """One file per condition, in this order."""
+    """Files per condition, in this order; one each, as the stream takes a file at a time."""
     for part in parts:
         rows.filter(part).coalesce(1).write.mode("append").parquet(path)
 
@@ -656,7 +698,7 @@ def stream_candles(spark, sf_dir):
     write_files(rows, f"{path}/in", [*parts, parts[2]])
     state = ingest.Ingest(spark, path)
     ingest.run_available(ingest.read_block_stream(spark, f"{path}/in"), state.apply, f"{path}/check")
-    return flat(state.candles.read())
+    return flat(state.store.read("candles"))
 
 
 @query("select tx_hash, log_index, pool from ev")
@@ -681,7 +723,7 @@ def stream_revert(spark, sf_dir):
     mark.unionByName(again).coalesce(1).write.mode("append").parquet(f"{path}/in")
     state = ingest.Ingest(spark, path)
     ingest.run_available(ingest.read_block_stream(spark, f"{path}/in"), state.apply, f"{path}/check")
-    return flat(state.candles.read())
+    return flat(state.store.read("candles"))
 
 
 @query("select wallet, token, lot_block, lot_log, remaining from lots")
@@ -689,9 +731,9 @@ def stream_fifo(spark, sf_dir):
     """Positions from three files; each batch recomputes what it touches."""
     rows, path = position_trades(spark, sf_dir), shared_path(spark, "stream")
     write_files(rows, f"{path}/in", [F.col("block_number") < 800, F.col("block_number").between(800, 1599), F.col("block_number") >= 1600])
-    state = ingest.FifoIngest(spark, path)
+    state = ingest.FifoIngest(spark, path, blocks=200)
     ingest.run_available(ingest.read_block_stream(spark, f"{path}/in", ingest.POSITION_TRADE), state.apply, f"{path}/check")
-    return state.lots.read().select("wallet", "token", "lot_block", "lot_log", "remaining")
+    return state.lots().select("wallet", "token", "lot_block", "lot_log", "remaining")
 
 
 @query(f"select {sql.CANDLE} from c1")

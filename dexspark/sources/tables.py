@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 
@@ -25,6 +26,21 @@ def merge_add(target: DataFrame, deltas: DataFrame, keys: list[str], sums: list[
     return both.groupBy(*keys).agg(*[F.sum(c).cast("long").alias(c) for c in sums], *[F.max(c).alias(c) for c in greatest])
 
 
+def _ledger(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The ledger under a folder; None before its first entry. Other faults of the path are raised."""
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/ledger")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _latest(spark: SparkSession, path: str) -> int | None:
+    held = _ledger(spark, path, "version long")
+    return None if held is None else held.agg(F.max("version")).first()[0]
+
+
 class Snapshots:
     """Versions of a small table under one folder, and the ledger of those that are complete.
 
@@ -36,10 +52,7 @@ class Snapshots:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
     def latest(self) -> int | None:
-        try:
-            return self.spark.read.schema("version long").parquet(f"{self.path}/ledger").agg(F.max("version")).first()[0]
-        except AnalysisException:
-            return None
+        return _latest(self.spark, self.path)
 
     def read(self) -> DataFrame:
         """The latest version; an empty table before the first."""
@@ -56,3 +69,63 @@ class Snapshots:
         rows.write.mode("overwrite").parquet(f"{self.path}/v{version}")
         self.spark.range(1).select(F.lit(version).cast("long").alias("version")).write.mode("append").parquet(f"{self.path}/ledger")
         return True
+
+
+class Store:
+    """Tables in parts under one folder, whose changes are committed together.
+
+    tables gives each table's schema and the column that tells a row's part. A commit writes the
+    parts it touches, whole, to a folder of its own and then enters them all in one ledger file:
+    a reader sees all of a commit or nothing, and what a commit writes depends on the parts it
+    touches, not on what the tables hold.
+    """
+
+    ENTRY = "version long, name string, part string, filled boolean"
+
+    def __init__(self, spark: SparkSession, path: str, tables: dict[str, tuple[str, Column]]):
+        self.spark, self.path, self.tables = spark, path.rstrip("/"), tables
+
+    def latest(self) -> int | None:
+        return _latest(self.spark, self.path)
+
+    def places(self, name: str) -> dict[str, int]:
+        """The version of each part that has rows; a row per part comes to the driver."""
+        held = _ledger(self.spark, self.path, self.ENTRY)
+        if held is None:
+            return {}
+        last = held.filter(F.col("name") == name).groupBy("part").agg(F.max_by(F.struct("version", "filled"), "version").alias("at"))
+        return {r["part"]: r["at"]["version"] for r in last.filter("at.filled").collect()}
+
+    def read(self, name: str, parts: list[str] | None = None) -> DataFrame:
+        """All rows of a table, or those of some parts."""
+        schema = self.tables[name][0]
+        paths = [f"{self.path}/{name}/v{v}/_part={p}" for p, v in sorted(self.places(name).items()) if parts is None or p in parts]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def parts(self, name: str, rows: DataFrame) -> list[str]:
+        """The parts that rows belong to."""
+        return [r[0] for r in rows.select(self.tables[name][1].cast("string").alias("part")).distinct().collect()]
+
+    def applied(self, version: int) -> bool:
+        """Whether a batch is in already. One before the last means that batches are numbered anew, which would lose them."""
+        held = self.latest()
+        if held is not None and version < held:
+            raise RuntimeError(f"batch {version} after {held}: the stream's checkpoint does not belong to {self.path}")
+        return held == version
+
+    def commit(self, version: int, changes: dict[str, tuple[DataFrame, list[str]]]) -> bool:
+        """Replaces the named parts of tables by rows that belong to them; False if the version is in already."""
+        if self.applied(version):
+            return False
+        entries = None
+        for name, (rows, parts) in changes.items():
+            schema, part = self.tables[name]
+            columns = [c.name for c in T.StructType.fromDDL(schema)]
+            place = f"{self.path}/{name}/v{version}"
+            rows.select(*columns, part.cast("string").alias("_part")).hint("rebalance", "_part").write.mode("overwrite").partitionBy("_part").parquet(place)
+            filled = self.spark.read.schema(f"{schema}, _part string").parquet(place).select(F.col("_part").alias("part")).distinct()
+            named = self.spark.createDataFrame([(p,) for p in parts], "part string").join(filled.withColumn("filled", F.lit(True)), "part", "left")
+            entry = named.select(F.lit(version).cast("long").alias("version"), F.lit(name).alias("name"), "part", F.coalesce("filled", F.lit(False)).alias("filled"))
+            entries = entry if entries is None else entries.unionByName(entry)
+        entries.coalesce(1).write.mode("append").parquet(f"{self.path}/ledger")
+        return True
