@@ -488,6 +488,19 @@ def retention_kept(spark, sf_dir):
     return kept.groupBy("pool").agg(F.count("*").alias("rows"))
 
 
+@query(
+    f"""select pool, count(*) as rows from ev where cast(block_time as date) not in (
+  select day from (select cast(block_time as date) as day, max(block_number) as top from ev group by 1) where day < date '2024-01-25' - 10 and top <= {EVENT_FORK}) group by pool"""
+)
+def retention_days_dropped(spark, sf_dir):
+    """What is left of a table written by days once the folders of droppable days are deleted."""
+    path = shared_path(spark, "raw")
+    logs.write_raw(views.events(spark, sf_dir), path)
+    raw = spark.read.parquet(path)
+    retention.drop_days(spark, path, retention.droppable_days(raw, moment(AS_OF).cast("date"), 10, EVENT_FORK))
+    return spark.read.schema(raw.schema).parquet(path).groupBy("pool").agg(F.count("*").alias("rows"))
+
+
 @query("select tx_hash, log_index, pool, amount0, amount1 from sw where cast(block_time as date) = date '1996-06-01'")
 def cold_export(spark, sf_dir):
     path = shared_path(spark, "cold")

@@ -9,6 +9,10 @@ from dexspark.operators.candles import split_window
 from dexspark.schemas import HEADERS, RAW_LOGS
 
 
+#: Blocks of a pool that stay together in a file, and files of a day at most.
+FILE_BLOCKS, FILES = 1000, 32
+
+
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW_LOGS).parquet(path)
 
@@ -52,8 +56,13 @@ def load_backfill(text: DataFrame, types: dict[str, str], floor: Column, time: s
 
 
 def write_raw(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Day-partitioned facts, sorted in each file so that statistics skip pools and blocks."""
-    rows.withColumn("day", F.to_date("block_time")).repartition("day").sortWithinPartitions("day", "pool", "block_number").write.mode(mode).partitionBy("day").parquet(path)
+    """Day-partitioned facts, sorted in each file so that statistics skip pools and blocks.
+
+    A day's rows are dealt by pool and block range too, so a large day is many tasks and files.
+    """
+    dated = rows.withColumn("day", F.to_date("block_time"))
+    dealt = dated.repartition("day", F.pmod(F.xxhash64("pool", F.floor(F.col("block_number") / FILE_BLOCKS)), F.lit(FILES)))
+    dealt.sortWithinPartitions("day", "pool", "block_number").write.mode(mode).partitionBy("day").parquet(path)
 
 
 def days_of_blocks(headers: DataFrame, first: int, last: int) -> DataFrame:
