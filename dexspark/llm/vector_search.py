@@ -11,8 +11,8 @@ are probed one after another while a document can still compete. The threshold i
 best score met; it rises over stretches of the postings. Shards are merged at the end.
 
 ``nearest`` is approximate: randomly rotated one-bit codes. Every vector is coded once: less
-the centre and rotated, it is kept as its sign bits, its length and the product of the code
-with its direction. Only codes are dealt to the query blocks. A query's components are cut to
+the centre and rotated among SPREAD times its dimensions, it is kept as its sign bits, its
+length and the product of the code with its direction. Only codes are dealt to the query blocks. A query's components are cut to
 LEVELS bits, and the bits of a code under each of them are counted, which gives the inner
 product and so an estimate of the distance with an error bound. Vectors whose lower bound lies
 within the k-th smallest upper bound are fetched and measured.
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +30,11 @@ from dexspark.llm.common import blocks_for, materialise, slices, small_batches
 
 #: Vectors of a shard, queries of a block.
 SHARD, QUERIES = 8192, 1024
-#: Vectors that the centre is the mean of, width of the error bound in standard deviations, bits of a query's component, seed of the rotation.
-SAMPLE, WIDTH, LEVELS, SEED = 4096, 3.0, 8, 20260101
+#: Vectors that the centre is the mean of, bits of a code per component, width of the error bound in standard deviations, bits of a
+#: query's component, seed of the rotation.
+SAMPLE, SPREAD, WIDTH, LEVELS, SEED = 4096, 8, 1.5, 8, 20260101
 #: Parts in which postings are traversed, between which the threshold rises.
-STRETCHES = 4
+STRETCHES = 2
 #: Bound of a score, so that sums fit a long.
 MOST = 2.0**62
 
@@ -76,69 +78,74 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 class Postings:
-    """Documents of a shard by term, from the greatest component down."""
+    """Documents of a shard by term, in the order of their component."""
 
     def __init__(self, docs: np.ndarray):
         self.docs = docs
-        self.lists = np.argsort(-docs, axis=0, kind="stable")
-        self.impacts = np.take_along_axis(docs, self.lists, axis=0)
+        self.lists = np.ascontiguousarray(np.argsort(docs, axis=0, kind="stable").T)
+        self.impacts = np.ascontiguousarray(np.sort(docs, axis=0).T)
+        self.exact = docs.astype(np.float64)
 
     def reaching(self, term: int, weight: int, least: int) -> np.ndarray:
-        """Documents of a posting whose part weight * component is ``least`` or more."""
-        parts = weight * self.impacts[:, term]
+        """Documents of a posting whose part weight * component is ``least`` or more; weight is not 0."""
         if weight > 0:
-            return self.lists[: np.searchsorted(-parts, -least, side="right"), term]
-        return self.lists[np.searchsorted(parts, least) :, term]
+            return self.lists[term, np.searchsorted(self.impacts[term], -(-least // weight)) :]
+        return self.lists[term, : np.searchsorted(self.impacts[term], least // weight, side="right")]
+
+    def products(self, found: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Products of documents with a query; in floating point where all sums are exact there."""
+        rows = self.exact[found]
+        if float(np.abs(weights).sum()) * float(np.abs(self.impacts[:, [0, -1]]).max()) < 2.0**53:
+            return (rows @ weights.astype(np.float64)).astype(np.int64)
+        return self.docs[found] @ weights
 
     def top(self, ids: np.ndarray, query: np.ndarray, skip: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and exact scores of the k best documents for one query; the one at skip takes no part, ties go to the smaller id."""
         n, dims = self.docs.shape
-        ends = query * self.impacts[0], query * self.impacts[-1]
+        ends = query * self.impacts[:, -1], query * self.impacts[:, 0]
         least, most = np.minimum(*ends), np.maximum(*ends)
         terms = np.argsort(least - most, kind="stable")
         bound = (most - least)[terms]
+        terms, bound = terms[bound > 0], bound[bound > 0]
         rest = np.concatenate([np.cumsum(bound[::-1])[::-1], [0]])  # what the terms from a place on can add
         base = int(least.sum())
-        seen = np.zeros(n, dtype=bool)
+        open_ = np.ones(n, dtype=bool)
         if skip >= 0:
-            seen[skip] = True
+            open_[skip] = False
         best, scores = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
 
-        def score(found: np.ndarray) -> None:
-            """Score documents: the first terms in full, the others while they can compete."""
+        def score(postings: list[np.ndarray], essential: int) -> None:
+            """Score the documents met: by the essential terms, then by the others those that can still compete."""
             nonlocal best, scores
-            found = np.unique(found[~seen[found]])
-            seen[found] = True
-            partial = self.docs[np.ix_(found, terms[:essential])] @ query[terms[:essential]] + int(least[terms[essential:]].sum())
-            for at in range(essential, dims, 8):
+            met = np.zeros(n, dtype=bool)
+            for posting in postings:
+                met[posting] = True
+            found = np.flatnonzero(met & open_)
+            open_[found] = False
+            first = np.zeros(dims, dtype=np.int64)
+            first[terms[:essential]] = query[terms[:essential]]
+            partial = self.products(found, first)
+            if essential < len(terms) or len(terms) < dims:
                 if len(scores) >= k:
-                    live = partial + rest[at] >= scores[k - 1]
+                    live = partial + int(np.delete(least, terms[:essential]).sum()) + rest[essential] >= scores[k - 1]
                     found, partial = found[live], partial[live]
-                step = terms[at : at + 8]
-                partial = partial + self.docs[np.ix_(found, step)] @ query[step] - int(least[step].sum())
+                partial = partial + self.products(found, query - first)
             best, scores = np.concatenate([best, found]), np.concatenate([scores, partial])
             order = np.lexsort((ids[best], -scores))[:k]
             best, scores = best[order], scores[order]
 
-        essential = dims
-        heads = [self.lists[:k, t] if query[t] > 0 else self.lists[-k:, t] for t in terms[:8]]
-        score(np.concatenate(heads))
+        score([self.lists[t, -4 * k :] if query[t] > 0 else self.lists[t, : 4 * k] for t in terms[:8]], len(terms))
         for stretch in range(STRETCHES, -1, -1):
-            if len(scores) < k:
-                score(np.arange(n))  # fewer documents than are asked for
-                break
-            threshold = int(scores[k - 1])
             # the terms from here on cannot lift a document above what it must have
-            essential = max(1, int(np.argmax(base + rest < threshold))) if base < threshold else dims
-            missing, total = threshold - base - int(rest[essential]), int(rest[0] - rest[essential])
-            if missing <= 0 or total <= 0:
-                score(np.arange(n))
+            known = len(scores) >= k and base < scores[k - 1]
+            essential = max(1, int(np.argmax(base + rest < scores[k - 1]))) if known else 0
+            if not known:
+                score([np.arange(n)], len(terms))  # no threshold, or one that every document passes
                 break
-            # first only what is far above a term's share, to raise the threshold
-            share = missing / total * (1 + stretch / STRETCHES)
-            for t, room in zip(terms[:essential], bound[:essential]):
-                if share <= 1:
-                    score(self.reaching(t, int(query[t]), int(least[t]) + int(np.floor(share * room))))
+            # a share of each posting; first only what is far above it, to raise the threshold
+            share = int(scores[k - 1] - base - rest[essential]) / int(rest[0] - rest[essential]) * (1 + stretch / STRETCHES / 2)
+            if share <= 1:
+                score([self.reaching(t, int(query[t]), int(least[t]) + max(1, int(np.floor(share * room)))) for t, room in zip(terms[:essential].tolist(), bound[:essential].tolist())], essential)
         return best, scores
 
 
@@ -183,9 +190,10 @@ def top_k_products(vectors: DataFrame, k: int = 10, every: int = 100, shard: int
     return ranked(pairs.applyInArrow(_products(k), "query_id long, query_row long, vec_id long, score long"), k, F.desc("score"))
 
 
-def rotation(dims: int) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((dims, dims)))
-    return q * np.sign(np.diag(r))
+def rotation(dims: int, spread: int = SPREAD) -> np.ndarray:
+    """The rows for the components of a vector, which has zeros behind them, of a random rotation of spread * dims dimensions."""
+    q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((spread * dims, spread * dims)))
+    return (q * np.sign(np.diag(r)))[:dims]
 
 
 def encode(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,10 +258,11 @@ def _neighbours(k: int, centres: dict[int, np.ndarray], width: float):
             ids, names = rows["vec_id"].to_numpy(), rows["row"].to_numpy()
             length, product = rows["length"].to_numpy(), rows["product"].to_numpy()
             codes = words(np.frombuffer(b"".join(rows["bits"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1))
-            wide = width * np.sqrt(np.maximum(0, 1 - product**2) / max(1, dims - 1))
+            size = turn.shape[1]
+            wide = width * np.sqrt(np.maximum(0, 1 - product**2) / max(1, size - 1))
             for query, name, vector in zip(asked["vec_id"].to_pylist(), asked["row"].to_pylist(), matrix(asked["v"]), strict=True):
                 far = float(np.linalg.norm(vector - centre))
-                found, off = code_products(codes, dims, ((vector - centre) / (far or 1)) @ turn)
+                found, off = code_products(codes, size, ((vector - centre) / (far or 1)) @ turn)
                 scale = 2 * far * length / product
                 middle, error = length**2 + far**2 - scale * found, scale * (wide + off)
                 low, high = middle - error, middle + error
@@ -269,6 +278,16 @@ def _neighbours(k: int, centres: dict[int, np.ndarray], width: float):
     return search
 
 
+def _measured(batches):
+    for batch in slices(batches, 4096):
+        names = ["query_id", "query_row", "vec_id", "row"]
+        sizes = pc.list_value_length(batch.column("v")).to_numpy()
+        for size in np.unique(sizes).tolist():
+            part = batch.filter(pa.array(sizes == size))
+            apart = matrix(pa.chunked_array([part.column("v")])) - matrix(pa.chunked_array([part.column("q")]))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(np.sqrt((apart**2).sum(axis=1)))], [*names, "score"])
+
+
 def centres_of(vectors: DataFrame) -> dict[int, np.ndarray]:
     """Mean of a sample of SAMPLE vectors by their number of components."""
     sample = vectors.select("dims", "v", F.xxhash64("vec_id", "row").alias("h")).orderBy("h").limit(SAMPLE)
@@ -302,5 +321,5 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, shard: int = SHAR
     chosen = bounds.join(limits, query).filter("low <= limit").select(*query, "vec_id", "row")
     own = asked.select(F.col("vec_id").alias("query_id"), F.col("row").alias("query_row"), F.col("v").alias("q"))
     near = chosen.join(fine.select("vec_id", "row", "v"), ["vec_id", "row"]).join(own, query)
-    square = F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    return ranked(near.select(*query, "vec_id", "row", F.sqrt(square).alias("score")).dropDuplicates([*query, "vec_id", "row"]), k, F.asc("score"))
+    measured = near.select(*query, "vec_id", "row", "v", "q").mapInArrow(_measured, "query_id long, query_row long, vec_id long, row long, score double")
+    return ranked(measured.dropDuplicates([*query, "vec_id", "row"]), k, F.asc("score"))

@@ -164,10 +164,13 @@ def test_max_score_equals_all_products_and_skips_some():
         every = docs @ query
         want = [d for d in np.lexsort((ids, -every)) if d != k][:10]
         assert at.tolist() == want and score.tolist() == every[want].tolist()
-    met = postings.reaching(0, 3, 3 * int(docs[:, 0].max()) // 2)
-    assert sorted(met.tolist()) == np.flatnonzero(3 * docs[:, 0] >= 3 * int(docs[:, 0].max()) // 2).tolist()
-    met = postings.reaching(1, -2, 100)
-    assert sorted(met.tolist()) == np.flatnonzero(-2 * docs[:, 1] >= 100).tolist()
+    for weight in (3, 1, -1, -2, -7):
+        for least in (-500, -1, 0, 1, 99, 100, 101):
+            assert sorted(postings.reaching(1, weight, least).tolist()) == np.flatnonzero(weight * docs[:, 1] >= least).tolist()
+    large = vector_search.Postings(docs << 14)
+    at, score = large.top(ids, docs[0] << 14, 0, 10)
+    every = (docs << 14) @ (docs[0] << 14)
+    assert score.tolist() == [every[k] for k in at] == sorted((int(x) for x in np.delete(every, 0)), reverse=True)[:10]
 
 
 def test_few_or_no_vectors(spark):
