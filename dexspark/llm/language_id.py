@@ -27,7 +27,7 @@ from dexspark.llm.common import as_bytes, beside_text, materialise, slices, smal
 #: Longest context in bytes, documents per language that are counted, bytes scored at a time.
 ORDER, SAMPLE, CHUNK = 3, 1000, 1 << 17
 #: Longest text in bytes that is counted, languages at most (every gram has a cost in each), bits of a hash that make a range.
-LONGEST, LANGUAGES, PARTS = 1 << 18, 64, 16
+LONGEST, LANGUAGES, PARTS = 1 << 18, 64, 12
 #: Spreads (99 % quantile less median) above the median that a text may cost a byte; what one byte alone may cost more,
 #: divided by the root of the length for longer texts; the bound of a language of fewer than LEAST calibration texts, and the
 #: most: bytes written plainly.
