@@ -22,6 +22,7 @@ def topic(value: int) -> str:
     return "0x" + word(value)
 
 
+# Amounts, price, liquidity and tick of a public swap.
 REAL = [140586, -74025266944810, 1820754252512732283398282170500178, 1620197336976127727, 200858]
 
 
