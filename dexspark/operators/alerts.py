@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Seconds per block, and blocks added to a cluster's look-back.
 CADENCE, SLACK = 12, 100
 
+#: The ledger of keys that have been sent.
+SENT = "alert_key string, sent_at timestamp"
+
 
 def recent(rows: DataFrame, head: int, lookback: int) -> DataFrame:
     return rows.filter((F.col("block_number") > head - lookback) & (F.col("block_number") <= head))
@@ -62,6 +65,21 @@ def unsent(alerts: DataFrame, sent: DataFrame) -> DataFrame:
     return alerts.dropDuplicates(["alert_key"]).join(sent.select("alert_key"), "alert_key", "left_anti")
 
 
+def tick(trades: DataFrame, watched: DataFrame, pools: DataFrame, head: int, lookbacks: tuple[int, int], threshold: float, least: int, window_s: int) -> DataFrame:
+    """(alert_key, rule) of every rule at this head; the look-backs, of moves and of clusters, bound what is read.
+
+    trades has value and token beside the columns of swaps. Windows of successive ticks overlap:
+    ``claim_new`` lets each key through once.
+    """
+    found = {
+        "move": watchlist_moves(trades, watched, threshold, head, lookbacks[0]),
+        "cluster": cluster_buys(trades.filter("side = 'buy'"), watched, head, lookbacks[1], least, window_s),
+        "newpool": new_pool_alerts(pools.filter(F.col("created_block") <= head)),
+    }
+    move, cluster, pool = (rows.select("alert_key", F.lit(rule).alias("rule")) for rule, rows in found.items())
+    return move.unionByName(cluster).unionByName(pool)
+
+
 def claim_new(alerts: DataFrame, sent_path: str, sent: DataFrame, as_of: F.Column) -> DataFrame:
     """Writes the keys of unsent alerts to the ledger and returns those alerts."""
     new = unsent(alerts, sent).persist()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST, MOST, USUAL = 1, 500, 50
@@ -26,9 +26,9 @@ def page(rows: DataFrame, keys: list[str], after: tuple | None = None, limit: in
     if after is not None:
         rows = rows.filter(before_key(keys, after))
     falling = [F.desc(k) for k in keys]
-    some = rows.orderBy(*falling).limit(size + 1)
-    more = some.agg((F.count("*") > size).alias("has_more"))
-    return some.orderBy(*falling).limit(size).crossJoin(F.broadcast(more))  # one row
+    # the window goes over the rows of one page and the one behind it
+    more = F.count("*").over(Window.partitionBy(F.lit(0))) > size
+    return rows.orderBy(*falling).limit(size + 1).withColumn("has_more", more).orderBy(*falling).limit(size)
 
 
 def swaps_page(swaps: DataFrame, pool: str, after: tuple[int, int] | None = None, limit: int | None = None) -> DataFrame:

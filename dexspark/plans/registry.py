@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dexspark.functions.columns import event_key, price_from_sqrt
+from dexspark.functions.columns import address_text, event_key, price_from_sqrt
 from dexspark.functions.wide import limbs, to_text
 from dexspark.operators import alerts, candles, chain, decode, discovery, fifo, pages, quality, retention, revert, trades, wallets
 from dexspark.plans import sql, views
@@ -26,6 +26,14 @@ FORK, FINAL, HEAD = 1200, 1100, 1200
 WASH = {"self_least": 10, "churn_least": 24, "ratio": 0.02}
 POOL, WALLET, USER_POOL = "Brand#11", "7", "purchase"
 DAY = 86_400
+TICKS = (900, 1050, 1200)
+
+# SQL of the encoded logs: those of liquidity, and all; brand 0 stands for the factory.
+LIQUIDITY = """select *, 'mint' as kind, 100000 as shift from sw where cast(sender as bigint) < brand % 3
+  union all select *, 'burn', 200000 from sw where sender = '50' union all select *, 'collect', 300000 from sw where sender = '51'"""
+ALL_LOGS = f"""select block_number, tx_hash, cast(log_index as integer) as log_index, brand from sw
+  union all select block_number, tx_hash, cast(log_index + shift as integer), brand from ({LIQUIDITY})
+  union all select min(block_number), 'c' || brand, cast(400000 + brand as integer), 0 from sw group by brand"""
 
 
 def query(statement: str | None = None) -> Callable[[Query], Query]:
@@ -286,7 +294,8 @@ def swaps_page(spark, sf_dir):
 
 
 @query(
-    f"""select epoch(bucket)::bigint as bucket, close, trade_count, true as has_more
+    f"""select epoch(bucket)::bigint as bucket, close, trade_count,
+  (select count(*) > 24 from ch where pool = '{USER_POOL}' and bucket < timestamp '2024-01-20 00:00:00') as has_more
 from ch where pool = '{USER_POOL}' and bucket < timestamp '2024-01-20 00:00:00' order by 1 desc limit 24"""
 )
 def candles_page(spark, sf_dir):
@@ -371,7 +380,10 @@ def advance_finality(spark, sf_dir):
     return chain.advance_finality(state_of(views.swaps(spark, sf_dir)), 1300, 1150).select("finalized_height", "head_height")
 
 
-@query("select cast(1499 as bigint) as cursor from hd having count(*) > 0")
+COVERED = "(select distinct number // 100 as part from hd where number // 100 <> 15)"
+
+
+@query(f"select case when (select min(part) from {COVERED}) = 0 then min(part) * 100 + 99 end as cursor from {COVERED} where part + 1 not in (select part from {COVERED})")
 def backfill_prefix(spark, sf_dir):
     """Ranges of 100 blocks without the sixteenth."""
     part = F.expr("number div 100")
@@ -379,6 +391,20 @@ def backfill_prefix(spark, sf_dir):
     return chain.backfill_cursor(ranges.select((F.col("part") * 100).alias("lo"), (F.col("part") * 100 + 99).alias("hi")), 0)
 
 
+@query(f"select number, block_hash, parent_hash from hd where number > {FINAL}")
+def headers_pruned(spark, sf_dir):
+    """Headers written and read back, without those at or below the final height."""
+    path = shared_path(spark, "headers")
+    views.headers(views.swaps(spark, sf_dir)).write.mode("append").parquet(path)
+    return chain.prune_headers(logs.read_headers(spark, path), FINAL).select("number", "block_hash", "parent_hash")
+
+
+@query("select cast(cast(min(block_time) as date) as varchar) as low, cast(cast(max(block_time) as date) as varchar) as high from hd where number between 100 and 900")
+def days_of_blocks(spark, sf_dir):
+    found = logs.days_of_blocks(views.headers(views.swaps(spark, sf_dir)), 100, 900)
+    return found.select(F.col("low").cast("string").alias("low"), F.col("high").cast("string").alias("high"))
+
+
 # Reverts: each equals a clean run up to the fork
 
 
@@ -387,6 +413,11 @@ def revert_raw(spark, sf_dir):
     return revert.revert_raw(views.swaps(spark, sf_dir), FORK).groupBy("pool").agg(F.count("*").alias("rows"), F.sum("amount0").alias("net"))
 
 
+@query(f"select count(*) as removed from sw where block_number > {FORK}")
+def revert_removed(spark, sf_dir):
+    return revert.removed_count(views.swaps(spark, sf_dir), FORK)
+
+
 @query("with " + sql.rebuilt(CONSUMED, FORK)[5:])
 def revert_ledger(spark, sf_dir):
     return without_nulls(revert.revert_ledger(revert.replay(position_trades(spark, sf_dir))["consumed"], FORK)[0])
@@ -544,6 +575,34 @@ def classify_logs(spark, sf_dir):
     return decode.classify_logs(views.raw_logs(views.swaps(spark, sf_dir)))
 
 
+@query(
+    """select address, outcome, count(*) as logs from (
+  select '0x' || lower(lpad(hex(brand), 40, '0')) as address, case when log_index % 7 = 6 then 'unknown' else 'swap' end as outcome from sw where brand % 2 = 0
+  union all select '0x' || lower(lpad(hex(brand), 40, '0')), 'liq' from sw where brand % 2 = 0 and (cast(sender as bigint) < brand % 3 or sender in ('50', '51'))) group by 1, 2"""
+)
+def classify_watched(spark, sf_dir):
+    """Logs of the indexed pools alone; those of the factory and of other pools are not looked at."""
+    rows = views.swaps(spark, sf_dir)
+    own = views.new_pools(rows).filter("is_indexed").select(views.contract("address").alias("address"))
+    return decode.classify_logs(views.raw_logs(rows), own)
+
+
+@query(
+    """select '0x' || lower(lpad(hex(brand), 40, '0')) as address, '0x' || lower(lpad(hex(brand * 2), 40, '0')) as token0, '0x' || lower(lpad(hex(brand * 2 + 1), 40, '0')) as token1,
+  3000 as fee, 60 as tick_spacing, min(block_number) as block_number from sw group by brand"""
+)
+def decode_pools(spark, sf_dir):
+    found = decode.decode_pool_created(views.raw_logs(views.swaps(spark, sf_dir)))
+    return found.select("address", "token0", "token1", "fee", "tick_spacing", "block_number")
+
+
+@query("select distinct pool, '0x' || lower(lpad(hex(brand), 40, '0')) as address from sw")
+def address_texts(spark, sf_dir):
+    """Addresses held as 20 bytes, as text."""
+    raw = F.unhex(F.lpad(F.hex(views.brand()), 40, F.lit("0")))
+    return views.swaps(spark, sf_dir).select("pool").distinct().select("pool", address_text(raw).alias("address"))
+
+
 @query("select number_, cast(number_ as varchar) as plain, cast(-number_ as varchar) as negative from (select distinct amount1 as number_ from sw)")
 def wide_numbers(spark, sf_dir):
     """Words in two's complement, both signs, read back as exact text."""
@@ -589,6 +648,21 @@ def blocks_with_all_logs(spark, sf_dir):
     return blocks.select("number", F.size("logs").cast("long").alias("logs"), F.coalesce(F.get("logs", F.lit(0))["log_index"].cast("long"), F.lit(-1)).alias("first_log"))
 
 
+@query(f"select block_number, tx_hash, log_index from ({ALL_LOGS})")
+def blocks_exploded(spark, sf_dir):
+    """Blocks with their logs, taken apart again: every log of every block."""
+    rows = views.swaps(spark, sf_dir)
+    return logs.explode_blocks(logs.blocks_with_logs(views.headers(rows), views.raw_logs(rows)))[1].select("block_number", "tx_hash", "log_index")
+
+
+@query(f"select block_number, tx_hash, log_index from ({ALL_LOGS}) where brand = 11 and block_number between 100 and 900")
+def scan_written_logs(spark, sf_dir):
+    """Logs written, and those of a range of blocks and one contract read back."""
+    path = shared_path(spark, "logs")
+    views.raw_logs(views.swaps(spark, sf_dir)).write.mode("append").parquet(path)
+    return logs.scan_logs(logs.read_logs(spark, path), 100, 900, ["0x" + f"{11:x}".zfill(40)]).select("block_number", "tx_hash", "log_index")
+
+
 @query("select distinct block_number from sw where brand = 11 and block_number between 100 and 900")
 def active_blocks(spark, sf_dir):
     address = "0x" + f"{11:x}".zfill(40)
@@ -640,6 +714,31 @@ def unsent_alerts(spark, sf_dir):
     return alerts.unsent(found, spark.read.schema("alert_key string, sent_at timestamp").parquet(path)).select("alert_key")
 
 
+HEADS = f"(values {', '.join(f'({n}, {head})' for n, head in enumerate(TICKS, 1))}) as heads(tick, head)"
+
+
+@query(
+    f"""select alert_key, min(tick) as tick from (
+  select 'move:' || tx_hash || ':' || log_index as alert_key, tick from sw join {HEADS} on block_number > head - 300 and block_number <= head
+  where recipient in (select wallet from watched) and abs(amount1) >= 5000000
+  union all select 'cluster:' || token || ':' || (first_time // {15 * DAY}), tick from (
+    select tick, pool as token, count(distinct recipient) as wallets, epoch(min(block_time))::bigint as first_time, epoch(max(block_time))::bigint as last_time
+    from sw join {HEADS} on block_number > head - 20 and block_number <= head where side = 'buy' and recipient in (select wallet from watched) group by 1, 2)
+  where wallets >= 3 and last_time - first_time <= {15 * DAY}
+  union all select 'newpool:' || address, tick from np join {HEADS} on created_block <= head where not is_indexed) group by 1"""
+)
+def alert_ticks(spark, sf_dir):
+    """Three ticks over windows that overlap: each key goes out once, at the first tick that finds it."""
+    rows = views.swaps(spark, sf_dir)
+    valued = rows.withColumns({"value": F.abs("amount1"), "token": F.col("pool")})
+    path, sent = shared_path(spark, "sent"), spark.createDataFrame([], alerts.SENT)
+    for number, head in enumerate(TICKS, 1):
+        found = alerts.tick(valued, watched(rows), views.new_pools(rows), head, (300, 20), 5_000_000, 3, 15 * DAY)
+        alerts.claim_new(found, path, sent, F.expr(f"timestamp '{AS_OF}' + interval {number} days"))
+        sent = spark.read.schema(alerts.SENT).parquet(path)
+    return sent.select("alert_key", F.datediff("sent_at", moment(AS_OF)).alias("tick"))
+
+
 # Keyed tables
 
 
@@ -774,34 +873,84 @@ def quality_gap(spark, sf_dir):
     return quality.check_gap_free(views.headers(views.swaps(spark, sf_dir)))
 
 
-@query(f"select max(number) filter (where number <= {HEAD}) as live_cursor, max(number) as top, true as ok from hd")
+@query("select min(number) as first, max(number) as last, count(*) as count, max(number) - min(number) + 1 = count(*) as gap_free from hd where number % 100 <> 50")
+def quality_gap_found(spark, sf_dir):
+    return quality.check_gap_free(views.headers(views.swaps(spark, sf_dir)).filter("number % 100 <> 50"))
+
+
+@query("select live_cursor, top, live_cursor <= top as ok from (select max(number) filter (where number <= {HEAD}) as live_cursor, max(number) as top from hd)".replace("{HEAD}", str(HEAD)))
 def quality_cursor(spark, sf_dir):
     rows = views.swaps(spark, sf_dir)
     return quality.check_cursor(state_of(rows), views.headers(rows))
 
 
+@query("select live_cursor, top, live_cursor <= top as ok from (select max(number) + 7 as live_cursor, max(number) as top from hd)")
+def quality_cursor_found(spark, sf_dir):
+    """A cursor seven blocks ahead of the rows."""
+    rows = views.swaps(spark, sf_dir)
+    return quality.check_cursor(state_of(rows).withColumn("live_cursor", F.col("head_height") + 7), views.headers(rows))
+
+
 @query(f"select count(*) as orphans from sw where block_number > {FORK}")
 def quality_parity(spark, sf_dir):
     rows = views.swaps(spark, sf_dir)
     return quality.check_event_parity(views.headers(rows).filter(F.col("number") <= FORK), rows)
 
 
-@query("select cast((select sum(realized) from stats) as bigint) as stats_realized, cast((select sum(realized) from cons) as bigint) as ledger_realized, true as equal")
+LEDGER = "select *, stats_realized = ledger_realized as equal from (select cast((select sum(realized) from stats) as bigint) as stats_realized, cast((select sum(realized) from cons) as bigint) as ledger_realized)"
+
+
+@query(LEDGER)
 def quality_ledger(spark, sf_dir):
     run = revert.replay(position_trades(spark, sf_dir))
     return quality.check_ledger(run["stats"], run["consumed"])
 
 
-@query("select count(*) as positions, cast(0 as bigint) as faults from (select distinct wallet, token from lots)")
+@query(LEDGER.replace("from cons", f"from cons where sell_block <= {FORK}"))
+def quality_ledger_found(spark, sf_dir):
+    """A ledger that has lost the sells above the fork."""
+    run = revert.replay(position_trades(spark, sf_dir))
+    return quality.check_ledger(run["stats"], run["consumed"].filter(F.col("sell_block") <= FORK))
+
+
+@query(
+    """select count(*) as positions, count(*) filter (where held <> bought) as faults from (select wallet, token, sum(remaining) as held from lots group by 1, 2)
+join (select wallet, token, max(b) - max(c) as bought from ax group by 1, 2) using (wallet, token)"""
+)
 def quality_lots(spark, sf_dir):
     return quality.check_lots(fifo.positions(fifo.open_lots(fifo.fifo_axis(position_trades(spark, sf_dir)))))
 
 
-@query("select count(*) as rows, cast(0 as bigint) as bad_kind, cast(0 as bigint) as bad_address, cast(0 as bigint) as bad_block from sw where cast(sender as bigint) < brand % 3 or sender in ('50', '51')")
+@query("select count(*) as positions, count(*) filter (where cast(wallet as bigint) % 2 = 0) as faults from (select distinct wallet, token from lots)")
+def quality_lots_found(spark, sf_dir):
+    """Positions of even wallets hold one more than their lots."""
+    held = fifo.positions(fifo.open_lots(fifo.fifo_axis(position_trades(spark, sf_dir))))
+    return quality.check_lots(held.withColumn("qty_held", F.col("qty_held") + F.when(F.col("wallet").cast("long") % 2 == 0, 1).otherwise(0)))
+
+
+KINDS = """select count(*) as rows, count(*) filter (where kind not in ('mint', 'burn', 'collect')) as bad_kind,
+  count(*) filter (where not regexp_matches(owner, '^0x[0-9a-f]{40}$')) as bad_address, count(*) filter (where block < 0) as bad_block from (select """
+
+
+@query(KINDS + "kind, '0x' || lower(lpad(hex(cast(sender as bigint)), 40, '0')) as owner, block_number as block from (" + LIQUIDITY + "))")
 def quality_kinds(spark, sf_dir):
     return quality.check_kinds(decode.liq_events(views.raw_logs(views.swaps(spark, sf_dir))))
 
 
+@query(
+    KINDS + """case when (log_index + shift) % 3 = 0 then 'swap' else kind end as kind, '0x' || lower(lpad(hex(cast(sender as bigint)), 40, '0')) || case when (log_index + shift) % 5 = 0 then '0' else '' end as owner,
+  case when (log_index + shift) % 7 = 0 then -1 else block_number end as block from (""" + LIQUIDITY + "))"
+)
+def quality_kinds_found(spark, sf_dir):
+    """Every third log of a wrong kind, every fifth with an address too long, every seventh below block 0."""
+    found = decode.liq_events(views.raw_logs(views.swaps(spark, sf_dir)))
+
+    def every(n: int, wrong: F.Column, name: str) -> F.Column:
+        return F.when(F.col("log_index") % n == 0, wrong).otherwise(F.col(name))
+
+    return quality.check_kinds(found.withColumns({"kind": every(3, F.lit("swap"), "kind"), "owner": every(5, F.concat("owner", F.lit("0")), "owner"), "block_number": every(7, F.lit(-1), "block_number")}))
+
+
 @query(f"select wallet, token, block_number, log_index, 'left' as side_ from tr where block_number > {FORK}")
 def state_diff(spark, sf_dir):
     rows = position_trades(spark, sf_dir).select("wallet", "token", "block_number", "log_index")

@@ -224,3 +224,33 @@ def test_batches_write_what_they_touch(spark, tmp_path):
     assert state.store.read("trades").count() == 60 and max(files) <= files[1] + 4
     with pytest.raises(RuntimeError, match="checkpoint"):
         state.apply(spark.createDataFrame(batches[0], POSITION_TRADE), 0)
+
+
+def test_stream_by_time_takes_what_comes(spark, tmp_path):
+    """Batches of two files at most while files come, none for nothing."""
+    from dexspark.streaming.ingest import read_block_stream, run_every
+
+    source, kinds, sizes = str(tmp_path / "in"), "block_number long, log_index long", []
+    rows = spark.createDataFrame([(n, 0) for n in range(6)], kinds)
+    for n in range(3):
+        rows.filter(F.col("block_number") % 3 == n).coalesce(1).write.mode("append").parquet(source)
+    running = run_every(read_block_stream(spark, source, kinds, files=2), lambda batch, n: sizes.append(batch.count()), str(tmp_path / "check"), "1 second")
+    try:
+        running.processAllAvailable()
+        rows.limit(0).coalesce(1).write.mode("append").parquet(source)
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    assert sizes == [4, 2]
+
+
+def test_tick_sees_only_its_window(spark):
+    rows = spark.createDataFrame(
+        [("w", "p", f"t{b}", 0, b, T0, 500, "buy") for b in (10, 90)] + [("x", "p", "t5", 0, 90, T0, 5, "buy"), ("y", "p", "t6", 0, 90, T0, 5, "sell")],
+        "recipient string, pool string, tx_hash string, log_index long, block_number long, block_time timestamp, value long, side string",
+    ).withColumn("token", F.col("pool"))
+    watched = spark.createDataFrame([("w",), ("x",), ("y",)], "wallet string")
+    pools = spark.createDataFrame([("a", 50, T0, False, ["fresh"]), ("b", 150, T0, False, ["fresh"]), ("c", 50, T0, True, [])], "address string, created_block long, discovered_at timestamp, is_indexed boolean, risk_flags array<string>")
+    found = alerts.tick(rows, watched, pools, 100, (50, 20), 100, 2, 600)
+    assert {(r.rule, r.alert_key.split(":")[1]) for r in found.collect()} == {("move", "t90"), ("cluster", "p"), ("newpool", "a")}
+    assert alerts.tick(rows.limit(0), watched, pools.limit(0), 100, (50, 20), 100, 2, 600).count() == 0
