@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dexspark.llm import byte_bpe, html_extract, jaccard_join, language_id, mixing, substring_dedup, token_counts, url_filters, vector_search
+from dexspark.llm import byte_bpe, html_extract, jaccard_join, language_id, mixing, simhash, substring_dedup, token_counts, url_filters, vector_search
 from dexspark.llm.common import ship_code, table
 
 #: Vocabulary of the BPE query and of the last stage of the pipeline.
@@ -94,6 +94,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.beside_edited(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -157,6 +161,7 @@ OPERATORS = [
     op8_jaccard_join,
     op9_nearest_neighbours,
     op10_substring_dedup,
+    op12_simhash,
 ]
 
 
