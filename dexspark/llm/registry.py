@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dexspark.llm import byte_bpe, html_extract, jaccard_join, language_id, mixing, simhash, substring_dedup, token_counts, url_filters, vector_search
+from dexspark.llm import byte_bpe, hard_negatives, html_extract, jaccard_join, language_id, mixing, simhash, substring_dedup, token_counts, url_filters, vector_search, whitening
 from dexspark.llm.common import ship_code, table
 
 #: Vocabulary of the BPE query and of the last stage of the pipeline.
@@ -94,10 +94,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.beside_edited(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -161,7 +171,9 @@ OPERATORS = [
     op8_jaccard_join,
     op9_nearest_neighbours,
     op10_substring_dedup,
+    op11_hard_negatives,
     op12_simhash,
+    op13_whitening,
 ]
 
 
@@ -202,6 +214,24 @@ ranked as (select *, cast(row_number() over (partition by query_id order by scor
 select query_id, rank, vec_id, score from ranked where rank <= 10
 """
 
+#: Every anchor with every row, then every positive with every row of another label.
+NEGATIVE_SQL = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as c
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (
+  select a.vec_id as anchor_id, d.vec_id, a.label = d.label as same, cast(list_sum(list_transform(range(1, len(a.c) + 1), lambda i: a.c[i] * d.c[i])) as bigint) as score
+  from v a join v d on a.vec_id <> d.vec_id where a.vec_id % 50 = 0),
+positives as (select * from pairs where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+found as (
+  select p.anchor_id, p.vec_id as positive_id, n.vec_id as negative_id, p.score as positive_score, n.score as negative_score,
+    cast(row_number() over (partition by p.anchor_id, p.vec_id order by n.score desc, n.vec_id) as integer) as rank
+  from positives p join pairs n on p.anchor_id = n.anchor_id and not n.same and 50 * p.score <= 100 * n.score and 100 * n.score <= 95 * p.score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from found where rank <= 3
+"""
+
 
 def queries() -> dict:
     own = {f.__name__: f for f in OPERATORS}
@@ -209,4 +239,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": URL_SQL, "op4_source_mixing": MIXING_SQL, "op7_exact_top_k": PRODUCT_SQL}
+    return {"op3_url_filters": URL_SQL, "op4_source_mixing": MIXING_SQL, "op7_exact_top_k": PRODUCT_SQL, "op11_hard_negatives": NEGATIVE_SQL}
