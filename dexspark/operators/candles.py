@@ -58,6 +58,11 @@ def rollup(minutes: DataFrame, resolution: str, as_of: Column) -> DataFrame:
     return _merged(minutes.filter(F.col("bucket") < F.date_trunc(unit, as_of)), F.date_trunc(unit, "bucket"), F.lit(resolution))
 
 
+def rollup_of(minutes: DataFrame, resolution: str) -> DataFrame:
+    """Hour or day candles of all minutes, the last bucket as far as it has come."""
+    return _merged(minutes, F.date_trunc(UNITS[resolution], "bucket"), F.lit(resolution))
+
+
 def affected_buckets(swaps: DataFrame, fork: int, resolution: str = "1m") -> DataFrame:
     """Pools and buckets that lose events when blocks above the fork are withdrawn."""
     gone = swaps.filter(F.col("block_number") > fork)

@@ -8,7 +8,8 @@ zero-cost tail. Every window has the same partition and sort keys, so there is o
 A position is the unit of work: one wallet's trades in one token are sorted in one task.
 
 Quantities are longs, or decimals without a fraction where raw units pass a long: sums of a
-position may have 38 digits and a single quantity 32. Values are longs.
+position may have 38 digits and a single quantity 32. Values are longs, or decimal(38,8) where
+money is exact; shares of them come in millionths of a unit as longs, or in the values' own type.
 """
 
 from __future__ import annotations
@@ -21,8 +22,12 @@ from pyspark.sql import functions as F
 from dexspark.functions.columns import event_key
 
 POSITION = ["wallet", "token"]
-#: Digits of a value that are divided at a time where quantities are wide.
-STEP = 5
+#: Digits of a value that are divided at a time where quantities are wide, and digits that a value may have.
+STEP, DIGITS = 5, 30
+#: Exact money.
+EXACT = "decimal(38,8)"
+#: Below this a product of two numbers is divided in one step.
+SHORT = 10**18
 
 
 def quantity(df: DataFrame, column: str = "qty") -> str:
@@ -30,39 +35,59 @@ def quantity(df: DataFrame, column: str = "qty") -> str:
     return "decimal(38,0)" if dict(df.dtypes)[column].startswith("decimal") else "long"
 
 
-def share(value: F.Column, part: F.Column, whole: F.Column, kind: str) -> F.Column:
-    """value * part / whole in millionths, rounded half up.
+def money(df: DataFrame, column: str = "value") -> str:
+    """Type of the values: decimal(38,8) where they come as decimals, else long."""
+    return EXACT if dict(df.dtypes)[column].startswith("decimal") else "long"
+
+
+def share(value: F.Column, part: F.Column, whole: F.Column, kind: str, paid: str = "long") -> F.Column:
+    """value * part / whole, rounded half up: in millionths for values that are longs, else with 8 places.
 
     A wide product passes 38 digits, so the value is then divided STEP digits at a time, from
-    the first on, with what remains carried to the next.
+    the first on, with what remains carried to the next. part is at most whole.
     """
-    if kind == "long":
+    if kind == paid == "long":
         exact = value.cast("decimal(18,0)") * part.cast("decimal(18,0)") / whole.cast("decimal(18,0)")
-        return (exact.cast("decimal(32,6)") * 1_000_000).cast("long")
-    micros = value.cast("decimal(38,0)") * F.lit(1_000_000).cast("decimal(7,0)")
-    sizes = [F.lit(Decimal(10**at)).cast("decimal(38,0)") for at in range(0, 25, STEP)]
-    digits = F.array(*[(((micros - micros % at) / at).cast("decimal(38,0)") % F.lit(10**STEP)).cast("decimal(38,0)") for at in reversed(sizes)])
-    start = F.struct(F.lit(0).cast("long").alias("done"), F.lit(0).cast("decimal(38,0)").alias("left"))
+        product = (value.cast("decimal(19,0)") * part.cast("decimal(19,0)")).cast("decimal(38,0)")
+        divisor = whole.cast("decimal(19,0)")
+        rest = product % divisor
+        parts = (rest * F.lit(2_000_000).cast("decimal(7,0)") + divisor).cast("decimal(38,0)")
+        twice = (2 * divisor).cast("decimal(20,0)")
+        longer = ((product - rest) / divisor).cast("decimal(32,0)") * F.lit(1_000_000).cast("decimal(7,0)") + ((parts - parts % twice) / twice).cast("decimal(32,0)")
+        return F.when((value < SHORT) & (whole < SHORT), (exact.cast("decimal(32,6)") * 1_000_000).cast("long")).otherwise(longer.cast("long"))
+    part, whole = part.cast("decimal(38,0)"), whole.cast("decimal(38,0)")
+    if paid == "long":
+        units = value.cast("decimal(38,0)") * F.lit(1_000_000).cast("decimal(7,0)")
+    else:
+        units = value.cast(EXACT) * F.lit(10**8).cast("decimal(9,0)")
+    units = units.cast("decimal(38,0)")
+    sizes = [F.lit(Decimal(10**at)).cast("decimal(38,0)") for at in range(0, DIGITS, STEP)]
+    digits = F.array(*[(((units - units % at) / at).cast("decimal(38,0)") % F.lit(10**STEP)).cast("decimal(38,0)") for at in reversed(sizes)])
+    none = F.lit(0).cast("decimal(38,0)")
+    start = F.struct(none.alias("done"), none.alias("left"))
 
     def divide(at: F.Column, digit: F.Column) -> F.Column:
         left = (at["left"] * F.lit(10**STEP) + digit * part).cast("decimal(38,0)")
-        more = F.floor((left - left % whole) / whole).cast("long")
-        return F.struct((at["done"] * F.lit(10**STEP) + more).alias("done"), (left % whole).cast("decimal(38,0)").alias("left"))
+        more = F.floor((left - left % whole) / whole).cast("decimal(38,0)")
+        return F.struct((at["done"] * F.lit(10**STEP) + more).cast("decimal(38,0)").alias("done"), (left % whole).cast("decimal(38,0)").alias("left"))
 
-    return F.aggregate(digits, start, divide, lambda at: at["done"] + (at["left"] >= whole - at["left"]).cast("long"))
+    done = F.aggregate(digits, start, divide, lambda at: (at["done"] + (at["left"] >= whole - at["left"]).cast("int")).cast("decimal(38,0)"))
+    return done.cast("long") if paid == "long" else (done.cast("decimal(30,0)") * F.lit(Decimal("0.00000001")).cast("decimal(8,8)")).cast(EXACT)
 
 
 def fifo_axis(trades: DataFrame) -> DataFrame:
     """Adds key, b, c, u and their values before the trade (b0, c0, u0).
 
-    trades has wallet, token, side (buy, sell), qty, value, block_number, log_index, tx_hash.
+    trades has wallet, token, side (buy, sell), qty, value, block_number, log_index, tx_hash. What is
+    left of a lot enters as a buy with its left qty, and with ``whole``, the quantity that its value is for.
     """
     order = Window.partitionBy(*POSITION).orderBy("key")
     run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     buy = F.col("side") == "buy"
     kind = quantity(trades)
     zero = F.lit(0).cast(kind)
-    axis = trades.withColumn("key", event_key()).withColumn("qty", F.col("qty").cast(kind))
+    whole = F.coalesce("whole", "qty") if "whole" in trades.columns else F.col("qty")
+    axis = trades.withColumn("key", event_key()).withColumns({"whole": whole.cast(kind), "qty": F.col("qty").cast(kind)})
     axis = axis.withColumn("b", F.sum(F.when(buy, F.col("qty")).otherwise(zero)).over(run).cast(kind))
     axis = axis.withColumn("_s", F.sum(F.when(buy, zero).otherwise(F.col("qty"))).over(run).cast(kind))
     axis = axis.withColumn("u", F.greatest(F.max(F.col("_s") - F.col("b")).over(run).cast(kind), zero))
@@ -70,17 +95,18 @@ def fifo_axis(trades: DataFrame) -> DataFrame:
     return axis.withColumns({f"{x}0": F.coalesce(F.lag(x).over(order), zero) for x in ("b", "c", "u")})
 
 
-def fifo_consume(axis: DataFrame) -> DataFrame:
+def fifo_consume(axis: DataFrame, lots: bool = False) -> DataFrame:
     """One row per sell and lot it draws on, then one zero-cost row for what no lot covers.
 
     Columns: sell_tx, sell_log, consume_seq, wallet, token, qty, lot_block, lot_log (null in the
     tail row, whose lot_block is the sell's), sell_block, proceeds, cost, realized. Money is in
-    millionths of the input unit, rounded half up.
+    millionths of the input unit, rounded half up, or exact, see ``share``. ``lots`` adds lot_qty and
+    lot_value, all that is needed to give the lot back.
     """
-    lot = F.struct("block_number", "log_index", "qty", "value").alias("lot")
+    lot = F.struct("block_number", "log_index", F.col("whole").alias("qty"), "value").alias("lot")
     sell = F.struct("block_number", "log_index", "tx_hash", "qty", "value")
-    kind = quantity(axis)
-    lot_kind, sell_kind = (f"struct<block_number:long,log_index:long,{name}qty:{kind},value:long>" for name in ("", "tx_hash:string,"))
+    kind, paid = quantity(axis), money(axis)
+    lot_kind, sell_kind = (f"struct<block_number:long,log_index:long,{name}qty:{kind},value:{paid}>" for name in ("", "tx_hash:string,"))
     none_lot, none_sell, none = (F.lit(None).cast(k) for k in (lot_kind, sell_kind, kind))
     lot, sell = lot.cast(lot_kind), sell.cast(sell_kind)
 
@@ -104,12 +130,12 @@ def fifo_consume(axis: DataFrame) -> DataFrame:
     pieces = pieces.select(*POSITION, sold.alias("s"), F.when(~is_tail, F.col("lot")).alias("l"), F.when(is_tail, F.col("tail")).otherwise(F.col("at") - F.col("_low")).cast(kind).alias("take"))
     order = Window.partitionBy(*POSITION, "s.block_number", "s.log_index").orderBy(F.col("l").isNull(), "l.block_number", "l.log_index")
 
-    def money(value, qty):
-        return share(F.col(value), F.col("take"), F.col(qty), kind)
+    def part(value, qty):
+        return share(F.col(value), F.col("take"), F.col(qty), kind, paid)
 
     return (
         pieces.withColumn("consume_seq", F.row_number().over(order) - 1)
-        .withColumns({"proceeds": money("s.value", "s.qty"), "cost": F.coalesce(money("l.value", "l.qty"), F.lit(0).cast("long"))})
+        .withColumns({"proceeds": part("s.value", "s.qty"), "cost": F.coalesce(part("l.value", "l.qty"), F.lit(0).cast(paid))})
         .select(
             F.col("s.tx_hash").alias("sell_tx"),
             F.col("s.log_index").alias("sell_log"),
@@ -121,7 +147,8 @@ def fifo_consume(axis: DataFrame) -> DataFrame:
             F.col("s.block_number").alias("sell_block"),
             "proceeds",
             "cost",
-            (F.col("proceeds") - F.col("cost")).alias("realized"),
+            (F.col("proceeds") - F.col("cost")).cast(paid).alias("realized"),
+            *([F.col("l.qty").alias("lot_qty"), F.col("l.value").alias("lot_value")] if lots else []),
         )
     )
 
@@ -132,19 +159,19 @@ def open_lots(axis: DataFrame) -> DataFrame:
     done = axis.withColumn("_done", F.max("c").over(whole)).filter("side = 'buy'")
     left = (F.col("b") - F.greatest("_done", "b0")).cast(quantity(axis))
     return done.withColumn("remaining", left).filter("remaining > 0").select(
-        *POSITION, F.col("block_number").alias("lot_block"), F.col("log_index").cast("long").alias("lot_log"), F.col("qty").alias("lot_qty"), F.col("value").alias("lot_value"), "remaining"
+        *POSITION, F.col("block_number").alias("lot_block"), F.col("log_index").cast("long").alias("lot_log"), F.col("whole").alias("lot_qty"), F.col("value").alias("lot_value"), "remaining"
     )
 
 
-def lot_cost(qty: str = "remaining", kind: str = "long") -> F.Column:
-    """Cost of what is left of a lot, in millionths, rounded half up."""
-    return share(F.col("lot_value"), F.col(qty), F.col("lot_qty"), kind)
+def lot_cost(lots: DataFrame) -> F.Column:
+    """Cost of what is left of each lot, see ``share``."""
+    return share(F.col("lot_value"), F.col("remaining"), F.col("lot_qty"), quantity(lots, "remaining"), money(lots, "lot_value"))
 
 
 def positions(lots: DataFrame) -> DataFrame:
     """(wallet, token, qty_held, cost_basis, lots) with lots oldest first."""
     lot = F.struct("lot_block", "lot_log", F.col("remaining").alias("qty"), "lot_qty", "lot_value")
-    return lots.groupBy(*POSITION).agg(F.sum("remaining").alias("qty_held"), F.sum(lot_cost(kind=quantity(lots, "remaining"))).alias("cost_basis"), F.array_sort(F.collect_list(lot)).alias("lots"))
+    return lots.groupBy(*POSITION).agg(F.sum("remaining").alias("qty_held"), F.sum(lot_cost(lots)).alias("cost_basis"), F.array_sort(F.collect_list(lot)).alias("lots"))
 
 
 def sell_totals(consumed: DataFrame) -> DataFrame:

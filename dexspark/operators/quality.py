@@ -41,7 +41,7 @@ def check_ledger(stats: DataFrame, consumed: DataFrame) -> DataFrame:
 def check_lots(positions: DataFrame) -> DataFrame:
     """(positions, faults): positions whose sums differ from those over their lots."""
     held = positions.select("wallet", "token", "qty_held", "cost_basis", F.explode_outer("lots").alias("lot")).select("*", "lot.*").withColumnRenamed("qty", "remaining")
-    sums = held.groupBy("wallet", "token", "qty_held", "cost_basis").agg(F.sum("remaining").alias("_q"), F.sum(lot_cost()).alias("_c"))
+    sums = held.groupBy("wallet", "token", "qty_held", "cost_basis").agg(F.sum("remaining").alias("_q"), F.sum(lot_cost(held)).alias("_c"))
     fault = (F.col("qty_held") != F.coalesce("_q", F.lit(0))) | (F.col("cost_basis") != F.coalesce("_c", F.lit(0)))
     return sums.agg(F.count("*").alias("positions"), F.count_if(fault).alias("faults"))
 

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dexspark.operators.candles import affected_buckets, revert_candles
-from dexspark.operators.fifo import POSITION, fifo_axis, fifo_consume, open_lots, sell_totals
-from dexspark.operators.wallets import wallet_stats
-from dexspark.sources.tables import Store
+from dexspark.operators.fifo import POSITION, fifo_axis, fifo_consume, money, open_lots, sell_totals
+from dexspark.operators.wallets import average, wallet_stats
 
 
 def revert_raw(rows: DataFrame, fork: int, block: str = "block_number") -> DataFrame:
@@ -55,10 +53,10 @@ def revert_stats(stats: DataFrame, trades: DataFrame, consumed: DataFrame, fork:
     joined = stats.drop("last_active_block").join(gone, "wallet", "left").join(lost, "wallet", "left")
 
     def less(name: str) -> F.Column:
-        return (F.col(name) - F.coalesce(f"_{name}", F.lit(0))).cast("long").alias(name)
+        return (F.col(name) - F.coalesce(f"_{name}", F.lit(0))).cast(dict(stats.dtypes)[name]).alias(name)
 
     left = joined.select("wallet", less("realized"), less("trades"), less("wins"), less("volume")).filter("trades > 0")
-    return left.join(seen, "wallet").select("wallet", "realized", "trades", "wins", "volume", F.expr("volume div trades").alias("avg_size"), "last_active_block")
+    return left.join(seen, "wallet").select("wallet", "realized", "trades", "wins", "volume", average(money(trades)), "last_active_block")
 
 
 def replay(trades: DataFrame) -> dict[str, DataFrame]:
@@ -72,58 +70,21 @@ def replay(trades: DataFrame) -> dict[str, DataFrame]:
 def replay_from(snapshot: DataFrame, pending: DataFrame) -> DataFrame:
     """Ledger of pending trades on top of a snapshot of open lots at the final block.
 
-    The lots enter the axis as buys at their old place, with their left quantity and cost.
+    The lots enter the axis as buys at their old place, with their left quantity and whole value.
     """
-    held = snapshot.select(
+    columns = [*POSITION, "side", "qty", "value", "block_number", "log_index", "tx_hash"]
+    return fifo_consume(fifo_axis(as_buys(snapshot).unionByName(pending.select(*columns), allowMissingColumns=True)))
+
+
+def as_buys(lots: DataFrame) -> DataFrame:
+    """Open lots as buys that are left in part, for ``fifo_axis``."""
+    return lots.select(
         *POSITION,
         F.lit("buy").alias("side"),
         F.col("remaining").alias("qty"),
-        F.expr("lot_value * remaining div lot_qty").alias("value"),
+        F.col("lot_qty").alias("whole"),
+        F.col("lot_value").alias("value"),
         F.col("lot_block").alias("block_number"),
         F.col("lot_log").alias("log_index"),
         F.lit(None).cast("string").alias("tx_hash"),
     )
-    columns = [*POSITION, "side", "qty", "value", "block_number", "log_index", "tx_hash"]
-    return fifo_consume(fifo_axis(held.unionByName(pending.select(*columns))))
-
-
-def rewind(store: Store, version: int, fork: int) -> bool:
-    """Takes every table of a store back to the fork in one commit; False if that version is in already.
-
-    Tables: trades (position trades with pool, block_time, price and amounts; in parts by day, so that
-    a candle's trades share a part), candles, consumed, lots, stats and state (live_cursor). Only
-    parts that lose or change rows are written.
-    """
-    if store.applied(version):
-        return False
-
-    def rows_of(name: str, changed: DataFrame) -> tuple[DataFrame, list[str]]:
-        parts = store.parts(name, changed)
-        return store.read(name, parts), parts
-
-    every, drawn = store.read("trades"), store.read("consumed")
-    trades, trade_parts = rows_of("trades", every.filter(F.col("block_number") > fork))
-    minutes, minute_parts = rows_of("candles", affected_buckets(trades, fork))
-    consumed, consumed_parts = rows_of("consumed", drawn.filter(F.col("sell_block") > fork))
-    left, pieces = revert_ledger(consumed, fork)
-    touched = touched_positions(store.read("lots"), pieces, fork)
-    lots, lot_parts = rows_of("lots", touched)
-    key = [*POSITION, "lot_block", "lot_log"]
-    # lots that were used up come back from the buys behind them
-    bought = every.filter("side = 'buy'").select(*POSITION, F.col("block_number").alias("lot_block"), F.col("log_index").alias("lot_log"), F.col("qty").alias("lot_qty"), F.col("value").alias("lot_value"))
-    restored = restore_lots(lots, pieces, fork).join(bought, key)
-    gone = every.filter(F.col("block_number") > fork).select("wallet").distinct()
-    stats, stat_parts = rows_of("stats", gone)
-    own = every.join(stats.select("wallet"), "wallet", "left_semi")
-    state = store.read("state").withColumn("live_cursor", F.lit(fork).cast("long"))
-    return store.commit(
-        version,
-        {
-            "trades": (revert_raw(trades, fork), trade_parts),
-            "candles": (revert_candles(minutes, trades, fork), minute_parts),
-            "consumed": (left, consumed_parts),
-            "lots": (restored, lot_parts),
-            "stats": (revert_stats(stats, own, consumed, fork), stat_parts),
-            "state": (state, store.parts("state", state)),
-        },
-    )

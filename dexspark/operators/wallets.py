@@ -5,25 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dexspark.operators.fifo import lot_cost
+from dexspark.operators.fifo import EXACT, lot_cost, money
+
+
+def average(paid: str) -> Column:
+    """avg_size: volume over trades, as a whole number if money is."""
+    return (F.expr("volume div trades") if paid == "long" else (F.col("volume") / F.col("trades")).cast(EXACT)).alias("avg_size")
 
 
 def wallet_stats(trades: DataFrame, totals: DataFrame) -> DataFrame:
     """(wallet, realized, trades, wins, volume, avg_size, last_active_block).
 
     trades are the priced buys and sells, totals their sell totals; a win is a sell that
-    realized more than 0. Money of realized is in millionths, volume in input units.
+    realized more than 0. Money of realized is in millionths, volume in input units; where values
+    are exact decimals, both are too.
     """
+    paid = money(trades)
     activity = trades.groupBy("wallet").agg(F.count("*").alias("trades"), F.sum("value").alias("volume"), F.max("block_number").alias("last_active_block"))
     gains = totals.groupBy("wallet").agg(F.sum("realized").alias("realized"), F.count_if(F.col("realized") > 0).alias("wins"))
     joined = activity.join(gains, "wallet", "left")
     return joined.select(
         "wallet",
-        F.coalesce("realized", F.lit(0)).cast("long").alias("realized"),
+        F.coalesce("realized", F.lit(0)).cast(paid).alias("realized"),
         "trades",
         F.coalesce("wins", F.lit(0)).cast("long").alias("wins"),
-        F.col("volume").cast("long").alias("volume"),
-        F.expr("volume div trades").alias("avg_size"),
+        F.col("volume").cast(paid).alias("volume"),
+        average(paid),
         "last_active_block",
     )
 
@@ -68,7 +75,7 @@ def watchlist(stats: DataFrame, n: int) -> DataFrame:
 
 def scorecards_all(stats: DataFrame, lots: DataFrame, totals: DataFrame, recent: int = 10) -> DataFrame:
     """Per wallet its statistics, open positions by falling cost, and the latest sells, in arrays."""
-    held = lots.groupBy("wallet", "token").agg(F.sum("remaining").alias("qty"), F.sum(lot_cost()).alias("cost"))
+    held = lots.groupBy("wallet", "token").agg(F.sum("remaining").alias("qty"), F.sum(lot_cost(lots)).alias("cost"))
     held = held.groupBy("wallet").agg(F.sort_array(F.collect_list(F.struct("cost", "qty", "token")), asc=False).alias("open_positions"))
     newest = Window.partitionBy("wallet").orderBy(F.desc("sell_block"), F.desc("sell_log"), "token")
     last = totals.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= recent)

@@ -13,8 +13,8 @@ from dexspark.operators import alerts, candles, chain, decode, discovery, fifo,
 from dexspark.plans import sql, views
 from dexspark.sources import logs
 from dexspark.sources.shared import shared_path
-from dexspark.sources.tables import Snapshots, Store, append_new, merge_add, upsert
-from dexspark.streaming import ingest
+from dexspark.sources.tables import Snapshots, append_new, merge_add, upsert
+from dexspark.streaming import book, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -191,7 +191,8 @@ def fifo_consumptions(spark, sf_dir):
 
 @query("select * from lots")
 def fifo_open_lots(spark, sf_dir):
-    return fifo.open_lots(fifo.fifo_axis(position_trades(spark, sf_dir))).withColumn("cost", fifo.lot_cost())
+    lots = fifo.open_lots(fifo.fifo_axis(position_trades(spark, sf_dir)))
+    return lots.withColumn("cost", fifo.lot_cost(lots))
 
 
 @query("select wallet, token, cast(sum(remaining) as bigint) as qty_held, cast(sum(cost) as bigint) as cost_basis, count(*) as lots, min(lot_block) as oldest from lots group by 1, 2")
@@ -436,20 +437,53 @@ def revert_stats(spark, sf_dir):
     return revert.revert_stats(run["stats"], rows, run["consumed"], FORK)
 
 
-def state_tables() -> dict[str, tuple[str, F.Column]]:
-    """What a store of all derived tables holds, by day or by position or wallet."""
-    trade = f"{ingest.POSITION_TRADE}, pool string, block_time timestamp, price double, amount0 long, amount1 long"
-    consumed = "sell_tx string, sell_log long, consume_seq int, wallet string, token string, qty long, lot_block long, lot_log long, sell_block long, proceeds long, cost long, realized long"
-    stats = "wallet string, realized long, trades long, wins long, volume long, avg_size long, last_active_block long"
-    position, wallet = F.pmod(F.xxhash64("wallet", "token"), F.lit(4)), F.pmod(F.xxhash64("wallet"), F.lit(4))
-    return {
-        "trades": (trade, F.date_trunc("year", "block_time").cast("date")),
-        "candles": (ingest.CANDLE, F.date_trunc("year", "bucket").cast("date")),
-        "consumed": (consumed, position),
-        "lots": (ingest.LOT, position),
-        "stats": (stats, wallet),
-        "state": ("live_cursor long", F.lit(0)),
-    }
+def book_records(rows: DataFrame, seq: int = 0) -> DataFrame:
+    """Swaps as records of a book: headers, events, and burns of one sender; seq orders them from a start on."""
+    own = rows.select(
+        "*",
+        F.lit("swap").alias("kind"),
+        (F.abs("amount1") / F.abs("amount0")).alias("price"),
+        F.col("pool").alias("token"),
+        F.abs("amount0").alias("qty"),
+        F.abs("amount1").alias("value"),
+        F.col("sender").alias("owner"),
+        F.lit("burn").alias("liq"),
+    )
+    headers = views.headers(rows).withColumnRenamed("number", "block_number").withColumn("kind", F.lit("block"))
+    burns = own.filter("sender = '50'").withColumn("kind", F.lit("liq"))
+    every = own.unionByName(burns).unionByName(headers, allowMissingColumns=True)
+    known = set(every.columns)
+    kinds = {c.split()[0]: c.split()[1] for c in book.record().split(", ")}
+    order = F.lit(seq) + event_key()
+    return every.select(*[order.alias(c) if c == "seq" else (F.col(c).cast(t) if c in known else F.lit(None).cast(t)).alias(c) for c, t in kinds.items()])
+
+
+def book_mark(spark: SparkSession, kind: str, block: int, seq: int) -> DataFrame:
+    """A record that withdraws blocks above one, or makes it final."""
+    given = {"seq": F.lit(seq).cast("long"), "kind": F.lit(kind), "from_block": F.lit(block).cast("long")}
+    return spark.range(1).select(*[given.get(c.split()[0], F.lit(None).cast(c.split()[1])).alias(c.split()[0]) for c in book.record().split(", ")])
+
+
+def stream_book(spark: SparkSession, files: list[DataFrame], between: Callable[[book.Book, int], None] | None = None) -> book.Book:
+    """A book that has taken files of records in this order, each as one batch; ``between`` acts before a file comes."""
+    path = shared_path(spark, "book")
+    held = book.Book(spark, path, blocks=500, parts=4, unit="year")
+    for number, rows in enumerate(files):
+        if between is not None:
+            between(held, number)
+        rows.write.mode("append").parquet(f"{path}/in{number}")
+        # a folder a batch, as the stream takes all files of a folder that are there
+        ingest.run_available(ingest.read_block_stream(spark, f"{path}/in{{{','.join(map(str, range(number + 1)))},x}}", book.record(), files=1 << 20), held.apply, f"{path}/check")
+    return held
+
+
+def book_totals(held: book.Book, totals: dict[str, str]) -> DataFrame:
+    """Rows and a sum of each table."""
+    sums = [held.read(name).agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.sum(c).cast("long").alias("total")) for name, c in totals.items()]
+    out = sums[0]
+    for one in sums[1:]:
+        out = out.unionByName(one)
+    return out
 
 
 @query(
@@ -463,28 +497,42 @@ union all select 'state', 1, {FORK}""", FORK)[5:]
 )
 def rewind_all(spark, sf_dir):
     """All derived tables taken back in one commit hold what a run up to the fork gives."""
+    held = stream_book(spark, [book_records(views.swaps(spark, sf_dir))])
+    held.rewind(FORK)
+    totals = {"trades": "qty", "1m": "trade_count", "consumed": "cost", "lots": "remaining", "stats": "realized", "state": "live_cursor"}
+    return book_totals(held, totals).replace({"1m": "candles"}, subset=["name"])
+
+
+@query(
+    f"""select 'headers' as name, count(*) as rows, cast(sum(number) as bigint) as total from hd
+union all select 'swaps', count(*), cast(sum(amount1) as bigint) from sw
+union all select 'liq', count(*), cast(sum(amount1) as bigint) from sw where sender = '50'
+union all select '1m', count(*), cast(sum(volume1) as bigint) from (select pool, block_time, sum(abs(amount1)) as volume1 from sw group by 1, 2)
+union all select '1h', count(*), cast(sum(volume1) as bigint) from (select pool, block_time, sum(abs(amount1)) as volume1 from sw group by 1, 2)
+union all select '1d', count(*), cast(sum(volume1) as bigint) from (select pool, block_time, sum(abs(amount1)) as volume1 from sw group by 1, 2)
+union all select 'trades', count(*), cast(sum(value) as bigint) from tr
+union all select 'consumed', count(*), cast(sum(realized) as bigint) from cons
+union all select 'lots', count(*), cast(sum(remaining) as bigint) from lots
+union all select 'stats', count(*), cast(sum(realized) as bigint) from stats
+union all select 'state', 1, max(block_number) from sw"""
+)
+def rewind_stream(spark, sf_dir):
+    """Half of the chain and an orphan branch by stream, a rewind beside it, then the rest by the same stream: all tables equal a clean run."""
     rows = views.swaps(spark, sf_dir)
-    own = rows.select("*", F.col("recipient").alias("wallet"), F.col("pool").alias("token"), F.abs("amount0").alias("qty"), F.abs("amount1").alias("value"), (F.abs("amount1") / F.abs("amount0")).alias("price"))
-    run = revert.replay(views.position_trades(rows))
-    store = Store(spark, shared_path(spark, "state"), state_tables())
-    made = {"trades": own, "candles": candles.candles(own), "consumed": run["consumed"], "lots": run["lots"], "stats": run["stats"], "state": spark.range(1).select(F.lit(HEAD + 500).alias("live_cursor"))}
-    store.commit(1, {name: (table, store.parts(name, table)) for name, table in made.items()})
-    revert.rewind(store, 2, FORK)
-    totals = {"trades": "qty", "candles": "trade_count", "consumed": "cost", "lots": "remaining", "stats": "realized", "state": "live_cursor"}
-    sums = [store.read(name).agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.sum(c).cast("long").alias("total")) for name, c in totals.items()]
-    out = sums[0]
-    for one in sums[1:]:
-        out = out.unionByName(one)
-    return out
+    orphans = rows.filter(F.col("block_number").between(FORK + 1, FORK + 300)).withColumns({"tx_hash": F.concat("tx_hash", F.lit("b")), "amount1": F.col("amount1") * 3})
+    files = [book_records(rows.filter(F.col("block_number") <= FORK)).unionByName(book_records(orphans)), book_records(rows.filter(F.col("block_number") > FORK))]
+    held = stream_book(spark, files, lambda own, number: own.rewind(FORK) if number == 1 else None)
+    totals = {"headers": "number", "swaps": "amount1", "liq": "amount1", "1m": "volume1", "1h": "volume1", "1d": "volume1", "trades": "value", "consumed": "realized", "lots": "remaining", "stats": "realized", "state": "live_cursor"}
+    return book_totals(held, totals)
 
 
-@query(f"select sell_tx, sell_log, wallet, token, cast(sum(qty) as bigint) as qty from cons where sell_block > {FINAL} group by 1, 2, 3, 4")
+@query(f"select sell_tx, sell_log, consume_seq, wallet, token, qty, lot_block, proceeds, cost, realized from cons where sell_block > {FINAL}")
 def replay_from_final(spark, sf_dir):
-    """Pending sells on a snapshot of the lots at the final block draw the same quantities."""
+    """Pending sells on a snapshot of the lots at the final block draw the same quantities at the same cost."""
     rows = position_trades(spark, sf_dir)
     lots = revert.replay(rows.filter(F.col("block_number") <= FINAL))["lots"]
     consumed = revert.replay_from(lots, chain.above(rows, FINAL))
-    return consumed.groupBy("sell_tx", "sell_log", "wallet", "token").agg(F.sum("qty").alias("qty"))
+    return consumed.select("sell_tx", "sell_log", "consume_seq", "wallet", "token", "qty", "lot_block", "proceeds", "cost", "realized")
 
 
 @query(
@@ -840,12 +888,50 @@ def stream_revert(spark, sf_dir):
 
 @query("select wallet, token, lot_block, lot_log, remaining from lots")
 def stream_fifo(spark, sf_dir):
-    """Positions from three files; each batch recomputes what it touches."""
-    rows, path = position_trades(spark, sf_dir), shared_path(spark, "stream")
-    write_files(rows, f"{path}/in", [F.col("block_number") < 800, F.col("block_number").between(800, 1599), F.col("block_number") >= 1600])
-    state = ingest.FifoIngest(spark, path, blocks=200)
-    ingest.run_available(ingest.read_block_stream(spark, f"{path}/in", ingest.POSITION_TRADE), state.apply, f"{path}/check")
-    return state.lots().select("wallet", "token", "lot_block", "lot_log", "remaining")
+    """Positions from three files; each batch is played on top of the open lots."""
+    rows = book_records(views.swaps(spark, sf_dir)).filter("kind = 'swap'")
+    held = stream_book(spark, [rows.filter(F.col("block_number") < 800), rows.filter(F.col("block_number").between(800, 1599)), rows.filter(F.col("block_number") >= 1600)])
+    return held.read("lots").select("wallet", "token", "lot_block", "lot_log", "remaining")
+
+
+@query(
+    """select 'consumed' as name, wallet, token, sell_block as block, sell_log as log, consume_seq as seq, qty, proceeds, realized from cons
+union all select 'lots', wallet, token, lot_block, lot_log, 0, remaining, cost, lot_value from lots
+union all select 'stats', wallet, '', last_active_block, trades, cast(wins as integer), volume, avg_size, realized from stats"""
+)
+def stream_fifo_revert(spark, sf_dir):
+    """Ledger, lots and statistics of a stream with orphan branches, reverts, late and repeated rows equal those of a clean run."""
+    rows = views.swaps(spark, sf_dir)
+    swaps = book_records(rows).filter("kind = 'swap'")
+    late = F.col("block_number").between(500, 700) & (F.col("log_index") % 10 == 3)
+    top = 1 << 50
+
+    def orphans(low: int, high: int) -> DataFrame:
+        return swaps.filter(F.col("block_number").between(low, high)).withColumns({"tx_hash": F.concat("tx_hash", F.lit("b")), "qty": F.col("qty") + 7, "value": F.col("value") * 2})
+
+    def later(part: DataFrame, steps: int) -> DataFrame:
+        return part.withColumn("seq", F.col("seq") + steps * top)
+
+    between = F.col("block_number").between
+    files = [
+        swaps.filter((F.col("block_number") <= 1000) & ~late),
+        orphans(1001, 1300),
+        # two forks in one batch, the second deeper, each followed by a branch
+        book_mark(spark, "revert", 1100, top).unionByName(later(orphans(1101, 1200), 1)).unionByName(book_mark(spark, "revert", 1000, 3 * top)).unionByName(later(swaps.filter(between(1001, 1500)), 3)),
+        swaps.filter((F.col("block_number") <= 1000) & late).unionByName(swaps.filter(between(600, 650))).unionByName(orphans(1501, 1600)),
+        book_mark(spark, "final", 900, 1).unionByName(book_mark(spark, "revert", 1500, 2)).unionByName(later(swaps.filter(F.col("block_number") > 1500), 1)),
+    ]
+    held = stream_book(spark, files)
+    lots = held.read("lots")
+    none = F.lit("")
+    kinds = {"block": "long", "log": "long", "seq": "int", "qty": "long", "proceeds": "long", "realized": "long"}
+
+    def shaped(table: DataFrame, name: str, token: F.Column, *columns: str | F.Column) -> DataFrame:
+        return table.select(F.lit(name).alias("name"), "wallet", token.alias("token"), *[(F.col(c) if isinstance(c, str) else c).cast(t).alias(n) for c, (n, t) in zip(columns, kinds.items())])
+
+    out = shaped(held.read("consumed"), "consumed", F.col("token"), "sell_block", "sell_log", "consume_seq", "qty", "proceeds", "realized")
+    out = out.unionByName(shaped(lots, "lots", F.col("token"), "lot_block", "lot_log", F.lit(0), "remaining", fifo.lot_cost(lots), "lot_value"))
+    return out.unionByName(shaped(held.stats(), "stats", none, "last_active_block", "trades", "wins", "volume", "avg_size", "realized"))
 
 
 @query(f"select {sql.CANDLE} from c1")
