@@ -8,7 +8,7 @@ zero-cost tail. Every window has the same partition and sort keys, so there is o
 A position is the unit of work: one wallet's trades in one token are sorted in one task.
 
 Quantities are longs, or decimals without a fraction where raw units pass a long: sums of a
-position may have 38 digits and a single quantity 32. Values are longs, or decimal(38,8) where
+position may have 38 digits and a single quantity 32. Values are longs, or decimal(30,8) where
 money is exact; shares of them come in millionths of a unit as longs, or in the values' own type.
 """
 
@@ -24,8 +24,8 @@ from dexspark.functions.columns import event_key
 POSITION = ["wallet", "token"]
 #: Digits of a value that are divided at a time where quantities are wide, and digits that a value may have.
 STEP, DIGITS = 5, 30
-#: Exact money.
-EXACT = "decimal(38,8)"
+#: Exact money; differences and sums of more digits would lose places.
+EXACT = "decimal(30,8)"
 #: Below this a product of two numbers is divided in one step.
 SHORT = 10**18
 
@@ -36,7 +36,7 @@ def quantity(df: DataFrame, column: str = "qty") -> str:
 
 
 def money(df: DataFrame, column: str = "value") -> str:
-    """Type of the values: decimal(38,8) where they come as decimals, else long."""
+    """Type of the values: decimal(30,8) where they come as decimals, else long."""
     return EXACT if dict(df.dtypes)[column].startswith("decimal") else "long"
 
 
@@ -72,7 +72,7 @@ def share(value: F.Column, part: F.Column, whole: F.Column, kind: str, paid: str
         return F.struct((at["done"] * F.lit(10**STEP) + more).cast("decimal(38,0)").alias("done"), (left % whole).cast("decimal(38,0)").alias("left"))
 
     done = F.aggregate(digits, start, divide, lambda at: (at["done"] + (at["left"] >= whole - at["left"]).cast("int")).cast("decimal(38,0)"))
-    return done.cast("long") if paid == "long" else (done.cast("decimal(30,0)") * F.lit(Decimal("0.00000001")).cast("decimal(8,8)")).cast(EXACT)
+    return done.cast("long") if paid == "long" else (done.cast("decimal(29,0)") * F.lit(Decimal("0.00000001")).cast("decimal(8,8)")).cast(EXACT)
 
 
 def fifo_axis(trades: DataFrame) -> DataFrame:
@@ -95,14 +95,8 @@ def fifo_axis(trades: DataFrame) -> DataFrame:
     return axis.withColumns({f"{x}0": F.coalesce(F.lag(x).over(order), zero) for x in ("b", "c", "u")})
 
 
-def fifo_consume(axis: DataFrame, lots: bool = False) -> DataFrame:
-    """One row per sell and lot it draws on, then one zero-cost row for what no lot covers.
-
-    Columns: sell_tx, sell_log, consume_seq, wallet, token, qty, lot_block, lot_log (null in the
-    tail row, whose lot_block is the sell's), sell_block, proceeds, cost, realized. Money is in
-    millionths of the input unit, rounded half up, or exact, see ``share``. ``lots`` adds lot_qty and
-    lot_value, all that is needed to give the lot back.
-    """
+def ends_of(axis: DataFrame) -> DataFrame:
+    """(wallet, token, at, lot, sell, tail, tail_of): where a buy or a sell ends on the axis, and what a sell has uncovered at -1."""
     lot = F.struct("block_number", "log_index", F.col("whole").alias("qty"), "value").alias("lot")
     sell = F.struct("block_number", "log_index", "tx_hash", "qty", "value")
     kind, paid = quantity(axis), money(axis)
@@ -117,17 +111,12 @@ def fifo_consume(axis: DataFrame, lots: bool = False) -> DataFrame:
     bought = end(F.col("b"), lot, none_sell, none, none_sell)
     covered = F.when(F.col("c") > F.col("c0"), end(F.col("c"), none_lot, sell, none, none_sell))
     tail = F.when(F.col("u") > F.col("u0"), end(F.lit(-1).cast("long"), none_lot, none_sell, F.col("u") - F.col("u0"), sell))
-    ends = axis.select(*POSITION, F.explode(F.array_compact(F.when(buy, F.array(bought)).otherwise(F.array(covered, tail)))).alias("e")).select(*POSITION, "e.*")
+    return axis.select(*POSITION, F.explode(F.array_compact(F.when(buy, F.array(bought)).otherwise(F.array(covered, tail)))).alias("e")).select(*POSITION, "e.*")
 
-    falling = Window.partitionBy(*POSITION).orderBy(F.desc("at"))
-    peers = falling.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = ends.withColumns({"lot": F.last("lot", ignorenulls=True).over(peers), "sell": F.last("sell", ignorenulls=True).over(peers), "_before": F.lag("at").over(falling)})
-    cut = cut.filter(F.col("tail").isNotNull() | F.col("_before").isNull() | (F.col("_before") != F.col("at")))
-    cut = cut.withColumn("_low", F.greatest(F.coalesce(F.lead("at").over(falling), F.lit(0)), F.lit(0)))
-    is_tail = F.col("tail").isNotNull()
-    pieces = cut.filter(is_tail | (F.col("lot").isNotNull() & F.col("sell").isNotNull() & (F.col("at") > F.col("_low"))))
-    sold = F.when(is_tail, F.col("tail_of")).otherwise(F.col("sell"))
-    pieces = pieces.select(*POSITION, sold.alias("s"), F.when(~is_tail, F.col("lot")).alias("l"), F.when(is_tail, F.col("tail")).otherwise(F.col("at") - F.col("_low")).cast(kind).alias("take"))
+
+def consumed_of(pieces: DataFrame, axis: DataFrame, lots: bool) -> DataFrame:
+    """Ledger rows of pieces (s: the sell, l: the lot or null, take: the quantity)."""
+    kind, paid = quantity(axis), money(axis)
     order = Window.partitionBy(*POSITION, "s.block_number", "s.log_index").orderBy(F.col("l").isNull(), "l.block_number", "l.log_index")
 
     def part(value, qty):
@@ -153,10 +142,37 @@ def fifo_consume(axis: DataFrame, lots: bool = False) -> DataFrame:
     )
 
 
+def fifo_consume(axis: DataFrame, lots: bool = False) -> DataFrame:
+    """One row per sell and lot it draws on, then one zero-cost row for what no lot covers.
+
+    Columns: sell_tx, sell_log, consume_seq, wallet, token, qty, lot_block, lot_log (null in the
+    tail row, whose lot_block is the sell's), sell_block, proceeds, cost, realized. Money is in
+    millionths of the input unit, rounded half up, or exact, see ``share``. ``lots`` adds lot_qty and
+    lot_value, all that is needed to give the lot back.
+    """
+    kind = quantity(axis)
+    ends = ends_of(axis)
+    falling = Window.partitionBy(*POSITION).orderBy(F.desc("at"))
+    peers = falling.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = ends.withColumns({"lot": F.last("lot", ignorenulls=True).over(peers), "sell": F.last("sell", ignorenulls=True).over(peers), "_before": F.lag("at").over(falling)})
+    cut = cut.filter(F.col("tail").isNotNull() | F.col("_before").isNull() | (F.col("_before") != F.col("at")))
+    cut = cut.withColumn("_low", F.greatest(F.coalesce(F.lead("at").over(falling), F.lit(0)), F.lit(0)))
+    is_tail = F.col("tail").isNotNull()
+    pieces = cut.filter(is_tail | (F.col("lot").isNotNull() & F.col("sell").isNotNull() & (F.col("at") > F.col("_low"))))
+    sold = F.when(is_tail, F.col("tail_of")).otherwise(F.col("sell"))
+    pieces = pieces.select(*POSITION, sold.alias("s"), F.when(~is_tail, F.col("lot")).alias("l"), F.when(is_tail, F.col("tail")).otherwise(F.col("at") - F.col("_low")).cast(kind).alias("take"))
+    return consumed_of(pieces, axis, lots)
+
+
 def open_lots(axis: DataFrame) -> DataFrame:
     """(wallet, token, lot_block, lot_log, lot_qty, lot_value, remaining) of buys not yet consumed."""
     whole = Window.partitionBy(*POSITION).orderBy("key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    done = axis.withColumn("_done", F.max("c").over(whole)).filter("side = 'buy'")
+    return lots_of(axis.withColumn("_done", F.max("c").over(whole)))
+
+
+def lots_of(axis: DataFrame) -> DataFrame:
+    """The same of an axis with _done, the end of what a position's sells have used up."""
+    done = axis.filter("side = 'buy'")
     left = (F.col("b") - F.greatest("_done", "b0")).cast(quantity(axis))
     return done.withColumn("remaining", left).filter("remaining > 0").select(
         *POSITION, F.col("block_number").alias("lot_block"), F.col("log_index").cast("long").alias("lot_log"), F.col("whole").alias("lot_qty"), F.col("value").alias("lot_value"), "remaining"

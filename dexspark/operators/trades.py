@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dexspark.functions.columns import human_units
+from dexspark.functions.money import PRICE, value_exact
 
 
 def with_pool(swaps: DataFrame, pools: DataFrame) -> DataFrame:
@@ -43,29 +44,34 @@ def value_trades(directed: DataFrame, numeraire: DataFrame, reference: str | Non
 
     Quantities are scaled by their token's decimals. The token ``reference`` has the price in
     the trade's own column usd, see asof_price. The sold leg counts first, then the bought leg; a
-    trade without either has a null value.
+    trade without either has a null value. Where prices are decimals, values are exact, decimal(30,8), and a
+    reference's double counts with 18 places; else they are doubles.
     """
-    prices = {side: numeraire.select(F.col("token").alias(f"{side}_token"), F.col("usd").cast("double").alias(f"_{side}")) for side in ("sold", "bought")}
+    exact = dict(numeraire.dtypes)["usd"].startswith("decimal")
+    kind = PRICE if exact else "double"
+    prices = {side: numeraire.select(F.col("token").alias(f"{side}_token"), F.col("usd").cast(kind).alias(f"_{side}")) for side in ("sold", "bought")}
     both = directed.join(prices["sold"], "sold_token", "left").join(prices["bought"], "bought_token", "left")
     if reference is not None:
-        both = both.withColumns({f"_{s}": F.coalesce(f"_{s}", F.when(F.col(f"{s}_token") == reference, F.col("usd"))) for s in prices})
-    worth = {s: human_units(F.col(f"{s}_qty"), F.col(f"{s}_decimals")) * F.col(f"_{s}") for s in prices}
+        both = both.withColumns({f"_{s}": F.coalesce(f"_{s}", F.when(F.col(f"{s}_token") == reference, F.col("usd").cast(kind))) for s in prices})
+    scaled = value_exact if exact else lambda raw, decimals, price: human_units(raw, decimals) * price
+    worth = {s: scaled(F.col(f"{s}_qty"), F.col(f"{s}_decimals"), F.col(f"_{s}")) for s in prices}
     flags = {f"{s}_priced": F.col(f"_{s}").isNotNull() for s in prices}
     return both.withColumns({"value": F.coalesce(worth["sold"], worth["bought"]), **flags}).drop("_sold", "_bought")
 
 
 def position_trades(classified: DataFrame) -> DataFrame:
-    """Buys and sells of classified swaps as trades of the recipient's position, with values as whole numbers, rounded half up.
+    """Buys and sells of classified swaps as trades of the recipient's position: exact values as they are, doubles as whole numbers, rounded half up.
 
     A buy pays with a priced token and adds what it bought; a sell takes off what it sold.
     """
     buy = F.col("class") == "buy"
+    value = F.col("value") if dict(classified.dtypes)["value"].startswith("decimal") else F.floor(F.col("value") + 0.5).cast("long")
     return classified.filter("class in ('buy', 'sell')").select(
         F.col("recipient").alias("wallet"),
         F.when(buy, F.col("bought_token")).otherwise(F.col("sold_token")).alias("token"),
         F.col("class").alias("side"),
         F.when(buy, F.col("bought_qty")).otherwise(F.col("sold_qty")).alias("qty"),
-        F.floor(F.col("value") + 0.5).cast("long").alias("value"),
+        value.alias("value"),
         "block_number",
         "log_index",
         "tx_hash",

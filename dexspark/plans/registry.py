@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from dexspark.functions.columns import address_text, event_key, price_from_sqrt
 from dexspark.functions.wide import limbs, to_text
 from dexspark.operators import alerts, candles, chain, decode, discovery, fifo, pages, quality, retention, revert, trades, wallets
+from dexspark.operators import hot as hot_positions
 from dexspark.plans import sql, views
 from dexspark.sources import logs
 from dexspark.sources.shared import shared_path
@@ -163,6 +165,66 @@ def pnl_end_to_end(spark, sf_dir):
     return revert.replay(trades.position_trades(valued_swaps(spark, sf_dir)))["stats"]
 
 
+def exact_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classified swaps of tokens with 18 decimals, with dust behind whole amounts, one in fifty all dust; money has 6. Values are exact."""
+    pools = views.pools(spark, sf_dir)
+    own = views.fine_swaps(views.swaps(spark, sf_dir))
+    dust = (F.col("log_index") * 123_456_789_123 + 1).cast("decimal(38,0)")
+    size = F.when(F.col("log_index") % 50 == 49, dust).otherwise(F.abs("amount0") + dust)
+    own = own.withColumn("amount0", (size * F.when(F.col("amount0") < 0, -1).otherwise(1)).cast("decimal(38,0)"))
+    own = own.withColumn("amount1", F.when(F.col("log_index") % 50 == 49, F.sign("amount1").cast("long") * (1 + F.col("log_index") % 3)).otherwise(F.col("amount1")))
+    prices = views.numeraire(pools).select("token", F.when(F.col("token") == "USD", F.lit(Decimal("0.999987654321012345"))).otherwise(F.lit(Decimal("1.000000000000000001"))).cast("decimal(38,18)").alias("usd"))
+    directed = trades.with_direction(trades.with_pool_meta(own, views.fine_pools(pools)))
+    return trades.classify(trades.value_trades(directed, prices))
+
+
+@query("select tx_hash, block_number, log_index, pool, bought, coalesce(cast(value as varchar), '') as value, class from ve")
+def value_exact(spark, sf_dir):
+    """Values to 8 places, each rounded once; dust keeps its worth."""
+    value = F.coalesce(F.col("value").cast("string"), F.lit(""))
+    return exact_swaps(spark, sf_dir).select("tx_hash", "block_number", "log_index", "pool", F.col("bought_token").alias("bought"), value.alias("value"), "class")
+
+
+@query("select wallet, token, side, cast(qty as varchar) as qty, cast(value as varchar) as value, block_number, log_index from wt")
+def trades_exact(spark, sf_dir):
+    """Position trades in raw units of 18 decimals with exact values."""
+    rows = trades.position_trades(exact_swaps(spark, sf_dir))
+    return rows.select("wallet", "token", "side", F.col("qty").cast("string").alias("qty"), F.col("value").cast("string").alias("value"), "block_number", "log_index")
+
+
+@query(
+    """select wallet, token, count(*) as lots, cast(sum(remaining) as varchar) as qty, cast(sum(value) as varchar) as bought from (
+  select wallet, token, value, cast(b as hugeint) - greatest(done, b0) as remaining from (
+    select *, max(c) over (partition by wallet, token) as done from wx) where side = 'buy' and b > greatest(done, b0)) group by 1, 2"""
+)
+def lots_exact(spark, sf_dir):
+    """Open lots of wide positions, what is left of them and what they were bought for."""
+    lots = fifo.open_lots(fifo.fifo_axis(trades.position_trades(exact_swaps(spark, sf_dir))))
+    held = lots.groupBy("wallet", "token").agg(F.count("*").alias("lots"), F.sum("remaining").cast("decimal(38,0)").alias("qty"), F.sum("lot_value").cast("decimal(38,8)").alias("bought"))
+    return held.select("wallet", "token", "lots", F.col("qty").cast("string").alias("qty"), F.col("bought").cast("string").alias("bought"))
+
+
+@query("select wallet, trades, cast(volume as varchar) as volume, last_active_block, positions, cast(held as varchar) as held from (" + sql.WIDE_CARDS + ")")
+def scorecards_wide(spark, sf_dir):
+    """Scorecards over raw units of 18 decimals and exact money."""
+    run = revert.replay(trades.position_trades(exact_swaps(spark, sf_dir)))
+    cards = wallets.scorecards_all(run["stats"], run["lots"], run["totals"])
+    held = F.aggregate("open_positions", F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x["qty"]).cast("decimal(38,0)"))
+    count = F.coalesce(F.when(F.col("open_positions").isNotNull(), F.size("open_positions")), F.lit(0)).cast("long")
+    return cards.select("wallet", "trades", F.col("volume").cast("string").alias("volume"), "last_active_block", count.alias("positions"), F.coalesce(held, F.lit(0)).cast("string").alias("held"))
+
+
+HOT = 400
+
+
+@query(sql.build("select * replace (coalesce(lot_log, -1) as lot_log) from cons", sql.HOT_POSITION))
+def fifo_hot_position(spark, sf_dir):
+    """A third of all trades in one position, which is spread over tasks."""
+    rows = position_trades(spark, sf_dir)
+    hot = F.col("log_index") % 3 == 0
+    return without_nulls(hot_positions.replay_spread(rows.withColumns({c: F.when(hot, "hot").otherwise(F.col(c)) for c in ("wallet", "token")}), HOT)["consumed"])
+
+
 @query("select pool, arg_max(close, bucket) as usd from c1 where pool = 'purchase' group by pool")
 def latest_close(spark, sf_dir):
     return trades.latest_close(candles.candles(views.events(spark, sf_dir)), USER_POOL)

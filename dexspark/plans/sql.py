@@ -7,6 +7,14 @@ from __future__ import annotations
 
 import re
 
+
+def rounded(raw: str, price: str, decimals: str) -> str:
+    """raw * price / 10^(decimals + 10), half up, in parts that a hugeint holds: the whole of raw's money first, then the rest in billionths."""
+    unit = f"cast(power(10::double, {decimals}) as hugeint)"
+    # raw = whole * unit + rest, so the product is whole * price + rest * price / unit, in 10^-18; rest * price has 36 digits at most
+    return f"(((({raw} // {unit}) * {price}) * 1000 + (({raw} % {unit}) * {price}) // ({unit} // 1000)) + 5000000000000) // 10000000000000"
+
+
 VIEWS: dict[str, str] = {
     "ev": """
 select event_id // 10 as block_number, event_id % 10 as log_index, cast(event_id as varchar) as tx_hash, ts as block_time,
@@ -94,6 +102,28 @@ from (
     select sw.* exclude (side), rc.close as usd, case when amount0 > 0 then token0 else token1 end as sold, case when amount0 > 0 then token1 else token0 end as bought,
       case when amount0 > 0 then abs(amount0) else abs(amount1) / 100 end as sold_whole, case when amount0 > 0 then abs(amount1) / 100 else abs(amount0) end as bought_whole
     from sw join pl on pool = address asof left join rc on block_time >= available_at))""",
+    "ve": """
+select *, case when sp and bp then 'money_for_money' when sp then 'buy' when bp then 'sell' else 'unpriceable' end as class,
+  cast(case when sp then {round_sold} when bp then {round_bought} end as decimal(38,0)) * cast(0.00000001 as decimal(8,8)) as value
+from (
+  select *, sold in ('USD', 'USDX') as sp, bought in ('USD', 'USDX') as bp,
+    case sold when 'USD' then 999987654321012345::hugeint when 'USDX' then 1000000000000000001::hugeint end as ps,
+    case bought when 'USD' then 999987654321012345::hugeint when 'USDX' then 1000000000000000001::hugeint end as pb
+  from (
+    select * exclude (side), case when raw0 > 0 then token0 else token1 end as sold, case when raw0 > 0 then token1 else token0 end as bought,
+      case when raw0 > 0 then abs(raw0) else abs(raw1) end as sold_qty, case when raw0 > 0 then abs(raw1) else abs(raw0) end as bought_qty,
+      case when raw0 > 0 then 18 else 6 end as sold_decimals, case when raw0 > 0 then 6 else 18 end as bought_decimals
+    from (
+      select *, (case when log_index % 50 = 49 then 0 else abs(amount0)::hugeint * 1000000000000000000 end + log_index::hugeint * 123456789123 + 1) * sign(amount0) as raw0,
+        case when log_index % 50 = 49 then sign(amount1) * (1 + log_index % 3) else amount1 * 10000 end::hugeint as raw1
+      from sw join pl on pool = address)))""".replace("{round_sold}", rounded("sold_qty", "ps", "sold_decimals")).replace("{round_bought}", rounded("bought_qty", "pb", "bought_decimals")),
+    "wt": "select recipient as wallet, case class when 'buy' then bought else sold end as token, class as side, case class when 'buy' then bought_qty else sold_qty end as qty, value, block_number, log_index, tx_hash from ve where class in ('buy', 'sell')",
+    "wx": """
+select *, coalesce(lag(b) over p, 0) as b0 from (
+  select *, s - greatest(max(s - b) over (partition by wallet, token order by block_number, log_index rows unbounded preceding), 0) as c from (
+    select *, sum(case side when 'buy' then qty else 0 end) over w as b, sum(case side when 'sell' then qty else 0 end) over w as s
+    from wt window w as (partition by wallet, token order by block_number, log_index rows unbounded preceding)))
+window p as (partition by wallet, token order by block_number, log_index)""",
     "np": """
 select pool as address, min(block_time) as discovered_at, min(block_number) as created_block, any_value(brand) % 2 = 0 as is_indexed,
   case any_value(brand) % 3 when 0 then 'fresh,no_liquidity' when 1 then 'fresh,single_lp' else 'fresh' end as risk_flags from sw group by 1""",
@@ -116,6 +146,20 @@ POSITIONS = {
 }
 
 
+#: One position that holds a third of all trades, in the place of tr.
+HOT_POSITION = {
+    "tr": """select case when log_index % 3 = 0 then 'hot' else recipient end as wallet, case when log_index % 3 = 0 then 'hot' else pool end as token,
+  side, abs(amount0) as qty, abs(amount1) as value, block_number, log_index, tx_hash from sw"""
+}
+
+#: Trades, volume and what is held of wallets with wide positions.
+WIDE_CARDS = """select a.*, coalesce(h.positions, 0) as positions, coalesce(h.held, 0) as held from (
+  select wallet, count(*) as trades, sum(value) as volume, max(block_number) as last_active_block from wt group by 1) a
+left join (select wallet, count(distinct token) as positions, sum(remaining) as held from (
+  select wallet, token, cast(b as hugeint) - greatest(done, b0) as remaining from (select *, max(c) over (partition by wallet, token) as done from wx)
+  where side = 'buy' and b > greatest(done, b0)) group by 1) h on a.wallet = h.wallet"""
+
+
 def build(statement: str, own: dict[str, str] | None = None) -> str:
     used: list[str] = []
     views = VIEWS | (own or {})

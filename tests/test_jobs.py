@@ -189,41 +189,14 @@ def test_store_commits_parts_together(spark, tmp_path):
 
     store = Store(spark, f"file://{tmp_path}/s", {"a": ("k long, v string", F.col("k") % 3), "b": ("n long", F.lit(0))})
     rows = spark.range(9).select(F.col("id").alias("k"), F.lit("x").alias("v"))
-    assert store.read("a").count() == 0 and store.latest() is None
-    assert store.commit(0, {"a": (rows, ["0", "1", "2"]), "b": (rows.select(F.col("k").alias("n")), ["0"])})
-    assert not store.commit(0, {"a": (rows.limit(0), ["0"])})
-    assert store.commit(1, {"a": (rows.filter("k = 4").withColumn("v", F.lit("y")), ["1", "2"])})
+    assert store.read("a").count() == 0 and store.view().version == 0
+    assert store.commit({"a": (rows, ["0", "1", "2"]), "b": (rows.select(F.col("k").alias("n")), ["0"])}, 0)
+    assert not store.commit({"a": (rows.limit(0), ["0"])}, 0)
+    assert store.commit({"a": (rows.filter("k = 4").withColumn("v", F.lit("y")), ["1", "2"])}, 1)
     assert sorted((r.k, r.v) for r in store.read("a").collect()) == [(0, "x"), (3, "x"), (4, "y"), (6, "x")]
     assert store.read("b").count() == 9 and store.read("a", ["1"]).count() == 1
     with pytest.raises(RuntimeError, match="checkpoint"):
-        store.commit(0, {"a": (rows, ["0"])})
-
-
-def test_batches_write_what_they_touch(spark, tmp_path):
-    """Twenty batches of late and new trades: the state equals one run, and files per batch stay flat."""
-    import random
-    from pathlib import Path
-
-    from dexspark.operators.fifo import fifo_axis, open_lots
-    from dexspark.streaming.ingest import POSITION_TRADE, FifoIngest
-
-    rng = random.Random(4)
-    rows = [(rng.choice("abc"), rng.choice("st"), rng.choice(["buy", "buy", "sell"]), rng.randrange(1, 9), rng.randrange(1, 99), block, 0, f"x{block}") for block in range(60)]
-    late = rows.pop(10)
-    batches = [rows[k : k + 10] for k in range(0, 60, 10)]
-    batches[3] = [*batches[3], late, batches[0][0]]
-    state = FifoIngest(spark, f"file://{tmp_path}/f", blocks=10, parts=2)
-    files = []
-    for number, batch in enumerate(batches):
-        state.apply(spark.createDataFrame(batch, POSITION_TRADE), number)
-        state.apply(spark.createDataFrame(batch, POSITION_TRADE), number)
-        files.append(len(list(Path(tmp_path, "f").glob(f"*/v{number}/**/*.parquet"))))
-    every = spark.createDataFrame([*rows, late], POSITION_TRADE)
-    columns = state.lots().columns
-    assert sorted(map(tuple, state.lots().collect())) == sorted(map(tuple, open_lots(fifo_axis(every)).select(*columns).collect()))
-    assert state.store.read("trades").count() == 60 and max(files) <= files[1] + 4
-    with pytest.raises(RuntimeError, match="checkpoint"):
-        state.apply(spark.createDataFrame(batches[0], POSITION_TRADE), 0)
+        store.commit({"a": (rows, ["0"])}, 0)
 
 
 def test_stream_by_time_takes_what_comes(spark, tmp_path):
