@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 from datetime import datetime, timedelta
-from decimal import Decimal
+from decimal import Decimal, localcontext
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,6 +145,12 @@ def test_positions_spread_over_tasks_equal_whole_ones(spark, seed):
     assert replay_spread(rows.limit(0))["stats"].count() == 0
 
 
+def whole(value):
+    """A value in units of 10^-8."""
+    with localcontext(prec=80):
+        return int(value.scaleb(8))
+
+
 def test_values_are_exact(spark):
     rng = random.Random(5)
     rows = [(rng.randrange(10 ** rng.randrange(1, 38)), rng.randrange(0, 31), rng.randrange(10 ** rng.randrange(1, 36))) for _ in range(400)]
@@ -156,7 +162,7 @@ def test_values_are_exact(spark):
 
     rows = [r for r in rows if exact(*r) < 10**29]
     frame = spark.createDataFrame([(Decimal(r), d, Decimal(p).scaleb(-18)) for r, d, p in rows], "raw decimal(38,0), d int, price decimal(38,18)")
-    got = [int(f"{r[0]:f}".replace(".", "")) for r in frame.select(value_exact(F.col("raw"), F.col("d"), F.col("price"))).collect()]
+    got = [whole(r[0]) for r in frame.select(value_exact(F.col("raw"), F.col("d"), F.col("price"))).collect()]
     assert got == [exact(*r) for r in rows] and len(rows) > 250
 
 
@@ -168,7 +174,7 @@ def test_shares_of_longs_to_their_limit_and_of_exact_money(spark):
     assert [r[0] for r in frame.select(share(F.col("v"), F.col("p"), F.col("w"), "long")).collect()] == [(2 * v * p * 10**6 + w) // (2 * w) for v, p, w in rows]
     rows = [(Decimal(rng.randrange(10**24)).scaleb(-8), Decimal(rng.randrange(w + 1)), Decimal(w)) for w in (rng.randrange(1, 10**30) for _ in range(100))]
     frame = spark.createDataFrame(rows, "v decimal(38,8), p decimal(38,0), w decimal(38,0)")
-    got = [int(f"{r[0]:f}".replace(".", "")) for r in frame.select(share(F.col("v"), F.col("p"), F.col("w"), "decimal(38,0)", "decimal(30,8)")).collect()]
+    got = [whole(r[0]) for r in frame.select(share(F.col("v"), F.col("p"), F.col("w"), "decimal(38,0)", "decimal(30,8)")).collect()]
     assert got == [(2 * int(v.scaleb(8)) * int(p) + int(w)) // (2 * int(w)) for v, p, w in rows]
 
 
