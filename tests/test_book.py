@@ -145,7 +145,7 @@ def test_positions_spread_over_tasks_equal_whole_ones(spark, seed):
     assert replay_spread(rows.limit(0))["stats"].count() == 0
 
 
-def whole(value):
+def units(value):
     """A value in units of 10^-8."""
     with localcontext(prec=80):
         return int(value.scaleb(8))
@@ -161,9 +161,9 @@ def test_values_are_exact(spark):
         return (2 * raw * price + unit) // (2 * unit)
 
     rows = [r for r in rows if exact(*r) < 10**29]
-    frame = spark.createDataFrame([(Decimal(r), d, Decimal(p).scaleb(-18)) for r, d, p in rows], "raw decimal(38,0), d int, price decimal(38,18)")
-    got = [whole(r[0]) for r in frame.select(value_exact(F.col("raw"), F.col("d"), F.col("price"))).collect()]
-    assert got == [exact(*r) for r in rows] and len(rows) > 250
+    frame = spark.createDataFrame([(Decimal(r), d, Decimal(f"{p}e-18")) for r, d, p in rows], "raw decimal(38,0), d int, price decimal(38,18)")
+    got = [units(r[0]) for r in frame.select(value_exact(F.col("raw"), F.col("d"), F.col("price"))).collect()]
+    assert [x for x in zip(rows, got, map(lambda r: exact(*r), rows)) if x[1] != x[2]] == [] and len(rows) > 250
 
 
 def test_shares_of_longs_to_their_limit_and_of_exact_money(spark):
@@ -172,9 +172,9 @@ def test_shares_of_longs_to_their_limit_and_of_exact_money(spark):
     rows = [(rng.randrange(10**12), rng.randrange(w + 1), w) for w in whole]
     frame = spark.createDataFrame(rows, "v long, p long, w long")
     assert [r[0] for r in frame.select(share(F.col("v"), F.col("p"), F.col("w"), "long")).collect()] == [(2 * v * p * 10**6 + w) // (2 * w) for v, p, w in rows]
-    rows = [(Decimal(rng.randrange(10**24)).scaleb(-8), Decimal(rng.randrange(w + 1)), Decimal(w)) for w in (rng.randrange(1, 10**30) for _ in range(100))]
+    rows = [(Decimal(f"{rng.randrange(10**24)}e-8"), Decimal(rng.randrange(w + 1)), Decimal(w)) for w in (rng.randrange(1, 10**30) for _ in range(100))]
     frame = spark.createDataFrame(rows, "v decimal(38,8), p decimal(38,0), w decimal(38,0)")
-    got = [whole(r[0]) for r in frame.select(share(F.col("v"), F.col("p"), F.col("w"), "decimal(38,0)", "decimal(30,8)")).collect()]
+    got = [units(r[0]) for r in frame.select(share(F.col("v"), F.col("p"), F.col("w"), "decimal(38,0)", "decimal(30,8)")).collect()]
     assert got == [(2 * int(v.scaleb(8)) * int(p) + int(w)) // (2 * int(w)) for v, p, w in rows]
 
 
