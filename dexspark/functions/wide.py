@@ -76,3 +76,25 @@ def to_text(number: Column) -> Column:
 
 def word_to_num(word: str, signed: bool) -> Column:
     return narrow(limbs(word, signed))
+
+
+def magnitude(number: Column) -> Column:
+    """Limbs without their sign."""
+    return F.struct(*[F.abs(number.getField(k)).cast("decimal(38,0)").alias(k) for k in ("low", "mid", "high")])
+
+
+def total(number: Column) -> Column:
+    """Aggregate: the sum of limbs, exact for up to 10^12 numbers of one sign; see ``carried``."""
+    return F.struct(*[F.sum(number.getField(k)).cast("decimal(38,0)").alias(k) for k in ("low", "mid", "high")])
+
+
+def carried(number: Column) -> Column:
+    """Limbs of 26 digits again, from sums of limbs of one sign."""
+    low, mid, high = (number.getField(k) for k in ("low", "mid", "high"))
+    base = F.expr(LIMB)
+
+    def whole(x: Column) -> Column:
+        return ((x - x % base) / base).cast("decimal(20,0)")
+
+    middle = (mid + whole(low)).cast("decimal(38,0)")
+    return F.struct((low % base).cast("decimal(38,0)").alias("low"), (middle % base).cast("decimal(38,0)").alias("mid"), (high + whole(middle)).cast("decimal(38,0)").alias("high"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dexspark.functions import wide
 from dexspark.functions.columns import event_key
 
 UNITS = {"1m": "minute", "1h": "hour", "1d": "day"}
@@ -47,6 +48,29 @@ def candles(swaps: DataFrame, resolution: str = "1m") -> DataFrame:
     return _merged(single, F.date_trunc(UNITS[resolution], "block_time"), F.lit(resolution))
 
 
+VOLUMES = ("volume0", "volume1")
+
+
+def wide_candles(swaps: DataFrame, resolution: str = "1m") -> DataFrame:
+    """Candles of swaps whose amounts are limbs of 256-bit words: volumes are limbs, exact beyond 38 digits."""
+    plain = candles(swaps.withColumns({"amount0": F.lit(0), "amount1": F.lit(0)}), resolution).drop(*VOLUMES)
+    own = swaps.select("pool", F.date_trunc(UNITS[resolution], "block_time").alias("bucket"), *[wide.magnitude(F.col(f"amount{k}")).alias(v) for k, v in enumerate(VOLUMES)])
+    return plain.join(_wide_sums(own, F.col("bucket")), ["pool", "bucket"])
+
+
+def _wide_sums(rows: DataFrame, bucket: Column) -> DataFrame:
+    sums = rows.groupBy("pool", bucket.alias("bucket")).agg(*[wide.total(F.col(v)).alias(v) for v in VOLUMES])
+    return sums.withColumns({v: wide.carried(F.col(v)) for v in VOLUMES})
+
+
+def wide_rollup(held: DataFrame, resolution: str) -> DataFrame:
+    """Hour or day candles of candles with wide volumes."""
+    unit = F.date_trunc(UNITS[resolution], "bucket")
+    zero = F.lit(0).cast("decimal(38,0)")
+    plain = _merged(held.withColumns({v: zero for v in VOLUMES}), unit, F.lit(resolution)).drop(*VOLUMES)
+    return plain.join(_wide_sums(held, unit), ["pool", "bucket"])
+
+
 def merge_candles(old: DataFrame, new: DataFrame) -> DataFrame:
     """Candles of the events behind both inputs, in whatever order they came."""
     return _merged(old.unionByName(new), F.col("bucket"), F.col("resolution"))

@@ -526,10 +526,10 @@ def book_mark(spark: SparkSession, kind: str, block: int, seq: int) -> DataFrame
     return spark.range(1).select(*[given.get(c.split()[0], F.lit(None).cast(c.split()[1])).alias(c.split()[0]) for c in book.record().split(", ")])
 
 
-def stream_book(spark: SparkSession, files: list[DataFrame], between: Callable[[book.Book, int], None] | None = None) -> book.Book:
+def stream_book(spark: SparkSession, files: list[DataFrame], between: Callable[[book.Book, int], None] | None = None, canonical: Callable[[], DataFrame] | None = None) -> book.Book:
     """A book that has taken files of records in this order, each as one batch; ``between`` acts before a file comes."""
     path = shared_path(spark, "book")
-    held = book.Book(spark, path, blocks=500, parts=4, unit="year")
+    held = book.Book(spark, path, blocks=500, parts=4, unit="year", canonical=canonical)
     for number, rows in enumerate(files):
         if between is not None:
             between(held, number)
@@ -895,7 +895,7 @@ def bulk_load(spark, sf_dir):
 
 
 def write_files(rows: DataFrame, path: str, parts: list[F.Column]) -> None:
-    """Files per condition, in this order; one each, as the stream takes a file at a time."""
+    """A folder's files by condition, in this order; few each, as the stream takes a file at a time."""
     for part in parts:
         rows.filter(part).coalesce(1).write.mode("append").parquet(path)
 
@@ -998,19 +998,79 @@ def stream_fifo_revert(spark, sf_dir):
 
 @query(f"select {sql.CANDLE} from c1")
 def stream_tumbling(spark, sf_dir):
-    """Windowed streaming aggregate in update mode into a keyed sink."""
+    """Windows of five files; a tenth of the first file's rows comes last of all, weeks late, and counts."""
     rows, path = records(spark, sf_dir), shared_path(spark, "stream")
-    write_files(rows, f"{path}/in", fifths(rows))
-    kinds = "pool string, bucket timestamp, open double, high double, low double, close double, volume0 long, volume1 long, trade_count long"
-    held = Snapshots(spark, f"{path}/out", kinds)
+    parts = fifths(rows)
+    late = parts[0] & (F.col("log_index") == 3)
+    write_files(rows, f"{path}/in", [parts[0] & ~late, *parts[1:], late])
+    state = ingest.Tumbling(spark, f"{path}/out", "month")
+    ingest.run_available(ingest.read_block_stream(spark, f"{path}/in"), state.apply, f"{path}/check")
+    return flat(state.store.read("candles"))
+
+
+@query(" union all ".join(f"select '{r}' as name, * from ({sql.candle('select * from ev where block_number <= 800', unit)})" for r, unit in (("1h", "hour"), ("1d", "day"))))
+def stream_rollups(spark, sf_dir):
+    """Hours and days follow their minutes: new events are added, those of withdrawn blocks taken out."""
+    rows = views.events(spark, sf_dir)
+    own = rows.select("*", F.lit("swap").alias("kind"), (F.col("block_number") * 16 + F.col("log_index")).alias("seq"))
+    known = set(own.columns)
+    every = own.select(*[(F.col(c.split()[0]).cast(c.split()[1]) if c.split()[0] in known else F.lit(None).cast(c.split()[1])).alias(c.split()[0]) for c in book.record().split(", ")])
+    block = F.col("block_number")
+    orphans = every.filter(block.between(EVENT_FORK + 1, 700)).withColumns({"tx_hash": F.concat("tx_hash", F.lit("b")), "price": F.col("price") * 3})
+    files = [every.filter(block <= EVENT_FORK).unionByName(orphans), book_mark(spark, "revert", EVENT_FORK, -1).unionByName(every.filter(block.between(EVENT_FORK + 1, 800)))]
+    held = stream_book(spark, files)
+    return flat_named(held.read("1h"), "1h").unionByName(flat_named(held.read("1d"), "1d"))
+
+
+def flat_named(rows: DataFrame, name: str) -> DataFrame:
+    return flat(rows).withColumn("name", F.lit(name))
+
+
+@query(f"select {FORK} as from_block, 1501 as mismatch, 1900 as live_cursor, 1900 - min(block_number) + 1 as headers from sw")
+def stream_detect_reverts(spark, sf_dir):
+    """Headers of one branch, then one of another that does not fit: the fork is found, the tables go back to it, and the branch's blocks from there on are taken."""
+    # a header for every day from the first block on, also where nothing was traded
+    days = views.swaps(spark, sf_dir).agg(F.min("block_number").alias("low")).select(F.explode(F.sequence("low", F.lit(1900))).alias("block_number"))
+    rows = days.withColumn("block_time", F.timestamp_seconds(F.col("block_number") * DAY))
+    recorded, canonical = views.headers(rows), views.headers(rows, FORK)
+    kinds = {c.split()[0]: c.split()[1] for c in book.record().split(", ")}
+
+    def given(headers: DataFrame, low: int, high: int) -> DataFrame:
+        own = headers.filter(F.col("number").between(low, high)).select(F.col("number").alias("seq"), F.lit("block").alias("kind"), F.col("number").alias("block_number"), "block_time", "block_hash", "parent_hash")
+        return own.select(*[(F.col(c).cast(t) if c in own.columns else F.lit(None).cast(t)).alias(c) for c, t in kinds.items()])
+
+    held = stream_book(spark, [given(recorded, 0, 800), given(recorded, 801, 1500), given(canonical, 1501, 1501), given(canonical, FORK + 1, 1900)], canonical=lambda: canonical)
+    top = held.read("headers").agg(F.count("*").alias("headers"))
+    return held.read("reverts").select("from_block", "mismatch").crossJoin(held.read("state").select("live_cursor")).crossJoin(top)
 
-    def keep(batch: DataFrame, number: int) -> None:
-        old = held.read()
-        held.write(batch.select(*old.columns).unionByName(old.join(batch.select("pool", "bucket"), ["pool", "bucket"], "left_anti")), number)
 
-    stream = ingest.tumbling_candles(ingest.read_block_stream(spark, f"{path}/in").filter("kind = 'data'"))
-    stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start().awaitTermination()
-    return flat(held.read())
+@query(
+    """select pool, epoch(bucket)::bigint as bucket, trade_count, cast(volume0::hugeint * 100000000000000 as varchar) || lpad(cast(lows as varchar), 26, '0') as volume0,
+  cast(volume1::hugeint * 100000000000000 as varchar) || lpad(cast(lows as varchar), 26, '0') as volume1 from (
+  select pool, date_trunc('day', block_time) as bucket, count(*) as trade_count, sum(abs(amount0)) as volume0, sum(abs(amount1)) as volume1, sum(log_index) as lows from ev group by 1, 2)"""
+)
+def candles_wide(spark, sf_dir):
+    """Day candles, by way of minutes, of amounts of over 40 digits."""
+    rows = views.events(spark, sf_dir)
+
+    def wide(amount: str) -> F.Column:
+        sign = F.when(F.col(amount) < 0, -1).otherwise(1)
+        parts = {"low": F.col("log_index") * sign, "mid": F.col(amount).cast("decimal(20,0)") * F.lit(10**14).cast("decimal(15,0)"), "high": F.lit(0)}
+        return F.struct(*[v.cast("decimal(38,0)").alias(k) for k, v in parts.items()])
+
+    minutes = candles.wide_candles(rows.withColumns({c: wide(c) for c in ("amount0", "amount1")}))
+    days = candles.wide_rollup(candles.wide_rollup(minutes, "1h"), "1d")
+    return days.select("pool", F.unix_timestamp("bucket").alias("bucket"), "trade_count", to_text(F.col("volume0")).alias("volume0"), to_text(F.col("volume1")).alias("volume1"))
+
+
+@query(f"select block_number, tx_hash, log_index from ({ALL_LOGS}) where brand % 2 = 0 and brand > 0 and block_number between 100 and 900")
+def scan_pruned_logs(spark, sf_dir):
+    """Logs by month; only the months of a range of blocks are read, and the contracts of a table are kept."""
+    rows, path = views.swaps(spark, sf_dir), shared_path(spark, "logs")
+    headers = views.headers(rows)
+    logs.write_logs(views.raw_logs(rows), headers, path, "month")
+    own = views.new_pools(rows).filter("is_indexed").select(views.contract("address").alias("address"))
+    return logs.scan_logs(spark.read.parquet(path), 100, 900, own, headers, "month").select("block_number", "tx_hash", "log_index")
 
 
 # Quality

@@ -21,9 +21,29 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(HEADERS).parquet(path)
 
 
-def scan_logs(raw_logs: DataFrame, first: int, last: int, watched: list[str] | None = None) -> DataFrame:
-    """Logs of blocks first to last, of the watched contracts if any are given."""
+def write_logs(raw_logs: DataFrame, headers: DataFrame, path: str, unit: str = "day") -> None:
+    """Logs in folders by day (or month, year) of their block, sorted by contract in each file."""
+    days = headers.select(F.col("number").alias("block_number"), day_of_block(unit).alias("day"))
+    dealt = raw_logs.join(days, "block_number").repartition("day", F.pmod(F.xxhash64("address"), F.lit(FILES)))
+    dealt.sortWithinPartitions("day", "address", "block_number").write.mode("append").partitionBy("day").parquet(path)
+
+
+def day_of_block(unit: str = "day") -> Column:
+    return F.date_trunc(unit, "block_time").cast("date")
+
+
+def scan_logs(raw_logs: DataFrame, first: int, last: int, watched: list[str] | DataFrame | None = None, headers: DataFrame | None = None, unit: str = "day") -> DataFrame:
+    """Logs of blocks first to last, of the watched contracts if any are given: addresses, or a table with address.
+
+    Of logs that ``write_logs`` wrote, only the days of the range are read, found in the headers when the scan
+    runs. A list is pushed into the files, a table filters the rows by a semi-join.
+    """
     rows = raw_logs.filter(F.col("block_number").between(first, last))
+    if headers is not None:
+        days = headers.filter(F.col("number").between(first, last)).select(day_of_block(unit).alias("day")).distinct()
+        rows = rows.join(days, "day", "left_semi")
+    if isinstance(watched, DataFrame):
+        return rows.join(watched.select("address").distinct(), "address", "left_semi").select(*raw_logs.columns)
     return rows.filter(F.col("address").isin(*watched)) if watched else rows
 
 
@@ -41,7 +61,7 @@ def explode_blocks(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return blocks.drop("logs"), logs
 
 
-def active_blocks(raw_logs: DataFrame, first: int, last: int, watched: list[str] | None = None) -> DataFrame:
+def active_blocks(raw_logs: DataFrame, first: int, last: int, watched: list[str] | DataFrame | None = None) -> DataFrame:
     """Blocks in the range that hold a watched log."""
     return scan_logs(raw_logs, first, last, watched).select("block_number").distinct()
 

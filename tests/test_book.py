@@ -196,3 +196,31 @@ def test_wide_quantities_and_exact_money_everywhere(spark):
     lots = open_lots(fifo_axis(small.filter("block_number <= 2")))
     assert sorted(r.cost for r in replay_from(lots, small.filter("block_number > 2")).collect()) == [10_000_000, 33_333_333, 33_333_333]
     assert fifo_consume(fifo_axis(small)).count() == 4
+
+
+def test_a_branch_that_does_not_fit_reverts_to_its_fork(spark, tmp_path):
+    """Found by a mismatch at the top, by blocks given again from the fork on, and not at all where it lies below the final height."""
+    held = {"top": 6, "name": ""}
+
+    def canonical():
+        return table(spark, [header(b, held["name"] if b > 4 else "") | ({"parent_hash": "h4"} if b == 5 else {}) for b in range(1, 13)]).select(F.col("block_number").alias("number"), "block_hash", "parent_hash")
+
+    def branch(first, last, name):
+        rows = blocks(first, last, name)
+        return [r | {"parent_hash": "h4"} if r["kind"] == "block" and r["block_number"] == 5 else r for r in rows]
+
+    book = Book(spark, f"file://{tmp_path}/b", blocks=10, parts=2, canonical=canonical)
+    book.apply(table(spark, blocks(1, 8)), 0)
+    held["name"] = "b"
+    book.apply(table(spark, branch(9, 9, "b")), 1)  # its parent is not the recorded block 8
+    assert_equals_clean(spark, book, blocks(1, 4))
+    book.apply(table(spark, branch(5, 9, "b")), 2)
+    assert_equals_clean(spark, book, blocks(1, 4) + branch(5, 9, "b"))
+    held["name"] = "c"
+    book.apply(table(spark, branch(5, 7, "c")), 3)  # the blocks from the fork on at once
+    assert_equals_clean(spark, book, blocks(1, 4) + branch(5, 7, "c"))
+    assert sorted(map(tuple, book.read("reverts").collect())) == [(1, 9, 4), (3, 5, 4)]
+    book.finalise(6)
+    held["name"] = "d"
+    with pytest.raises(ValueError, match="fork is not found"):
+        book.apply(table(spark, branch(8, 8, "d")), 4)

@@ -227,3 +227,34 @@ def test_tick_sees_only_its_window(spark):
     found = alerts.tick(rows, watched, pools, 100, (50, 20), 100, 2, 600)
     assert {(r.rule, r.alert_key.split(":")[1]) for r in found.collect()} == {("move", "t90"), ("cluster", "p"), ("newpool", "a")}
     assert alerts.tick(rows.limit(0), watched, pools.limit(0), 100, (50, 20), 100, 2, 600).count() == 0
+
+
+def test_scans_read_the_days_of_their_range(spark, tmp_path):
+    """Files read follow the range of blocks, found when the scan runs."""
+    import re
+
+    path = str(tmp_path / "logs")
+    rows = spark.createDataFrame([(f"0x{b % 5:040x}", ["t"], "0x", b, f"x{b}", 0) for b in range(200)], RAW_LOGS)
+    heads = spark.range(200).select(F.col("id").alias("number"), F.lit("h").alias("block_hash"), F.lit("p").alias("parent_hash"), F.timestamp_seconds(F.col("id") * 8640).alias("block_time"))
+    logs.write_logs(rows, heads, path)
+    own = spark.createDataFrame([(f"0x{3:040x}",), (f"0x{3:040x}",)], "address string")
+    found = logs.scan_logs(spark.read.parquet(path), 50, 59, own, heads)
+    assert sorted(r.block_number for r in found.collect()) == [53, 58]
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+    scan = logs.scan_logs(spark.read.parquet(path), 50, 59, None, heads)
+    assert scan.count() == 10 and len(scan.select(F.input_file_name()).distinct().collect()) <= 5 < len(set(re.findall(r"day=[\d-]+", str(list((tmp_path / "logs").rglob("*.parquet"))))))
+
+
+def test_wide_volumes(spark):
+    import random
+
+    from dexspark.functions.wide import limbs, to_text
+    from dexspark.operators.candles import wide_candles, wide_rollup
+
+    rng = random.Random(3)
+    rows = [("p", T0 + timedelta(minutes=n % 7, hours=n % 3), 1.0, rng.randrange(-(2**255), 2**255), rng.randrange(2**200), n, 0) for n in range(60)]
+    text = [(p, t, x, f"{a % 2**256:064x}", f"{b:064x}", n, g) for p, t, x, a, b, n, g in rows]
+    frame = spark.createDataFrame(text, "pool string, block_time timestamp, price double, w0 string, w1 string, block_number long, log_index long")
+    frame = frame.withColumns({"amount0": limbs("w0", True), "amount1": limbs("w1", True)})
+    got = wide_rollup(wide_candles(frame), "1d").select(to_text(F.col("volume0")), to_text(F.col("volume1")), "trade_count").first()
+    assert tuple(got) == (str(sum(abs(r[3]) for r in rows)), str(sum(r[4] for r in rows)), 60)
