@@ -48,7 +48,7 @@ def rule_events(rules: DataFrame) -> DataFrame:
     labels = F.split(F.expr("substring(key, 1, length(key) - 1)"), r"\.")
     prefix = F.transform(F.sequence(F.lit(1), F.size("_l")), lambda n: F.concat(F.array_join(F.slice(F.col("_l"), 1, n), "."), F.lit(".")))
     around = hosts.withColumn("_l", labels).select(F.col("key").alias("inner"), F.explode(prefix).alias("key"))
-    rule = F.struct(F.length("rule").alias("size"), "path", "rule", "verdict")
+    rule = F.struct(F.length("rule").alias("size"), "rule", "path", "verdict")
     held = around.join(parts, "key").groupBy("inner").agg(F.sort_array(F.collect_list(rule)).alias("stack"))
     outer = around.join(hosts, "key").filter("key <> inner").groupBy("inner").agg(F.max_by("key", F.length("key")).alias("outer"))
     below = held.select(F.col("inner").alias("outer"), F.col("stack").alias("_below"))
@@ -64,8 +64,8 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", key: str =
 
     The longest rule that fits gives rule and verdict; of equally long ones the last in the
     alphabet. Without one, rule is null and verdict is the default. Hosts are matched by whole
-    labels. Null urls have an empty host and path. Repeated rows are judged one by one; other
-    columns are ignored.
+    labels. Null urls have an empty host and path. Urls are judged whole, however long. Repeated rows are judged one by one; other
+    columns are ignored. An empty table gives no rows; without rules all have the default.
     """
     host, path = host_and_path(F.col("url"))
     own = urls.select(F.col(key).alias("_id"), host.alias("host"), path.alias("path")).withColumn("key", host_key(F.col("host")))

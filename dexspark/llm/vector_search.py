@@ -6,13 +6,15 @@ the shard, so that every part is 0 or more. Terms are ordered by the most they c
 at the end that together cannot lift a document to the threshold are not essential. A document
 that reaches the threshold has in some essential term at least that term's share of what the
 others leave to reach it, so each essential posting is traversed from its greatest impact down
-to that share, and only documents met there are scored: essential terms first, then the others
-are probed one after another while a document can still compete. The threshold is the k-th
+to that share, and only documents met there are scored: by the essential terms first, then those that
+can still compete by all others at once. The threshold is the k-th
 best score met; it rises over stretches of the postings. Shards are merged at the end.
 
 ``nearest`` is approximate: randomly rotated one-bit codes. Every vector is coded once: less
-the centre and rotated among SPREAD times its dimensions, it is kept as its sign bits, its
-length and the product of the code with its direction. Only codes are dealt to the query blocks. A query's components are cut to
+the centre and with zeros behind it up to BITS dimensions, or more, it is rotated by rounds of random signs and
+Hadamard transforms and kept as its sign bits, its
+length and the product of the code with its direction. So a vector of BITS components has one bit a
+component, a shorter one more, as the error goes with the number of bits. Only codes are dealt to the query blocks. A query's components are cut to
 LEVELS bits, and the bits of a code under each of them are counted, which gives the inner
 product and so an estimate of the distance with an error bound. Vectors whose lower bound lies
 within the k-th smallest upper bound are fetched and measured.
@@ -20,6 +22,8 @@ within the k-th smallest upper bound are fetched and measured.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,9 +34,9 @@ from dexspark.llm.common import blocks_for, materialise, slices, small_batches
 
 #: Vectors of a shard, queries of a block.
 SHARD, QUERIES = 8192, 1024
-#: Vectors that the centre is the mean of, bits of a code per component, width of the error bound in standard deviations, bits of a
-#: query's component, seed of the rotation.
-SAMPLE, SPREAD, WIDTH, LEVELS, SEED = 4096, 8, 1.5, 8, 20260101
+#: Vectors that the centre is the mean of, bits of a code at least, width of the error bound in standard deviations, bits of a
+#: query's component, seed and rounds of the rotation.
+SAMPLE, BITS, WIDTH, LEVELS, SEED, ROUNDS = 4096, 512, 1.5, 8, 20260101, 3
 #: Parts in which postings are traversed, between which the threshold rises.
 STRETCHES = 2
 #: Bound of a score, so that sums fit a long.
@@ -143,9 +147,9 @@ class Postings:
                 score([np.arange(n)], len(terms))  # no threshold, or one that every document passes
                 break
             # a share of each posting; first only what is far above it, to raise the threshold
-            share = int(scores[k - 1] - base - rest[essential]) / int(rest[0] - rest[essential]) * (1 + stretch / STRETCHES / 2)
-            if share <= 1:
-                score([self.reaching(t, int(query[t]), int(least[t]) + max(1, int(np.floor(share * room)))) for t, room in zip(terms[:essential].tolist(), bound[:essential].tolist())], essential)
+            part, all_ = int(scores[k - 1] - base - rest[essential]) * (2 * STRETCHES + stretch), int(rest[0] - rest[essential]) * 2 * STRETCHES
+            if part <= all_:
+                score([self.reaching(t, int(query[t]), int(least[t]) + max(1, part * room // all_)) for t, room in zip(terms[:essential].tolist(), bound[:essential].tolist())], essential)
         return best, scores
 
 
@@ -190,30 +194,47 @@ def top_k_products(vectors: DataFrame, k: int = 10, every: int = 100, shard: int
     return ranked(pairs.applyInArrow(_products(k), "query_id long, query_row long, vec_id long, score long"), k, F.desc("score"))
 
 
-def rotation(dims: int, spread: int = SPREAD) -> np.ndarray:
-    """The rows for the components of a vector, which has zeros behind them, of a random rotation of spread * dims dimensions."""
-    q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((spread * dims, spread * dims)))
-    return (q * np.sign(np.diag(r)))[:dims]
+@cache
+def signs(size: int) -> np.ndarray:
+    """The random signs of each round, the same in every task."""
+    return np.random.default_rng(SEED).choice([-1.0, 1.0], size=(ROUNDS, size))
+
+
+def turned(vectors: np.ndarray) -> np.ndarray:
+    """Rows with zeros behind them up to a power of two, rotated at random; their lengths stay."""
+    size = 1 << max(BITS, vectors.shape[1], 1).bit_length() - 1
+    size = size if size >= vectors.shape[1] else 2 * size
+    out = np.zeros((len(vectors), size))
+    out[:, : vectors.shape[1]] = vectors
+    for flips in signs(size):
+        out *= flips
+        half = 1
+        while half < size:
+            pairs = out.reshape(len(out), -1, 2, half)
+            low, high = pairs[:, :, 0].copy(), pairs[:, :, 1]
+            pairs[:, :, 0] += high
+            np.subtract(low, high, out=pairs[:, :, 1])
+            half *= 2
+        out /= np.sqrt(size)
+    return out
 
 
-def encode(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def encode(vectors: np.ndarray, centre: np.ndarray, turn=turned) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed sign bits, lengths, and products of code and direction."""
     apart = vectors - centre
     length = np.linalg.norm(apart, axis=1)
-    unit = (apart / np.where(length > 0, length, 1)[:, None]) @ turn
+    unit = turn(apart / np.where(length > 0, length, 1)[:, None])
     product = np.abs(unit).sum(axis=1) / np.sqrt(unit.shape[1])
     return np.packbits(unit > 0, axis=1), length, np.where(product > 0, product, 1)
 
 
 def _code_rows(centres: dict[int, np.ndarray]):
     def rows(batches):
-        turns: dict[int, np.ndarray] = {}
-        for batch in slices(batches, 1024):
+        for batch in slices(batches, 256):
             dims = batch.column("dims").to_numpy()
             for size in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == size))
-                turn = turns.setdefault(size, rotation(size))
-                bits, length, product = encode(matrix(pa.chunked_array([part.column("v")])), centres.get(size, np.zeros(size)), turn)
+                bits, length, product = encode(matrix(pa.chunked_array([part.column("v")])), centres.get(size, np.zeros(size)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("vec_id", "row", "dims")), pa.array(map(bytes, bits), pa.binary()), pa.array(length), pa.array(product)], ["vec_id", "row", "dims", "bits", "length", "product"])
 
     return rows
@@ -254,15 +275,15 @@ def _neighbours(k: int, centres: dict[int, np.ndarray], width: float):
         if rows.num_rows and asked.num_rows:
             rows, asked = once(rows), once(asked)
             dims = key[0].as_py()
-            centre, turn = centres.get(dims, np.zeros(dims)), rotation(dims)
+            centre = centres.get(dims, np.zeros(dims))
             ids, names = rows["vec_id"].to_numpy(), rows["row"].to_numpy()
             length, product = rows["length"].to_numpy(), rows["product"].to_numpy()
             codes = words(np.frombuffer(b"".join(rows["bits"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1))
-            size = turn.shape[1]
+            size = 8 * len(rows["bits"][0].as_py())
             wide = width * np.sqrt(np.maximum(0, 1 - product**2) / max(1, size - 1))
             for query, name, vector in zip(asked["vec_id"].to_pylist(), asked["row"].to_pylist(), matrix(asked["v"]), strict=True):
                 far = float(np.linalg.norm(vector - centre))
-                found, off = code_products(codes, size, ((vector - centre) / (far or 1)) @ turn)
+                found, off = code_products(codes, size, turned(((vector - centre) / (far or 1))[None, :])[0])
                 scale = 2 * far * length / product
                 middle, error = length**2 + far**2 - scale * found, scale * (wide + off)
                 low, high = middle - error, middle + error

@@ -147,13 +147,45 @@ def test_vectors_that_are_repeated_or_share_an_id(spark):
 def test_bits_give_the_product_of_a_code(dims):
     rng = np.random.default_rng(dims)
     x, q = rng.standard_normal((50, dims)), rng.standard_normal(dims)
-    bits, _, _ = vector_search.encode(x, np.zeros(dims), np.eye(dims))
+    bits, _, _ = vector_search.encode(x, np.zeros(dims), lambda v: v)
     unit = q / np.linalg.norm(q)
     got, off = vector_search.code_products(vector_search.words(bits), dims, unit)
     want = np.where(x > 0, 1, -1) @ unit / np.sqrt(dims)
     assert np.abs(got - want).max() <= off + 1e-9 and off < 0.05
 
 
+@pytest.mark.parametrize("dims", [1, 3, 64, 512, 700, 1536])
+def test_rotation_keeps_lengths_and_spreads_them(dims):
+    x = np.random.default_rng(dims).standard_normal((20, dims))
+    x[0] = 0
+    x[0, 0] = 1  # all of it in one component
+    y = vector_search.turned(x)
+    assert y.shape[1] == max(512, 1 << (dims - 1).bit_length()) and np.allclose(y @ y.T, x @ x.T)
+    assert np.abs(y[0]).max() < 6 / np.sqrt(y.shape[1])
+
+
+def test_neighbours_of_long_vectors(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((1200, 1536)).astype(np.float32)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = vector_search.nearest(rows).collect()
+    far = {q: np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1)) for q in range(0, 1200, 100)}
+    best = {(q, int(k)) for q, d in far.items() for k in [k for k in np.argsort(d, kind="stable") if k != q][:10]}
+    assert len(best & {(r.query_id, r.vec_id) for r in got}) >= 0.9 * len(best)
+
+
+def test_scores_beyond_doubles_lose_no_document():
+    """Sums far above 2^53, where shares of them as quotients would be off by more than one."""
+    rng = np.random.default_rng(12)
+    docs = rng.integers(-(2**27), 2**27, size=(500, 40))
+    postings, ids = vector_search.Postings(docs), np.arange(500)
+    for k in range(20):
+        query = rng.integers(-(2**27), 2**27, size=40)
+        at, score = postings.top(ids, query, -1, 5)
+        every = docs @ query
+        assert at.tolist() == np.lexsort((ids, -every))[:5].tolist() and score.tolist() == every[at].tolist()
+
+
 def test_max_score_equals_all_products_and_skips_some():
     rng = np.random.default_rng(4)
     docs = (1024 * rng.standard_normal((3000, 24)) * np.geomspace(1, 0.05, 24)).astype(np.int64)

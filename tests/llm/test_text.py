@@ -77,7 +77,7 @@ def test_held_out_accuracy(spark):
 def test_language_of_hard_inputs(spark):
     model = language_id.train(spark.createDataFrame([(1, "the cat", "en"), (2, None, "fr"), (3, "der", None)], "doc_id long, text string, lang string"))
     docs = spark.createDataFrame(HARD, DOCS).selectExpr("*", "'q' as lang_pred", "'z' as lang", "1 as _text")
-    got = language_id.identify(docs.drop("_text"), model).collect()
+    got = language_id.identify(docs, model).collect()
     assert len(got) == len(HARD)
     assert {r.doc_id: r.lang_pred for r in got if r.doc_id in (1, 2, 3, 4)} == dict.fromkeys((1, 2, 3, 4), "und")
     assert all(0 <= r.score <= 1 for r in got)
@@ -364,6 +364,12 @@ def test_urls_equal_every_rule_tried(spark):
     assert got == {k: judged(u, rules) for k, u in enumerate(urls)}
 
 
+def test_equally_long_rules_go_by_the_alphabet(spark):
+    rules = spark.createDataFrame([("z.com/", "block"), ("com/en", "allow"), ("y.z.com", "block")], "rule string, verdict string")
+    pages = spark.createDataFrame([(1, "http://z.com/en"), (2, "http://y.z.com/en")], "page_id long, url string")
+    assert {r.page_id: r.rule for r in url_filters.judge(pages, rules).collect()} == {1: "z.com/", 2: "y.z.com"}
+
+
 def test_urls_without_rules_or_rows(spark):
     none = spark.createDataFrame([], "rule string, verdict string")
     pages = spark.createDataFrame([(1, "http://a.com/"), (1, "http://a.com/")], "page_id long, url string")
