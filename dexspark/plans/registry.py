@@ -526,16 +526,20 @@ def book_mark(spark: SparkSession, kind: str, block: int, seq: int) -> DataFrame
     return spark.range(1).select(*[given.get(c.split()[0], F.lit(None).cast(c.split()[1])).alias(c.split()[0]) for c in book.record().split(", ")])
 
 
+def in_batches(spark: SparkSession, path: str, files: list[DataFrame], schema: str, run: Callable[[DataFrame], None], between: Callable[[int], None] | None = None) -> None:
+    """Runs a stream over folders of files in this order, each as one batch, however many files it has; ``between`` acts before a folder comes."""
+    for number, rows in enumerate(files):
+        if between is not None:
+            between(number)
+        rows.write.mode("append").parquet(f"{path}/in{number}")
+        run(ingest.read_block_stream(spark, f"{path}/in{{{','.join(map(str, range(number + 1)))},x}}", schema, files=1 << 20))
+
+
 def stream_book(spark: SparkSession, files: list[DataFrame], between: Callable[[book.Book, int], None] | None = None, canonical: Callable[[], DataFrame] | None = None) -> book.Book:
     """A book that has taken files of records in this order, each as one batch; ``between`` acts before a file comes."""
     path = shared_path(spark, "book")
     held = book.Book(spark, path, blocks=500, parts=4, unit="year", canonical=canonical)
-    for number, rows in enumerate(files):
-        if between is not None:
-            between(held, number)
-        rows.write.mode("append").parquet(f"{path}/in{number}")
-        # a folder a batch, as the stream takes all files of a folder that are there
-        ingest.run_available(ingest.read_block_stream(spark, f"{path}/in{{{','.join(map(str, range(number + 1)))},x}}", book.record(), files=1 << 20), held.apply, f"{path}/check")
+    in_batches(spark, path, files, book.record(), lambda stream: ingest.run_available(stream, held.apply, f"{path}/check"), between and (lambda number: between(held, number)))
     return held
 
 
@@ -894,12 +898,6 @@ def bulk_load(spark, sf_dir):
 # Streams
 
 
-def write_files(rows: DataFrame, path: str, parts: list[F.Column]) -> None:
-    """A folder's files by condition, in this order; few each, as the stream takes a file at a time."""
-    for part in parts:
-        rows.filter(part).coalesce(1).write.mode("append").parquet(path)
-
-
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.events(spark, sf_dir)
     return rows.select((F.col("block_number") * 10 + F.col("log_index")).alias("seq"), F.lit("data").alias("kind"), F.lit(None).cast("long").alias("from_block"), *[F.col(c.split()[0]).cast(c.split()[1]) for c in ingest.TRADE.split(", ")])
@@ -917,9 +915,8 @@ def stream_candles(spark, sf_dir):
     """Five files and the third once more."""
     rows, path = records(spark, sf_dir), shared_path(spark, "stream")
     parts = fifths(rows)
-    write_files(rows, f"{path}/in", [*parts, parts[2]])
     state = ingest.Ingest(spark, path)
-    ingest.run_available(ingest.read_block_stream(spark, f"{path}/in"), state.apply, f"{path}/check")
+    in_batches(spark, path, [rows.filter(p) for p in [*parts, parts[2]]], ingest.RECORD, lambda stream: ingest.run_available(stream, state.apply, f"{path}/check"))
     return flat(state.store.read("candles"))
 
 
@@ -927,9 +924,8 @@ def stream_candles(spark, sf_dir):
 def stream_dedupe(spark, sf_dir):
     rows, path = records(spark, sf_dir), shared_path(spark, "stream")
     parts = fifths(rows)
-    write_files(rows, f"{path}/in", [parts[0], parts[1], parts[1], *parts[2:], parts[4]])
-    stream = ingest.deduplicated(ingest.read_block_stream(spark, f"{path}/in", files=2), "30 days")
-    ingest.write_rows_stream(stream.drop("seq", "kind", "from_block"), f"{path}/out", f"{path}/check")
+    files = [rows.filter(p) for p in [parts[0], parts[1], parts[1], *parts[2:], parts[4]]]
+    in_batches(spark, path, files, ingest.RECORD, lambda stream: ingest.write_rows_stream(ingest.deduplicated(stream, "30 days").drop("seq", "kind", "from_block"), f"{path}/out", f"{path}/check"))
     return spark.read.schema(ingest.TRADE).parquet(f"{path}/out").select("tx_hash", "log_index", "pool")
 
 
@@ -938,13 +934,11 @@ def stream_revert(spark, sf_dir):
     """All blocks, a revert, and the blocks above it again with other prices."""
     rows, path = records(spark, sf_dir), shared_path(spark, "stream")
     above = F.col("block_number") > EVENT_FORK
-    write_files(rows, f"{path}/in", [~above, above])
     top = F.lit(1 << 40)
     mark = rows.limit(1).select(top.alias("seq"), F.lit("revert").alias("kind"), F.lit(EVENT_FORK).cast("long").alias("from_block"), *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in ingest.TRADE.split(", ")])
     again = rows.filter(above).withColumns({"seq": top + 1 + F.col("seq"), "price": F.col("price") + 1, "tx_hash": F.concat("tx_hash", F.lit("b"))})
-    mark.unionByName(again).coalesce(1).write.mode("append").parquet(f"{path}/in")
     state = ingest.Ingest(spark, path)
-    ingest.run_available(ingest.read_block_stream(spark, f"{path}/in"), state.apply, f"{path}/check")
+    in_batches(spark, path, [rows.filter(~above), rows.filter(above), mark.unionByName(again)], ingest.RECORD, lambda stream: ingest.run_available(stream, state.apply, f"{path}/check"))
     return flat(state.store.read("candles"))
 
 
@@ -1002,9 +996,8 @@ def stream_tumbling(spark, sf_dir):
     rows, path = records(spark, sf_dir), shared_path(spark, "stream")
     parts = fifths(rows)
     late = parts[0] & (F.col("log_index") == 3)
-    write_files(rows, f"{path}/in", [parts[0] & ~late, *parts[1:], late])
     state = ingest.Tumbling(spark, f"{path}/out", "month")
-    ingest.run_available(ingest.read_block_stream(spark, f"{path}/in"), state.apply, f"{path}/check")
+    in_batches(spark, path, [rows.filter(p) for p in [parts[0] & ~late, *parts[1:], late]], ingest.RECORD, lambda stream: ingest.run_available(stream, state.apply, f"{path}/check"))
     return flat(state.store.read("candles"))
 
 
