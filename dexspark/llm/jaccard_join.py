@@ -257,7 +257,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, gram: int = G
     words than a gram is one gram; null and blank texts have no links and are their own class.
     Repeated rows count as copies of each other. Rows that share a doc_id but not the text have
     the links of their own texts and fall into one class. Rows with a null doc_id share the
-    class of their copies and count as a link of none. Other columns are ignored.
+    class of their copies and count as a link of none. Texts of any length count with all their grams. Of
+    equal candidates the least doc_id names a class. An empty table gives no rows. Other columns are ignored.
     """
     small_batches(docs)
     text = F.col("text").cast("string")

@@ -280,7 +280,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, limit
     score is the posterior probability of the language under equal priors. A text that is null
     or holds no letter, and every text under a model without languages, is ``und`` with score 0.
     Ties go to the first language in alphabetical order. Whole texts are scored, long ones in
-    chunks. Repeated rows are judged each. Kept columns named lang_pred or score are replaced;
+    chunks. Repeated rows are judged each, and an empty table gives no rows. Kept columns named lang_pred or score are replaced;
     other names do not matter. With the bounds of train_bounded as ``limits`` the column
     fits tells whether the text costs no more than its language's bound, which widens for short
     texts: score alone is near 1 for any text, as it compares only the learned languages.

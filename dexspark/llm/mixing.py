@@ -66,7 +66,8 @@ def mix(docs: DataFrame, levels: list[str], weights: dict[str, DataFrame], share
     budget as a part of all tokens. last_tokens is how many of the row's tokens the last, partial
     epoch takes. Rows that are drawn neither way are left out. A null level value is a node of
     its own; null or negative token counts are 0, and rows without tokens are never drawn. Ties
-    of the seeded order go to the smaller doc_id; repeated rows are drawn one by one.
+    of the seeded order go to the smaller doc_id; repeated rows are drawn one by one. An empty table
+    gives no rows.
     """
     count = F.greatest(F.coalesce(F.col("tokens").cast("long"), F.lit(0)), F.lit(0))
     keys = [f"_k{n}" for n in range(len(levels))]

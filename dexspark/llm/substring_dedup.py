@@ -359,8 +359,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
     for no words. Rows with a null doc_id keep all words. Every row is judged by its own text: of
     rows that share a doc_id none is earlier than the other, be their texts equal or not, and each
     gets its own words removed. Windows are told apart by 64-bit hashes before the automata
-    confirm them word by word. Kept columns named like the new ones are replaced; other names
-    and columns do not matter.
+    confirm them word by word. Texts of any length are taken whole, in pieces. Kept columns named like the new
+    ones are replaced; other names and columns do not matter. An empty table gives no rows.
     """
     small_batches(docs)
     kept = [c for c in keep or ["doc_id"] if c not in NEW]

@@ -189,3 +189,13 @@ def test_joining_rows_before_they_are_dealt_changes_nothing(spark, monkeypatch):
     phrases = [(1, b"a b c d", 0b11), (2, b"b c d e", 0b11), (0, b"c d e", 0b1)]
     automata = list(s.automata(iter(phrases), 3))
     assert sorted(source for codes, machine in automata for _, source in machine.iter("".join(map(codes.__getitem__, b"x a b c d e".split())))) == [0, 1, 1]
+
+
+def test_empty_tables_and_very_long_texts(spark):
+    long_ = " ".join(f"w{k}" for k in range(60_000))
+    docs = spark.createDataFrame([(1, long_), (2, long_ + " end"), (3, "x " * 50_000), (4, "short")], "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in j.near_duplicates(docs).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}
+    kept = {r.doc_id: (r.n_words, r.n_removed) for r in s.remove_repeats(docs).collect()}
+    assert kept == {1: (60_000, 0), 2: (60_001, 60_000), 3: (50_000, 0), 4: (1, 0)}
+    assert j.near_duplicates(docs.limit(0)).count() == s.remove_repeats(docs.limit(0)).count() == 0

@@ -78,6 +78,7 @@ def test_language_of_hard_inputs(spark):
     model = language_id.train(spark.createDataFrame([(1, "the cat", "en"), (2, None, "fr"), (3, "der", None)], "doc_id long, text string, lang string"))
     docs = spark.createDataFrame(HARD, DOCS).selectExpr("*", "'q' as lang_pred", "'z' as lang", "1 as _text")
     got = language_id.identify(docs, model).collect()
+    assert language_id.identify(docs.limit(0), model).count() == 0
     assert len(got) == len(HARD)
     assert {r.doc_id: r.lang_pred for r in got if r.doc_id in (1, 2, 3, 4)} == dict.fromkeys((1, 2, 3, 4), "und")
     assert all(0 <= r.score <= 1 for r in got)
