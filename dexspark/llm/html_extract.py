@@ -10,6 +10,12 @@ root with digits taken out. Spark sums the votes per host in two steps, so that
 third of all pages is summed by many tasks first, and keeps the path with most votes. Every
 page is then read again: the containers of its host's winning path give the text, and a page
 without one falls back on its own best path.
+
+The host decides inside the container too. Of every path below it Spark counts the pages and
+those whose text there stands on different pages of the host; a path whose text mostly repeats,
+or is mostly links, is a frame of the host, whatever its names. Pages differ if their longest
+blocks do, so copies of a page are no evidence. Lists of dated items or of other articles after
+the title are told by their structure. Names of elements decide where a host does not.
 """
 
 from __future__ import annotations
@@ -30,6 +36,8 @@ from dexspark.llm.url_filters import host_and_path
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 CLASS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 SPACE = re.compile(r"\s+")
+#: Attributes of elements that are not shown.
+UNSEEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)(?!\s*=\s*["']?until-found)|\bstyle\s*=\s*(?:"[^"]*|'[^']*|)(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,11 +73,13 @@ LAYOUT_WORDS = frozenset(
 MAIN_WORDS = frozenset("ad ads advert adverts advertisement comment comments promo promos related replies reply sponsor sponsored sponsors".split())
 #: Those that are parts of a text where they stand inside an article or main element.
 TEXT_WORDS = frozenset("menu modal search toolbar widget widgets".split())
+#: Those that are so too where they hold no link.
+DOUBT_WORDS = frozenset("notice notices related social".split())
 #: Remarks of readers, which may be longer than the text.
 REMARK_WORDS = frozenset("comment comments disqus replies reply".split())
 PARTS_OF_NAME = re.compile(r"[a-z]+")
 #: What kind of frame an element is; a frame of a soft kind is none with these shares of the page's text, in article or main and at all.
-NONE, SOFT, REMARKS, NEVER = range(4)
+NONE, SOFT, REMARKS, NEVER, DOUBT = range(5)
 MAIN_SHARE, TEXT_SHARE = 0.5, 0.8
 #: Elements that stand for the main text, with the weight of their votes.
 MAIN = {"article": 5, "main": 4}
@@ -77,6 +87,13 @@ MAIN = {"article": 5, "main": 4}
 FRAME_COST, AROUND = 25, 0.6
 #: Bytes of all winning paths up to which they are sent to every task; beyond, pages are dealt to PARTS parts of their host.
 BROADCAST, PARTS = 32 << 20, 64
+#: Pages of a host that make a frame by repetition, share of its pages that a path must be on, share of these whose text repeats, share
+#: of the text in links, share of the container's text that a frame may hold.
+PAGES, PRESENT, REPEATED, LINKED, FRAME_SHARE = 3, 0.01, 0.5, 0.8, 0.3
+#: Block elements that are judged with what is around them, if they have no class.
+PLAIN = frozenset("body dd dt h1 h2 h3 h4 h5 h6 hgroup html legend li option optgroup p summary tbody td tfoot th thead tr".split())
+#: Dated items, or other articles, that make their list one of remarks or teasers; share of the page's text from which it is the text.
+ITEM, ITEMS, LIST_SHARE = frozenset("article div li section".split()), 2, 0.5
 #: Characters of a path from which on the elements above are named by a hash.
 PATH = 256
 #: A tag whose quotes do not match.
@@ -114,6 +131,9 @@ class Node:
     text: int = 0
     titles: int = 0
     main_text: int = 0
+    times: int = 0
+    items: int = 0
+    linked: int = 0
     hides: bool = False
     size: int = 0
     links: int = 0
@@ -148,18 +168,21 @@ def framed(tag: str, words: list[str], inside: bool = False) -> int:
     if any(w in REMARK_WORDS for w in told):
         return REMARKS
     told = [w for w in told if not (inside and w in TEXT_WORDS)]
+    if inside and told and tag not in FRAME and all(w in DOUBT_WORDS for w in told):
+        return DOUBT
     return SOFT if told or tag in FRAME else NONE
 
 
 def named(tag: str, attributes: str, inside: bool = False) -> tuple[str, int]:
     """The generalised tag-class name of an element, and what kind of frame of the page it is."""
     found = CLASS.findall(attributes) if attributes else []
+    unseen = attributes and tag not in ("html", "body") and UNSEEN.search(attributes)
     if not found:
-        return tag, framed(tag, [])
+        return tag, NEVER if unseen else framed(tag, [])
     words = " ".join(a or b or c for _, a, b, c in found).lower().split()
     classes = next((a or b or c for kind, a, b, c in found if kind.lower() == "class"), "")
     general = ".".join(sorted(set(re.sub(r"\d+", "#", classes.lower()).split())))[:PATH]
-    return (f"{tag}.{general}" if general else tag), framed(tag, words, inside)
+    return (f"{tag}.{general}" if general else tag), NEVER if unseen else framed(tag, words, inside)
 
 
 class Page:
@@ -168,11 +191,13 @@ class Page:
     def __init__(self, html: str):
         self.root = Node("#page", "", None)
         self.held, self.frames, self.titles = [self.root], [], []
+        #: Elements that a host or their structure can make frames, and headings.
+        self.parts, self.heads = [], []
         #: A block is its runs, pieces in one frame each: the frame, texts, characters in links.
         self.raw: list[list[list]] = []
         self.runs: list[list] = []
         self.stack, self.open = [self.root], {}
-        self.count = self.total = self.headings = 0
+        self.count = self.total = self.headings = self.times = self.linked = 0
         self.parse(html)
         self.close(1)
         self.root.end, self.root.last = len(self.raw), self.count
@@ -187,6 +212,7 @@ class Page:
         self.runs[-1][1].append(piece)
         if self.open.get("a"):
             self.runs[-1][2] += 0 if self.open.get("h1") else len(piece)  # a title may link to its own page
+            self.linked += len(piece.strip())
         else:
             self.total += len(piece.strip())
 
@@ -200,6 +226,10 @@ class Page:
         for node in reversed(self.stack[place:]):
             self.open[node.name].pop()
             node.end, node.last, node.text, node.titles = len(self.raw), self.count, self.total - node.text, self.headings - node.titles
+            node.times, node.linked = self.times - node.times, self.linked - node.linked
+            # an item has a date, or as an article links elsewhere, apart from its text
+            if node.name in ITEM and not node.titles and node.end - node.first > 1 and (node.times or node.linked and node.name == "article"):
+                node.above.items += 1
             outer = node.above.main
             if node.main is node:
                 # an outermost main element below a frame
@@ -278,6 +308,8 @@ class Page:
         node.keeps = place if tag in KEEPS_P else above.keeps
         self.count += 1
         node.first, node.order, node.text, node.titles = len(self.raw), self.count, self.total, self.headings
+        node.times, node.linked = self.times, self.linked
+        self.times += tag == "time"
         if tag in MAIN and kind == NONE:
             node.main = node
         if kind != NONE:
@@ -288,6 +320,10 @@ class Page:
             self.titles.append(node)
         if tag in CONTAINER:
             self.held.append(node)
+        if tag in BLOCK and not node.never and (tag not in PLAIN or name != tag):
+            self.parts.append(node)
+        if tag in HEADING:
+            self.heads.append(node)
         self.stack.append(node)
         self.open.setdefault(tag, []).append(place)
 
@@ -297,7 +333,7 @@ class Page:
         for f in self.frames:
             up = f.above.frame
             much = f.text > 0 and f.text >= TEXT_SHARE * self.total
-            none = f.kind == SOFT and (much or 0 < MAIN_SHARE * self.total <= f.main_text) or f.kind == REMARKS and much and f.titles > 0
+            none = f.kind == DOUBT and not f.linked or f.kind in (SOFT, DOUBT) and (much or 0 < MAIN_SHARE * self.total <= f.main_text) or f.kind == REMARKS and much and f.titles > 0
             f.hides = not none or up is not None and up.hides
             counted[f.order] = f.hides and f.name in BLOCK and not (up is not None and up.hides)
         self.blocks = []
@@ -306,7 +342,12 @@ class Page:
             runs = [run for run in runs if run[0] is None or not run[0].hides]
             self.blocks.append(SPACE.sub(" ", "".join("".join(run[1]) for run in runs)).strip())
             links.append(sum(run[2] for run in runs) if self.blocks[-1] else 0)
+        listed = self.lists()
+        for at in np.flatnonzero(self.inside(listed)).tolist():
+            self.blocks[at], links[at] = "", 0
+        self.hashes = np.cumsum(np.array([0, *(xxhash.xxh3_64_intdigest(b.encode("utf-8", "replace")) if b else 0 for b in self.blocks)], dtype=np.uint64))
         sizes, linked, counted = (np.cumsum(np.concatenate(([0], x))) for x in (np.fromiter(map(len, self.blocks), np.int64, len(self.blocks)), np.array(links, dtype=np.int64), counted))
+        self.sizes, self.linked_to = sizes, linked
         for n in self.held:
             n.size, n.links = int(sizes[n.end] - sizes[n.first]), int(linked[n.end] - linked[n.first])
             n.frames = int(counted[n.last + 1] - counted[n.order + 1])
@@ -319,6 +360,38 @@ class Page:
             at.around = True
         self.held = [n for n in self.held if not n.hidden()]
 
+    def inside(self, nodes: list[Node]) -> np.ndarray:
+        """Which blocks lie in one of the elements."""
+        change = np.zeros(len(self.raw) + 1, dtype=np.int64)
+        for n in nodes:
+            change[n.first] += 1
+            change[n.end] -= 1
+        return np.cumsum(change)[:-1] > 0
+
+    def lists(self) -> list[Node]:
+        """Lists of dated items or of other articles after the title, and the headings right before them."""
+        title = next((n for n in self.titles if not n.hidden()), None)
+        if title is None:
+            return []
+        out = [n for n in self.parts if n.items >= ITEMS and not n.titles and n.name not in ("table", "dl") and n.first >= title.end and n.text < LIST_SHARE * self.total]
+        starts = {n.first for n in out}
+        return out + [n for n in self.heads if n.end in starts and n.first < n.end and not n.titles]
+
+    def seen(self) -> dict[str, tuple[int, int, int]]:
+        """Hash of the text, characters and those in links of every path of the page that can be a frame or hold the text."""
+        out: dict[str, tuple[int, int, int]] = {}
+        for n in {id(n): n for n in [*self.held, *(p for p in self.parts if not p.hidden())]}.values():
+            size = int(self.sizes[n.end] - self.sizes[n.first])
+            if size:
+                was = out.get(n.path, (0, 0, 0))
+                own = int(self.hashes[n.end]) - int(self.hashes[n.first])
+                out[n.path] = ((was[0] + own) % 2**64, was[1] + size, was[2] + int(self.linked_to[n.end] - self.linked_to[n.first]))
+        return out
+
+    def identity(self) -> int:
+        """Hash of the longest block, by which a host's pages differ."""
+        return xxhash.xxh3_64_intdigest(max(self.blocks, key=len, default="").encode("utf-8", "replace"))
+
     def votes(self) -> dict[str, float]:
         out: dict[str, float] = {}
         for node in self.held:
@@ -326,16 +399,17 @@ class Page:
                 out[node.path] = out.get(node.path, 0.0) + worth
         return out
 
-    def extract(self, path: str | None) -> str:
+    def extract(self, path: str | None, frames: frozenset[str] = frozenset()) -> str:
         chosen = [n for n in self.held if n.path == path and n.size] if path is not None else []
         if not chosen:
             own = self.votes()
             best = min(own, key=lambda p: (-own[p], -len(p), p), default="")
             chosen = [n for n in self.held if n.path == best and n.size]
+        cut = self.inside([n for n in self.parts if n.path in frames]) if frames else np.zeros(len(self.raw), dtype=bool)
         out, last = [], -1
         for n in chosen:
             if n.order > last:  # else it lies in one before it
-                out.extend(filter(None, self.blocks[n.first : n.end]))
+                out.extend(b for b, gone in zip(self.blocks[n.first : n.end], cut[n.first : n.end].tolist(), strict=True) if b and not gone)
                 last = n.last
         return "\n".join(out)
 
@@ -356,51 +430,83 @@ def votes(html: str | None) -> dict[str, float]:
     return Page(html or "").votes()
 
 
-def extract(html: str | None, path: str | None) -> str:
-    """Text of the outermost containers on the path; where there is none, on the page's own best path.
+def extract(html: str | None, path: str | None, frames: frozenset[str] = frozenset()) -> str:
+    """Text of the outermost containers on the path but for the host's frames; where there is none, on the page's own best path.
 
     Where no container has any worth, all text outside frames is taken.
     """
-    return Page(html or "").extract(path)
+    return Page(html or "").extract(path, frames)
 
 
-def _vote_rows(batches):
+COUNTS = "host string, path string, worth double, hash long, page long, chars long, linked long"
+
+
+def _count_rows(batches):
+    """Votes of a slice of pages, summed, and a row of every path of every page."""
     for batch in slices(batches, 128):
-        hosts, paths, worths, pages = [], [], [], []
-        total: dict[tuple[str, str], list[float]] = {}
+        rows: list[tuple] = []
+        total: dict[tuple[str, str], float] = {}
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for path, worth in votes(html).items():
-                held = total.setdefault((host, path), [0.0, 0])
-                held[0] += worth
-                held[1] += 1
-        for (host, path), (worth, n) in total.items():
-            hosts.append(host)
-            paths.append(path)
-            worths.append(worth)
-            pages.append(n)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(worths, pa.float64()), pa.array(pages, pa.int64())], ["host", "path", "worth", "pages"])
+            page = Page(html or "")
+            for path, worth in page.votes().items():
+                total[host, path] = total.get((host, path), 0.0) + worth
+            own = page.identity() - 2**63
+            rows.extend((host, path, None, text - 2**63, own, chars, linked) for path, (text, chars, linked) in page.seen().items())
+        rows.extend((host, path, worth, None, None, None, None) for (host, path), worth in total.items())
+        kinds = [pa.string(), pa.string(), pa.float64(), *[pa.int64()] * 4]
+        columns = zip(*rows, strict=True) if rows else [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "path", "worth", "hash", "page", "chars", "linked"])
 
 
 def _text_rows(batches):
     for batch in slices(batches, 128):
-        texts = [extract(html, path) for html, path in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+        rows = zip(*(batch.column(c).to_pylist() for c in ("html", "path", "frames")), strict=True)
+        texts = [extract(html, path, frozenset(frames or ())) for html, path, frames in rows]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), batch.column("path")], ["page_id", "url", "text", "path"])
 
 
-def winning_paths(pages: DataFrame) -> DataFrame:
+def counted(pages: DataFrame) -> DataFrame:
+    """Votes and paths of pages (url, html), written once."""
+    own = pages.select(host_and_path(F.col("url").cast("string"))[0].alias("host"), F.col("html").cast("string").alias("html"))
+    return materialise(own.mapInArrow(_count_rows, COUNTS))
+
+
+def winners(counts: DataFrame) -> DataFrame:
     """(host, path): the path with most votes of each host; ties go to the longer, then the last."""
-    votes_ = pages.select(host_and_path(F.col("url"))[0].alias("host"), "html").mapInArrow(_vote_rows, "host string, path string, worth double, pages long")
-    sums = votes_.groupBy("host", "path").agg(F.sum("worth").alias("worth"))
+    sums = counts.filter("worth is not null").groupBy("host", "path").agg(F.sum("worth").alias("worth"))
     return sums.groupBy("host").agg(F.max(F.struct("worth", F.length("path").alias("size"), "path")).alias("best")).select("host", "best.path")
 
 
+def winning_paths(pages: DataFrame) -> DataFrame:
+    """(host, path) of pages (url, html)."""
+    return winners(counted(pages))
+
+
+def host_frames(counts: DataFrame, paths: DataFrame) -> DataFrame:
+    """(host, path): paths below the host's winning one whose text mostly repeats over different pages, or is mostly links.
+
+    At most 1 / PRESENT times as many as a page has paths, whatever the host.
+    """
+    texts = counts.filter("worth is null").groupBy("host", "path", "hash").agg(
+        F.min("page").alias("least"), F.max("page").alias("most"), F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")
+    )
+    repeated = F.sum(F.when(F.col("least") < F.col("most"), F.col("pages")).otherwise(0)).alias("repeated")
+    sums = texts.groupBy("host", "path").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("pages").alias("pages"), repeated, F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    around = sums.join(paths, ["host", "path"]).select("host", F.col("path").alias("top"), F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"))
+    below = sums.join(around, "host").filter(F.col("path").startswith(F.concat("top", F.lit("/"))))
+    often = (F.col("pages") >= PAGES) & (F.col("pages") >= PRESENT * F.col("all_pages")) & (F.col("least") < F.col("most"))
+    told = (F.col("repeated") >= REPEATED * F.col("pages")) | (F.col("linked") >= LINKED * F.col("chars"))
+    return below.filter(often & told & (F.col("chars") <= FRAME_SHARE * F.col("all_chars"))).select("host", "path")
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, path) for every row of pages (page_id, url, html).
 
     text joins the blocks of the main container by a line feed; null or empty html gives an
     empty text, and a null url belongs to the host of the empty name, as does one without
     ``://``. path is the winning path of the host, null where no page of it has any text.
-    Repeated rows vote and are read each on their own. Pages are read whole, and work and memory
+    Repeated rows vote and are read each on their own; they are no evidence that a host repeats itself. A host with
+    fewer than PAGES pages on a path leaves that path to names and structure. Pages are read whole, and work and memory
     grow in proportion to a page's length, be its elements never closed. Other columns are
     ignored.
 
@@ -410,12 +516,16 @@ def main_text(pages: DataFrame) -> DataFrame:
     small_batches(pages)
     own = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     dealt = own.withColumn("_host", host_and_path(F.col("url"))[0])
-    paths = materialise(winning_paths(own))
-    size = paths.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64)).first()[0] or 0
+    counts = counted(own)
+    won = materialise(winners(counts))
+    frames = host_frames(counts, won).groupBy("host").agg(F.collect_list("path").alias("frames"))
+    paths = materialise(won.join(frames, "host", "left"))
+    listed = F.coalesce(F.octet_length(F.concat_ws(" ", "frames")), F.lit(0))
+    size = paths.agg(F.sum(F.octet_length("host") + F.octet_length("path") + listed + 64)).first()[0] or 0
     if size <= BROADCAST:
         joined = dealt.join(F.broadcast(paths), F.col("_host") == F.col("host"), "left")
     else:
         parts = paths.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<long>")))
         dealt = dealt.withColumn("_part", F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS).cast("long")))
         joined = dealt.join(parts, (F.col("_host") == F.col("host")) & (F.col("_part") == F.col("part")), "left")
-    return joined.select("page_id", "url", "html", "path").mapInArrow(_text_rows, own.select("page_id", "url").schema.add("text", "string").add("path", "string"))
+    return joined.select("page_id", "url", "html", "path", "frames").mapInArrow(_text_rows, own.select("page_id", "url").schema.add("text", "string").add("path", "string"))

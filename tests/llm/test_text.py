@@ -262,6 +262,47 @@ def test_names_that_only_sound_like_frames():
     assert html_extract.extract(drop, None) == "T\ntext"
 
 
+TALK = {"en": ("The text of report {0} is a long one. ", "Copper prices rose in week {0}.", "Follow us and share this story.", "Ann", "I do not agree."),
+        "de": ("Der Text des Berichts {0} ist lang. ", "Der Preis stieg in Woche {0}.", "Folgen Sie uns und teilen Sie den Beitrag.", "Uwe", "Das sehe ich anders.")}
+
+
+@pytest.mark.parametrize("lang", TALK)
+def test_frames_that_a_host_repeats(spark, lang):
+    """One name is a frame on a host that repeats its text, and text on one that does not; names of no known word too."""
+    long, short, again, _, _ = TALK[lang]
+
+    def page(k, box):
+        tags = "".join(f"<a href=/t/{k}{x}>topic {x}{k}</a> " for x in "abc")
+        return f"<body><article><h1>T{k}</h1><div class=zz9>{box}</div><p>{long.format(k) * 9}</p><div class=yy>{tags}</div></article></body>"
+
+    rows = [(k, "http://a.org/x", page(k, again)) for k in range(6)]
+    rows += [(k, "http://b.org/x", page(k, short.format(k))) for k in range(10, 16)]
+    rows += [(k, "http://c.org/x", page(7, again)) for k in range(20, 26)]  # copies of one page
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(6):
+        assert got[k] == f"T{k}\n{(long.format(k) * 9).strip()}"
+        assert got[10 + k] == f"T{10 + k}\n{short.format(10 + k)}\n{(long.format(10 + k) * 9).strip()}"
+        assert again in got[20 + k]
+        assert got[k] != html_extract.extract(rows[k][2], None)
+
+
+@pytest.mark.parametrize("lang", TALK)
+def test_frames_by_structure(lang):
+    long, short, _, who, says = TALK[lang]
+    body = f"<h1>T</h1><p>{long * 9}</p>"
+    want = f"T\n{(long * 9).strip()}"
+    item = f"<b>{who}</b> <time>3.5.</time><p>{says}</p>"
+    teaser = f"<article><h2><a href=/y>{short}</a></h2><p>{says}</p></article>"
+    for frame in ("<div hidden>x</div>", "<p style='color:red; display: none'>x</p>", "<div style=display:none>x</div>", f"<div class=responses><div>{item}</div><div>{item}</div></div>",
+                  f"<div id=discussion><ul><li>{item}<li>{item}</ul></div>", f"<h2 id=k>{says}</h2><ol><li>{item}</li><li>{item}</li></ol>"):
+        assert html_extract.extract(f"<body><article>{body}{frame}</article></body>", None) == want, frame
+    assert html_extract.extract(f"<body><main><article>{body}</article><section class=w>{teaser * 3}</section></main></body>", None) == want
+    for kept in ("<div class=notice>{}</div>", "<section class='related work'><p>{}</p></section>", "<div class=social>{}</div>", "<ul><li><time>1990</time> {}</li></ul>", "<div><p><time>1</time></p><p><time>2</time> {}</p></div>"):
+        assert short in html_extract.extract(f"<body><article>{body}{kept.format(short)}</article></body>", None), kept
+    entries = "".join(f"<div><time>{k}:00</time><p>{long}</p></div>" for k in range(9))
+    assert html_extract.extract(f"<body><article><h1>T</h1><div>{entries}</div></article></body>", None).count("\n") >= 17
+
+
 def simple_votes(html):
     """By an own small tree of a page whose tags all match: a path's worth is its text, with the weight of articles."""
     out, stack, sizes = Counter(), [("", [])], []
