@@ -87,6 +87,60 @@ def test_language_of_hard_inputs(spark):
     assert language_id.identify(spark.createDataFrame([], DOCS), model).count() == 0
 
 
+def lengths(model, texts):
+    data = [t.encode() for t in texts]
+    return model.code_lengths(np.frombuffer(b"".join(data), dtype=np.uint8), np.cumsum([0, *map(len, data)]))
+
+
+@pytest.mark.parametrize("counted", [7, 1 << 19])
+def test_every_text_is_learned(spark, monkeypatch, counted):
+    """More documents than the sample had, and a text longer than it took."""
+    monkeypatch.setattr(language_id, "COUNTED", counted)
+    long = "wort " * (60_000 if counted > 7 else 60)
+    rows = [(k, f"{k} {k % 7} é", "en") for k in range(1500)] + [(2000, long, "de"), (2001, "", "de"), (2002, "x", "de"), (2003, "ab", "de"), (2004, "abc", "de")]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    texts = ["1499 3 é", "ab word", "742", "x", "wort abc"]
+    want = [[by_hand(t, [r[1] for r in rows if r[2] == lang], 3) for lang in ("de", "en")] for t in texts]
+    assert np.allclose(lengths(model, texts), want, atol=1e-3)
+
+
+@pytest.mark.parametrize("cells, languages", [(300, 64), (1 << 22, 1), (200, 2)])
+def test_packs_change_nothing(spark, monkeypatch, cells, languages):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("lang", F.concat("lang", (F.col("doc_id") % 2).cast("string"))).limit(120)
+    texts = ["the word où", "", "Qué", "é"]
+    whole, limits = language_id.train_bounded(docs)
+    asked = docs.unionByName(spark.createDataFrame(HARD, DOCS), allowMissingColumns=True)
+    want = sorted(map(repr, language_id.identify(asked, whole, ["doc_id", "text"], limits).drop("score").collect()))
+    bits = lengths(whole, texts)
+    monkeypatch.setattr(language_id, "CELLS", cells * 200)
+    monkeypatch.setattr(language_id, "LANGUAGES", languages)
+    cut, cut_limits = language_id.train_bounded(docs)
+    assert len(whole.packs) == 1 < len(cut.packs) and whole.languages == cut.languages
+    assert np.allclose(lengths(cut, texts), bits, atol=1e-3)
+    assert cut_limits.keys() == limits.keys() and all(abs(cut_limits[k] - v) < 1e-4 for k, v in limits.items())
+    assert sorted(map(repr, language_id.identify(asked, cut, ["doc_id", "text"], limits).drop("score").collect())) == want
+
+
+def test_more_languages_than_a_pack_has(spark):
+    rows = [(k, chr(0x4E00 + k // 2) * 4, f"l{k // 2:03d}") for k in range(140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(docs, language_id.train(docs)).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {r[0]: r[2] for r in rows}
+
+
+def test_bounds_come_from_every_text(spark):
+    """The spread of all texts of the other half, by numpy."""
+    docs = spark.createDataFrame([(k, f"{k * k % 9973} the {k % 11}", "en") for k in range(2600)], "doc_id long, text string, lang string")
+    _, limits = language_id.train_bounded(docs)
+    halves = {True: [], False: []}
+    for r in docs.select("text", (F.xxhash64(F.col("doc_id").cast("string"), F.lit("half")) % 2 == 0).alias("half")).collect():
+        halves[r.half].append(r.text)
+    half = language_id.train(spark.createDataFrame([(k, t, "en") for k, t in enumerate(halves[True])], "doc_id long, text string, lang string"))
+    cost = lengths(half, halves[False])[:, 0] / np.array([len(t) for t in halves[False]])
+    middle, far = np.quantile(cost, [0.5, 0.99])
+    assert abs(limits["en"] - min(language_id.PLAIN, middle + language_id.SPREADS * (far - middle))) < 1e-6
+
+
 def test_sample_is_bounded(spark):
     rows = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("lang"))
     assert {r.lang: r["count"] for r in language_id.sampled(rows, 50).groupBy("lang").count().collect()} == {"a": 50, "b": 50}
