@@ -544,12 +544,15 @@ def stream_book(spark: SparkSession, files: list[DataFrame], between: Callable[[
 
 
 def book_totals(held: book.Book, totals: dict[str, str]) -> DataFrame:
-    """Rows and a sum of each table."""
-    sums = [held.read(name).agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.sum(c).cast("long").alias("total")) for name, c in totals.items()]
+    """Rows and a sum of each table. Sums are exact: longs, or decimals of 38 digits where one of them passes a long."""
+    sums = [held.read(name).agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.sum(F.col(c).cast("decimal(38,0)")).alias("total")) for name, c in totals.items()]
     out = sums[0]
     for one in sums[1:]:
         out = out.unionByName(one)
-    return out
+    found = out.collect()  # a row a table
+    fits = all(r["total"] is None or -(1 << 63) <= r["total"] < 1 << 63 for r in found)
+    kind = "long" if fits else "decimal(38,0)"
+    return held.store.spark.createDataFrame([(r["name"], r["rows"], r["total"]) for r in found], "name string, rows long, total decimal(38,0)").withColumn("total", F.col("total").cast(kind))
 
 
 @query(

@@ -224,3 +224,17 @@ def test_a_branch_that_does_not_fit_reverts_to_its_fork(spark, tmp_path):
     held["name"] = "d"
     with pytest.raises(ValueError, match="fork is not found"):
         book.apply(table(spark, branch(8, 8, "d")), 4)
+
+
+@pytest.mark.parametrize(("cost", "kind"), [(1 << 62, "decimal(38,0)"), (5, "bigint")])
+def test_totals_of_a_book_pass_a_long(spark, tmp_path, cost, kind):
+    from dexspark.plans.registry import book_totals
+
+    held = Book(spark, f"file://{tmp_path}/book", parts=2)
+    row = {"sell_tx": "x", "wallet": "a", "token": "s", "qty": 1, "sell_block": 1, "cost": cost}
+    schema = held.store.tables["consumed"][0]
+    rows = spark.createDataFrame([tuple(row.get(c) for c in named(schema))] * 3, schema)
+    held.store.commit({"consumed": (rows, ["0"])})
+    found = book_totals(held, {"consumed": "cost", "lots": "remaining"})
+    assert dict(found.dtypes)["total"] == kind
+    assert {r["name"]: (r["rows"], r["total"]) for r in found.collect()} == {"consumed": (3, 3 * cost), "lots": (0, None)}
