@@ -1,8 +1,8 @@
 """Exact money: a whole number of raw units times a price, in fixed point, rounded once.
 
 A raw amount may have 38 digits and a price 38 with 18 places, so their product passes a decimal.
-Both are cut into limbs of 19 digits, whose products fit; limbs are carried, and the product is divided by a power of ten by its
-digits, half up.
+Where it fits it is taken at once. Else both are cut into limbs of 19 digits, whose products fit; limbs are carried, and the product is divided by a
+power of ten by its digits, half up.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Type of prices, places of a price and of money, digits of a limb.
 PRICE, PLACES, MONEY, LIMB = "decimal(38,18)", 18, 8, 19
 WIDE = "decimal(38,0)"
+#: Products below this fit when they are doubled, and powers of ten up to this one.
+FAST, TOP = 4.0e37, 37
 
 
 def _power(n: int) -> Column:
@@ -47,6 +49,16 @@ def value_exact(raw: Column, decimals: Column, price: Column) -> Column:
 
 def _units(raw: Column, places: Column, price: Column) -> Column:
     """raw * price / 10^places as a whole number, half up; places from 10 to 48."""
+    by = F.element_at(F.array(*[_power(n) for n in range(TOP + 1)]), F.least(places, F.lit(TOP)) + 1)
+    twice = (by * F.lit(2).cast("decimal(1,0)")).cast(WIDE)
+    double = ((raw * price).cast(WIDE) * F.lit(2).cast("decimal(1,0)") + by).cast(WIDE)
+    small = (raw >= 0) & (price >= 0) & (raw.cast("double") * price.cast("double") < FAST) & (places <= TOP)
+    given = raw.isNotNull() & price.isNotNull() & places.isNotNull()
+    return F.when(small, _whole(double, twice)).when(given, _long_units(raw, places, price))
+
+
+def _long_units(raw: Column, places: Column, price: Column) -> Column:
+    """The same for numbers of any length, by limbs."""
     # a limb of the product with what the one below it carries, from the low one on
     ready = F.struct(raw.alias("r"), price.alias("p"), places.alias("n"))
 

@@ -28,6 +28,8 @@ STEP, DIGITS = 5, 30
 EXACT = "decimal(30,8)"
 #: Below this a product of two numbers is divided in one step.
 SHORT = 10**18
+#: Products of a value and a part below these stay within a long, and within 38 digits, when they are doubled and scaled.
+FAST, FAST_WIDE = 4.0e12, 2.0e37
 
 
 def quantity(df: DataFrame, column: str = "qty") -> str:
@@ -43,8 +45,8 @@ def money(df: DataFrame, column: str = "value") -> str:
 def share(value: F.Column, part: F.Column, whole: F.Column, kind: str, paid: str = "long") -> F.Column:
     """value * part / whole, rounded half up: in millionths for values that are longs, else with 8 places.
 
-    A wide product passes 38 digits, so the value is then divided STEP digits at a time, from
-    the first on, with what remains carried to the next. part is at most whole.
+    Most products fit and are divided at once. A wide product may pass 38 digits: the value is then divided STEP digits at a
+    time, from the first on, with what remains carried to the next. part is at most whole.
     """
     if kind == paid == "long":
         exact = value.cast("decimal(18,0)") * part.cast("decimal(18,0)") / whole.cast("decimal(18,0)")
@@ -54,7 +56,9 @@ def share(value: F.Column, part: F.Column, whole: F.Column, kind: str, paid: str
         parts = (rest * F.lit(2_000_000).cast("decimal(7,0)") + divisor).cast("decimal(38,0)")
         twice = (2 * divisor).cast("decimal(20,0)")
         longer = ((product - rest) / divisor).cast("decimal(32,0)") * F.lit(1_000_000).cast("decimal(7,0)") + ((parts - parts % twice) / twice).cast("decimal(32,0)")
-        return F.when((value < SHORT) & (whole < SHORT), (exact.cast("decimal(32,6)") * 1_000_000).cast("long")).otherwise(longer.cast("long"))
+        small = (value >= 0) & (value.cast("double") * part.cast("double") < FAST) & (whole < SHORT)
+        once = F.call_function("div", value.cast("long") * part.cast("long") * F.lit(2_000_000).cast("long") + whole.cast("long"), whole.cast("long") * 2)
+        return F.when(small, once).when((value < SHORT) & (whole < SHORT), (exact.cast("decimal(32,6)") * 1_000_000).cast("long")).otherwise(longer.cast("long"))
     part, whole = part.cast("decimal(38,0)"), whole.cast("decimal(38,0)")
     if paid == "long":
         units = value.cast("decimal(38,0)") * F.lit(1_000_000).cast("decimal(7,0)")
@@ -72,6 +76,10 @@ def share(value: F.Column, part: F.Column, whole: F.Column, kind: str, paid: str
         return F.struct((at["done"] * F.lit(10**STEP) + more).cast("decimal(38,0)").alias("done"), (left % whole).cast("decimal(38,0)").alias("left"))
 
     done = F.aggregate(digits, start, divide, lambda at: (at["done"] + (at["left"] >= whole - at["left"]).cast("int")).cast("decimal(38,0)"))
+    small = (units >= 0) & (units.cast("double") * part.cast("double") < FAST_WIDE) & (whole.cast("double") < FAST_WIDE / 4)
+    twice = (whole * F.lit(2).cast("decimal(1,0)")).cast("decimal(38,0)")
+    top = ((units * part).cast("decimal(38,0)") * F.lit(2).cast("decimal(1,0)") + whole).cast("decimal(38,0)")
+    done = F.when(small, ((top - top % twice) / twice).cast("decimal(38,0)")).otherwise(done)
     return done.cast("long") if paid == "long" else (done.cast("decimal(29,0)") * F.lit(Decimal("0.00000001")).cast("decimal(8,8)")).cast(EXACT)
 
 

@@ -14,7 +14,7 @@ from dexspark.operators import alerts, candles, chain, decode, discovery, fifo,
 from dexspark.operators import hot as hot_positions
 from dexspark.plans import sql, views
 from dexspark.sources import logs
-from dexspark.sources.shared import shared_path
+from dexspark.sources.shared import shared_path, stored
 from dexspark.sources.tables import Snapshots, append_new, merge_add, upsert
 from dexspark.streaming import book, ingest
 
@@ -167,7 +167,7 @@ def pnl_end_to_end(spark, sf_dir):
 
 def exact_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classified swaps of tokens with 18 decimals, with dust behind whole amounts, one in fifty all dust; money has 6. Values are exact."""
-    pools = views.pools(spark, sf_dir)
+    pools = stored(views.pools(spark, sf_dir), "pools")
     own = views.fine_swaps(views.swaps(spark, sf_dir))
     dust = (F.col("log_index") * 123_456_789_123 + 1).cast("decimal(38,0)")
     size = F.when(F.col("log_index") % 50 == 49, dust).otherwise(F.abs("amount0") + dust)
@@ -207,7 +207,7 @@ def lots_exact(spark, sf_dir):
 @query("select wallet, trades, cast(volume as varchar) as volume, last_active_block, positions, cast(held as varchar) as held from (" + sql.WIDE_CARDS + ")")
 def scorecards_wide(spark, sf_dir):
     """Scorecards over raw units of 18 decimals and exact money."""
-    run = revert.replay(trades.position_trades(exact_swaps(spark, sf_dir)))
+    run = revert.replay(stored(trades.position_trades(exact_swaps(spark, sf_dir)), "trades"))
     cards = wallets.scorecards_all(run["stats"], run["lots"], run["totals"])
     held = F.aggregate("open_positions", F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x["qty"]).cast("decimal(38,0)"))
     count = F.coalesce(F.when(F.col("open_positions").isNotNull(), F.size("open_positions")), F.lit(0)).cast("long")

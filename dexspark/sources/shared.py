@@ -1,12 +1,16 @@
-"""The folder that the driver and all executors share."""
+"""The folder that the driver and all executors share, and what is written there between steps."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -19,3 +23,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
         folder = f"file://{tempfile.mkdtemp(prefix='dexspark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Lets Spark delete the shuffle files of what is written meanwhile as soon as it is written; else they stay until the driver collects garbage."""
+    before = spark.conf.get(TIDY, "false")
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(TIDY, before)
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """The same rows, written to the shared folder and read back: what several branches read is made once, and its shuffles go."""
+    spark = rows.sparkSession
+    path = shared_path(spark, name)
+    with tidy(spark):
+        rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
