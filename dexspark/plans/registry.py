@@ -144,11 +144,11 @@ def asof_priced_trades(spark, sf_dir):
 
 def valued_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classified swaps in raw units; OTHER has the price of the reference pool's last close of an earlier day."""
-    rows = views.swaps(spark, sf_dir)
+    rows = stored(views.swaps(spark, sf_dir).drop("sender"), "swaps")
     price = F.abs("amount1") / F.abs("amount0")
     day = F.date_trunc("day", "block_time")
     closes = rows.filter(F.col("pool") == POOL).groupBy("pool", (day + F.expr("interval 1 day")).alias("available_at")).agg(F.max_by(price, event_key()).alias("close"))
-    pools = views.pools(spark, sf_dir)
+    pools = stored(views.pools(spark, sf_dir), "pools")
     directed = trades.with_direction(trades.with_pool_meta(views.fine_swaps(rows), views.fine_pools(pools)))
     return trades.classify(trades.value_trades(trades.asof_price(directed, closes, pool=POOL), views.numeraire(pools), "OTHER"))
 
@@ -162,7 +162,7 @@ def value_scaled(spark, sf_dir):
 @query(sql.build("select * from stats", sql.POSITIONS))
 def pnl_end_to_end(spark, sf_dir):
     """From swaps in raw units to each wallet's statistics."""
-    return revert.replay(trades.position_trades(valued_swaps(spark, sf_dir)))["stats"]
+    return revert.replay(stored(trades.position_trades(valued_swaps(spark, sf_dir)), "trades"))["stats"]
 
 
 def exact_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
