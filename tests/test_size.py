@@ -13,7 +13,7 @@ from dexspark.operators.fifo import share
 from dexspark.plans import registry
 
 
-@pytest.mark.parametrize("name", ["scorecards_wide", "pnl_end_to_end"])
+@pytest.mark.parametrize("name", ["scorecards_wide", "pnl_end_to_end", "blocks_with_all_logs"])
 def test_trades_are_made_once(spark, sf, name):
     """The branches of the query read trades that are there, not the tables each."""
     read = registry.queries()[name](spark, sf).inputFiles()
