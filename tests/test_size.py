@@ -44,3 +44,20 @@ def test_values_around_the_shortcut(spark):
     frame = spark.createDataFrame([(Decimal(r), d, Decimal(p).scaleb(-18)) for r, d, p in rows], "raw decimal(38,0), d int, price decimal(38,18)")
     got = [int(r[0].scaleb(8)) for r in frame.select(value_exact(F.col("raw"), F.col("d"), F.col("price"))).collect()]
     assert got == [(2 * r * p + 10 ** (d + 10)) // (2 * 10 ** (d + 10)) for r, d, p in rows]
+
+
+def test_a_book_keeps_nothing_of_a_batch_but_its_tables(spark, tmp_path):
+    """Staged rows go, a repeated batch changes nothing, and with an upkeep of 1 so does what a commit replaced."""
+    from dexspark.sources.shared import TIDY
+    from dexspark.streaming.book import Book
+    from tests.test_book import assert_equals_clean, blocks, table
+
+    before = spark.conf.get(TIDY, "false")
+    book = Book(spark, f"file://{tmp_path}/b", blocks=10, parts=1, unit="year", upkeep=1, keep=1)
+    book.apply(table(spark, blocks(1, 3)), 0)
+    book.apply(table(spark, blocks(3, 5)), 1)
+    assert_equals_clean(spark, book, blocks(1, 5))
+    for name in ("swaps", "trades", "lots", "1m"):
+        assert len(list((tmp_path / "b" / name).glob("v*"))) == 1, name
+    assert not list((tmp_path / "b").glob("stage/*")) and spark.conf.get(TIDY) == before
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
